@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewell.functions.labels import law_code, status_codes
+from pricewell.operators.sizing import broadcast_if_small
 from pricewell.schemas import LIMIT_RANGE
 
 
@@ -22,9 +23,8 @@ def valid_requests(requests: DataFrame) -> DataFrame:
 def candidates(contracts: DataFrame, requests: DataFrame) -> DataFrame:
     """Every contract each valid request asks for: code, region, law, period and status.
 
-    Equality on code, region and law makes this a hash join. Its strategy is left to
-    the optimizer, which knows (and at run time measures) the size of the request side
-    and splits hot keys of a shuffled join.
+    A counted-small request side is broadcast, so the contracts are not shuffled; a
+    large one is joined on code, region and law, hot keys being split at run time.
     """
     wanted = valid_requests(requests).select(
         F.col("id").alias("search_id"),
@@ -41,7 +41,7 @@ def candidates(contracts: DataFrame, requests: DataFrame) -> DataFrame:
         F.col("retail_price").alias("target_retail_price"),
     )
     return (
-        contracts.join(wanted, ["code", "region", "law"])
+        contracts.join(broadcast_if_small(wanted), ["code", "region", "law"])
         .filter(F.col("sign_date").between(F.col("date_from"), F.col("date_to")))
         # a request whose labels are all unknown asks for completed contracts
         .filter(

@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from importlib import import_module
+from pricewell.plans import characteristics, selection
+from pricewell.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-MODULES = ["selection"]
-
-
-def _parts():
-    return [import_module(f"pricewell.plans.{name}") for name in MODULES]
+PARTS = [selection.query, characteristics.query]
 
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
-    for part in _parts():
-        found.update(part.QUERIES)
+    for part in PARTS:
+        found.update(part.queries)
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found: dict[str, str] = {}
-    for part in _parts():
-        found.update(part.SQL)
+    for part in PARTS:
+        found.update(part.sql)
     return found

@@ -6,24 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.functions import compare, prices as price_functions, scoring
-from pricewell.operators import joins, prices, topk
+from pricewell.operators import prices, topk
+from pricewell.operators.matching import key_comparison_rows
 from pricewell.plans import ceiling
 from pricewell.plans.output import shown
+from pricewell.plans.registry import Registry
 from pricewell.plans.sql_similarity import similarity_ctes
 from pricewell.plans.sql_views import with_views
 from pricewell.sources import tables
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return register
+query = Registry()
 
 
 def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,8 +335,6 @@ def code_membership(spark, sf_dir):
     ),
 )
 def key_rows(spark, sf_dir):
-    from pricewell.operators.matching import key_comparison_rows
-
     rows = with_codes(ceiling.scored_contracts(spark, sf_dir)).withColumn(
         "code_match", F.array_contains("codes", F.col("code"))
     )
