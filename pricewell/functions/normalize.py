@@ -12,16 +12,18 @@ from pricewell.functions.units import standard_unit
 NUMBER = r"[\d.,]+"
 UNIT = r"[a-zA-Zа-яА-ЯёЁ°²³μ]+\d*"
 
+SPACE = r"[\s\p{Z}]*"
+
 # A number with its unit, possibly after a bound sign that is dropped.
-SINGLE = rf"(?U)^(?:[<>≤≥]\s*)?({NUMBER})\s*(?:{UNIT})$"
+SINGLE = rf"^(?:[<>≤≥]{SPACE})?({NUMBER}){SPACE}(?:{UNIT})$"
 # A range with its unit; it stands for its midpoint.
-RANGE = rf"(?U)^({NUMBER})\s*[-–]\s*({NUMBER})\s*(?:{UNIT})$"
+RANGE = rf"^({NUMBER}){SPACE}[-–]{SPACE}({NUMBER}){SPACE}(?:{UNIT})$"
 # The unit at the end of either form.
 UNIT_AT_END = rf"({UNIT})$"
 
 
 def _number(text: Column) -> Column:
-    return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
+    return F.replace(F.nullif(text, F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def with_normalized(df: DataFrame, value: str, prefix: str) -> DataFrame:

@@ -14,7 +14,7 @@ def card_price(text: Column) -> Column:
     Only plain spaces are dropped and every comma reads as a decimal dot; what is
     then no number is null, so that the caller can try its next source.
     """
-    run = F.regexp_extract(text, r"(?U)([\d\s,.]+)", 1)
+    run = F.regexp_extract(text, r"([\d\s\p{Z},.]+)", 1)
     digits = F.replace(F.replace(run, F.lit(" "), F.lit("")), F.lit(","), F.lit("."))
     return strip(digits).try_cast("double")
 

@@ -58,18 +58,20 @@ def standard_unit(text: Column) -> Column:
     An exact spelling wins, then the longest spelling that is a whole word, then
     the longest one contained anywhere; otherwise the cleaned text itself.
     """
-    cleaned = F.regexp_replace(F.lower(text), NOT_UNIT_CHARS, "")
     units = literal_map(UNIT_OF)
     spellings = F.array(*[F.lit(s) for s in SPELLINGS_BY_LENGTH])
-    # the degree sign is the only kept character that ends a word
-    words = F.split(cleaned, "°")
-    whole = F.get(F.filter(spellings, lambda s: F.array_contains(words, s)), F.lit(0))
-    inside = F.get(F.filter(spellings, lambda s: F.contains(cleaned, s)), F.lit(0))
-    return F.coalesce(
-        F.try_element_at(units, cleaned),
-        F.try_element_at(units, F.coalesce(whole, inside)),
-        cleaned,
-    )
+
+    def look_up(cleaned: Column) -> Column:
+        # the degree sign is the only kept character that ends a word
+        words = F.split(cleaned, "°")
+        whole = F.get(F.filter(spellings, lambda s: F.array_contains(words, s)), F.lit(0))
+        inside = F.get(F.filter(spellings, lambda s: F.contains(cleaned, s)), F.lit(0))
+        contained = F.coalesce(F.when(F.contains(cleaned, F.lit("°")), whole), inside)
+        return F.coalesce(F.try_element_at(units, cleaned), F.try_element_at(units, contained), cleaned)
+
+    # bound through a one-element array, so the text is cleaned once and not per spelling
+    cleaned = F.regexp_replace(F.lower(text), NOT_UNIT_CHARS, "")
+    return F.get(F.transform(F.array(cleaned), look_up), F.lit(0))
 
 
 def units_compatible(left: Column, right: Column) -> Column:
