@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricewell.functions.labels import literal_map
 from pricewell.functions.text import strip
 from pricewell.functions.units import standard_unit
 
@@ -65,3 +66,13 @@ def normalize_value(value: Column) -> Column:
         F.when(shaped.isNotNull(), standard_unit(F.regexp_extract(text, UNIT_AT_END, 1))).alias("unit"),
         number.isNotNull().alias("is_numeric"),
     )
+
+
+# Other names of common characteristics.
+SPEC_SYNONYMS = {"граммаж": "плотность", "cie": "белизна"}
+
+
+def canonical_spec_name(name: Column) -> Column:
+    """Trimmed lower-case name of a characteristic, synonyms mapped to one name."""
+    plain = strip(F.lower(name))
+    return F.coalesce(F.try_element_at(literal_map(SPEC_SYNONYMS), plain), plain)

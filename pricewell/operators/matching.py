@@ -139,3 +139,36 @@ def fuzzy_name_join(
     return scored.filter(F.col("similarity") > threshold).select(
         *block, F.col("__a").alias(left_name), F.col("__b").alias(right_name), "similarity"
     )
+
+
+def classify_by_fields(
+    rows: DataFrame, keys: Sequence[str], mandatory: Sequence[str], least_share: float
+) -> DataFrame:
+    """Class and decision from the comparison rows of each contract.
+
+    Identical if every mandatory field matches; homogeneous if the weighted share of
+    matching fields is large enough and no mandatory field conflicts; else no match.
+    """
+    match = F.col("match_status") == "MATCH"
+    required = F.col("name").isin(*mandatory)
+    grouped = rows.groupBy(*keys).agg(
+        F.bool_and(F.when(required, match)).alias("__all_required"),
+        F.coalesce(F.bool_or(F.when(required, F.col("match_status") == "DIFF")), F.lit(False)).alias("__conflict"),
+        (F.sum(F.when(match, F.col("weight")).otherwise(F.lit(0))) / F.sum("weight")).alias("match_share"),
+    )
+    alike = (F.col("match_share") >= least_share) & ~F.col("__conflict")
+    match_type = (
+        F.when(F.col("__all_required"), F.lit("IDENTICAL"))
+        .when(alike, F.lit("HOMOGENEOUS"))
+        .otherwise(F.lit("NO_MATCH"))
+    )
+    decision = (
+        F.when(F.col("match_type") == "IDENTICAL", F.lit("ACCEPT"))
+        .when(F.col("match_type") == "HOMOGENEOUS", F.lit("REVIEW"))
+        .otherwise(F.lit("REJECT"))
+    )
+    return (
+        grouped.withColumn("match_type", match_type)
+        .withColumn("decision", decision)
+        .drop("__all_required", "__conflict")
+    )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pricewell.plans import characteristics, selection
+from pricewell.plans import characteristics, selection, values
 from pricewell.plans.registry import Query
 
-PARTS = [selection.query, characteristics.query]
+PARTS = [selection.query, characteristics.query, values.query]
 
 
 def queries() -> dict[str, Query]:

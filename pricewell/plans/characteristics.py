@@ -548,3 +548,28 @@ def spec_pairs_long(spark, sf_dir):
     side = lambda column: maps.select("search_id", "contract_id", F.explode(column).alias("name", "value"))
     keys = ["search_id", "contract_id"]
     return shown(matching.spec_pairs_long(side("target_specs"), side("actual_specs"), keys))
+
+
+MANDATORY = ["размер", "производитель"]
+
+
+@query(
+    "mandatory_classification",
+    with_views(
+        f""", {_SPEC_ROWS_CTES.strip()}, grouped AS (
+          SELECT search_id, contract_id,
+            bool_and(match_status = 'MATCH') FILTER (name IN ('размер', 'производитель')) AS all_required,
+            coalesce(bool_or(match_status = 'DIFF') FILTER (name IN ('размер', 'производитель')), false) AS conflict,
+            count(CASE WHEN match_status = 'MATCH' THEN 1 END) / count(*) AS match_share
+          FROM spec_rows GROUP BY ALL),
+        typed AS (SELECT *, CASE WHEN all_required THEN 'IDENTICAL' WHEN match_share >= 0.4 AND NOT conflict
+          THEN 'HOMOGENEOUS' ELSE 'NO_MATCH' END AS match_type FROM grouped)
+        SELECT search_id, contract_id, match_share, match_type, CASE match_type WHEN 'IDENTICAL' THEN 'ACCEPT'
+          WHEN 'HOMOGENEOUS' THEN 'REVIEW' ELSE 'REJECT' END AS decision FROM typed""",
+        "spec_pairs",
+        "units",
+    ),
+)
+def mandatory_classification(spark, sf_dir):
+    rows = spec_rows(spark, sf_dir)
+    return shown(matching.classify_by_fields(rows, ["search_id", "contract_id"], MANDATORY, 0.4))
