@@ -71,3 +71,9 @@ def percent(done: Column, total: Column) -> Column:
 def step_percent(step: Column, total: Column) -> Column:
     """Progress of one step on the 10 to 90 percent stretch of a run."""
     return F.lit(10.0) + F.when(total > 0, F.lit(80.0) * step / total).otherwise(F.lit(0.0))
+
+
+def plain_number(number: Column) -> Column:
+    """A number without exponent, with at least one and at most six decimals."""
+    digits = F.regexp_replace(number.cast("decimal(28,6)").cast("string"), "0+$", "")
+    return F.regexp_replace(digits, r"\.$", ".0")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pricewell.plans import characteristics, listings, selection, values
+from pricewell.plans import characteristics, listings, selection, values, web_pages
 from pricewell.plans.registry import Query
 
-PARTS = [selection.query, characteristics.query, values.query, listings.query]
+PARTS = [selection.query, characteristics.query, values.query, listings.query, web_pages.query]
 
 
 def queries() -> dict[str, Query]:
