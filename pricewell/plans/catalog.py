@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pricewell.plans import characteristics, dialogs, listings, selection, values, web_pages
+from pricewell.plans import characteristics, dialogs, listings, live, selection, values, web_pages
 from pricewell.plans.registry import Query
 
-PARTS = [selection.query, characteristics.query, values.query, listings.query, web_pages.query, dialogs.query]
+PARTS = [selection.query, characteristics.query, values.query, listings.query, web_pages.query, dialogs.query, live.query]
 
 
 def queries() -> dict[str, Query]:
