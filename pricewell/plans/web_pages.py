@@ -18,7 +18,7 @@ THRESHOLD_YEAR = 2000
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.spread(tables.table(spark, sf_dir, "pages"))
+    return tables.spread(tables.table(spark, sf_dir, "pages"), "page_id")
 
 
 # ---------------------------------------------------------------- raw pages
@@ -84,7 +84,7 @@ def tag(name: str, css: str, *parts: Column | str) -> Column:
 
 
 def orders_with_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = tables.spread(tables.table(spark, sf_dir, "orders"))
+    order = tables.spread(tables.table(spark, sf_dir, "orders"), "o_orderkey")
     customer = tables.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return order.join(customer, order.o_custkey == customer.c_custkey).withColumns(
         {

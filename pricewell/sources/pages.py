@@ -7,9 +7,10 @@ descendants and of their texts, which makes a subtree one slice of the array.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,73 +43,93 @@ HIDDEN_TAGS = frozenset(["script", "style", "template"])
 PIECE_CHARS = 4_000_000
 
 
-class _Shredder(HTMLParser):
+# A tag with its attributes (a quoted value may hold any character), a comment or a declaration.
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|"""
+    r"""<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)>""",
+    re.DOTALL,
+)
+ATTRIBUTE = re.compile(
+    r"""(?<![^\s"'/])(class|id|href)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.IGNORECASE
+)
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in ("script", "style")}
+
+
+class _Shredder:
     """Collects the elements and texts of many pages in flat columns."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.columns: list[list] = [[] for _ in range(ELEMENT.num_fields)]
+        self.columns: dict[str, list] = {field.name: [] for field in ELEMENT}
         self.texts: list[str] = []
         self.element_offsets, self.text_offsets = [0], [0]
-        self._start_page()
-
-    def _start_page(self) -> None:
-        self.open: list[tuple[int, str]] = []
-        self.pieces: list[str] = []
-        self.first_element, self.first_text = len(self.columns[0]), len(self.texts)
-
-    def page(self, html: str | None) -> None:
-        self.reset()
-        self._start_page()
-        self.feed(html or "")
-        self.close()
-        self._flush()
-        self._close_down_to(0)
-        self.element_offsets.append(len(self.columns[0]))
-        self.text_offsets.append(len(self.texts))
-
-    def _flush(self) -> None:
-        text = "".join(self.pieces).strip()
-        self.pieces.clear()
-        if text and not (self.open and self.open[-1][1] in HIDDEN_TAGS):
-            self.texts.append(text)
-
-    def _close_down_to(self, depth: int) -> None:
-        last, t_to = len(self.columns[0]) - self.first_element - 1, len(self.texts) - self.first_text
-        for position, _ in self.open[depth:]:
-            self.columns[2][position] = last
-            self.columns[8][position] = t_to
-        del self.open[depth:]
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self._flush()
-        named = dict(attrs)
-        position = len(self.columns[0])
-        idx, here = position - self.first_element, len(self.texts) - self.first_text
-        parent = self.open[-1][0] - self.first_element if self.open else -1
-        classes = f" {' '.join((named.get('class') or '').split())} "
-        row = (idx, parent, idx, tag, classes, named.get("id"), named.get("href"), here, here)
-        for column, value in zip(self.columns, row):
-            column.append(value)
-        if tag not in VOID_TAGS:
-            self.open.append((position, tag))
-
-    def handle_endtag(self, tag: str) -> None:
-        self._flush()
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][1] == tag:
-                self._close_down_to(depth)
-                return
-
-    def handle_data(self, data: str) -> None:
-        self.pieces.append(data)
-
-    def handle_comment(self, data: str) -> None:
-        self._flush()
+
+    def page(self, html: str) -> None:
+        columns, texts = self.columns, self.texts
+        tags, last, t_to = columns["tag"], columns["last"], columns["t_to"]
+        first_element, first_text = len(tags), len(texts)
+        open_tags: list[str] = []
+        open_at: list[int] = []
+
+        def add_text(piece: str) -> None:
+            text = (unescape(piece) if "&" in piece else piece).strip()
+            if text and not (open_tags and open_tags[-1] in HIDDEN_TAGS):
+                texts.append(text)
+
+        def close_to(depth: int) -> None:
+            here, seen = len(tags) - first_element - 1, len(texts) - first_text
+            for position in open_at[depth:]:
+                last[position] = here
+                t_to[position] = seen
+            del open_at[depth:], open_tags[depth:]
+
+        position = 0
+        while (token := TOKEN.search(html, position)) is not None:
+            if token.start() > position:
+                add_text(html[position : token.start()])
+            position = token.end()
+            closing, tag, attributes = token.groups()
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if closing:
+                if tag in open_tags:
+                    close_to(len(open_tags) - 1 - open_tags[::-1].index(tag))
+                continue
+            self._add(tag, attributes, open_at[-1] - first_element if open_at else -1, first_element, first_text)
+            if tag in VOID_TAGS or attributes.endswith("/"):
+                continue
+            open_tags.append(tag)
+            open_at.append(len(tags) - 1)
+            if tag in RAW_END:
+                end = RAW_END[tag].search(html, position)
+                position = end.start() if end else len(html)
+        if position < len(html):
+            add_text(html[position:])
+        close_to(0)
+        self.element_offsets.append(len(tags))
+        self.text_offsets.append(len(texts))
+
+    def _add(self, tag: str, attributes: str, parent: int, first_element: int, first_text: int) -> None:
+        columns = self.columns
+        idx, seen = len(columns["tag"]) - first_element, len(self.texts) - first_text
+        found: dict[str, str] = {}
+        if "=" in attributes:
+            for name, *values in ATTRIBUTE.findall(attributes):
+                value = values[0] or values[1] or values[2]
+                found.setdefault(name.lower(), unescape(value) if "&" in value else value)
+        columns["idx"].append(idx)
+        columns["parent"].append(parent)
+        columns["last"].append(idx)
+        columns["tag"].append(tag)
+        columns["classes"].append(f" {' '.join(found.get('class', '').split())} ")
+        columns["id"].append(found.get("id"))
+        columns["href"].append(found.get("href"))
+        columns["t_from"].append(seen)
+        columns["t_to"].append(seen)
 
     def arrays(self) -> tuple[pa.Array, pa.Array]:
         flat = pa.StructArray.from_arrays(
-            [pa.array(values, field.type) for values, field in zip(self.columns, ELEMENT)], fields=list(ELEMENT)
+            [pa.array(self.columns[field.name], field.type) for field in ELEMENT], fields=list(ELEMENT)
         )
         elements = pa.ListArray.from_arrays(pa.array(self.element_offsets, pa.int32()), flat)
         texts = pa.ListArray.from_arrays(pa.array(self.text_offsets, pa.int32()), pa.array(self.texts, pa.string()))
@@ -123,9 +144,9 @@ def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         while start < batch.num_rows:
             shredder, chars, row = _Shredder(), 0, start
             while row < batch.num_rows and chars < PIECE_CHARS:
-                html = htmls[row].as_py()
+                html = htmls[row].as_py() or ""
                 shredder.page(html)
-                chars += len(html or "")
+                chars += len(html)
                 row += 1
             kept = [key.slice(start, row - start) for key in keys]
             yield pa.RecordBatch.from_arrays([*kept, *shredder.arrays()], names=[*names, "elements", "texts"])
