@@ -106,10 +106,10 @@ def detail_rows(results: DataFrame) -> DataFrame:
     newest = topk.numbered(
         results,
         ["search_id"],
-        F.col("created_date"),
+        # a day of a busy search is split further by the start of its ids
+        [(F.col("created_date"), True), (F.substring("contract_id", 1, 2), False)],
         [F.desc("created_date"), F.asc("contract_id")],
         "seq",
-        descending=True,
     )
     blank = F.lit("")
     price = F.nullif(F.col("unit_price"), F.lit(0).cast(PRICE))

@@ -21,56 +21,63 @@ def top_k(
     k: int | Column,
     at_most: int = PRUNED_LIMIT,
     rank: str | None = None,
+    salted: bool = True,
 ) -> DataFrame:
     """The first ``k`` rows of each group; ``order`` must be total for a repeatable result.
 
-    A column ``k`` needs ``at_most``, the bound its values are validated against. Below
-    ``PRUNED_LIMIT`` each task sends at most that many rows per group through the shuffle.
-    Above it, salted subgroups are cut first, so a hot group is never sorted in one task.
+    A column ``k`` needs ``at_most``, the bound its values are validated against. Up to
+    ``PRUNED_LIMIT`` each task sends at most k rows per group through the shuffle. With
+    ``salted`` the rows of a group are first cut in salted parts, so the task that ranks
+    a hot group sees k rows per salt and not k rows per input task. Leave it out where
+    groups are small already, or where there are so many that none can be hot.
     """
     bound = k if isinstance(k, int) else at_most
-    rn = rank or "__rn"
-    if bound > PRUNED_LIMIT:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
-        salted = df.withColumn("__salt", salt)
-        window = W.partitionBy(*keys, "__salt").orderBy(*order)
-        df = salted.withColumn("__rn", F.row_number().over(window)).filter(F.col("__rn") <= k).drop("__rn", "__salt")
-    ranked = df.withColumn(rn, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    kept = ranked.filter(F.col(rn) <= bound)
-    if not isinstance(k, int):
-        kept = kept.filter(F.col(rn) <= k)
-    return kept if rank else kept.drop(rn)
+    if salted or bound > PRUNED_LIMIT:
+        parted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        df = _first_rows(parted, [*keys, "__salt"], order, k, bound, "__rn").drop("__rn", "__salt")
+    kept = _first_rows(df, keys, order, k, bound, rank or "__rn")
+    return kept if rank else kept.drop("__rn")
+
+
+def _first_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column, bound: int, rank: str
+) -> DataFrame:
+    ranked = df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    kept = ranked.filter(F.col(rank) <= bound)
+    return kept if isinstance(k, int) else kept.filter(F.col(rank) <= k)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key, chosen by ``order``; copies are dropped before the shuffle too."""
-    return top_k(df, keys, order, 1)
+    """One row per key, chosen by ``order``; each task drops its copies before the shuffle."""
+    return top_k(df, keys, order, 1, salted=False)
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], coarse: Column, order: Sequence[Column], name: str, descending: bool = False
+    df: DataFrame, keys: Sequence[str], steps: Sequence[tuple[Column, bool]], order: Sequence[Column], name: str
 ) -> DataFrame:
     """Row number over whole groups of any size.
 
-    ``coarse`` is a value the order starts with (a day, say). Rows are numbered inside
-    their coarse step, and the steps' sizes give each step its offset, so no task sorts
+    ``steps`` are values the order starts with, coarse to fine, each with True if it
+    descends (a day, then the first letters of an id, say). Rows are numbered inside their
+    step, and the sizes of the steps before it give each step its offset, so no task sorts
     more than one step of one group.
     """
-    stepped = df.withColumn("__step", coarse)
-    step_order = F.col("__step").desc() if descending else F.col("__step").asc()
-    before = W.partitionBy(*keys).orderBy(step_order).rowsBetween(W.unboundedPreceding, -1)
+    names = [f"__step{i}" for i in range(len(steps))]
+    stepped = df.withColumns({step: value for step, (value, _) in zip(names, steps)})
+    directions = [F.desc(step) if down else F.asc(step) for step, (_, down) in zip(names, steps)]
+    before = W.partitionBy(*keys).orderBy(*directions).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        stepped.groupBy(*keys, "__step")
+        stepped.groupBy(*keys, *names)
         .agg(F.count("*").alias("__n"))
         .withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
         .drop("__n")
     )
-    local = F.row_number().over(W.partitionBy(*keys, "__step").orderBy(*order))
+    local = F.row_number().over(W.partitionBy(*keys, *names).orderBy(*order))
     return (
         stepped.withColumn("__local", local)
-        .join(offsets, [*keys, "__step"])
+        .join(offsets, [*keys, *names])
         .withColumn(name, F.col("__offset") + F.col("__local"))
-        .drop("__step", "__local", "__offset")
+        .drop(*names, "__local", "__offset")
     )
 
 

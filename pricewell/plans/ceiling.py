@@ -35,9 +35,13 @@ def scored_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def selected_contracts(spark: SparkSession, sf_dir: str, k: int = SELECTED_PER_REQUEST) -> DataFrame:
-    """The best-scored contracts of each search."""
+    """The best-scored contracts of each search, among as many as its limit."""
     return topk.top_k(
-        scored_contracts(spark, sf_dir), ["search_id"], [F.desc("selection_score"), F.asc("contract_id")], k
+        scored_contracts(spark, sf_dir),
+        ["search_id"],
+        [F.desc("selection_score"), F.asc("contract_id")],
+        k,
+        salted=False,
     )
 
 

@@ -189,6 +189,7 @@ def display_order(spark, sf_dir):
         [F.desc("accepted_for_nmc"), F.desc("ai_score"), F.asc("contract_id")],
         F.col("limit_contracts"),
         rank="position",
+        salted=False,
     )
     return shown(ordered, "search_id", "contract_id", "position")
 

@@ -418,5 +418,6 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         [F.desc("selection_score"), F.asc("contract_id")],
         F.col("limit_contracts"),
         rank="selection_rank",
+        salted=False,
     )
     return ranked.withColumn("accepted_for_nmc", F.col("selection_rank") <= ceiling.SELECTED_PER_REQUEST)

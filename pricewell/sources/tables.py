@@ -48,14 +48,17 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier")
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
-    joined = (
-        line.join(order, line.l_orderkey == order.o_orderkey)
-        .join(part, line.l_partkey == part.p_partkey)
-        .join(supplier, line.l_suppkey == supplier.s_suppkey)
-        .join(customer, order.o_custkey == customer.c_custkey)
+    # the buyer is joined to the orders, so the larger lines are only shuffled for their own keys
+    buyer = (
+        order.join(customer, order.o_custkey == customer.c_custkey)
         .join(nation, customer.c_nationkey == nation.n_nationkey)
         .join(region, nation.n_regionkey == region.r_regionkey)
     )
+    joined = (
+        line.join(part, line.l_partkey == part.p_partkey)
+        .join(supplier, line.l_suppkey == supplier.s_suppkey)
+        .join(buyer, line.l_orderkey == buyer.o_orderkey)
+    )
     quantity = F.col("l_quantity").cast("bigint")
     total = cents(F.col("l_extendedprice"))
     unit = F.expr(

@@ -31,9 +31,10 @@ def order():
     return [F.desc("score"), F.asc("id")]
 
 
+@pytest.mark.parametrize("salted", [True, False])
 @pytest.mark.parametrize("k", [1, 3, 40])
-def test_top_k(df, rows, k):
-    got = {tuple(r)[:3] for r in topk.top_k(df, ["g"], order(), k).collect()}
+def test_top_k(df, rows, k, salted):
+    got = {tuple(r)[:3] for r in topk.top_k(df, ["g"], order(), k, salted=salted).collect()}
     assert got == best(rows, k)
 
 
@@ -47,12 +48,15 @@ def test_top_k_by_column_and_beyond_the_pruned_limit(df, rows):
 
 
 def test_the_limit_is_applied_before_the_shuffle(df, capsys):
-    topk.top_k(df, ["g"], order(), 3).explain()
+    topk.top_k(df, ["g"], order(), 3, salted=False).explain()
     assert capsys.readouterr().out.count("WindowGroupLimit") == 2
+    topk.top_k(df, ["g"], order(), 3).explain()
+    assert capsys.readouterr().out.count("WindowGroupLimit") == 4
 
 
 def test_numbered_equals_a_plain_row_number(df, rows):
-    got = topk.numbered(df, ["g"], F.col("score"), order(), "n", descending=True)
+    steps = [(F.col("score"), True), (F.floor(F.col("id") / 100), False)]
+    got = topk.numbered(df, ["g"], steps, order(), "n")
     numbers = {r.id: r.n for r in got.collect()}
     ordered = sorted(rows, key=lambda r: (r[0], -r[1], r[2]))
     for _, group in groupby(ordered, key=lambda r: r[0]):
