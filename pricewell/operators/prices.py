@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pricewell.operators.sizing import broadcast_if_small
+from pricewell.session import materialized
+
 IQR_FACTOR = 1.5
 # Fewer prices than this say nothing about outliers.
 IQR_LEAST = 3
@@ -19,13 +22,15 @@ def mean_price(price: Column) -> Column:
 
 
 def price_positions(df: DataFrame, keys: Sequence[str], price: str) -> DataFrame:
-    """Each distinct price of a group with its count, its first position and the group size.
+    """Each distinct positive price of a group with its count, first position and the group size.
 
     Works for groups of any size: equal prices are counted map-side, the rest is spread
-    over price steps, and only the counts per step are summed up in one place.
+    over price steps, and only the counts per step are summed up in one place. The counts
+    are kept as a table, so the rows are read once for everything derived from them.
     """
     steps = F.floor(F.ln(F.col(price).cast("double")) * F.lit(64.0))
-    counted = df.groupBy(*keys, price).agg(F.count("*").alias("copies")).withColumn("__step", steps)
+    priced = df.filter(F.col(price) > 0).groupBy(*keys, price).agg(F.count("*").alias("copies"))
+    counted = materialized(priced, "price-counts").withColumn("__step", steps)
     before = W.partitionBy(*keys).orderBy("__step").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         counted.groupBy(*keys, "__step")
@@ -74,9 +79,8 @@ def _within(price: Column) -> Column:
     return F.col("low").isNull() | price.cast("double").between(F.col("low"), F.col("high"))
 
 
-def cleaned_mean(df: DataFrame, keys: Sequence[str], price: str = "unit_price") -> DataFrame:
+def cleaned_mean(positions: DataFrame, keys: Sequence[str], price: str = "unit_price") -> DataFrame:
     """Mean price of each group without its outliers, for groups of any size."""
-    positions = price_positions(df.filter(F.col(price) > 0), keys, price)
     bounds = iqr_bounds(positions, keys, price)
     keep = _within(F.col(price))
     copies = F.when(keep, F.col("copies"))
@@ -92,9 +96,10 @@ def cleaned_mean(df: DataFrame, keys: Sequence[str], price: str = "unit_price")
 
 def without_outliers(df: DataFrame, keys: Sequence[str], price: str = "unit_price") -> DataFrame:
     """The rows whose price is within their group's bounds; missing prices are dropped."""
-    priced = df.filter(F.col(price) > 0)
-    bounds = iqr_bounds(price_positions(priced, keys, price), keys, price).select(*keys, "low", "high")
-    return priced.join(bounds, list(keys)).filter(_within(F.col(price))).drop("low", "high")
+    bounds = iqr_bounds(price_positions(df, keys, price), keys, price).select(*keys, "low", "high")
+    # one row per group: broadcast if there are few groups, so the rows are not shuffled
+    kept = df.filter(F.col(price) > 0).join(broadcast_if_small(bounds), list(keys)).filter(_within(F.col(price)))
+    return kept.drop("low", "high")
 
 
 def small_group_ceiling(selected: DataFrame, keys: Sequence[str], price: str = "unit_price") -> DataFrame:
@@ -129,12 +134,11 @@ def small_group_ceiling(selected: DataFrame, keys: Sequence[str], price: str = "
     )
 
 
-def median_price(df: DataFrame, keys: Sequence[str], price: str = "unit_price") -> DataFrame:
+def median_price(positions: DataFrame, keys: Sequence[str], price: str = "unit_price") -> DataFrame:
     """Median of each group, the mean of the two middle prices for an even count."""
     n = F.col("group_size")
     return (
-        price_positions(df.filter(F.col(price) > 0), keys, price)
-        .groupBy(*keys)
+        positions.groupBy(*keys)
         .agg(
             F.max(n).alias("prices"),
             price_at(F.floor((n - 1) / 2), price).cast("double").alias("__low"),
@@ -145,17 +149,15 @@ def median_price(df: DataFrame, keys: Sequence[str], price: str = "unit_price")
     )
 
 
-def trimmed_mean(df: DataFrame, keys: Sequence[str], price: str = "unit_price", percent: int = 10) -> DataFrame:
-    """Mean of each group without the lowest and highest ``percent`` of its prices."""
+def trimmed_mean(
+    positions: DataFrame, keys: Sequence[str], price: str = "unit_price", percent: int = 10
+) -> DataFrame:
+    """Mean of each group without the lowest and highest ``percent`` (below 50) of its prices."""
     cut = F.floor(F.col("group_size") * percent / 100)
     first = F.greatest(F.col("position"), cut)
     last = F.least(F.col("position") + F.col("copies"), F.col("group_size") - cut)
     inside = F.greatest(F.lit(0), last - first).cast("bigint")
-    return (
-        price_positions(df.filter(F.col(price) > 0), keys, price)
-        .groupBy(*keys)
-        .agg(
-            F.sum(inside).alias("used"),
-            (F.sum(F.col(price).cast("decimal(18,2)") * inside).cast("double") / F.sum(inside)).alias("trimmed_mean"),
-        )
+    return positions.groupBy(*keys).agg(
+        F.sum(inside).alias("used"),
+        (F.sum(F.col(price).cast("decimal(18,2)") * inside).cast("double") / F.sum(inside)).alias("trimmed_mean"),
     )

@@ -16,11 +16,19 @@ from pricewell.plans.selection import query as selection_query
 from pricewell.plans.selection import result_rows, scored_candidates, with_codes
 from pricewell.plans.sql_views import add_view, with_views
 from pricewell.schemas import LENGTH_BOUNDS, MATCH_TYPES, PRICE
+from pricewell.session import materialized
 from pricewell.sources import tables
 
 query = Registry()
 
 
+RESULT_FIELDS = [
+    "contract_id", "search_id", "registry_no", "contract_url", "sign_date", "unit_price", "currency", "match_type",
+    "ai_score", "target_manufacturer", "manufacturer", "manufacturer_match", "is_recent", "accepted_for_nmc",
+    "created_date",
+]
+
+
 def newest() -> list:
     return [F.desc("created_date"), F.asc("contract_id")]
 
@@ -35,6 +43,11 @@ def all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.with_selected_flag(keyed, chosen, "result_key").drop("result_key")
 
 
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stored table, for queries that read it more than once."""
+    return materialized(all_results(spark, sf_dir).select(*RESULT_FIELDS), "results")
+
+
 add_view(
     "results",
     """SELECT c.*, s.contract_id IS NOT NULL AS accepted_for_nmc FROM scored c LEFT JOIN
@@ -44,11 +57,6 @@ add_view(
 
 # ---------------------------------------------------------------- pages and filters
 
-RESULT_FIELDS = [
-    "contract_id", "search_id", "registry_no", "contract_url", "sign_date", "unit_price", "currency", "match_type",
-    "ai_score", "target_manufacturer", "manufacturer", "manufacturer_match", "is_recent", "accepted_for_nmc",
-    "created_date",
-]
 
 
 @query(
@@ -66,7 +74,7 @@ RESULT_FIELDS = [
 )
 def results_page(spark, sf_dir):
     """The second page of a hundred results of every search."""
-    results = all_results(spark, sf_dir)
+    results = stored_results(spark, sf_dir)
     paged = topk.page(results, ["search_id"], newest(), skip=100, limit=100)
     counted = topk.with_group_total(paged, results, ["search_id"])
     return shown(counted, *RESULT_FIELDS, "position", "page", "total")
@@ -200,17 +208,17 @@ def display_order(spark, sf_dir):
 def request_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with the final values of their run."""
     searches = tables.requests(spark, sf_dir).withColumn("created_at", F.col("created_date").cast("timestamp"))
-    found = (
-        ceiling.candidate_contracts(spark, sf_dir).groupBy("search_id").agg(F.count("*").alias("found_total"))
+    found = ceiling.candidate_contracts(spark, sf_dir).groupBy("search_id").agg(F.count("*").alias("found_total"))
+    # the contracts processed per search, at most its limit of them, stand for the whole run
+    run = materialized(
+        result_rows(spark, sf_dir).select("search_id", "contract_id", "unit_price", "accepted_for_nmc"), "run"
     )
-    selected = ceiling.selected_contracts(spark, sf_dir)
+    selected = run.filter("accepted_for_nmc")
     chosen = prices.small_group_ceiling(selected, ["search_id"]).join(
         selected.groupBy("search_id").agg(F.sort_array(F.collect_list("contract_id")).alias("selected_contract_ids")),
         "search_id",
     )
-    processed = (
-        ceiling.freshest_contracts(spark, sf_dir).groupBy("search_id").agg(F.count("*").alias("processed_count"))
-    )
+    processed = run.groupBy("search_id").agg(F.count("*").alias("processed_count"))
     finals = found.join(processed, "search_id").join(chosen, "search_id").select(
         F.col("search_id").alias("id"),
         "found_total",
@@ -304,7 +312,7 @@ def report_summary(spark, sf_dir):
     ),
 )
 def report_detail(spark, sf_dir):
-    return shown(reports.detail_rows(all_results(spark, sf_dir)))
+    return shown(reports.detail_rows(stored_results(spark, sf_dir)))
 
 
 def key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

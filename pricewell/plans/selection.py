@@ -217,7 +217,8 @@ def iqr_outliers_k12(spark, sf_dir):
 )
 def iqr_all_candidates(spark, sf_dir):
     """Outlier-free mean over every candidate, before any selection."""
-    return shown(prices.cleaned_mean(ceiling.candidate_contracts(spark, sf_dir), ["search_id"]))
+    positions = prices.price_positions(ceiling.candidate_contracts(spark, sf_dir), ["search_id"], "unit_price")
+    return shown(prices.cleaned_mean(positions, ["search_id"]))
 
 
 @query(
@@ -261,9 +262,9 @@ def ceiling_after_cleaning(spark, sf_dir):
     ),
 )
 def median_trimmed(spark, sf_dir):
-    rows = ceiling.candidate_contracts(spark, sf_dir)
-    middle = prices.median_price(rows, ["search_id"])
-    return shown(middle.join(prices.trimmed_mean(rows, ["search_id"]), "search_id"))
+    positions = prices.price_positions(ceiling.candidate_contracts(spark, sf_dir), ["search_id"], "unit_price")
+    middle = prices.median_price(positions, ["search_id"])
+    return shown(middle.join(prices.trimmed_mean(positions, ["search_id"]), "search_id"))
 
 
 _CODES = "CASE WHEN l_linenumber % 3 = 0 THEN [object_name] ELSE [code, object_name] END"

@@ -35,7 +35,8 @@ GOLDEN = {
 def test_outlier_golden_rows(spark):
     df = frame(spark, {name: values for name, (values, _) in GOLDEN.items()})
     small = {r.search_id: r for r in prices.small_group_ceiling(df, ["search_id"]).collect()}
-    large = {r.search_id: r for r in prices.cleaned_mean(df, ["search_id"]).collect()}
+    positions = prices.price_positions(df, ["search_id"], "unit_price")
+    large = {r.search_id: r for r in prices.cleaned_mean(positions, ["search_id"]).collect()}
     left = prices.without_outliers(df, ["search_id"]).groupBy("search_id").count()
     counts = {r.search_id: r["count"] for r in left.collect()}
     for name, (values, kept) in GOLDEN.items():
@@ -57,10 +58,10 @@ def test_groups_without_a_valid_price_have_no_ceiling(spark):
     )
 )
 def test_large_group_aggregates_match_brute_force(spark, groups):
-    df = frame(spark, groups).repartition(3)
-    cleaned = {r.search_id: r for r in prices.cleaned_mean(df, ["search_id"]).collect()}
-    middle = {r.search_id: r.median_price for r in prices.median_price(df, ["search_id"]).collect()}
-    trimmed = {r.search_id: r for r in prices.trimmed_mean(df, ["search_id"]).collect()}
+    positions = prices.price_positions(frame(spark, groups).repartition(3), ["search_id"], "unit_price")
+    cleaned = {r.search_id: r for r in prices.cleaned_mean(positions, ["search_id"]).collect()}
+    middle = {r.search_id: r.median_price for r in prices.median_price(positions, ["search_id"]).collect()}
+    trimmed = {r.search_id: r for r in prices.trimmed_mean(positions, ["search_id"]).collect()}
     for group, values in groups.items():
         kept = kept_by_hand(values)
         assert kept, "cleaning never empties a group"
