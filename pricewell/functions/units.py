@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pricewell.functions.labels import literal_map
+from pricewell.functions.labels import literal_array, literal_map
 
 # Each standard unit with the spellings that stand for it. Among
 # spellings of one length the earlier one wins, so the order matters.
@@ -59,7 +59,7 @@ def standard_unit(text: Column) -> Column:
     the longest one contained anywhere; otherwise the cleaned text itself.
     """
     units = literal_map(UNIT_OF)
-    spellings = F.array(*[F.lit(s) for s in SPELLINGS_BY_LENGTH])
+    spellings = literal_array(SPELLINGS_BY_LENGTH)
 
     def look_up(cleaned: Column) -> Column:
         # the degree sign is the only kept character that ends a word

@@ -53,15 +53,20 @@ def candidates(contracts: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def with_selected_flag(results: DataFrame, selected: DataFrame, key: str, flag: str = "accepted_for_nmc") -> DataFrame:
-    """Marks results whose key is among the selected ones."""
-    chosen = selected.select(key).distinct().withColumn("__hit", F.lit(True))
-    return results.join(chosen, key, "left").withColumn(flag, F.col("__hit").isNotNull()).drop("__hit")
+def with_selected_flag(
+    results: DataFrame, selected: DataFrame, keys: Sequence[str], flag: str = "accepted_for_nmc"
+) -> DataFrame:
+    """Marks results whose keys are among the selected ones.
+
+    A counted-small selection is broadcast, so the results are not shuffled.
+    """
+    chosen = broadcast_if_small(selected.select(*keys).distinct().withColumn("__hit", F.lit(True)))
+    return results.join(chosen, list(keys), "left").withColumn(flag, F.col("__hit").isNotNull()).drop("__hit")
 
 
-def with_rows_only(results: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+def with_rows_only(results: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Results that have at least one child row."""
-    return results.join(rows.select(key), key, "left_semi")
+    return results.join(rows.select(*keys), list(keys), "left_semi")
 
 
 def orphans(children: DataFrame, parents: DataFrame, on: Sequence[str] | str) -> DataFrame:

@@ -15,19 +15,29 @@ def candidate_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.candidates(tables.contracts(spark, sf_dir), tables.requests(spark, sf_dir))
 
 
-def deduped_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def deduped(candidates: DataFrame) -> DataFrame:
     """One candidate per search and registry number."""
-    return topk.first_per_key(candidate_contracts(spark, sf_dir), ["search_id", "registry_no"], [F.asc("contract_id")])
+    return topk.first_per_key(candidates, ["search_id", "registry_no"], [F.asc("contract_id")])
 
 
-def freshest_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def freshest(candidates: DataFrame) -> DataFrame:
     """The freshest candidates of each search, as many as its limit."""
-    return topk.top_k(
-        deduped_contracts(spark, sf_dir),
-        ["search_id"],
-        [F.desc("sign_date"), F.desc("registry_no")],
-        F.col("limit_contracts"),
-    )
+    order = [F.desc("sign_date"), F.desc("registry_no")]
+    return topk.top_k(deduped(candidates), ["search_id"], order, F.col("limit_contracts"))
+
+
+def best(scored: DataFrame, k: int = SELECTED_PER_REQUEST) -> DataFrame:
+    """The best of the scored contracts processed for each search, of which there are at most its limit."""
+    order = [F.desc("selection_score"), F.asc("contract_id")]
+    return topk.top_k(scored, ["search_id"], order, k, salted=False)
+
+
+def deduped_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduped(candidate_contracts(spark, sf_dir))
+
+
+def freshest_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return freshest(candidate_contracts(spark, sf_dir))
 
 
 def scored_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,14 +45,7 @@ def scored_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def selected_contracts(spark: SparkSession, sf_dir: str, k: int = SELECTED_PER_REQUEST) -> DataFrame:
-    """The best-scored contracts of each search, among as many as its limit."""
-    return topk.top_k(
-        scored_contracts(spark, sf_dir),
-        ["search_id"],
-        [F.desc("selection_score"), F.asc("contract_id")],
-        k,
-        salted=False,
-    )
+    return best(scored_contracts(spark, sf_dir), k)
 
 
 def price_ceiling_per_request(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,18 +34,16 @@ def newest() -> list:
 
 
 def all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every scored candidate, the three selected ones of each search marked."""
-    scored = scored_candidates(spark, sf_dir)
-    chosen = ceiling.selected_contracts(spark, sf_dir).select(
-        F.concat_ws("|", "search_id", "contract_id").alias("result_key")
-    )
-    keyed = scored.withColumn("result_key", F.concat_ws("|", "search_id", "contract_id"))
-    return joins.with_selected_flag(keyed, chosen, "result_key").drop("result_key")
-
+    """Every scored candidate, the three selected ones of each search marked.
 
-def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stored table, for queries that read it more than once."""
-    return materialized(all_results(spark, sf_dir).select(*RESULT_FIELDS), "results")
+    The candidates are stored first, so that selecting and everything read from the
+    results later starts from that table.
+    """
+    carried = [c for c in RESULT_FIELDS if c != "accepted_for_nmc"]
+    scored = scored_candidates(spark, sf_dir).select(*carried, "limit_contracts", "selection_score")
+    stored = materialized(scored, "scored")
+    chosen = materialized(ceiling.best(ceiling.freshest(stored)).select("search_id", "contract_id"), "selected")
+    return joins.with_selected_flag(stored, chosen, ["search_id", "contract_id"])
 
 
 add_view(
@@ -74,7 +72,7 @@ add_view(
 )
 def results_page(spark, sf_dir):
     """The second page of a hundred results of every search."""
-    results = stored_results(spark, sf_dir)
+    results = all_results(spark, sf_dir)
     paged = topk.page(results, ["search_id"], newest(), skip=100, limit=100)
     counted = topk.with_group_total(paged, results, ["search_id"])
     return shown(counted, *RESULT_FIELDS, "position", "page", "total")
@@ -205,20 +203,16 @@ def display_order(spark, sf_dir):
 # ---------------------------------------------------------------- reports
 
 
-def request_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests with the final values of their run."""
+def request_snapshot(spark: SparkSession, sf_dir: str, results: DataFrame) -> DataFrame:
+    """Requests with the final values of the run that gave the results."""
     searches = tables.requests(spark, sf_dir).withColumn("created_at", F.col("created_date").cast("timestamp"))
-    found = ceiling.candidate_contracts(spark, sf_dir).groupBy("search_id").agg(F.count("*").alias("found_total"))
-    # the contracts processed per search, at most its limit of them, stand for the whole run
-    run = materialized(
-        result_rows(spark, sf_dir).select("search_id", "contract_id", "unit_price", "accepted_for_nmc"), "run"
-    )
-    selected = run.filter("accepted_for_nmc")
+    found = results.groupBy("search_id").agg(F.count("*").alias("found_total"))
+    processed = ceiling.freshest(results).groupBy("search_id").agg(F.count("*").alias("processed_count"))
+    selected = results.filter("accepted_for_nmc")
     chosen = prices.small_group_ceiling(selected, ["search_id"]).join(
         selected.groupBy("search_id").agg(F.sort_array(F.collect_list("contract_id")).alias("selected_contract_ids")),
         "search_id",
     )
-    processed = run.groupBy("search_id").agg(F.count("*").alias("processed_count"))
     finals = found.join(processed, "search_id").join(chosen, "search_id").select(
         F.col("search_id").alias("id"),
         "found_total",
@@ -256,7 +250,7 @@ add_view(
 )
 def request_detail(spark, sf_dir):
     """The request snapshot after the run."""
-    snapshot = request_snapshot(spark, sf_dir)
+    snapshot = request_snapshot(spark, sf_dir, all_results(spark, sf_dir))
     return shown(
         snapshot.select(
             "id", "status", "object_name", "ktru_code", "okpd2_code", "customer_region", "law", "date_from", "date_to",
@@ -293,8 +287,9 @@ _SUMMARY_STRUCTS = ", ".join(
     ),
 )
 def report_summary(spark, sf_dir):
-    counts = reports.result_counts(all_results(spark, sf_dir))
-    return shown(reports.summary_rows(request_snapshot(spark, sf_dir), counts))
+    results = all_results(spark, sf_dir)
+    counts = reports.result_counts(results)
+    return shown(reports.summary_rows(request_snapshot(spark, sf_dir, results), counts))
 
 
 @query(
@@ -312,7 +307,7 @@ def report_summary(spark, sf_dir):
     ),
 )
 def report_detail(spark, sf_dir):
-    return shown(reports.detail_rows(stored_results(spark, sf_dir)))
+    return shown(reports.detail_rows(all_results(spark, sf_dir)))
 
 
 def key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,8 +347,7 @@ def accepted_with_rows(spark, sf_dir):
     """Selected contracts that have a comparison row for a found maker; the others are skipped."""
     results = result_rows(spark, sf_dir).filter("accepted_for_nmc")
     rows = key_rows(spark, sf_dir).filter((F.col("name") == "Manufacturer") & F.col("actual_value").isNotNull())
-    keyed = lambda df: df.withColumn("result_key", F.concat_ws("|", "search_id", "contract_id"))
-    return shown(joins.with_rows_only(keyed(results), keyed(rows), "result_key"), "search_id", "contract_id")
+    return shown(joins.with_rows_only(results, rows, ["search_id", "contract_id"]), "search_id", "contract_id")
 
 
 @query(

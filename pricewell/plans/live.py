@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricewell.operators import joins, reports
 from pricewell.plans import ceiling
-from pricewell.plans.listings import key_rows, request_snapshot, stored_results
+from pricewell.plans.listings import all_results, key_rows, request_snapshot
 from pricewell.plans.output import shown
 from pricewell.plans.registry import Registry
 from pricewell.plans.selection import result_rows
@@ -203,9 +203,9 @@ def results_written(spark, sf_dir):
 )
 def report_exported(spark, sf_dir):
     """The three sheets written as csv and json; both hold the same rows."""
-    results = stored_results(spark, sf_dir)
+    results = all_results(spark, sf_dir)
     sheets = {
-        "summary": reports.summary_rows(request_snapshot(spark, sf_dir), reports.result_counts(results)),
+        "summary": reports.summary_rows(request_snapshot(spark, sf_dir, results), reports.result_counts(results)),
         "detail": reports.detail_rows(results),
         "comparison": reports.comparison_rows(
             result_rows(spark, sf_dir), key_rows(spark, sf_dir), ["search_id", "contract_id"]
