@@ -79,6 +79,21 @@ def cascade_delete(children: DataFrame, remaining_parents: DataFrame, on: Sequen
     return children.join(remaining_parents, on, "left_semi")
 
 
+def stoppable(requests: DataFrame) -> DataFrame:
+    """Searches that may be stopped: the running ones."""
+    return requests.filter(F.col("status") == "RUNNING")
+
+
+def reportable(requests: DataFrame) -> DataFrame:
+    """Searches that have a report: the finished ones."""
+    return requests.filter(F.col("status") == "DONE")
+
+
+def with_printed_text(contracts: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Contracts with the text of their printed form, null where there is none."""
+    return contracts.join(texts, key, "left")
+
+
 def without_stopped(running: DataFrame, stopped: DataFrame, key: str) -> DataFrame:
     """Searches still running: those without a stop flag."""
     return running.join(stopped, key, "left_anti")

@@ -7,7 +7,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewell.schemas import AI_SCORE_RANGE, LIMIT_RANGE, WEIGHT_RANGE
+from pricewell.schemas import (
+    AI_SCORE_RANGE,
+    INPUT_SOURCES,
+    LENGTH_BOUNDS,
+    LIMIT_RANGE,
+    MATCH_STATUSES,
+    MATCH_TYPES,
+    SEARCH_STATUSES,
+    WEIGHT_RANGE,
+)
+
+# Columns that must not be null.
+REQUIRED = {
+    "requests": [
+        "object_name", "ktru_code", "customer_region", "law", "date_from", "date_to", "execution_statuses",
+        "limit_contracts", "status", "input_source",
+    ],
+    "results": [
+        "search_id", "reestr_number", "contract_url", "sign_date", "currency", "match_type", "ai_score",
+        "accepted_for_nmc",
+    ],
+    "spec_rows": ["contract_result_id", "name", "match_status", "weight"],
+}
 
 
 def violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -59,3 +81,35 @@ def missing_parents(children: DataFrame, parents: DataFrame, on: str, rule: str)
     """Children without a parent, as one counted rule."""
     lost = children.select(on).join(parents.select(on), on, "left_anti")
     return lost.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+
+
+def request_rules() -> dict[str, Column]:
+    """All constraints of the request table."""
+    return {
+        "requests.status unknown": domain_rule(F.col("status"), SEARCH_STATUSES),
+        "requests.input_source unknown": domain_rule(F.col("input_source"), INPUT_SOURCES),
+        "requests.period reversed": period_rule(F.col("date_from"), F.col("date_to")),
+        "requests.limit_contracts out of range": limit_rule(F.col("limit_contracts")),
+        **length_rules("requests", LENGTH_BOUNDS["requests"]),
+        **required_rules("requests", REQUIRED["requests"]),
+    }
+
+
+def result_rules() -> dict[str, Column]:
+    """All constraints of the result table."""
+    return {
+        "results.ai_score out of range": score_rule(F.col("ai_score")),
+        "results.match_type unknown": domain_rule(F.col("match_type"), MATCH_TYPES),
+        **length_rules("results", LENGTH_BOUNDS["results"]),
+        **required_rules("results", REQUIRED["results"]),
+    }
+
+
+def spec_row_rules() -> dict[str, Column]:
+    """All constraints of the comparison rows."""
+    return {
+        "spec_rows.match_status unknown": domain_rule(F.col("match_status"), MATCH_STATUSES),
+        "spec_rows.weight out of range": weight_rule(F.col("weight")),
+        **length_rules("spec_rows", LENGTH_BOUNDS["spec_rows"]),
+        **required_rules("spec_rows", REQUIRED["spec_rows"]),
+    }

@@ -447,6 +447,13 @@ def distinct_code_lists(spark, sf_dir):
 
 # ---------------------------------------------------------------- quality
 
+def _rule_counts(rules: dict[str, str], source: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule, count(CASE WHEN {broken} THEN 1 END) AS violations FROM {source}"
+        for rule, broken in rules.items()
+    )
+
+
 _Q = {
     "results.ai_score out of range": "NOT score BETWEEN 0 AND 100",
     "results.match_type unknown": "mtype NOT IN ('IDENTICAL', 'HOMOGENEOUS', 'NO_MATCH')",
@@ -474,10 +481,7 @@ _Q = {
             sign_date AS date_from, created_date AS date_to, (quantity - 1) * 25 AS limit_contracts,
             registry_no, l_suppkey FROM contracts)
         """
-        + " UNION ALL ".join(
-            f"SELECT '{rule}' AS rule, count(CASE WHEN {broken} THEN 1 END) AS violations FROM dirty"
-            for rule, broken in _Q.items()
-        )
+        + _rule_counts(_Q, "dirty")
         + """ UNION ALL SELECT 'results.search and number repeated', count(*) FROM
             (SELECT 1 FROM dirty GROUP BY search_id, registry_no HAVING count(*) > 1)
           UNION ALL SELECT 'results.supplier unknown', count(*) FROM dirty
@@ -521,3 +525,100 @@ def quality_violations(spark, sf_dir):
         quality.missing_parents(dirty, known, "l_suppkey", "results.supplier unknown"),
     ]
     return shown(reduce(DataFrame.unionByName, parts))
+
+
+_DIRTY_REQUESTS = """SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'PAUSED' WHEN o_orderkey % 3 = 0 THEN 'RUNNING'
+    ELSE 'DONE' END AS status, CASE WHEN o_orderkey % 40 = 0 THEN 'EMAIL' ELSE 'FILE' END AS input_source,
+  CASE WHEN o_orderkey % 30 <> 0 THEN repeat(o_orderpriority, (1 + o_orderkey % 60)::BIGINT) END AS object_name,
+  o_orderkey::VARCHAR AS ktru_code, repeat('7', (o_orderkey % 120)::BIGINT) AS okpd2_code, 'ASIA' AS customer_region,
+  o_orderpriority AS law, o_orderdate::DATE AS date_from, DATE '2000-06-01' AS date_to,
+  (o_orderkey % 1100)::BIGINT AS limit_contracts FROM orders"""
+_REQUEST_RULES = {
+    "requests.status unknown": "status NOT IN ('RUNNING', 'DONE', 'STOPPED', 'ERROR')",
+    "requests.input_source unknown": "input_source NOT IN ('MANUAL', 'FILE')",
+    "requests.period reversed": "date_to < date_from",
+    "requests.limit_contracts out of range": "NOT limit_contracts BETWEEN 1 AND 1000",
+    "requests.object_name too long": "length(object_name) > 500",
+    "requests.ktru_code too long": "length(ktru_code) > 100",
+    "requests.okpd2_code too long": "length(okpd2_code) > 100",
+    "requests.customer_region too long": "length(customer_region) > 200",
+    "requests.law too long": "length(law) > 50",
+    **{f"requests.{name} missing": f"{name} IS NULL" for name in quality.REQUIRED["requests"]},
+}
+
+
+def dirty_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per order, dirty by rule."""
+    key = F.col("o_orderkey")
+    status = F.when(key % 50 == 0, F.lit("PAUSED")).when(key % 3 == 0, F.lit("RUNNING")).otherwise(F.lit("DONE"))
+    return tables.table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        status.alias("status"),
+        F.when(key % 40 == 0, F.lit("EMAIL")).otherwise(F.lit("FILE")).alias("input_source"),
+        F.when(key % 30 != 0, F.repeat("o_orderpriority", (1 + key % 60).cast("int"))).alias("object_name"),
+        key.cast("string").alias("ktru_code"),
+        F.repeat(F.lit("7"), (key % 120).cast("int")).alias("okpd2_code"),
+        F.lit("ASIA").alias("customer_region"),
+        F.col("o_orderpriority").alias("law"),
+        F.to_date("o_orderdate").alias("date_from"),
+        F.lit("2000-06-01").cast("date").alias("date_to"),
+        F.array(F.col("o_orderpriority")).alias("execution_statuses"),
+        (key % 1100).cast("int").alias("limit_contracts"),
+    )
+
+
+@query(
+    "request_violations",
+    f"WITH dirty AS (SELECT *, 1 AS execution_statuses FROM ({_DIRTY_REQUESTS})) "
+    + _rule_counts(_REQUEST_RULES, "dirty"),
+)
+def request_violations(spark, sf_dir):
+    """All constraints of the request table, in one pass."""
+    return shown(quality.violations(dirty_requests(spark, sf_dir), quality.request_rules()))
+
+
+_RESULT_RULES = {
+    "results.ai_score out of range": "NOT ai_score BETWEEN 0 AND 100",
+    "results.match_type unknown": "match_type NOT IN ('IDENTICAL', 'HOMOGENEOUS', 'NO_MATCH')",
+    **{f"results.{name} too long": f"length({name}) > {most}" for name, most in LENGTH_BOUNDS["results"].items()},
+    **{f"results.{name} missing": f"{name} IS NULL" for name in quality.REQUIRED["results"]},
+}
+_SPEC_ROW_RULES = {
+    "spec_rows.match_status unknown": "match_status NOT IN ('MATCH', 'DIFF', 'UNKNOWN')",
+    "spec_rows.weight out of range": "NOT weight BETWEEN 1 AND 10",
+    "spec_rows.name too long": "length(name) > 200",
+    **{f"spec_rows.{name} missing": f"{name} IS NULL" for name in quality.REQUIRED["spec_rows"]},
+}
+
+
+@query(
+    "run_violations",
+    f"""WITH key_rows AS (SELECT *, contract_id AS contract_result_id FROM ({_KEY_ROWS_SQL})), """
+    + with_views(
+        f""", named AS (SELECT *, registry_no AS reestr_number, target_manufacturer AS manufacturer_target,
+          manufacturer AS manufacturer_found FROM results)
+        {_rule_counts(_RESULT_RULES, "named")} UNION ALL {_rule_counts(_SPEC_ROW_RULES, "key_rows")}""",
+        "results",
+    ).removeprefix("WITH "),
+)
+def run_violations(spark, sf_dir):
+    """What the pipeline itself writes breaks no rule."""
+    results = all_results(spark, sf_dir).withColumnsRenamed(
+        {"registry_no": "reestr_number", "target_manufacturer": "manufacturer_target", "manufacturer": "manufacturer_found"}
+    )
+    rows = key_rows(spark, sf_dir).withColumnRenamed("contract_id", "contract_result_id")
+    checked = quality.violations(results, quality.result_rules())
+    return checked.unionByName(quality.violations(rows, quality.spec_row_rules()))
+
+
+@query(
+    "state_guards",
+    f"""SELECT CASE status WHEN 'RUNNING' THEN 'may be stopped' ELSE 'has a report' END AS allowed, count(*) AS searches
+    FROM ({_DIRTY_REQUESTS}) WHERE status IN ('RUNNING', 'DONE') GROUP BY ALL""",
+)
+def state_guards(spark, sf_dir):
+    """Searches that may be stopped and searches that have a report."""
+    searches = dirty_requests(spark, sf_dir)
+    allowed = joins.stoppable(searches).select(F.lit("may be stopped").alias("allowed"))
+    allowed = allowed.unionAll(joins.reportable(searches).select(F.lit("has a report").alias("allowed")))
+    return allowed.groupBy("allowed").agg(F.count("*").alias("searches"))

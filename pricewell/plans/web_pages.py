@@ -365,3 +365,90 @@ def analysis_text(spark, sf_dir):
     """The text handed to the model for every contract."""
     rows = parsed_contracts(spark, sf_dir)
     return shown(rows.select("o_orderkey", contract_pages.analysis_text(rows).alias("analysis_text")))
+
+
+@query(
+    "item_texts",
+    _ORDER_CTE
+    + f""", {_FACTS}, {_ITEMS},
+    blocks AS (SELECT o_orderkey, string_agg(chr(10) || chr(10) || 'Item: ' || name || chr(10) || 'OKPD2: ' || okpd2_code
+      || chr(10) || 'KTRU: ' || ktru_code || chr(10) || 'Unit Price: '
+      || regexp_replace(format('{{:.2f}}', unit_price), '0$', ''), '' ORDER BY item_number) AS body FROM items
+      GROUP BY ALL)
+    SELECT page_id AS o_orderkey, 'Contract: ' || key || chr(10) || 'Customer: ' || customer || chr(10) || 'Supplier: '
+      || supplier || chr(10) || 'Total Price: ' || regexp_replace(format('{{:.2f}}', total_price), '0$', '') || ' '
+      || currency || coalesce(body, '') || chr(10) AS item_text
+    FROM facts LEFT JOIN blocks ON page_id = o_orderkey""",
+)
+def item_texts(spark, sf_dir):
+    """The shorter text of every contract, a block of lines per item."""
+    rows = parsed_contracts(spark, sf_dir)
+    return rows.select("o_orderkey", contract_pages.short_analysis_text().alias("item_text"))
+
+
+@query(
+    "printed_form_texts",
+    _ORDER_CTE
+    + f""", {_FACTS}, {_FILES},
+    forms AS (SELECT o_orderkey, bool_or(marked OR file_type = 'pdf') AS has_form FROM files GROUP BY ALL)
+    SELECT page_id AS o_orderkey, CAST(coalesce(has_form AND year(sign_date::DATE) >= 2000, false) AS VARCHAR) AS has_form,
+      CASE WHEN has_form AND year(sign_date::DATE) >= 2000 AND text IS NOT NULL THEN md5(chr(10) || chr(10)
+        || 'Printed Form Content:' || chr(10) || text) END AS tail_md5,
+      CASE WHEN has_form AND year(sign_date::DATE) >= 2000 THEN coalesce(length(text), 0) ELSE 0 END AS text_chars
+    FROM facts LEFT JOIN forms ON page_id = o_orderkey LEFT JOIN documents ON page_id = doc_id""",
+)
+def printed_form_texts(spark, sf_dir):
+    """The whole document text added for contracts with a printed form; here a document per order key."""
+    texts = tables.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("o_orderkey"), F.col("text").alias("form_text")
+    )
+    rows = joins.with_printed_text(parsed_contracts(spark, sf_dir), texts, "o_orderkey").withColumn(
+        "form_text", F.when(F.col("printed_form").isNotNull(), F.col("form_text"))
+    )
+    plain = contract_pages.analysis_text(rows)
+    whole = contract_pages.analysis_text(rows, "form_text")
+    tail = F.substring(whole, F.length(plain) + 1, F.length(whole))
+    return shown(
+        rows.select(
+            "o_orderkey",
+            F.col("printed_form").isNotNull().alias("has_form"),
+            F.when(F.col("form_text").isNotNull(), F.md5(tail)).alias("tail_md5"),
+            F.coalesce(F.length("form_text"), F.lit(0)).alias("text_chars"),
+        )
+    )
+
+
+@query(
+    "raw_records",
+    _ORDER_CTE
+    + f""", {_FACTS}, {_ITEMS}, {_FILES}
+    SELECT page_id AS o_orderkey, key AS reestr_number, total_price, coalesce(i.n, 0) AS line_items_count,
+      coalesce(f.n, 0) AS attachments_count, 80::BIGINT AS score, 'null' AS debug, page_chars AS html_length,
+      least(page_chars, 5000) AS sample_chars
+    FROM facts LEFT JOIN (SELECT o_orderkey, count(*) AS n FROM items GROUP BY ALL) i ON page_id = i.o_orderkey
+    LEFT JOIN (SELECT o_orderkey, count(*) AS n FROM files GROUP BY ALL) f ON page_id = f.o_orderkey
+    JOIN (SELECT o_orderkey, 6000 + length(o_orderkey::VARCHAR) AS page_chars FROM orders) p ON page_id = p.o_orderkey""",
+)
+def raw_records(spark, sf_dir):
+    """The nested JSON kept with each result, read back; the page is the order key and 6000 more characters."""
+    rows = parsed_contracts(spark, sf_dir).withColumn(
+        "html", F.concat(F.col("o_orderkey").cast("string"), F.repeat(F.lit("x"), F.lit(6000)))
+    )
+    specs = F.struct(F.lit("item").alias("object_name"), F.lit("x").alias("_debug")).dropFields("_debug")
+    comparison = F.struct(F.lit(80).alias("score"))
+    record = rows.select("o_orderkey", contract_pages.raw_record("html", specs, comparison).alias("record"))
+    value = lambda path: F.get_json_object("record", path)
+    sample = value("$.debug_data.parser_html.common_info_html_sample")
+    return shown(
+        record.select(
+            "o_orderkey",
+            value("$.contract_info.reestr_number").alias("reestr_number"),
+            value("$.contract_info.total_price").cast("double").alias("total_price"),
+            value("$.contract_info.line_items_count").cast("bigint").alias("line_items_count"),
+            value("$.contract_info.attachments_count").cast("bigint").alias("attachments_count"),
+            value("$.comparison_result.score").cast("bigint").alias("score"),
+            F.coalesce(value("$.contract_specs._debug"), F.lit("null")).alias("debug"),
+            value("$.debug_data.parser_html.common_info_html_length").cast("bigint").alias("html_length"),
+            F.length(sample).alias("sample_chars"),
+        )
+    )

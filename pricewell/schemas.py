@@ -64,8 +64,9 @@ SPEC_ROWS = _ddl(
 )
 
 DOCUMENTS_META = _ddl(
-    """id STRING NOT NULL, search_id STRING, contract_result_id STRING, file_name STRING NOT NULL,
-    file_type STRING, file_size BIGINT, created_at TIMESTAMP"""
+    """id STRING NOT NULL, search_id STRING, contract_result_id STRING, created_at TIMESTAMP,
+    filename STRING NOT NULL, filepath STRING NOT NULL, file_type STRING, file_size BIGINT,
+    mime_type STRING, source_url STRING"""
 )
 
 CARD = _ddl("registry_no STRING, date STRING, price DOUBLE, url STRING, customer STRING, status STRING")

@@ -225,6 +225,33 @@ def analysis_text(facts: DataFrame, printed_text: str | None = None) -> Column:
     return F.concat(body, F.coalesce(printed, F.lit("")))
 
 
+def short_analysis_text() -> Column:
+    """The shorter form of the text: header lines, then a block of lines per item."""
+    header = [
+        F.concat(F.lit("Contract: "), "reestr_number"),
+        F.concat(F.lit("Customer: "), "customer"),
+        F.concat(F.lit("Supplier: "), "supplier"),
+        F.concat(F.lit("Total Price: "), plain_number(F.col("total_price")), F.lit(" "), "currency"),
+    ]
+
+    def block(item: Column) -> Column:
+        line = lambda label, value: F.concat(F.lit(f"{label}: "), F.nullif(value, F.lit("")))
+        price = F.nullif(item["unit_price"], F.lit(0.0))
+        # missing parts are null, which the join of the lines leaves out
+        return F.concat_ws(
+            "\n",
+            F.lit(""),
+            F.concat(F.lit("Item: "), item["name"]),
+            line("OKPD2", item["okpd2_code"]),
+            line("KTRU", item["ktru_code"]),
+            F.concat(F.lit("Unit Price: "), plain_number(price)),
+            line("Manufacturer", item["manufacturer"]),
+        )
+
+    lines = F.concat(F.array(*header), F.transform("line_items", block))
+    return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
+
+
 def raw_record(html: str, specs: Column, comparison: Column) -> Column:
     """The nested JSON kept with a result: facts, specifications, comparison and a page sample."""
     return F.to_json(
