@@ -1,20 +1,23 @@
 """Fuzzy text similarity as Arrow-batched functions.
 
-Each function scores a pair once and remembers it for the rest of its worker's
-life, so repeated pairs (the usual case for names) cost a lookup. Nothing is
-shuffled: a pair that fills a third of all rows is as cheap as any other.
+Each function scores a pair once and remembers it for the rest of its task, so
+repeated pairs (the usual case for names) cost a lookup. Nothing is shuffled: a
+pair that fills a third of all rows is as cheap as any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# More remembered pairs than this are forgotten before the next batch.
+REMEMBERED_PAIRS = 200_000
+
+
 def _positions(text: str) -> dict[str, int]:
     """For each character, the set of its positions as bits."""
     where: dict[str, int] = {}
@@ -101,20 +104,24 @@ def best_ratio(a: str, b: str) -> float:
 
 
 def _batched(score: Callable[[str, str], float]):
+    known: dict[tuple[str, str], float] = {}
+
     def apply(left: pd.Series, right: pd.Series) -> pd.Series:
-        known = _remembered(score)
-        return pd.Series(
-            [None if a is None or b is None else known(a, b) for a, b in zip(left, right)], dtype="float64"
-        )
+        if len(known) > REMEMBERED_PAIRS:
+            known.clear()
+        scores: list[float | None] = []
+        for pair in zip(left, right):
+            if None in pair:
+                scores.append(None)
+                continue
+            if pair not in known:
+                known[pair] = score(*pair)
+            scores.append(known[pair])
+        return pd.Series(scores, dtype="float64")
 
     return F.pandas_udf(apply, "double")
 
 
-@lru_cache(maxsize=None)
-def _remembered(score: Callable[[str, str], float]) -> Callable[[str, str], float]:
-    return lru_cache(maxsize=200_000)(score)
-
-
 def text_similarity(left: Column, right: Column) -> Column:
     """Best of the four ratios, 0 to 1; null if either text is null."""
     return _batched(best_ratio)(left, right)
