@@ -218,8 +218,8 @@ def answer_defaults(spark, sf_dir):
 
 @query(
     "token_usage",
-    """SELECT conv_id, count(*) AS calls, sum(length(text)) AS prompt_tokens, sum(length(text) // 4) AS completion_tokens,
-      sum(length(text) + length(text) // 4) AS total_tokens FROM conversations GROUP BY conv_id""",
+    """SELECT conv_id, count(*) AS calls, sum(length(text))::BIGINT AS prompt_tokens,
+      sum(length(text) // 4)::BIGINT AS completion_tokens, sum(length(text) + length(text) // 4)::BIGINT AS total_tokens FROM conversations GROUP BY conv_id""",
 )
 def token_usage(spark, sf_dir):
     """Tokens per conversation, from a usage document per turn."""

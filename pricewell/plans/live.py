@@ -179,7 +179,7 @@ def keyed_progress_state(spark, sf_dir):
         """SELECT f.search_id, f.contract_id, match_type, CAST(accepted_for_nmc AS VARCHAR) AS accepted_for_nmc, n AS rows
         FROM (SELECT f.*, s.contract_id IS NOT NULL AS accepted_for_nmc FROM scored_fresh f LEFT JOIN selected s
           ON f.search_id = s.search_id AND f.contract_id = s.contract_id) f
-        JOIN (SELECT search_id, contract_id, 3 AS n FROM scored_fresh) k
+        JOIN (SELECT search_id, contract_id, 3::BIGINT AS n FROM scored_fresh) k
           ON f.search_id = k.search_id AND f.contract_id = k.contract_id""",
         "selected",
     ),
