@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Up to this k Spark keeps only k rows per group and task before the shuffle
 # (spark.sql.optimizer.windowGroupLimitThreshold).
@@ -33,12 +34,18 @@ def top_k(
     """
     bound = k if isinstance(k, int) else at_most
     if salted or bound > PRUNED_LIMIT:
-        parted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        parted = df.withColumn("__salt", F.pmod(F.xxhash64(*_plain_columns(df)), F.lit(SALTS)))
         df = _first_rows(parted, [*keys, "__salt"], order, k, bound, "__rn").drop("__rn", "__salt")
     kept = _first_rows(df, keys, order, k, bound, rank or "__rn")
     return kept if rank else kept.drop("__rn")
 
 
+def _plain_columns(df: DataFrame) -> list[str]:
+    """The columns a row is told apart by: texts, numbers and dates, no nested ones."""
+    nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    return [field.name for field in df.schema.fields if not isinstance(field.dataType, nested)]
+
+
 def _first_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column, bound: int, rank: str
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.operators import joins, prices, topk
+from pricewell.operators.dedupe import one_per_search_and_number
 from pricewell.sources import tables
 
 SELECTED_PER_REQUEST = 3
@@ -17,7 +18,7 @@ def candidate_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduped(candidates: DataFrame) -> DataFrame:
     """One candidate per search and registry number."""
-    return topk.first_per_key(candidates, ["search_id", "registry_no"], [F.asc("contract_id")])
+    return one_per_search_and_number(candidates, [F.asc("contract_id")])
 
 
 def freshest(candidates: DataFrame) -> DataFrame:

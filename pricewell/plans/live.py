@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.operators import joins, reports
-from pricewell.plans import ceiling
 from pricewell.plans.listings import all_results, key_rows, request_snapshot
 from pricewell.plans.output import shown
 from pricewell.plans.registry import Registry

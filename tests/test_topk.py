@@ -92,3 +92,9 @@ def test_freshest_first(spark):
 def test_partitioned_sink_keeps_all_rows(spark, df, rows, tmp_path):
     sinks.write_partitioned(df, str(tmp_path / "t"), "g", ["id"])
     assert spark.read.parquet(str(tmp_path / "t")).count() == len(rows)
+
+
+def test_nested_columns_pass_through(df, rows):
+    nested = df.withColumn("m", F.create_map(F.lit("id"), F.col("id"))).withColumn("a", F.array("id"))
+    got = topk.top_k(nested, ["g"], order(), 3).collect()
+    assert {tuple(r)[:3] for r in got} == best(rows, 3) and all(r.m["id"] == r.a[0] == r.id for r in got)
