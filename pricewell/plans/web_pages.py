@@ -31,6 +31,43 @@ def page_elements(spark, sf_dir):
     return shown(rows.withColumns({"text_chars": F.length("text"), "text_md5": F.md5("text")}).drop("text"))
 
 
+@query(
+    "page_tags",
+    """SELECT page_id, lower(tag) AS tag, count(*) AS elements
+    FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)
+    GROUP BY ALL""",
+)
+def page_tags(spark, sf_dir):
+    """Elements of each page by tag."""
+    rows = pages.shredded(raw_pages(spark, sf_dir), ["page_id"])
+    tags = rows.select("page_id", F.explode(F.transform("elements", lambda e: e["tag"])).alias("tag"))
+    return tags.groupBy("page_id", "tag").agg(F.count("*").alias("elements"))
+
+
+# Entities in the sample's headings; some have lost their semicolon where a title was cut.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&quot": '"', "&#x27;": "''", "&amp;": "&", "&amp": "&"}
+
+
+def _sql_text(tag: str) -> str:
+    text = f"regexp_extract(html, '<{tag}>(.*?)</{tag}>', 1, 's')"
+    for entity, plain in ENTITIES.items():
+        text = f"replace({text}, '{entity}', '{plain}')"
+    return text
+
+
+@query(
+    "page_headings",
+    f"""SELECT page_id, coalesce(nullif(trim({_sql_text('h1')}, ' ' || chr(10)), ''),
+      trim({_sql_text('title')}, ' ' || chr(10))) AS heading FROM pages""",
+)
+def page_headings(spark, sf_dir):
+    """The heading of each page, or its title where it has none: the first selector with a text wins."""
+    rows = pages.shredded(raw_pages(spark, sf_dir), ["page_id"])
+    text = lambda e: F.nullif(pages.text_of(e, F.col("texts")), F.lit(""))
+    heading = cards.first_value(F.col("elements"), pages.selectors("h1", "title"), text)
+    return rows.select("page_id", heading.alias("heading"))
+
+
 @query(
     "page_links",
     """SELECT page_id, unnest(range(len(hrefs))) AS position, unnest(hrefs) AS href,
