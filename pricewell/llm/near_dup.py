@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewell.llm.components import components
-from pricewell.llm.tables import byte_batches, whole_text
+from pricewell.llm.tables import kept_in_worker, text_ranges, whole_text
 from pricewell.session import materialized
 
 COORDINATES = 128
@@ -49,7 +49,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Texts to sets of hashed shingles; the hashes of words are remembered."""
 
-    remembered = 1_000_000
+    remembered = 500_000
 
     def __init__(self, words: int) -> None:
         self.words = words
@@ -162,11 +162,11 @@ def signed(docs: DataFrame, like: Similarity, id_col: str, text_col: str) -> Dat
     """doc_id, n_shingles, digest of the set and sketch (null for an empty set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(like.words)
+        shingles = kept_in_worker(("shingles", like.words), lambda: Shingler(like.words))
         for batch in batches:
-            raw = batch.column(1).cast(pa.binary()).to_pylist()
-            for start, end in byte_batches(list(map(len, raw)), TEXT_BYTES):
-                sets = [shingles(x) for x in raw[start:end]]
+            raw = batch.column(1).cast(pa.binary())
+            for start, end in text_ranges(raw, TEXT_BYTES):
+                sets = [shingles(x) for x in raw.slice(start, end - start).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 digests, marks = [None] * len(sets), [None] * len(sets)
                 for i, mark in zip(full, sketches([sets[i] for i in full]), strict=True):
@@ -259,7 +259,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, like: Similarity, id_col: str,
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(like.words)
+        shingles = kept_in_worker(("shingles", like.words), lambda: Shingler(like.words))
         for _, group in _grouped(_with_sets(batches, shingles), "task"):
             members = {}
             for key in zip(*(group.column(c).to_pylist() for c in ("id", "digest", "set")), strict=True):
@@ -276,10 +276,10 @@ def confirmed(docs: DataFrame, groups: DataFrame, like: Similarity, id_col: str,
 def _with_sets(batches: Iterator[pa.RecordBatch], shingles: Shingler) -> Iterator[pa.RecordBatch]:
     """Rows with their shingle set in place of the text; rows whose set is not the class's are left out."""
     for batch in batches:
-        raw = batch.column("text").cast(pa.binary()).to_pylist()
-        for start, end in byte_batches(list(map(len, raw)), TEXT_BYTES):
+        raw = batch.column("text").cast(pa.binary())
+        for start, end in text_ranges(raw, TEXT_BYTES):
             part = batch.slice(start, end - start)
-            sets = [shingles(x).tobytes() for x in raw[start:end]]
+            sets = [shingles(x).tobytes() for x in raw.slice(start, end - start).to_pylist()]
             own = [xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)]
             keep = pa.array(own, pa.bool_())
             columns = [part.column(c) for c in ("task", "id", "digest")] + [pa.array(sets, pa.binary())]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,22 @@ def rows_with_ids(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_
     return docs.withColumn("__key", key_of(id_col)).join(wanted, "__key", how).select(*docs.columns)
 
 
+def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a Python worker and kept for its later tasks.
+
+    Functions travel to the workers by value, so a module's own variables begin anew with each task.
+    """
+    kept = sys.__dict__.setdefault("_kept_in_worker", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def text_ranges(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about so many bytes."""
+    return byte_batches(pc.binary_length(texts).to_pylist(), most)
+
+
 def byte_batches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring rows with about so many bytes; a larger row is a range of its own."""
     start = held = 0

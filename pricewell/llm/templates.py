@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewell.llm.tables import whole_text
+from pricewell.llm.tables import kept_in_worker, whole_text
 from pricewell.session import materialized
 
 #: Tokens of a window, and how many of them must be words.
@@ -47,7 +47,7 @@ def _hash(token: str) -> int:
 class Templates:
     """Turns texts into templates; tokens are classified once and remembered."""
 
-    remembered = 1_000_000
+    remembered = 500_000
 
     def __init__(self) -> None:
         self.place: dict[str, int] = {}
@@ -116,7 +116,7 @@ def windows(rows: DataFrame, passing: np.ndarray | None = None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates()
+        templates = kept_in_worker(("templates",), Templates)
         for batch in batches:
             ids, found, places, words = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

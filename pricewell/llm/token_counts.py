@@ -10,20 +10,20 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewell.llm.tables import whole_text, with_fields
+from pricewell.llm.tables import kept_in_worker, text_ranges, whole_text, with_fields
 
 #: So many pieces are remembered in a worker before all are forgotten.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
+#: Texts are cut into pieces so many bytes at a time.
+TEXT_BYTES = 4_000_000
 
 
-@lru_cache(maxsize=2)
 def library_tokenizer(path: str):
     """The library's tokenizer of a vocabulary file, without truncation and padding, in one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,13 +75,13 @@ def counted(docs: DataFrame, path: str, text_col: str = "text", batch_bytes: int
     carried = [f.name for f in schema.fields[:-2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = library_tokenizer(path), {}
-        for batch in batches:
-            texts = batch.column("__text").cast(pa.binary()).to_pylist()
-            sizes = batch.column("n_bytes")
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carried), sizes, pa.array(lengths(texts, model, known, batch_bytes), pa.int64())], names=schema.names
-            )
+        model, known = kept_in_worker(("token_counts", path), lambda: (library_tokenizer(path), {}))
+        for whole in batches:
+            for start, end in text_ranges(whole.column("__text"), TEXT_BYTES):
+                batch = whole.slice(start, end - start)
+                texts = batch.column("__text").cast(pa.binary()).to_pylist()
+                counts = pa.array(lengths(texts, model, known, batch_bytes), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), batch.column("n_bytes"), counts], names=schema.names)
 
     text = whole_text(text_col)
     return docs.select(*carried, F.octet_length(text).cast("long").alias("n_bytes"), text.alias("__text")).mapInArrow(run, schema)

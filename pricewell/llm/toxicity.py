@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewell.llm.tables import whole_text, with_fields
+from pricewell.llm.tables import text_ranges, whole_text, with_fields
 from pricewell.session import materialized
 
 #: The chain over the labels of the sample tables: harmful in either way, of low quality, toxic.
@@ -30,6 +30,8 @@ MOST_LABELLED = 8_000
 MOST_FEATURES, LEAST_RATIO, LEAST_ROWS = 600, 9.0, 3
 FOLDS = 4
 PREFIXES = (4, 5)
+#: Texts are scored so many bytes at a time.
+TEXT_BYTES = 8_000_000
 WORD = re.compile(r"[^\W\d_]+")
 MARK, UPPER = re.compile(r"[^\w\s]"), re.compile("[A-Z\xc0-\xde]")
 
@@ -206,11 +208,12 @@ def scored(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: flo
     carried = [f.name for f in schema.fields[: -len(added) - 1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = chain.probabilities(batch.column("__text").to_pylist())
-            found = [pa.array(np.ascontiguousarray(p[:, i])) for i in range(p.shape[1])]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carried), *found, pa.array(p[:, -1] >= threshold)], names=schema.names
-            )
+        for whole in batches:
+            for start, end in text_ranges(whole.column("__text"), TEXT_BYTES):
+                batch = whole.slice(start, end - start)
+                p = chain.probabilities(batch.column("__text").to_pylist())
+                found = [pa.array(np.ascontiguousarray(p[:, i])) for i in range(p.shape[1])]
+                rejected = pa.array(p[:, -1] >= threshold)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *found, rejected], names=schema.names)
 
     return docs.select(*carried, whole_text(text_col).alias("__text")).mapInArrow(run, schema)
