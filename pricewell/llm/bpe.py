@@ -13,8 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewell.llm.tables import byte_batches, whole_text, with_fields
+from pricewell.llm.tables import kept_in_worker, text_ranges, whole_text, with_fields
 
 #: The words of this kind of vocabulary, and the printable characters for its bytes.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,8 +46,9 @@ def byte_of_char() -> dict[str, int]:
 class Tokenizer:
     """A byte-level BPE vocabulary file with the traversal above."""
 
-    #: So many words are remembered between batches before all are forgotten.
-    remembered = 800_000
+    #: So many words are remembered between batches before all are forgotten, and so many pairs of tokens.
+    remembered = 400_000
+    remembered_pairs = 400_000
 
     def __init__(self, path: str) -> None:
         import regex
@@ -121,7 +121,7 @@ class Tokenizer:
     def learn(self, words: set[str]) -> None:
         """Encodes distinct words by one traversal of their trie and remembers the results."""
         token_of, fits, pairs, ending, size = self.ids.get, self.fits, self.pairs, self.ending.get, self.size
-        if len(pairs) > 1_500_000:
+        if len(pairs) > self.remembered_pairs:
             pairs.clear()
         path = b""
         last: list[int] = []  # by the length of the path less one: its last token
@@ -188,53 +188,64 @@ class Tokenizer:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
-    """One tokenizer for each vocabulary in a worker."""
-    return Tokenizer(path)
-
-
-def encoded(docs: DataFrame, path: str, text_col: str = "text", batch_bytes: int = 8_000_000) -> DataFrame:
+def encoded(
+    docs: DataFrame,
+    path: str,
+    text_col: str = "text",
+    batch_bytes: int = 4_000_000,
+    finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None,
+    finished: str | None = None,
+) -> DataFrame:
     """The rows with ``token_ids`` and ``decoded``, the text that the ids give back.
 
     Whole texts are encoded; null counts as empty and has no ids. Columns of the input with these
     names are replaced, all others stay. ``path`` names a vocabulary file that every worker can read.
+    ``finish`` is applied to the batches of the result in the same worker and gives rows of the schema
+    ``finished``, so that ids which are only summed up need not leave it.
     """
     ids_type = T.StructField("token_ids", T.ArrayType(T.IntegerType(), False), False)
     schema = with_fields(docs.schema, ids_type, T.StructField("decoded", T.StringType(), False))
     carried = [f.name for f in schema.fields[:-2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
+        model = kept_in_worker(("bpe", path), lambda: Tokenizer(path))
         for batch in batches:
             texts = batch.column("__text")
-            sizes = [len(x) for x in texts.cast(pa.binary()).to_pylist()]
-            for start, end in byte_batches(sizes, batch_bytes):
+            for start, end in text_ranges(texts, batch_bytes):
                 ids = model.encode_batch(texts.slice(start, end - start).to_pylist())
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 rows = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(ids), "<i4"))
                 back = pa.array([model.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string())
                 kept = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in carried), rows, back], names=schema.names)
+                result = pa.RecordBatch.from_arrays([*(kept.column(c) for c in carried), rows, back], names=schema.names)
+                yield finish(result) if finish else result
+
+    return docs.select(*carried, whole_text(text_col).alias("__text")).mapInArrow(run, finished or schema)
+
+
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    return docs.select(*carried, whole_text(text_col).alias("__text")).mapInArrow(run, schema)
 
+def _digested(batch: pa.RecordBatch) -> pa.RecordBatch:
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    lists = batch.column("token_ids")
+    bounds, flat = lists.offsets.to_pylist(), lists.values.to_numpy().astype("<u4")
+    ids = [flat[start:end].tobytes() for start, end in zip(bounds, bounds[1:])]
+    texts = batch.column("decoded").cast(pa.binary()).to_pylist()
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("doc_id").cast(pa.int64()),
+            pa.array([len(x) // 4 for x in ids], pa.int64()),
+            pa.array(map(sha, ids), pa.string()),
+            pa.array(map(sha, texts), pa.string()),
+        ],
+        names=[x.split()[0] for x in DIGESTS.split(", ")],
+    )
 
-def digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of encoded rows: doc_id, n_tokens and the digests of the ids and of the decoded text.
+
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """Of documents (doc_id, text): doc_id, n_tokens and the digests of the ids and of the decoded text.
 
     ``ids_sha256`` is over the ids as little-endian unsigned 32-bit numbers, ``decoded_sha256`` over UTF-8.
     """
-    columns = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        for batch in batches:
-            lists = batch.column(1)
-            ids = [np.asarray(x.values, "<u4").tobytes() for x in lists]
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            found = [batch.column(0).to_pylist(), [len(x) // 4 for x in ids], list(map(sha, ids)), list(map(sha, texts))]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(found, columns, strict=True)], names=[n for n, _ in columns])
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.select(F.col(id_col).cast("long"), "token_ids", "decoded").mapInArrow(run, schema)
+    return encoded(docs.select("doc_id", "text"), path, finish=_digested, finished=DIGESTS)

@@ -110,8 +110,7 @@ def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_trie_bpe")
 def op8_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.encoded(docs, BYTE_BPE).drop("text"))
+    return bpe.digests(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 @query("op9_token_counts")
