@@ -80,7 +80,7 @@ class Shingler:
 def sketches(sets: list[np.ndarray], k: int = COORDINATES) -> np.ndarray:
     """The sketch of each non-empty set, as a byte for each coordinate."""
     offers = np.full(len(sets) * k, np.iinfo(U).max, U)
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     items = np.concatenate(sets) if sets else np.zeros(0, U)
     open_ = np.ones(len(sets), bool)

@@ -91,7 +91,7 @@ class Chain:
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """A row of probabilities for each text, a column for each category."""
         hits = [[self.place[f] for f in features(t) if f in self.place] for t in texts]
-        rows = np.repeat(np.arange(len(texts)), [len(h) for h in hits])
+        rows = np.repeat(np.arange(len(texts)), np.array([len(h) for h in hits], np.int64))
         columns = np.array([c for h in hits for c in h], dtype=np.int64)
         out = np.zeros((len(texts), 0))
         for link in self.links:
@@ -190,7 +190,7 @@ def trained(labelled: DataFrame, categories: list[str] = CATEGORIES) -> Chain:
         *categories,
     ).collect()
     got.sort(key=lambda r: (r.features, r.fold))
-    row = np.repeat(np.arange(len(got)), [len(r.features) for r in got])
+    row = np.repeat(np.arange(len(got)), np.array([len(r.features) for r in got], np.int64))
     column = np.array([chosen[f] for r in got for f in r.features], dtype=np.int64)
     labels = np.array([[np.nan if r[c] is None else r[c] for c in categories] for r in got], dtype=float).reshape(len(got), len(categories))
     folds = np.array([r.fold for r in got], dtype=int)
