@@ -108,10 +108,9 @@ def maker_contains(target: Column, found: Column) -> Column:
 
 
 def maker_contains_any(target: Column, found: Column) -> Column:
-    """The same against an array of found names."""
-    return F.when(_missing(target), F.lit(False)).otherwise(
-        F.coalesce(F.exists(found, lambda m: F.contains(F.lower(m), F.lower(target))), F.lit(False))
-    )
+    """Whether any of an array of found names contains the target name; null where either side is missing."""
+    given = F.filter(found, lambda m: ~_missing(m))
+    return F.when(~_missing(target) & (F.size(given) > 0), F.exists(given, lambda m: F.contains(F.lower(m), F.lower(target))))
 
 
 def maker_warning(is_recent: Column, target: Column, found: Column) -> Column:

@@ -69,8 +69,8 @@ def percent(done: Column, total: Column) -> Column:
 
 
 def step_percent(step: Column, total: Column) -> Column:
-    """Progress of one step on the 10 to 90 percent stretch of a run."""
-    return F.lit(10.0) + F.when(total > 0, F.lit(80.0) * step / total).otherwise(F.lit(0.0))
+    """Progress of one step on the 10 to 90 percent stretch of a run, in whole percent."""
+    return F.lit(10) + F.when(total > 0, F.floor(step / total * F.lit(80.0))).otherwise(F.lit(0)).cast("int")
 
 
 def plain_number(number: Column) -> Column:

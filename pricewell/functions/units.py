@@ -9,27 +9,27 @@ from pricewell.functions.labels import literal_array, literal_map
 
 # Each standard unit with the spellings that stand for it. Among
 # spellings of one length the earlier one wins, so the order matters.
-UNIT_SPELLINGS = """
-ml: ml, milliliter, milliliters, мл, миллилитр, миллилитров
-l: l, liter, liters, litre, litres, л, литр, литров
-m3: m3, cubic meter, cubic meters, м3, куб.м, кубический метр
-g: g, gram, grams, г, грамм
-kg: kg, kilogram, kilograms, кг, килограмм, килограммов
-t: t, ton, tons, tonne, tonnes, т, тонна, тонн
-mm: mm, millimeter, millimeters, мм, миллиметр, миллиметров
-cm: cm, centimeter, centimeters, см, сантиметр, сантиметров
-m: m, meter, meters, metre, metres, м, метр, метров
-km: km, kilometer, kilometers, км, километр, километров
-m2: m2, square meter, square meters, м2, кв.м, квадратный метр, sqm, sq.m
-pcs: pcs, pc, piece, pieces, шт, штук, штука
-unit: unit, units, ед, единица, единиц
-set: set, sets, компл, комплект, комплектов
-h: h, hour, hours, ч, час, часов
-day: day, days, д, день, дней
-week: week, weeks, нед, неделя, недель
-month: month, months, мес, месяц, месяцев
-year: year, years, год, лет, года
-"""
+UNIT_SPELLINGS = {
+    "ml": ["ml", "milliliter", "milliliters", "мл", "миллилитр", "миллилитров"],
+    "l": ["l", "liter", "liters", "litre", "litres", "л", "литр", "литров"],
+    "m3": ["m3", "cubic meter", "cubic meters", "м3", "куб.м", "кубический метр"],
+    "g": ["g", "gram", "grams", "г", "грамм"],
+    "kg": ["kg", "kilogram", "kilograms", "кг", "килограмм", "килограммов"],
+    "t": ["t", "ton", "tons", "tonne", "tonnes", "т", "тонна", "тонн"],
+    "mm": ["mm", "millimeter", "millimeters", "мм", "миллиметр", "миллиметров"],
+    "cm": ["cm", "centimeter", "centimeters", "см", "сантиметр", "сантиметров"],
+    "m": ["m", "meter", "meters", "metre", "metres", "м", "метр", "метров"],
+    "km": ["km", "kilometer", "kilometers", "км", "километр", "километров"],
+    "m2": ["m2", "square meter", "square meters", "м2", "кв.м", "квадратный метр", "sqm", "sq.m"],
+    "pcs": ["pcs", "pc", "piece", "pieces", "шт", "штук", "штука"],
+    "unit": ["unit", "units", "ед", "единица", "единиц"],
+    "set": ["set", "sets", "компл", "комплект", "комплектов"],
+    "h": ["h", "hour", "hours", "ч", "час", "часов"],
+    "day": ["day", "days", "д", "день", "дней"],
+    "week": ["week", "weeks", "нед", "неделя", "недель"],
+    "month": ["month", "months", "мес", "месяц", "месяцев"],
+    "year": ["year", "years", "год", "лет", "года"],
+}
 
 # Unit pairs that count as compatible, in either direction.
 COMPATIBLE_PAIRS = [("ml", "l"), ("l", "m3"), ("g", "kg"), ("kg", "t"), ("mm", "cm"), ("cm", "m"), ("m", "km")]
@@ -41,11 +41,7 @@ UNIT_SIZE = {
     "mm": 1.0, "cm": 10.0, "m": 1000.0, "km": 1000000.0,
 }
 
-UNIT_OF = {
-    spelling.strip(): line.split(":")[0]
-    for line in UNIT_SPELLINGS.strip().splitlines()
-    for spelling in line.split(":")[1].split(",")
-}
+UNIT_OF = {spelling: unit for unit, spellings in UNIT_SPELLINGS.items() for spelling in spellings}
 # Longest first; the sort is stable, so dictionary order breaks ties.
 SPELLINGS_BY_LENGTH = sorted(UNIT_OF, key=len, reverse=True)
 

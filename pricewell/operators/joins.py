@@ -4,22 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewell.functions.labels import law_code, status_codes
 from pricewell.operators.sizing import broadcast_if_small
-from pricewell.schemas import LIMIT_RANGE
+from pricewell.schemas import DEFAULT_LIMIT, DEFAULT_STATUS, INPUT_SOURCES, LIMIT_RANGE
+
+
+def with_defaults(requests: DataFrame) -> DataFrame:
+    """Requests with the default limit, statuses and input source where none is given."""
+    given = F.col("execution_statuses")
+    return requests.withColumns(
+        {
+            "limit_contracts": F.coalesce("limit_contracts", F.lit(DEFAULT_LIMIT)),
+            "execution_statuses": F.coalesce(given, F.array(F.lit(DEFAULT_STATUS))),
+            "input_source": F.coalesce("input_source", F.lit(INPUT_SOURCES[0])),
+        }
+    )
 
 
-def valid_requests(requests: DataFrame) -> DataFrame:
-    """Requests that may run: dates in order and the limit within its range."""
+def request_faults() -> Column:
+    """What is wrong with a request that has its defaults, as texts."""
     low, high = LIMIT_RANGE
-    return requests.filter(
-        (F.col("date_to") >= F.col("date_from")) & F.col("limit_contracts").between(low, high)
+    needed = ["object_name", "ktru_code", "customer_region", "law", "date_from", "date_to"]
+    missing = [F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in needed]
+    return F.array_compact(
+        F.array(
+            *missing,
+            F.when(F.col("date_to") < F.col("date_from"), F.lit("date_to is before date_from")),
+            F.when(~F.col("limit_contracts").between(low, high), F.lit(f"limit_contracts is not in {low} to {high}")),
+        )
     )
 
 
+def valid_requests(requests: DataFrame) -> DataFrame:
+    """Requests that may run, with their defaults."""
+    return with_defaults(requests).filter(F.size(request_faults()) == 0)
+
+
+def rejected_requests(requests: DataFrame) -> DataFrame:
+    """Requests that may not run, each with its ``faults``."""
+    return with_defaults(requests).withColumn("faults", request_faults()).filter(F.size("faults") > 0)
+
+
 def candidates(contracts: DataFrame, requests: DataFrame) -> DataFrame:
     """Every contract each valid request asks for: code, region, law, period and status.
 

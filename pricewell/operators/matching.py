@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from pricewell.functions import compare, scoring
 
 
-def spec_pairs(df: DataFrame, target: str = "target_specs", actual: str = "actual_specs") -> DataFrame:
+def spec_pairs(
+    df: DataFrame, target: str = "target_specs", actual: str = "actual_specs", keep_empty: bool = False
+) -> DataFrame:
     """Explodes two maps of characteristics into one row per name found in either.
 
-    This is the full outer join by name, done inside each row: no shuffle.
+    This is the full outer join by name, done inside each row: no shuffle. With ``keep_empty`` a
+    row without characteristics on either side stays, with a null name.
     """
     pairs = F.map_zip_with(
         F.coalesce(F.col(target), F.create_map().cast("map<string,string>")),
@@ -23,7 +26,11 @@ def spec_pairs(df: DataFrame, target: str = "target_specs", actual: str = "actua
         ),
     )
     rest = [c for c in df.columns if c not in (target, actual)]
-    return df.select(*rest, F.explode(pairs).alias("name", "__pair")).select(*rest, "name", "__pair.*")
+    explode = F.explode_outer if keep_empty else F.explode
+    value = lambda side: F.coalesce(f"__pair.{side}", F.lit("")).alias(side)
+    return df.select(*rest, explode(pairs).alias("name", "__pair")).select(
+        *rest, "name", value("target_value"), value("actual_value")
+    )
 
 
 def spec_pairs_long(target: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -55,16 +62,22 @@ def spec_comparison_rows(pairs: DataFrame, model_score: Column, **options) -> Da
 
 
 def spec_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts by status and the mean confidence of each group."""
-    exact = F.round(F.col("confidence") * F.lit(1e9)).cast("bigint")
-    status = F.col("match_status")
+    """Counts by status and the mean confidence of each group.
+
+    A row without a name stands for a group without characteristics and counts nothing: all
+    numbers of such a group are zero.
+    """
+    named = F.col("name").isNotNull()
+    exact = F.round(F.when(named, F.col("confidence")) * F.lit(1e9)).cast("bigint")
+    status = F.when(named, F.col("match_status"))
+    total = F.nullif(F.count("name"), F.lit(0))
     return rows.groupBy(*keys).agg(
-        F.count("*").alias("total_specs"),
+        F.count("name").alias("total_specs"),
         F.count_if(status == "MATCH").alias("match_count"),
         F.count_if(status == "DIFF").alias("diff_count"),
         F.count_if(status == "UNKNOWN").alias("unknown_count"),
-        (F.sum(exact) / F.count("*") / F.lit(1e9)).alias("avg_confidence"),
-        (F.count_if(status == "MATCH") / F.count("*") * F.lit(100.0)).alias("match_percentage"),
+        F.coalesce(F.sum(exact) / total / F.lit(1e9), F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce(F.count_if(status == "MATCH") / total * F.lit(100.0), F.lit(0.0)).alias("match_percentage"),
     )
 
 
@@ -78,8 +91,8 @@ def match_specifications(
 ) -> DataFrame:
     """Summary of every contract's comparison, with the fuzzy maker comparison.
 
-    ``contracts`` holds the maps ``target_specs`` and ``actual_specs``. The maker
-    comparison is null where either maker is missing.
+    ``contracts`` holds the maps ``target_specs`` and ``actual_specs``; a contract without any
+    characteristics has a summary of zeros. The maker comparison is null where either maker is missing.
     """
     given = F.length(F.col(target_maker)) > 0
     both = given & (F.length(F.col(found_maker)) > 0)
@@ -88,19 +101,40 @@ def match_specifications(
         F.when(both, compare.maker_similarity(F.col(target_maker), F.col(found_maker))),
     ).withColumn("manufacturer_match", F.col("manufacturer_confidence") >= compare.MAKER_THRESHOLD)
     carried = [*keys, "manufacturer_confidence", "manufacturer_match"]
-    rows = spec_comparison_rows(spec_pairs(makers), model_score, **options)
+    rows = spec_comparison_rows(spec_pairs(makers, keep_empty=True), model_score, **options)
     return spec_summary(rows, carried)
 
 
+def makers_alike(df: DataFrame, target: str, found: Column, name: str, threshold: float = compare.MAKER_THRESHOLD) -> DataFrame:
+    """Adds whether any maker of a list is alike to the wanted one; null where either side is missing.
+
+    Only the distinct pairs of names are compared. ``found`` is an array; missing names in it are left out.
+    """
+    given = F.filter(F.transform(found, F.lower), lambda m: m.isNotNull() & (m != ""))
+    wanted = F.nullif(F.lower(F.col(target)), F.lit(""))
+    rows = df.withColumns({"__wanted": wanted, "__given": F.when(F.size(given) > 0, given)})
+    pairs = rows.select("__wanted", F.explode("__given").alias("__maker")).where("__wanted is not null").distinct()
+    scored = pairs.withColumn("__score", compare.text_similarity(F.col("__wanted"), F.col("__maker")))
+    alike = scored.where(F.col("__score") > threshold).groupBy("__wanted").agg(F.collect_set("__maker").alias("__alike"))
+    hit = F.coalesce(F.arrays_overlap("__given", "__alike"), F.lit(False))
+    return (
+        rows.join(alike, "__wanted", "left")
+        .withColumn(name, F.when(F.col("__wanted").isNotNull() & F.col("__given").isNotNull(), hit))
+        .drop("__wanted", "__given", "__alike")
+    )
+
+
 def key_comparison_rows(
-    results: DataFrame, keys: Sequence[str], target_code: str, found_code: Column, code_match: str
+    results: DataFrame, keys: Sequence[str], target_code: str, found_code: Column, code_match: str, maker_match: str
 ) -> DataFrame:
-    """Three fixed rows per contract: code (weight 2), maker and object name (weight 1)."""
+    """Three fixed rows per contract: code (weight 2), maker and object name (weight 1).
+
+    ``code_match`` and ``maker_match`` name the flags of the comparison; an unset flag is no match.
+    """
     matched = results.withColumns(
         {
             "__code": found_code,
             "__name_match": compare.name_match(F.col("target_name"), F.col("object_name")),
-            "__maker_match": compare.maker_exact(F.col("target_manufacturer"), F.col("manufacturer")),
         }
     )
 
@@ -116,7 +150,7 @@ def key_comparison_rows(
 
     rows = F.array(
         row("KTRU Code", target_code, "__code", code_match, 2),
-        row("Manufacturer", "target_manufacturer", "manufacturer", "__maker_match", 1),
+        row("Manufacturer", "target_manufacturer", "manufacturer", maker_match, 1),
         row("Object Name", "target_name", "object_name", "__name_match", 1),
     )
     return (
@@ -128,14 +162,18 @@ def key_comparison_rows(
 def fuzzy_name_join(
     left: DataFrame, right: DataFrame, block: Sequence[str], left_name: str, right_name: str, threshold: float
 ) -> DataFrame:
-    """Distinct name pairs alike above a threshold, compared only within their block.
+    """Distinct name pairs alike above a threshold, compared only where block and a word agree.
 
-    Blocking is an equi-join of the distinct names of both sides per block value, so the
-    number of comparisons follows the distinct names, not the rows.
+    Blocking is an equi-join of the distinct names of both sides on the block and each of their
+    words, so a block is not compared with itself as a whole, and the number of comparisons
+    follows the distinct names, not the rows.
     """
-    a = left.select(*block, F.lower(left_name).alias("__a")).distinct()
-    b = right.select(*block, F.lower(right_name).alias("__b")).distinct()
-    scored = a.join(b, list(block)).withColumn("similarity", compare.text_similarity(F.col("__a"), F.col("__b")))
+    word = F.explode(F.array_distinct(F.split("__name", r"\s+"))).alias("__word")
+    side = lambda df, name: df.select(*block, F.lower(name).alias("__name")).distinct().select(*block, "__name", word)
+    a = side(left, left_name).withColumnRenamed("__name", "__a")
+    b = side(right, right_name).withColumnRenamed("__name", "__b")
+    met = a.join(b, [*block, "__word"]).select(*block, "__a", "__b").distinct()
+    scored = met.withColumn("similarity", compare.text_similarity(F.col("__a"), F.col("__b")))
     return scored.filter(F.col("similarity") > threshold).select(
         *block, F.col("__a").alias(left_name), F.col("__b").alias(right_name), "similarity"
     )
@@ -146,13 +184,16 @@ def classify_by_fields(
 ) -> DataFrame:
     """Class and decision from the comparison rows of each contract.
 
-    Identical if every mandatory field matches; homogeneous if the weighted share of
+    Identical if every mandatory field is there and matches; homogeneous if the weighted share of
     matching fields is large enough and no mandatory field conflicts; else no match.
     """
     match = F.col("match_status") == "MATCH"
     required = F.col("name").isin(*mandatory)
+    met = F.count_distinct(F.when(required & match, F.col("name"))) == len(set(mandatory))
+    # a field that occurs twice must match both times
+    unmet = F.coalesce(F.bool_or(F.when(required, ~match)), F.lit(False))
     grouped = rows.groupBy(*keys).agg(
-        F.bool_and(F.when(required, match)).alias("__all_required"),
+        (met & ~unmet).alias("__all_required"),
         F.coalesce(F.bool_or(F.when(required, F.col("match_status") == "DIFF")), F.lit(False)).alias("__conflict"),
         (F.sum(F.when(match, F.col("weight")).otherwise(F.lit(0))) / F.sum("weight")).alias("match_share"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pricewell.operators.keys import joined_on
 from pricewell.operators.sizing import broadcast_if_small
 from pricewell.session import materialized
 
@@ -24,12 +25,14 @@ def mean_price(price: Column) -> Column:
 def price_positions(df: DataFrame, keys: Sequence[str], price: str) -> DataFrame:
     """Each distinct positive price of a group with its count, first position and the group size.
 
-    Works for groups of any size: equal prices are counted map-side, the rest is spread
+    A group has one more row, with a null price of no copies, where rows have no positive price;
+    so a group without any stays. Works for groups of any size: equal prices are counted map-side, the rest is spread
     over price steps, and only the counts per step are summed up in one place. The counts
     are kept as a table, so the rows are read once for everything derived from them.
     """
     steps = F.floor(F.ln(F.col(price).cast("double")) * F.lit(64.0))
-    priced = df.filter(F.col(price) > 0).groupBy(*keys, price).agg(F.count("*").alias("copies"))
+    given = df.withColumn(price, F.when(F.col(price) > 0, F.col(price)))
+    priced = given.groupBy(*keys, price).agg(F.count(price).alias("copies"))
     counted = materialized(priced, "price-counts").withColumn("__step", steps)
     before = W.partitionBy(*keys).orderBy("__step").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -41,8 +44,9 @@ def price_positions(df: DataFrame, keys: Sequence[str], price: str) -> DataFrame
     )
     inside = W.partitionBy(*keys, "__step").orderBy(price).rowsBetween(W.unboundedPreceding, -1)
     return (
-        counted.withColumn("__inside", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-        .join(offsets, [*keys, "__step"])
+        joined_on(
+            counted.withColumn("__inside", F.coalesce(F.sum("copies").over(inside), F.lit(0))), offsets, [*keys, "__step"]
+        )
         .withColumn("position", F.col("__offset") + F.col("__inside"))
         .drop("__offset", "__inside", "__step")
     )
@@ -85,11 +89,11 @@ def cleaned_mean(positions: DataFrame, keys: Sequence[str], price: str = "unit_p
     keep = _within(F.col(price))
     copies = F.when(keep, F.col("copies"))
     return (
-        positions.join(bounds, list(keys))
+        joined_on(positions, bounds, keys)
         .groupBy(*keys, "prices", "q1", "q3")
         .agg(
             F.coalesce(F.sum(copies), F.lit(0)).alias("kept"),
-            (F.sum(F.col(price).cast("decimal(18,2)") * copies).cast("double") / F.sum(copies)).alias("mean_price"),
+            (F.sum(F.col(price).cast("decimal(18,2)") * copies).cast("double") / F.nullif(F.sum(copies), F.lit(0))).alias("mean_price"),
         )
     )
 
@@ -98,7 +102,7 @@ def without_outliers(df: DataFrame, keys: Sequence[str], price: str = "unit_pric
     """The rows whose price is within their group's bounds; missing prices are dropped."""
     bounds = iqr_bounds(price_positions(df, keys, price), keys, price).select(*keys, "low", "high")
     # one row per group: broadcast if there are few groups, so the rows are not shuffled
-    kept = df.filter(F.col(price) > 0).join(broadcast_if_small(bounds), list(keys)).filter(_within(F.col(price)))
+    kept = joined_on(df.filter(F.col(price) > 0), broadcast_if_small(bounds), keys).filter(_within(F.col(price)))
     return kept.drop("low", "high")
 
 
@@ -159,5 +163,5 @@ def trimmed_mean(
     inside = F.greatest(F.lit(0), last - first).cast("bigint")
     return positions.groupBy(*keys).agg(
         F.sum(inside).alias("used"),
-        (F.sum(F.col(price).cast("decimal(18,2)") * inside).cast("double") / F.sum(inside)).alias("trimmed_mean"),
+        (F.sum(F.col(price).cast("decimal(18,2)") * inside).cast("double") / F.nullif(F.sum(inside), F.lit(0))).alias("trimmed_mean"),
     )

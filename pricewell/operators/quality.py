@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricewell.operators.sizing import broadcast_if_small
 from pricewell.schemas import (
     AI_SCORE_RANGE,
     INPUT_SOURCES,
@@ -39,6 +40,31 @@ def violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return counts.select(F.inline(F.array(*pairs)))
 
 
+def violations_with_repeats(
+    df: DataFrame, rules: Mapping[str, Column], keys: Sequence[str], repeated: str
+) -> DataFrame:
+    """The same with one more rule, the keys that occur more than once, in one pass over the rows.
+
+    Each task counts by key before the shuffle, so a hot key is one row of a task.
+    """
+    columns = {f"__rule{i}": broken for i, broken in enumerate(rules.values())}
+    by_key = df.groupBy(*keys).agg(
+        F.count("*").alias("__n"), *[F.count_if(broken).alias(name) for name, broken in columns.items()]
+    )
+    counts = by_key.agg(
+        F.count_if(F.col("__n") > 1).alias("__repeated"), *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in columns]
+    )
+    named = {**dict(zip(rules, columns)), repeated: "__repeated"}
+    pairs = [F.struct(F.lit(rule).alias("rule"), F.col(name).cast("bigint").alias("violations")) for rule, name in named.items()]
+    return counts.select(F.inline(F.array(*pairs)))
+
+
+def with_parent_flag(children: DataFrame, parents: DataFrame, on: str, flag: str) -> DataFrame:
+    """Children with a flag that says whether their parent exists."""
+    known = broadcast_if_small(parents.select(on).distinct().withColumn("__known", F.lit(True)))
+    return children.join(known, on, "left").withColumn(flag, F.col("__known").isNotNull()).drop("__known")
+
+
 def outside(value: Column, bounds: tuple[int, int]) -> Column:
     return ~value.between(*bounds)
 

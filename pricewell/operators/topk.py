@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricewell.operators.keys import joined_on
+
 # Up to this k Spark keeps only k rows per group and task before the shuffle
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 PRUNED_LIMIT = 1000
@@ -20,21 +22,24 @@ def top_k(
     keys: Sequence[str],
     order: Sequence[Column],
     k: int | Column,
-    at_most: int = PRUNED_LIMIT,
+    at_most: int | None = None,
     rank: str | None = None,
     salted: bool = True,
+    told_by: Sequence[str] = (),
 ) -> DataFrame:
     """The first ``k`` rows of each group; ``order`` must be total for a repeatable result.
 
-    A column ``k`` needs ``at_most``, the bound its values are validated against. Up to
-    ``PRUNED_LIMIT`` each task sends at most k rows per group through the shuffle. With
-    ``salted`` the rows of a group are first cut in salted parts, so the task that ranks
-    a hot group sees k rows per salt and not k rows per input task. Leave it out where
-    groups are small already, or where there are so many that none can be hot.
+    With a column ``k`` every row is ranked, unless ``at_most`` says what its values were
+    validated against. With a bound up to ``PRUNED_LIMIT`` each task sends at most that many
+    rows per group through the shuffle. With ``salted`` the rows of a group are first cut in
+    salted parts, so the task that ranks a hot group sees k rows per salt and not k rows per
+    input task. Leave it out where groups are small already, or where there are so many that
+    none can be hot. ``told_by`` names columns that tell rows apart (all plain ones
+    otherwise); with few of them the others need not be read unless they are wanted.
     """
     bound = k if isinstance(k, int) else at_most
-    if salted or bound > PRUNED_LIMIT:
-        parted = df.withColumn("__salt", F.pmod(F.xxhash64(*_plain_columns(df)), F.lit(SALTS)))
+    if salted or bound is None or bound > PRUNED_LIMIT:
+        parted = df.withColumn("__salt", F.pmod(F.xxhash64(*(told_by or _plain_columns(df))), F.lit(SALTS)))
         df = _first_rows(parted, [*keys, "__salt"], order, k, bound, "__rn").drop("__rn", "__salt")
     kept = _first_rows(df, keys, order, k, bound, rank or "__rn")
     return kept if rank else kept.drop("__rn")
@@ -47,10 +52,10 @@ def _plain_columns(df: DataFrame) -> list[str]:
 
 
 def _first_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column, bound: int, rank: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column, bound: int | None, rank: str
 ) -> DataFrame:
     ranked = df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    kept = ranked.filter(F.col(rank) <= bound)
+    kept = ranked if bound is None else ranked.filter(F.col(rank) <= bound)
     return kept if isinstance(k, int) else kept.filter(F.col(rank) <= k)
 
 
@@ -67,7 +72,7 @@ def numbered(
     ``steps`` are values the order starts with, coarse to fine, each with True if it
     descends (a day, then the first letters of an id, say). Rows are numbered inside their
     step, and the sizes of the steps before it give each step its offset, so no task sorts
-    more than one step of one group.
+    more than one step of one group. Null keys and steps are a group and a step like others.
     """
     names = [f"__step{i}" for i in range(len(steps))]
     stepped = df.withColumns({step: value for step, (value, _) in zip(names, steps)})
@@ -81,8 +86,7 @@ def numbered(
     )
     local = F.row_number().over(W.partitionBy(*keys, *names).orderBy(*order))
     return (
-        stepped.withColumn("__local", local)
-        .join(offsets, [*keys, *names])
+        joined_on(stepped.withColumn("__local", local), offsets, [*keys, *names])
         .withColumn(name, F.col("__offset") + F.col("__local"))
         .drop(*names, "__local", "__offset")
     )
@@ -98,7 +102,7 @@ def page(
 
 def with_group_total(df: DataFrame, whole: DataFrame, keys: Sequence[str], name: str = "total") -> DataFrame:
     """Adds the row count of each group of ``whole``, counted map-side first."""
-    return df.join(whole.groupBy(*keys).agg(F.count("*").alias(name)), list(keys))
+    return joined_on(df, whole.groupBy(*keys).agg(F.count("*").alias(name)), keys)
 
 
 def page_bounds(total: Column, asked_page: Column, rows: int) -> dict[str, Column]:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.functions import compare, similarity, units
+from pricewell.functions import compare, scoring, similarity, units
 from pricewell.functions.normalize import with_normalized
-from pricewell.operators import matching
+from pricewell.operators import joins, matching, prices
 from pricewell.plans import ceiling
 from pricewell.plans.output import shown
 from pricewell.plans.registry import Registry
 from pricewell.plans.sql_similarity import similarity_ctes
 from pricewell.plans.sql_views import add_view, with_views
+from pricewell.session import materialized
 from pricewell.sources import tables
 
 query = Registry()
@@ -250,18 +251,22 @@ _ratio_query("name_token_set", "token_set", similarity.name_token_set_ratio)
 _ratio_query("string_similarity", "best", similarity.text_similarity)
 
 
+add_view("part_names", "SELECT p_type AS code, p_name AS object_name FROM part", [])
+
+
 @query(
     "fuzzy_names_by_code",
     with_views(
         ", "
         + similarity_ctes(
             "SELECT DISTINCT lower(q.object_name) AS a, lower(c.object_name) AS b"
-            " FROM requests q JOIN contracts c ON q.ktru_code = c.code"
+            " FROM requests q JOIN part_names c ON q.ktru_code = c.code WHERE len(list_intersect("
+            "string_split(lower(q.object_name), ' '), string_split(lower(c.object_name), ' '))) > 0"
         ).strip()
         + """ SELECT DISTINCT c.code, a AS target_name, b AS object_name, best AS similarity
-        FROM requests q JOIN contracts c ON q.ktru_code = c.code
+        FROM requests q JOIN part_names c ON q.ktru_code = c.code
         JOIN sim ON a = lower(q.object_name) AND b = lower(c.object_name) WHERE best > 0.8""",
-        "contracts",
+        "part_names",
         "requests",
     ),
 )
@@ -269,7 +274,7 @@ def fuzzy_names_by_code(spark, sf_dir):
     wanted = tables.requests(spark, sf_dir).select(
         F.col("ktru_code").alias("code"), F.col("object_name").alias("target_name")
     )
-    found = tables.contracts(spark, sf_dir).select("code", "object_name")
+    found = tables.table(spark, sf_dir, "part").select(F.col("p_type").alias("code"), F.col("p_name").alias("object_name"))
     return matching.fuzzy_name_join(wanted, found, ["code"], "target_name", "object_name", compare.NAME_THRESHOLD)
 
 
@@ -369,30 +374,50 @@ def manufacturer_fuzzy(spark, sf_dir):
 
 _ANY_PAIRS = """SELECT DISTINCT lower(target_manufacturer) AS a, lower(m) AS b
   FROM (SELECT target_manufacturer, unnest([manufacturer, supplier]) AS m FROM candidates) WHERE m IS NOT NULL"""
+# Some contracts name no maker, and some requests want none.
+_NAMED = "CASE WHEN l_linenumber % 4 <> 0 THEN [manufacturer, supplier] END"
+_WANTED = "CASE WHEN l_suppkey % 5 <> 0 THEN target_manufacturer END"
+
+
+def with_named_makers(candidates: DataFrame) -> DataFrame:
+    """Candidates with the list of makers they name; some name none, and some requests want none."""
+    named = F.when(F.col("l_linenumber") % 4 != 0, F.array("manufacturer", "supplier"))
+    wanted = F.when(F.col("l_suppkey") % 5 != 0, F.col("target_manufacturer"))
+    return candidates.withColumns({"makers": named, "wanted": wanted})
 
 
 @query(
     "manufacturer_any_of",
     with_views(
         f""", {similarity_ctes(_ANY_PAIRS).strip()},
-        makers AS (SELECT search_id, contract_id, target_manufacturer, unnest([manufacturer, supplier]) AS m
-          FROM candidates)
-        SELECT search_id, contract_id, CAST(bool_or(best > 0.7) AS VARCHAR) AS maker_match
-        FROM makers JOIN sim ON lower(target_manufacturer) = a AND lower(m) = b GROUP BY ALL""",
+        makers AS (SELECT search_id, contract_id, {_WANTED} AS wanted, unnest({_NAMED}) AS m FROM candidates),
+        hits AS (SELECT search_id, contract_id, bool_or(coalesce(best > 0.7, false)) AS hit FROM makers
+          LEFT JOIN sim ON lower(wanted) = a AND lower(m) = b WHERE m IS NOT NULL AND wanted IS NOT NULL GROUP BY ALL)
+        SELECT c.search_id, c.contract_id, CAST(hit AS VARCHAR) AS maker_match FROM candidates c
+        LEFT JOIN hits h ON c.search_id = h.search_id AND c.contract_id = h.contract_id""",
         "candidates",
     ),
 )
 def manufacturer_any_of(spark, sf_dir):
-    """True if any maker named in a contract is alike; its maker and supplier count as named."""
-    rows = ceiling.candidate_contracts(spark, sf_dir)
-    scores = [
-        F.coalesce(
-            similarity.text_similarity(F.lower("target_manufacturer"), F.lower(maker)) > compare.MAKER_THRESHOLD,
-            F.lit(False),
-        )
-        for maker in ("manufacturer", "supplier")
-    ]
-    return shown(rows.select("search_id", "contract_id", (scores[0] | scores[1]).alias("maker_match")))
+    """True if any maker named in a contract is alike, null if it names none or none is wanted."""
+    rows = with_named_makers(ceiling.candidate_contracts(spark, sf_dir))
+    return shown(matching.makers_alike(rows, "wanted", F.col("makers"), "maker_match"), "search_id", "contract_id", "maker_match")
+
+
+@query(
+    "manufacturer_contains_any",
+    with_views(
+        f"""SELECT search_id, contract_id, CASE WHEN {_WANTED} IS NOT NULL AND len(list_filter({_NAMED}, lambda m: m IS NOT NULL)) > 0
+          THEN CAST(len(list_filter({_NAMED}, lambda m: contains(lower(m), lower({_WANTED})))) > 0 AS VARCHAR) END AS maker_match
+        FROM candidates""",
+        "candidates",
+    ),
+)
+def manufacturer_contains_any(spark, sf_dir):
+    """The same by containment."""
+    rows = with_named_makers(ceiling.candidate_contracts(spark, sf_dir))
+    hit = compare.maker_contains_any(F.col("wanted"), F.col("makers"))
+    return shown(rows.select("search_id", "contract_id", hit.alias("maker_match")))
 
 
 # ---------------------------------------------------------------- specifications
@@ -468,6 +493,25 @@ spec_rows AS (
   FROM compared)
 """
 
+# A second set of similarity tables beside the first, for maker names.
+_MAKER_SIM = (
+    similarity_ctes(
+        """SELECT DISTINCT lower(target_manufacturer) AS a, lower(manufacturer) AS b
+        FROM candidates WHERE manufacturer IS NOT NULL"""
+    )
+    .strip()
+    .replace("pairs AS", "maker_pairs AS")
+    .replace("FROM pairs", "FROM maker_pairs")
+    .replace("oriented", "m_oriented")
+    .replace("windows", "m_windows")
+    .replace("partials", "m_partials")
+    .replace("words", "m_words")
+    .replace("rests", "m_rests")
+    .replace("sized", "m_sized")
+    .replace("ratios", "m_ratios")
+    .replace("sim AS", "maker_sim AS")
+)
+
 
 @query(
     "spec_comparison_rows",
@@ -491,12 +535,7 @@ def spec_comparison_rows(spark, sf_dir):
 @query(
     "spec_match_summary",
     with_views(
-        f""", {_SPEC_ROWS_CTES.strip()}, {similarity_ctes('''SELECT DISTINCT lower(target_manufacturer) AS a,
-          lower(manufacturer) AS b FROM candidates WHERE manufacturer IS NOT NULL''').strip()
-          .replace('pairs AS', 'maker_pairs AS').replace('FROM pairs', 'FROM maker_pairs')
-          .replace('oriented', 'm_oriented').replace('windows', 'm_windows').replace('partials', 'm_partials')
-          .replace('words', 'm_words').replace('rests', 'm_rests').replace('sized', 'm_sized')
-          .replace('ratios', 'm_ratios').replace('sim AS', 'maker_sim AS')},
+        f""", {_SPEC_ROWS_CTES.strip()}, {_MAKER_SIM},
         summary AS (SELECT search_id, contract_id, count(*) AS total_specs,
           count(CASE WHEN match_status = 'MATCH' THEN 1 END) AS match_count,
           count(CASE WHEN match_status = 'DIFF' THEN 1 END) AS diff_count,
@@ -573,3 +612,117 @@ MANDATORY = ["размер", "производитель"]
 def mandatory_classification(spark, sf_dir):
     rows = spec_rows(spark, sf_dir)
     return shown(matching.classify_by_fields(rows, ["search_id", "contract_id"], MANDATORY, 0.4))
+
+
+# Every third contract has no characteristics at all, every fifth no delivered size.
+_BARE = "split_part(contract_id, '-', 2)::INT % 3 = 0"
+_SIZELESS = "split_part(contract_id, '-', 3)::INT % 5 = 0"
+
+
+@query(
+    "spec_summary_bare",
+    with_views(
+        f""", {_SPEC_ROWS_CTES.strip()}, told AS (SELECT * FROM spec_rows WHERE NOT {_BARE})
+        SELECT c.search_id, c.contract_id, count(name) AS total_specs,
+          count(CASE WHEN match_status = 'MATCH' THEN 1 END) AS match_count,
+          count(CASE WHEN match_status = 'DIFF' THEN 1 END) AS diff_count,
+          count(CASE WHEN match_status = 'UNKNOWN' THEN 1 END) AS unknown_count,
+          coalesce(sum(CAST(round(confidence * 1e9) AS BIGINT)) / nullif(count(name), 0) / 1e9, 0) AS avg_confidence,
+          coalesce(count(CASE WHEN match_status = 'MATCH' THEN 1 END) / nullif(count(name), 0) * 100.0, 0)
+            AS match_percentage
+        FROM candidates c LEFT JOIN told t ON c.search_id = t.search_id AND c.contract_id = t.contract_id
+        GROUP BY ALL""",
+        "spec_pairs",
+        "units",
+    ),
+)
+def spec_summary_bare(spark, sf_dir):
+    """Summaries where some contracts have no characteristics: theirs are zeros."""
+    bare = F.split_part("contract_id", F.lit("-"), F.lit(2)).cast("int") % 3 == 0
+    nothing = F.create_map().cast("map<string,string>")
+    contracts = with_spec_maps(ceiling.candidate_contracts(spark, sf_dir))
+    for side in ("target_specs", "actual_specs"):
+        contracts = contracts.withColumn(side, F.when(bare, nothing).otherwise(F.col(side)))
+    pairs = matching.spec_pairs(
+        contracts.select("search_id", "contract_id", "ai_score", "target_specs", "actual_specs"), keep_empty=True
+    )
+    return shown(matching.spec_summary(matching.spec_comparison_rows(pairs, model_score()), ["search_id", "contract_id"]))
+
+
+@query(
+    "mandatory_missing",
+    with_views(
+        f""", {_SPEC_ROWS_CTES.strip()}, told AS (SELECT * FROM spec_rows WHERE NOT ({_SIZELESS} AND name = 'размер')),
+        grouped AS (
+          SELECT search_id, contract_id, list_sort(list(DISTINCT name) FILTER (name IN ('размер', 'производитель')
+              AND match_status = 'MATCH')) = ['производитель', 'размер'] AS all_required,
+            count(*) FILTER (name IN ('размер', 'производитель') AND match_status = 'DIFF') AS conflicts,
+            count(CASE WHEN match_status = 'MATCH' THEN 1 END) / count(*) AS match_share
+          FROM told GROUP BY ALL)
+        SELECT search_id, contract_id, match_share, CASE WHEN all_required THEN 'IDENTICAL'
+          WHEN match_share >= 0.4 AND conflicts = 0 THEN 'HOMOGENEOUS' ELSE 'NO_MATCH' END AS match_type,
+          CASE WHEN all_required THEN 'ACCEPT' WHEN match_share >= 0.4 AND conflicts = 0 THEN 'REVIEW' ELSE 'REJECT' END
+            AS decision
+        FROM grouped""",
+        "spec_pairs",
+        "units",
+    ),
+)
+def mandatory_missing(spark, sf_dir):
+    """Classes where some contracts lack a mandatory field: those are never identical."""
+    sizeless = F.split_part("contract_id", F.lit("-"), F.lit(3)).cast("int") % 5 == 0
+    rows = spec_rows(spark, sf_dir).where(~(sizeless & (F.col("name") == "размер")))
+    return shown(matching.classify_by_fields(rows, ["search_id", "contract_id"], MANDATORY, 0.4))
+
+
+@query(
+    "ceiling_from_comparison",
+    with_views(
+        f""", {_SPEC_ROWS_CTES.strip()}, {_MAKER_SIM},
+        summary AS (SELECT r.search_id, r.contract_id,
+          CAST(round(count(CASE WHEN match_status = 'MATCH' THEN 1 END) / count(*) * 100) AS INTEGER) AS ai_score
+          FROM spec_rows r JOIN fresh f ON r.search_id = f.search_id AND r.contract_id = f.contract_id GROUP BY ALL),
+        judged AS (SELECT f.search_id, f.contract_id, f.sign_date, f.unit_price, s.ai_score, best >= 0.7 AS manufacturer_match,
+            CASE WHEN s.ai_score >= 90 THEN 'IDENTICAL' WHEN s.ai_score >= 70 THEN 'HOMOGENEOUS' ELSE 'NO_MATCH' END AS match_type
+          FROM fresh f JOIN summary s ON f.search_id = s.search_id AND f.contract_id = s.contract_id
+          LEFT JOIN maker_sim ON lower(target_manufacturer) = a AND lower(manufacturer) = b),
+        best_three AS (SELECT *, 10.0::DOUBLE * CASE match_type WHEN 'IDENTICAL' THEN 3 WHEN 'HOMOGENEOUS' THEN 2 ELSE 1 END
+            + ai_score * 0.5::DOUBLE + CASE WHEN manufacturer_match THEN 10 ELSE 0 END
+            + CASE WHEN year(sign_date) >= 2000 THEN 10 WHEN year(sign_date) >= 1998 THEN 5 ELSE 0 END
+            + CASE WHEN unit_price IS NOT NULL THEN 5 ELSE 0 END AS selection_score FROM judged
+          QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY selection_score DESC, contract_id) <= 3),
+        ranked AS (SELECT *, CAST(unit_price AS DOUBLE) AS p, row_number() OVER (PARTITION BY search_id ORDER BY unit_price) - 1 AS i,
+          count(*) OVER (PARTITION BY search_id) AS n FROM best_three),
+        bounds AS (SELECT search_id, max(n) AS n, max(CASE WHEN i = n // 4 THEN p END) AS q1,
+          max(CASE WHEN i = (3 * n) // 4 THEN p END) AS q3 FROM ranked GROUP BY search_id),
+        kept AS (SELECT r.* FROM ranked r JOIN bounds b ON r.search_id = b.search_id
+          WHERE b.n < 3 OR p BETWEEN q1 - (q3 - q1) * 1.5::DOUBLE AND q3 + (q3 - q1) * 1.5::DOUBLE),
+        ends AS (SELECT search_id, CAST(sum(unit_price) AS DOUBLE) / count(*) AS ceiling FROM kept GROUP BY search_id),
+        counts AS (SELECT search_id, count(*) AS processed FROM fresh GROUP BY search_id)
+        SELECT q.id AS search_id, coalesce(processed, 0) AS processed, ceiling,
+          CASE WHEN processed IS NULL THEN 'ERROR' ELSE 'DONE' END AS status
+        FROM requests q LEFT JOIN counts c ON q.id = c.search_id LEFT JOIN ends e ON q.id = e.search_id""",
+        "fresh",
+        "spec_pairs",
+        "units",
+    ),
+)
+def ceiling_from_comparison(spark, sf_dir):
+    """The whole path: candidates, the freshest of them, their comparison, the three best by its score, the ceiling."""
+    fresh = materialized(with_spec_maps(ceiling.freshest_contracts(spark, sf_dir)), "fresh")
+    keys = ["search_id", "contract_id"]
+    summary = matching.match_specifications(fresh, keys, "target_manufacturer", "manufacturer", model_score())
+    judged = summary.select(
+        *keys, F.round("match_percentage").cast("int").alias("ai_score"), "manufacturer_match"
+    ).withColumn("match_type", scoring.type_of_score(F.col("ai_score")))
+    year = F.year("sign_date")
+    score = scoring.selection_score(
+        F.col("match_type"), F.col("ai_score"), F.col("manufacturer_match"), year, F.col("unit_price"), tables.AS_OF_YEAR
+    )
+    rows = fresh.select(*keys, "sign_date", "unit_price").join(judged, keys).withColumn("selection_score", score)
+    found = prices.small_group_ceiling(ceiling.best(rows), ["search_id"]).select("search_id", "ceiling")
+    counted = fresh.groupBy("search_id").agg(F.count("*").alias("processed"))
+    searches = joins.valid_requests(tables.requests(spark, sf_dir)).select(F.col("id").alias("search_id"))
+    whole = searches.join(counted, "search_id", "left").join(found, "search_id", "left").fillna(0, ["processed"])
+    status = scoring.final_status(F.lit(None).cast("string"), F.col("processed"))
+    return shown(whole.select("search_id", "processed", "ceiling", status.alias("status")))

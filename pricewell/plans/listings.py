@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.operators import joins, prices, quality, reports, topk
-from pricewell.operators.matching import key_comparison_rows
 from pricewell.plans import ceiling
 from pricewell.plans.output import shown
 from pricewell.plans.registry import Registry
 from pricewell.plans.selection import query as selection_query
-from pricewell.plans.selection import result_rows, scored_candidates, with_codes
+from pricewell.plans.selection import key_rows_of, result_rows, scored_candidates
 from pricewell.plans.sql_views import add_view, with_views
-from pricewell.schemas import LENGTH_BOUNDS, MATCH_TYPES, PRICE
+from pricewell.schemas import LENGTH_BOUNDS, LIMIT_RANGE, MATCH_TYPES, PRICE
 from pricewell.session import materialized
 from pricewell.sources import tables
 
@@ -96,7 +93,7 @@ def history_page(spark, sf_dir):
         listed.select(
             "id", "status", "created_date", "object_name", "ktru_code", "law", "customer_region",
             F.array_join("execution_statuses", ", ").alias("execution_statuses"), "limit_contracts",
-            F.lit(searches.count()).cast("bigint").alias("total"), F.lit(10 // 10 + 1).alias("page"),
+            searches.agg(F.count(F.lit(1))).scalar().alias("total"), F.lit(10 // 10 + 1).alias("page"),
         )
     )
 
@@ -129,8 +126,8 @@ def results_filter(spark, sf_dir):
     ),
 )
 def contracts_of_search(spark, sf_dir):
-    """Results of one search above a score; the search id reaches the scans as code and region."""
-    rows = scored_candidates(spark, sf_dir).filter(F.col("search_id") == "EUROPE/PROMO")
+    """Results of one search above a score; its code, region and period reach the scans as values."""
+    rows = tables.with_match_attributes(ceiling.candidates_of(spark, sf_dir, "EUROPE/PROMO"))
     return shown(filtered_results(rows, min_score=60), "contract_id", "ai_score")
 
 
@@ -194,6 +191,7 @@ def display_order(spark, sf_dir):
         ["search_id"],
         [F.desc("accepted_for_nmc"), F.desc("ai_score"), F.asc("contract_id")],
         F.col("limit_contracts"),
+        at_most=LIMIT_RANGE[1],
         rank="position",
         salted=False,
     )
@@ -213,12 +211,15 @@ def request_snapshot(spark: SparkSession, sf_dir: str, results: DataFrame) -> Da
         selected.groupBy("search_id").agg(F.sort_array(F.collect_list("contract_id")).alias("selected_contract_ids")),
         "search_id",
     )
-    finals = found.join(processed, "search_id").join(chosen, "search_id").select(
+    # every search that ran is finished, also one that found nothing
+    ran = joins.valid_requests(searches).select(F.col("id").alias("search_id"))
+    joined = ran.join(found, "search_id", "left").join(processed, "search_id", "left").join(chosen, "search_id", "left")
+    finals = joined.select(
         F.col("search_id").alias("id"),
-        "found_total",
-        "processed_count",
+        F.coalesce("found_total", F.lit(0)).alias("found_total"),
+        F.coalesce("processed_count", F.lit(0)).alias("processed_count"),
         F.col("ceiling").cast(PRICE).alias("nmc_value"),
-        "selected_contract_ids",
+        F.coalesce("selected_contract_ids", F.array().cast("array<string>")).alias("selected_contract_ids"),
         F.lit(None).cast("bigint").alias("runtime_ms"),
         F.lit(None).cast("string").alias("error_message"),
     )
@@ -227,7 +228,8 @@ def request_snapshot(spark: SparkSession, sf_dir: str, results: DataFrame) -> Da
 
 add_view(
     "finals",
-    """SELECT q.*, found_total, processed_count, ids, nmc FROM requests q
+    """SELECT q.*, coalesce(found_total, 0) AS found_total, coalesce(processed_count, 0) AS processed_count,
+      coalesce(ids, []) AS ids, nmc FROM requests q
     LEFT JOIN (SELECT search_id, count(*) AS found_total FROM candidates GROUP BY ALL) a ON q.id = a.search_id
     LEFT JOIN (SELECT search_id, count(*) AS processed_count FROM fresh GROUP BY ALL) b ON q.id = b.search_id
     LEFT JOIN (SELECT search_id, CAST(sum(unit_price) AS DOUBLE) / count(*) AS nmc,
@@ -239,18 +241,43 @@ add_view(
 @query(
     "request_detail",
     with_views(
-        """SELECT id, CASE WHEN processed_count IS NULL THEN status WHEN processed_count = 0 THEN 'ERROR' ELSE 'DONE' END
-          AS status, object_name, ktru_code, okpd2_code, customer_region, law, CAST(date_from AS VARCHAR) AS date_from,
+        """SELECT id, CASE WHEN processed_count = 0 THEN 'ERROR' ELSE 'DONE' END AS status, object_name, ktru_code, okpd2_code, customer_region, law, CAST(date_from AS VARCHAR) AS date_from,
           CAST(date_to AS VARCHAR) AS date_to, limit_contracts::BIGINT AS limit_contracts, input_source, found_total,
           processed_count, CAST(round(nmc * 100) AS BIGINT) / 100.0 AS nmc_value,
-          array_to_string(ids, ', ') AS selected_contract_ids, NULL::VARCHAR AS error_message,
-          CASE WHEN processed_count IS NOT NULL THEN '2001-09-01 00:00:00.000000' END AS updated_at FROM finals""",
+          array_to_string(ids, ', ') AS selected_contract_ids,
+          CASE WHEN processed_count = 0 THEN 'No contracts were processed' END AS error_message,
+          '2001-09-01 00:00:00.000000' AS updated_at FROM finals""",
         "finals",
     ),
 )
 def request_detail(spark, sf_dir):
     """The request snapshot after the run."""
-    snapshot = request_snapshot(spark, sf_dir, all_results(spark, sf_dir))
+    return shown_snapshot(request_snapshot(spark, sf_dir, all_results(spark, sf_dir)))
+
+
+@query(
+    "request_detail_rare",
+    with_views(
+        """, rare AS (SELECT * FROM results WHERE accepted_for_nmc AND ai_score >= 97),
+        counted AS (SELECT search_id, count(*) AS n, (2 * CAST(sum(unit_price) * 100 AS BIGINT) + count(*)) // (2 * count(*))
+          AS cents, list(contract_id ORDER BY contract_id) AS ids FROM rare GROUP BY ALL)
+        SELECT id, CASE WHEN n IS NULL THEN 'ERROR' ELSE 'DONE' END AS status, object_name, ktru_code, okpd2_code,
+          customer_region, law, CAST(date_from AS VARCHAR) AS date_from, CAST(date_to AS VARCHAR) AS date_to,
+          limit_contracts::BIGINT AS limit_contracts, input_source, coalesce(n, 0) AS found_total,
+          coalesce(n, 0) AS processed_count, cents / 100.0 AS nmc_value,
+          array_to_string(coalesce(ids, []), ', ') AS selected_contract_ids,
+          CASE WHEN n IS NULL THEN 'No contracts were processed' END AS error_message,
+          '2001-09-01 00:00:00.000000' AS updated_at FROM requests LEFT JOIN counted ON id = search_id""",
+        "results",
+    ),
+)
+def request_detail_rare(spark, sf_dir):
+    """The same where only the best scores count, so that some searches end without a contract."""
+    rare = all_results(spark, sf_dir).where("accepted_for_nmc AND ai_score >= 97")
+    return shown_snapshot(request_snapshot(spark, sf_dir, rare))
+
+
+def shown_snapshot(snapshot: DataFrame) -> DataFrame:
     return shown(
         snapshot.select(
             "id", "status", "object_name", "ktru_code", "okpd2_code", "customer_region", "law", "date_from", "date_to",
@@ -310,13 +337,6 @@ def report_detail(spark, sf_dir):
     return shown(reports.detail_rows(all_results(spark, sf_dir)))
 
 
-def key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_codes(ceiling.scored_contracts(spark, sf_dir)).withColumn(
-        "code_match", F.array_contains("codes", F.col("code"))
-    )
-    return key_comparison_rows(rows, ["search_id", "contract_id"], "code", F.get("codes", F.lit(0)), "code_match")
-
-
 _KEY_ROWS_SQL = selection_query.sql["key_rows"].strip()
 
 
@@ -332,7 +352,7 @@ _KEY_ROWS_SQL = selection_query.sql["key_rows"].strip()
     ).removeprefix("WITH "),
 )
 def report_comparison(spark, sf_dir):
-    rows = key_rows(spark, sf_dir)
+    rows = key_rows_of(spark, sf_dir)
     return shown(reports.comparison_rows(result_rows(spark, sf_dir), rows, ["search_id", "contract_id"]))
 
 
@@ -346,7 +366,7 @@ def report_comparison(spark, sf_dir):
 def accepted_with_rows(spark, sf_dir):
     """Selected contracts that have a comparison row for a found maker; the others are skipped."""
     results = result_rows(spark, sf_dir).filter("accepted_for_nmc")
-    rows = key_rows(spark, sf_dir).filter((F.col("name") == "Manufacturer") & F.col("actual_value").isNotNull())
+    rows = key_rows_of(spark, sf_dir).filter((F.col("name") == "Manufacturer") & F.col("actual_value").isNotNull())
     return shown(joins.with_rows_only(results, rows, ["search_id", "contract_id"]), "search_id", "contract_id")
 
 
@@ -361,7 +381,7 @@ def accepted_with_rows(spark, sf_dir):
 def comparison_summary(spark, sf_dir):
     status = F.col("match_status")
     return shown(
-        key_rows(spark, sf_dir)
+        key_rows_of(spark, sf_dir)
         .groupBy("search_id", "contract_id")
         .agg(
             F.count("*").alias("total_rows"),
@@ -519,12 +539,13 @@ def quality_violations(spark, sf_dir):
         "requests.limit_contracts out of range": quality.limit_rule(F.col("limit_contracts")),
     }
     known = tables.table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    parts = [
-        quality.violations(dirty, rules),
-        quality.duplicate_keys(dirty, ["search_id", "registry_no"], "results.search and number repeated"),
-        quality.missing_parents(dirty, known, "l_suppkey", "results.supplier unknown"),
-    ]
-    return shown(reduce(DataFrame.unionByName, parts))
+    flagged = quality.with_parent_flag(dirty, known, "l_suppkey", "has_supplier")
+    rules["results.supplier unknown"] = ~F.col("has_supplier")
+    return shown(
+        quality.violations_with_repeats(
+            flagged, rules, ["search_id", "registry_no"], "results.search and number repeated"
+        )
+    )
 
 
 _DIRTY_REQUESTS = """SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'PAUSED' WHEN o_orderkey % 3 = 0 THEN 'RUNNING'
@@ -606,7 +627,7 @@ def run_violations(spark, sf_dir):
     results = all_results(spark, sf_dir).withColumnsRenamed(
         {"registry_no": "reestr_number", "target_manufacturer": "manufacturer_target", "manufacturer": "manufacturer_found"}
     )
-    rows = key_rows(spark, sf_dir).withColumnRenamed("contract_id", "contract_result_id")
+    rows = key_rows_of(spark, sf_dir).withColumnRenamed("contract_id", "contract_result_id")
     checked = quality.violations(results, quality.result_rules())
     return checked.unionByName(quality.violations(rows, quality.spec_row_rules()))
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.operators import joins, reports
-from pricewell.plans.listings import all_results, key_rows, request_snapshot
+from pricewell.plans.listings import all_results, request_snapshot
 from pricewell.plans.output import shown
 from pricewell.plans.registry import Registry
-from pricewell.plans.selection import result_rows
+from pricewell.plans.selection import key_rows_of, result_rows
 from pricewell.plans.sql_views import with_views
 from pricewell.session import scratch_dir
 from pricewell.sources import sinks, tables
@@ -60,10 +60,15 @@ _LATEST = f"""SELECT search_id, {_TS.format('ts')} AS ts, k AS processed_count,
   QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY e.ts DESC, event_id DESC) = 1"""
 
 
+def folded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folds of all searches from the event stream."""
+    days = runs.latest_per_key(events.per_day(streamed_events(spark, sf_dir), "1 hour"), ["search_id", "day"], "days")
+    return events.over_days(days)
+
+
 @query("progress_latest", f"{_EVENTS} {_LATEST}")
 def progress_latest(spark, sf_dir):
-    stream = events.latest_progress(streamed_events(spark, sf_dir))
-    return shown(runs.latest_per_key(stream, ["search_id"], "progress-latest"))
+    return shown(events.latest_progress(folded_events(spark, sf_dir)))
 
 
 @query(
@@ -73,8 +78,7 @@ def progress_latest(spark, sf_dir):
     FROM e GROUP BY search_id""",
 )
 def progress_counts(spark, sf_dir):
-    stream = events.progress_counts(streamed_events(spark, sf_dir))
-    return shown(runs.latest_per_key(stream, ["search_id"], "progress-counts"))
+    return shown(events.progress_counts(folded_events(spark, sf_dir)))
 
 
 _STATUS = """SELECT search_id, CASE min_by(type, (ts, event_id)) FILTER (type IN ('done', 'error')) WHEN 'done' THEN 'DONE'
@@ -88,8 +92,7 @@ _STATUS = """SELECT search_id, CASE min_by(type, (ts, event_id)) FILTER (type IN
       AS continued, terminal_events FROM ({_STATUS})""",
 )
 def terminal_status(spark, sf_dir):
-    stream = events.search_status(streamed_events(spark, sf_dir))
-    return shown(runs.latest_per_key(stream, ["search_id"], "terminal-status"))
+    return shown(events.search_status(folded_events(spark, sf_dir)))
 
 
 _STOP = "type = 'error' AND value > 50"
@@ -128,16 +131,16 @@ def running_not_stopped(spark, sf_dir):
 )
 def ttl_live_keys(spark, sf_dir):
     """Latest progress that is still alive one hour later."""
-    stream = events.latest_progress(streamed_events(spark, sf_dir))
-    latest = runs.latest_per_key(stream, ["search_id"], "ttl-live-keys")
+    latest = events.latest_progress(folded_events(spark, sf_dir))
     return shown(events.live_progress(latest, F.lit(AS_OF).cast("timestamp")))
 
 
 @query("stream_dedupe", "SELECT event_id, user_id AS search_id FROM events")
 def stream_dedupe(spark, sf_dir):
-    """The event stream sent twice, each event kept once."""
-    twice = streamed_events(spark, sf_dir).unionByName(streamed_events(spark, sf_dir))
-    once = events.without_repeats(twice, "60 days").select("event_id", "search_id")
+    """The event stream and its repeats half an hour later, each event kept once; ids are kept for two hours."""
+    sent = streamed_events(spark, sf_dir)
+    repeats = streamed_events(spark, sf_dir).withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 MINUTES"))
+    once = events.without_repeats(sent.unionByName(repeats), "2 hours").select("event_id", "search_id")
     return runs.appended(once, "stream-dedupe")
 
 
@@ -153,76 +156,133 @@ def event_messages(spark, sf_dir):
     return sent.select("channel", parsed).select("channel", "m.*")
 
 
+# A search idle for longer than this begins a new run.
+RUN_TTL_SECONDS = 24 * 3600
+_RUNS = f"""gaps AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY search_id ORDER BY ts, event_id))
+      > {RUN_TTL_SECONDS * 1_000_000}, false)::INT AS starts FROM e),
+    numbered AS (SELECT *, sum(starts) OVER (PARTITION BY search_id ORDER BY ts, event_id) AS run FROM gaps),
+    current AS (SELECT * FROM numbered QUALIFY run = max(run) OVER (PARTITION BY search_id)),
+    closing AS (SELECT search_id, min(ts) AS closed_ts, min_by(event_id, (ts, event_id)) AS closed_event,
+      min_by(type, (ts, event_id)) AS closed_by FROM current WHERE type IN ('done', 'error') GROUP BY search_id),
+    counted AS (SELECT c.*, closed_ts, closed_by FROM current c LEFT JOIN closing k ON c.search_id = k.search_id
+      WHERE closed_ts IS NULL OR (c.ts, c.event_id) <= (closed_ts, closed_event))"""
+
+
 @query(
     "keyed_progress_state",
-    f"""{_EVENTS}, l AS (SELECT search_id, ts, k FROM e WHERE type = 'progress'
-      QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ts DESC) = 1), s AS ({_STATUS})
-    SELECT s.search_id, c.events, c.results_added, {_TS.format('l.ts')} AS last_ts, l.k AS processed_count,
-      {FOUND_TOTAL}::BIGINT AS found_total, {_TS.format('s.closed')} AS closed_ts, lower(s.status) AS closed_by
-    FROM s JOIN l ON s.search_id = l.search_id JOIN (SELECT search_id, count(*) AS events,
-      count(CASE WHEN type = 'result_added' THEN 1 END) AS results_added FROM e GROUP BY ALL) c
-      ON s.search_id = c.search_id""",
+    f"""{_EVENTS}, {_RUNS}
+    SELECT search_id, count(*) AS events, count(CASE WHEN type = 'result_added' THEN 1 END) AS results_added,
+      {_TS.format("max(ts) FILTER (type = 'progress')")} AS last_ts,
+      max_by(k, (ts, event_id)) FILTER (type = 'progress') AS processed_count,
+      CASE WHEN count(*) FILTER (type = 'progress') > 0 THEN {FOUND_TOTAL}::BIGINT END AS found_total,
+      {_TS.format('any_value(closed_ts)')} AS closed_ts, any_value(closed_by) AS closed_by
+    FROM counted GROUP BY search_id""",
 )
 def keyed_progress_state(spark, sf_dir):
-    """The same folds held as keyed state with a time to live."""
-    stream = state.search_progress(streamed_events(spark, sf_dir), "1 hour")
+    """The current run of each search as keyed state: closed by its first end, begun anew after a day of silence."""
+    stream = state.search_progress(streamed_events(spark, sf_dir), "1 hour", RUN_TTL_SECONDS)
     return shown(runs.latest_per_key(stream, ["search_id"], "keyed-progress"))
 
 
+@query(
+    "stop_flags_live",
+    f"""{_EVENTS} SELECT search_id, {_TS.format('min(ts)')} AS stop_ts FROM e WHERE type = 'error' AND value > 20
+    GROUP BY search_id HAVING min(ts) > TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 4 DAY""",
+)
+def stop_flags_live(spark, sf_dir):
+    """Stop flags that are still alive after four days."""
+    flags = events.stop_flags(search_events(spark, sf_dir), F.expr("type = 'error' AND value > 20"))
+    return shown(events.live_flags(flags, F.lit("2024-01-10 00:00:00").cast("timestamp"), 4 * 24 * 3600))
+
+
 # ---------------------------------------------------------------- sinks
 
 
+# The result columns as text, and the raw record of a contract line.
+_RAW = """'{"contract_info":{"reestr_number":"' || registry_no || '","customer":"' || customer || '","supplier":"' || supplier
+  || '"},"comparison_result":{"score":' || ai_score || ',"match_type":"' || match_type || '"}}'"""
+
+
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the processed contracts, with their raw data."""
+    raw = F.to_json(
+        F.struct(
+            F.struct(F.col("registry_no").alias("reestr_number"), "customer", "supplier").alias("contract_info"),
+            F.struct(F.col("ai_score").alias("score"), "match_type").alias("comparison_result"),
+        ),
+        {"ignoreNullFields": "false"},
+    )
+    return result_rows(spark, sf_dir).withColumn("raw_data_json", raw)
+
+
 @query(
     "results_written",
     with_views(
-        """SELECT f.search_id, f.contract_id, match_type, CAST(accepted_for_nmc AS VARCHAR) AS accepted_for_nmc, n AS rows
-        FROM (SELECT f.*, s.contract_id IS NOT NULL AS accepted_for_nmc FROM scored_fresh f LEFT JOIN selected s
-          ON f.search_id = s.search_id AND f.contract_id = s.contract_id) f
-        JOIN (SELECT search_id, contract_id, 3::BIGINT AS n FROM scored_fresh) k
-          ON f.search_id = k.search_id AND f.contract_id = k.contract_id""",
+        f"""SELECT regexp_replace(md5(f.search_id || '/' || f.contract_id), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$',
+            '\\1-\\2-\\3-\\4-\\5') AS id, f.search_id, registry_no AS reestr_number, contract_url,
+          CAST(sign_date AS VARCHAR) AS sign_date, CAST(unit_price AS DOUBLE) AS unit_price, currency, match_type,
+          ai_score::BIGINT AS ai_score, target_manufacturer AS manufacturer_target, manufacturer AS manufacturer_found,
+          CAST(manufacturer_match AS VARCHAR) AS manufacturer_match, CAST(is_recent AS VARCHAR) AS is_2025_plus,
+          CAST(s.contract_id IS NOT NULL AS VARCHAR) AS accepted_for_nmc, {_RAW} AS raw_data_json,
+          strftime(created_date, '%Y-%m-%d') || ' 00:00:00.000000' AS created_at, 3::BIGINT AS rows
+        FROM scored_fresh f LEFT JOIN (SELECT search_id, contract_id FROM selected) s
+          ON f.search_id = s.search_id AND f.contract_id = s.contract_id""",
         "selected",
     ),
 )
 def results_written(spark, sf_dir):
-    """Results and their rows written as partitioned tables and read back."""
+    """Result records and their rows written as partitioned tables and read back."""
     out = scratch_dir(spark, "results")
-    results = result_rows(spark, sf_dir).select("search_id", "contract_id", "match_type", "accepted_for_nmc")
-    sinks.write_results(results, key_rows(spark, sf_dir), out)
-    rows = spark.read.parquet(f"{out}/spec_comparison_rows").groupBy("search_id", "contract_id").agg(
+    sinks.write_results(stored_results(spark, sf_dir), key_rows_of(spark, sf_dir), out)
+    rows = spark.read.parquet(f"{out}/spec_comparison_rows").groupBy(F.col("contract_result_id").alias("id")).agg(
         F.count("*").alias("rows")
     )
-    return shown(spark.read.parquet(f"{out}/contract_results").join(rows, ["search_id", "contract_id"]))
+    return shown(spark.read.parquet(f"{out}/contract_results").join(rows, "id"))
 
 
 @query(
     "report_exported",
-    f"""SELECT 'detail' AS sheet, count(*) AS rows FROM ({with_views('SELECT * FROM candidates', 'candidates')})
-    UNION ALL SELECT 'summary', 22 * count(*) FROM ({with_views('SELECT * FROM requests', 'requests')})
-    UNION ALL SELECT 'comparison', 3 * count(*) FROM ({with_views('SELECT * FROM selected', 'selected')})""",
+    f"""SELECT 'detail' AS sheet, count(*) AS rows, 0::BIGINT AS csv_differences, 0::BIGINT AS json_differences
+      FROM ({with_views('SELECT * FROM candidates', 'candidates')})
+    UNION ALL SELECT 'summary', 22 * count(*), 0, 0 FROM ({with_views('SELECT * FROM requests', 'requests')})
+    UNION ALL SELECT 'comparison', 3 * count(*), 0, 0 FROM ({with_views('SELECT * FROM selected', 'selected')})""",
 )
 def report_exported(spark, sf_dir):
-    """The three sheets written as csv and json; both hold the same rows."""
+    """The three sheets written as csv and json and read back: the rows that differ from what was written."""
     results = all_results(spark, sf_dir)
     sheets = {
         "summary": reports.summary_rows(request_snapshot(spark, sf_dir, results), reports.result_counts(results)),
         "detail": reports.detail_rows(results),
         "comparison": reports.comparison_rows(
-            result_rows(spark, sf_dir), key_rows(spark, sf_dir), ["search_id", "contract_id"]
+            result_rows(spark, sf_dir), key_rows_of(spark, sf_dir), ["search_id", "contract_id"]
         ),
     }
     out = scratch_dir(spark, "report")
     # computed once, into a table; the exports read from there
     sinks.write_report(sheets, f"{out}/parquet", "parquet")
-    counts = []
+    compared = []
     for name in sheets:
-        sheet = {name: spark.read.parquet(f"{out}/parquet/{name}")}
+        sheet = spark.read.parquet(f"{out}/parquet/{name}")
         for kind in ("csv", "json"):
-            sinks.write_report(sheet, f"{out}/{kind}", kind)
-        as_json = spark.read.schema(sheet[name].schema).json(f"{out}/json/{name}")
-        as_csv = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{out}/csv/{name}")
-        counts.append(_row_count(as_json, name).join(_row_count(as_csv, name), ["sheet", "rows"]))
-    return reduce(DataFrame.unionByName, counts)
+            sinks.write_report({name: sheet}, f"{out}/{kind}", kind)
+        read = lambda: spark.read.schema(sheet.schema)  # noqa: B023, E731
+        as_csv = read().option("header", True).option("escape", '"').option("multiLine", True).csv(f"{out}/csv/{name}")
+        as_json = read().json(f"{out}/json/{name}")
+        compared.append(_differences(sheet, {"csv": as_csv, "json": as_json}, name))
+    return reduce(DataFrame.unionByName, compared)
+
 
+def _differences(sheet: DataFrame, copies: dict[str, DataFrame], name: str) -> DataFrame:
+    """Rows of a sheet, and how many are missing or added in each copy; null and empty texts are told apart in none."""
 
-def _row_count(sheet: DataFrame, name: str) -> DataFrame:
-    return sheet.agg(F.count("*").alias("rows")).select(F.lit(name).alias("sheet"), "rows")
+    def hashed(df: DataFrame, sign: int, kind: str | None) -> DataFrame:
+        text = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in sheet.columns])
+        weights = [F.lit(sign if kind in (None, k) else 0).alias(k) for k in copies]
+        return df.select(F.sha2(text, 256).alias("row"), F.lit(int(kind is None)).alias("given"), *weights)
+
+    parts = [hashed(sheet, 1, None), *[hashed(copy, -1, kind) for kind, copy in copies.items()]]
+    by_row = reduce(DataFrame.unionByName, parts).groupBy("row").agg(
+        F.sum("given").alias("given"), *[F.abs(F.sum(k)).alias(k) for k in copies]
+    )
+    counts = by_row.agg(F.sum("given").alias("rows"), *[F.sum(k).alias(f"{k}_differences") for k in copies])
+    return counts.select(F.lit(name).alias("sheet"), "rows", *[f"{k}_differences" for k in copies])

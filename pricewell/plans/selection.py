@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.functions import compare, prices as price_functions, scoring
-from pricewell.operators import prices, topk
-from pricewell.operators.matching import key_comparison_rows
+from pricewell.operators import joins, prices, topk
+from pricewell.operators.keys import joined_on
+from pricewell.operators.matching import key_comparison_rows, makers_alike
 from pricewell.plans import ceiling
 from pricewell.plans.output import shown
 from pricewell.plans.registry import Registry
 from pricewell.plans.sql_similarity import similarity_ctes
 from pricewell.plans.sql_views import with_views
+from pricewell.schemas import LIMIT_RANGE
 from pricewell.sources import tables
 
 query = Registry()
@@ -49,7 +51,14 @@ def _ceiling_sql(source: str, *views: str) -> str:
     return with_views(_CEILING_SQL.format(source=source) + _SELECTED_CEILING.format(source=source), *views)
 
 
-@query("price_ceiling_per_request", _ceiling_sql("selected", "selected"))
+@query(
+    "price_ceiling_per_request",
+    _ceiling_sql("selected", "selected").replace(
+        "SELECT s.search_id, count(*) AS selected_count",
+        "SELECT q.id AS search_id, count(s.search_id) AS selected_count",
+    ).replace("FROM selected s LEFT JOIN (", "FROM requests q LEFT JOIN selected s ON q.id = s.search_id LEFT JOIN (")
+    .replace("GROUP BY s.search_id", "GROUP BY q.id"),
+)
 def price_ceiling_per_request(spark, sf_dir):
     return shown(ceiling.price_ceiling_per_request(spark, sf_dir))
 
@@ -93,6 +102,8 @@ def head_limit(spark, sf_dir):
         ["search_id"],
         [F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("contract_id")],
         F.col("limit_contracts"),
+        at_most=LIMIT_RANGE[1],
+        told_by=["l_orderkey", "l_linenumber"],
     )
     return shown(kept, "search_id", "contract_id")
 
@@ -165,7 +176,11 @@ def accepted_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cheapest_three_mean(spark, sf_dir):
     cheap = topk.top_k(
-        accepted_contracts(spark, sf_dir), ["search_id"], [F.asc("unit_price"), F.asc("contract_id")], 3
+        accepted_contracts(spark, sf_dir),
+        ["search_id"],
+        [F.asc("unit_price"), F.asc("contract_id")],
+        3,
+        told_by=["l_orderkey", "l_linenumber"],
     )
     means = cheap.groupBy("search_id").agg(prices.mean_price(F.col("unit_price")).alias("ceiling"))
     searches = tables.requests(spark, sf_dir).select(F.col("id").alias("search_id"))
@@ -185,7 +200,11 @@ def cheapest_three_mean(spark, sf_dir):
 def selected_mean(spark, sf_dir):
     """Mean over the default user selection, the three best-scored contracts."""
     best = topk.top_k(
-        ceiling.candidate_contracts(spark, sf_dir), ["search_id"], [F.desc("ai_score"), F.asc("contract_id")], 3
+        ceiling.candidate_contracts(spark, sf_dir),
+        ["search_id"],
+        [F.desc("ai_score"), F.asc("contract_id")],
+        3,
+        told_by=["l_orderkey", "l_linenumber"],
     )
     means = best.groupBy("search_id").agg(prices.mean_price(F.col("unit_price")).alias("mean_price"))
     searches = tables.requests(spark, sf_dir).select(F.col("id").alias("search_id"))
@@ -238,7 +257,9 @@ def iqr_all_candidates(spark, sf_dir):
 def ceiling_after_cleaning(spark, sf_dir):
     """Ceiling of the best three among the candidates left after outlier removal."""
     clean = prices.without_outliers(scored_candidates(spark, sf_dir), ["search_id"])
-    best = topk.top_k(clean, ["search_id"], [F.desc("selection_score"), F.asc("contract_id")], 3)
+    best = topk.top_k(
+        clean, ["search_id"], [F.desc("selection_score"), F.asc("contract_id")], 3, told_by=["l_orderkey", "l_linenumber"]
+    )
     return shown(
         best.groupBy("search_id").agg(
             F.count("*").alias("selected_count"), prices.mean_price(F.col("unit_price")).alias("ceiling")
@@ -319,10 +340,13 @@ def code_membership(spark, sf_dir):
         ", "
         + similarity_ctes(
             "SELECT DISTINCT lower(target_name) AS a, lower(object_name) AS b FROM scored_fresh"
+            " UNION SELECT DISTINCT lower(target_manufacturer), lower(manufacturer) FROM scored_fresh"
+            " WHERE manufacturer IS NOT NULL"
         ).strip()
         + f""", facts AS (SELECT f.*, list_contains({_CODES}, code) AS code_hit,
-            coalesce(lower(target_manufacturer) = lower(manufacturer), false) AS maker_hit, best > 0.8 AS name_hit
-          FROM scored_fresh f JOIN sim ON lower(target_name) = a AND lower(object_name) = b),
+            coalesce(m.best > 0.7, false) AS maker_hit, n.best > 0.8 AS name_hit
+          FROM scored_fresh f JOIN sim n ON lower(target_name) = n.a AND lower(object_name) = n.b
+          LEFT JOIN sim m ON lower(target_manufacturer) = m.a AND lower(manufacturer) = m.b),
         parts AS (
           SELECT search_id, contract_id, 'KTRU Code' AS name, code AS target_value, ({_CODES})[1] AS actual_value,
                  code_hit AS hit, 2 AS weight FROM facts
@@ -336,11 +360,17 @@ def code_membership(spark, sf_dir):
     ),
 )
 def key_rows(spark, sf_dir):
-    rows = with_codes(ceiling.scored_contracts(spark, sf_dir)).withColumn(
+    return shown(key_rows_of(spark, sf_dir))
+
+
+def key_rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three key rows of every fresh contract; a maker counts if it is alike to the wanted one."""
+    coded = with_codes(ceiling.scored_contracts(spark, sf_dir)).withColumn(
         "code_match", F.array_contains("codes", F.col("code"))
     )
-    return shown(
-        key_comparison_rows(rows, ["search_id", "contract_id"], "code", F.get("codes", F.lit(0)), "code_match")
+    rows = makers_alike(coded, "target_manufacturer", F.array("manufacturer"), "maker_match")
+    return key_comparison_rows(
+        rows, ["search_id", "contract_id"], "code", F.get("codes", F.lit(0)), "code_match", "maker_match"
     )
 
 
@@ -418,7 +448,107 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["search_id"],
         [F.desc("selection_score"), F.asc("contract_id")],
         F.col("limit_contracts"),
+        at_most=LIMIT_RANGE[1],
         rank="selection_rank",
         salted=False,
     )
     return ranked.withColumn("accepted_for_nmc", F.col("selection_rank") <= ceiling.SELECTED_PER_REQUEST)
+
+
+_ODD_REQUESTS = """SELECT * REPLACE (
+    CASE WHEN length(object_name) % 3 = 0 THEN NULL WHEN length(object_name) % 7 = 0 THEN 1001 ELSE limit_contracts END
+      AS limit_contracts,
+    CASE WHEN length(object_name) % 5 = 0 THEN DATE '1990-01-01' ELSE date_to END AS date_to,
+    CASE WHEN length(ktru_code) % 4 = 0 THEN NULL ELSE execution_statuses END AS execution_statuses) FROM requests"""
+
+
+def odd_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of which some give no limit or status, and some a wrong limit or period."""
+    n = F.length("object_name")
+    return tables.requests(spark, sf_dir).withColumns(
+        {
+            "limit_contracts": F.when(n % 3 == 0, F.lit(None).cast("int")).when(n % 7 == 0, 1001).otherwise(F.col("limit_contracts")),
+            "date_to": F.when(n % 5 == 0, F.lit("1990-01-01").cast("date")).otherwise(F.col("date_to")),
+            "execution_statuses": F.when(F.length("ktru_code") % 4 != 0, F.col("execution_statuses")),
+        }
+    )
+
+
+@query(
+    "request_rejects",
+    with_views(
+        f""", odd AS ({_ODD_REQUESTS}), told AS (SELECT id, concat_ws(', ',
+          CASE WHEN date_to < date_from THEN 'date_to is before date_from' END,
+          CASE WHEN coalesce(limit_contracts, 30) > 1000 THEN 'limit_contracts is not in 1 to 1000' END) AS faults FROM odd)
+        SELECT id, faults FROM told WHERE faults <> ''""",
+        "requests",
+    ),
+)
+def request_rejects(spark, sf_dir):
+    """Requests that may not run, with what is wrong."""
+    rejected = joins.rejected_requests(odd_requests(spark, sf_dir))
+    return shown(rejected.select("id", F.array_join("faults", ", ").alias("faults")))
+
+
+@query(
+    "request_defaults",
+    with_views(
+        f""", odd AS ({_ODD_REQUESTS})
+        SELECT id, coalesce(limit_contracts, 30)::BIGINT AS limit_contracts,
+          array_to_string(coalesce(execution_statuses, ['Исполнение завершено']), ', ') AS execution_statuses
+        FROM odd WHERE date_to >= date_from AND coalesce(limit_contracts, 30) <= 1000""",
+        "requests",
+    ),
+)
+def request_defaults(spark, sf_dir):
+    """Requests that may run, with the default limit and status where none was given."""
+    valid = joins.valid_requests(odd_requests(spark, sf_dir))
+    statuses = F.array_join("execution_statuses", ", ").alias("execution_statuses")
+    return shown(valid.select("id", "limit_contracts", statuses))
+
+
+@query(
+    "prices_with_gaps",
+    with_views(
+        """, given AS (SELECT CASE WHEN region <> 'ASIA' THEN code END AS code, region,
+          CASE WHEN l_linenumber < 5 AND region <> 'AFRICA' THEN unit_price END AS p FROM contracts),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY code, region ORDER BY p) - 1 AS i,
+          count(*) OVER (PARTITION BY code, region) AS n FROM given WHERE p > 0),
+        middle AS (SELECT code, region, max(n) AS n,
+          (max(CASE WHEN i = (n - 1) // 2 THEN p END)::DOUBLE + max(CASE WHEN i = n // 2 THEN p END)::DOUBLE) / 2 AS m,
+          CAST(sum(CASE WHEN i >= n // 10 AND i < n - n // 10 THEN p END) AS DOUBLE)
+            / count(CASE WHEN i >= n // 10 AND i < n - n // 10 THEN 1 END) AS t FROM ranked GROUP BY ALL)
+        SELECT g.code, g.region, coalesce(n, 0) AS prices, m AS median_price, t AS trimmed_mean
+        FROM (SELECT DISTINCT code, region FROM given) g
+        LEFT JOIN middle k ON g.code IS NOT DISTINCT FROM k.code AND g.region = k.region""",
+        "contracts",
+    ),
+)
+def prices_with_gaps(spark, sf_dir):
+    """Medians and trimmed means by code and region, where one region has no prices and one no codes."""
+    rows = tables.contracts(spark, sf_dir).select(
+        F.when(F.col("region") != "ASIA", F.col("code")).alias("code"),
+        "region",
+        F.when((F.col("l_linenumber") < 5) & (F.col("region") != "AFRICA"), F.col("unit_price")).alias("unit_price"),
+    )
+    positions = prices.price_positions(rows, ["code", "region"], "unit_price")
+    middle, trimmed = prices.median_price(positions, ["code", "region"]), prices.trimmed_mean(positions, ["code", "region"])
+    return shown(joined_on(middle, trimmed.drop("used"), ["code", "region"]))
+
+
+@query(
+    "numbered_undated",
+    with_views(
+        """, undated AS (SELECT code, contract_id, CASE WHEN l_linenumber % 3 <> 0 THEN created_date END AS created_date FROM contracts)
+        SELECT contract_id, row_number() OVER (PARTITION BY code ORDER BY created_date DESC NULLS LAST, contract_id) AS seq
+        FROM undated""",
+        "contracts",
+    ),
+)
+def numbered_undated(spark, sf_dir):
+    """Contracts numbered newest first by code, those without a date last."""
+    rows = tables.contracts(spark, sf_dir).select(
+        "code", "contract_id", F.when(F.col("l_linenumber") % 3 != 0, F.col("created_date")).alias("created_date")
+    )
+    order = [F.desc("created_date"), F.asc("contract_id")]
+    return shown(topk.numbered(rows, ["code"], [(F.col("created_date"), True)], order, "seq"), "contract_id", "seq")

@@ -158,7 +158,7 @@ def price_text_page(spark, sf_dir):
             AS wanted_maker,
           CASE WHEN year(sign_date) >= 2000 THEN 'Да' ELSE 'Нет' END AS recent,
           CASE WHEN quantity % 5 > 0 THEN quantity / (quantity % 5) * 100.0 ELSE 0.0 END AS percent,
-          10.0 + 80.0 * l_linenumber / 7 AS step_percent FROM contracts""",
+          10 + CAST(floor(l_linenumber / 7::DOUBLE * 80) AS BIGINT) AS step_percent FROM contracts""",
         "contracts",
     ),
 )

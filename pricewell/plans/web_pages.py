@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.functions import prices as price_functions
-from pricewell.operators import joins
+from pricewell.functions import scoring
+from pricewell.functions.dates import lenient_date
+from pricewell.operators import joins, prices, topk
 from pricewell.plans.output import shown
 from pricewell.plans.registry import Registry
+from pricewell.session import materialized
 from pricewell.sources import cards, contract_pages, pages, tables
 from pricewell.sources.tables import PAGE_HOST
 
@@ -24,11 +27,60 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- raw pages
 
 
-@query("page_elements")
+_START_TAG = "<([a-zA-Z][a-zA-Z0-9]*)([^>]*)>"
+_ENTITY_TEXT = "t"
+for _entity, _plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+    _ENTITY_TEXT = f"replace({_ENTITY_TEXT}, '{_entity}', '{_plain}')"
+
+
+@query(
+    "page_elements",
+    rf"""WITH plain AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'),
+        '<(script|style)([^>]*)>.*?</(script|style)>', '<\1\2></\3>', 'gs') AS html FROM pages),
+      found AS (SELECT page_id, unnest(regexp_extract_all(html, '{_START_TAG}')) AS e,
+        unnest(range(len(regexp_extract_all(html, '{_START_TAG}')))) AS idx FROM plain),
+      parts AS (SELECT page_id, idx, lower(regexp_extract(e, '{_START_TAG}', 1)) AS tag,
+        regexp_extract(e, '{_START_TAG}', 2) AS attributes FROM found)
+    SELECT page_id, idx, tag, array_to_string(list_filter(string_split(regexp_extract(attributes, 'class="([^"]*)"', 1), ' '),
+        lambda c: c <> ''), ' ') AS classes,
+      CASE WHEN contains(attributes, ' id="') THEN regexp_extract(attributes, ' id="([^"]*)"', 1) END AS id,
+      CASE WHEN contains(attributes, ' href="') THEN regexp_extract(attributes, ' href="([^"]*)"', 1) END AS href FROM parts""",
+)
 def page_elements(spark, sf_dir):
-    """Every element of every page; long texts by length and digest."""
+    """Every element of every page, its classes, id and link target."""
     rows = pages.page_elements(raw_pages(spark, sf_dir), ["page_id"])
-    return shown(rows.withColumns({"text_chars": F.length("text"), "text_md5": F.md5("text")}).drop("text"))
+    return shown(rows.withColumn("classes", F.trim("classes")), "page_id", "idx", "tag", "classes", "id", "href")
+
+
+@query(
+    "paragraph_texts",
+    f"""SELECT page_id, count(*) AS paragraphs, sum(length(t))::BIGINT AS chars FROM (
+        SELECT page_id, trim({_ENTITY_TEXT}, ' ' || chr(10)) AS t FROM (
+          SELECT page_id, unnest(regexp_extract_all(html, '<p>([^<]*)</p>', 1)) AS t FROM pages))
+      WHERE t <> '' GROUP BY page_id""",
+)
+def paragraph_texts(spark, sf_dir):
+    """Paragraphs without markup inside, and how long their own texts are."""
+    rows = pages.page_elements(raw_pages(spark, sf_dir), ["page_id"])
+    own = rows.where("tag = 'p' AND classes = '  ' AND last = idx AND text <> ''")
+    return shown(own.groupBy("page_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("chars")))
+
+
+@query(
+    "page_links_relative",
+    """WITH links AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)([^?#]*/)?', 1) AS host,
+      coalesce(nullif(regexp_extract(url, '^(https?://[^/?#]+)([^?#]*/)?', 2), ''), '/') AS folder,
+      unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1)) AS href FROM pages)
+    SELECT page_id, '../x/./' || href AS href, host || regexp_replace(folder, '[^/]+/$', '') || 'x/' || href AS url,
+      count(*) AS links FROM links WHERE href <> '' GROUP BY ALL""",
+)
+def page_links_relative(spark, sf_dir):
+    """Links as if they were given relative to a folder beside the page's."""
+    given = raw_pages(spark, sf_dir).withColumnRenamed("url", "page_url")
+    links = pages.page_links(given, ["page_id", "page_url"], F.col("page_url")).where("href rlike '^/.'")
+    moved = links.withColumn("href", F.concat(F.lit("../x/./"), F.expr("substring(href, 2)")))
+    resolved = moved.withColumn("url", pages.absolute_url(F.col("href"), F.col("page_url")))
+    return resolved.groupBy("page_id", "href", "url").agg(F.count("*").alias("links"))
 
 
 @query(
@@ -62,9 +114,10 @@ def _sql_text(tag: str) -> str:
 )
 def page_headings(spark, sf_dir):
     """The heading of each page, or its title where it has none: the first selector with a text wins."""
-    rows = pages.shredded(raw_pages(spark, sf_dir), ["page_id"])
-    text = lambda e: F.nullif(pages.text_of(e, F.col("texts")), F.lit(""))
-    heading = cards.first_value(F.col("elements"), pages.selectors("h1", "title"), text)
+    chosen = [pages.Selector("h1"), pages.Selector("title")]
+    rows = pages.selected(raw_pages(spark, sf_dir), ["page_id"], chosen)
+    text = lambda h: F.nullif(pages.text_of(h, F.col("texts")), F.lit(""))
+    heading = cards.first_value(F.col("hits"), range(len(chosen)), text)
     return rows.select("page_id", heading.alias("heading"))
 
 
@@ -455,27 +508,65 @@ def printed_form_texts(spark, sf_dir):
     )
 
 
+_PAGE_ROW = "'<tr><td class=\"label\">' || {} || '</td><td>' || {} || '</td></tr>'"
+
+
+def _sql_price(cents: str) -> str:
+    return (
+        f"(({cents} // 100) // 1000)::VARCHAR || ' ' || lpad((({cents} // 100) % 1000)::VARCHAR, 3, '0') || ',' ||"
+        f" lpad(({cents} % 100)::VARCHAR, 2, '0')"
+    )
+
+
+_COMMON_PAGE = " || ".join(
+    [
+        "'<html><body><h1>Сведения</h1><table class=\"facts\">'",
+        _PAGE_ROW.format("'Дата заключения контракта'", "CASE WHEN page_id % 11 = 0 THEN 'не определена' ELSE dotted END"),
+        f"CASE WHEN page_id % 3 <> 0 THEN {_PAGE_ROW.format(chr(39) + 'Заказчик (сокращенно)' + chr(39), 'c_name')} ELSE '' END",
+        _PAGE_ROW.format("'Поставщик'", "'Supplier ' || key"),
+        f"CASE WHEN page_id % 5 <> 0 THEN {_PAGE_ROW.format(chr(39) + 'ЦЕНА КОНТРАКТА' + chr(39), _sql_price('cents') + ' || ' + chr(39) + ' ₽' + chr(39))} ELSE '' END",
+        f"CASE WHEN page_id % 4 = 0 THEN {_PAGE_ROW.format(chr(39) + 'Валюта' + chr(39), chr(39) + 'USD' + chr(39))} ELSE '' END",
+        _PAGE_ROW.format("'Статус исполнения'", "s.execution_status"),
+        "'</table></body></html>'",
+    ]
+)
+_PROCESSED = "2001-09-01 12:30:00"
+
+
 @query(
     "raw_records",
     _ORDER_CTE
-    + f""", {_FACTS}, {_ITEMS}, {_FILES}
-    SELECT page_id AS o_orderkey, key AS reestr_number, total_price, coalesce(i.n, 0) AS line_items_count,
-      coalesce(f.n, 0) AS attachments_count, 80::BIGINT AS score, 'null' AS debug, page_chars AS html_length,
-      least(page_chars, 5000) AS sample_chars
-    FROM facts LEFT JOIN (SELECT o_orderkey, count(*) AS n FROM items GROUP BY ALL) i ON page_id = i.o_orderkey
-    LEFT JOIN (SELECT o_orderkey, count(*) AS n FROM files GROUP BY ALL) f ON page_id = f.o_orderkey
-    JOIN (SELECT o_orderkey, 6000 + length(o_orderkey::VARCHAR) AS page_chars FROM orders) p ON page_id = p.o_orderkey""",
+    + f""", {_FACTS}, {_ITEMS}, {_FILES},
+    forms AS (SELECT o_orderkey, coalesce(first(url ORDER BY position) FILTER (marked),
+      first(url ORDER BY position) FILTER (file_type = 'pdf')) AS form FROM files GROUP BY ALL),
+    written AS (SELECT page_id, {_COMMON_PAGE} AS html FROM o JOIN (SELECT o_orderkey, CASE o_orderstatus WHEN 'F'
+      THEN 'Исполнение завершено' ELSE 'Исполняется' END AS execution_status FROM orders) s ON page_id = s.o_orderkey)
+    SELECT t.page_id AS o_orderkey, key AS reestr_number, total_price, coalesce(i.n, 0) AS line_items_count,
+      coalesce(f.n, 0) AS attachments_count, 80::BIGINT AS score, 'null' AS debug_inside, 'prompt ' || key AS debug_beside,
+      length(html) AS html_length, md5(substring(html, 1, 5000)) AS sample_md5,
+      CASE WHEN year(sign_date::DATE) >= 2000 THEN form END AS printed_form_path,
+      CAST(coalesce(year(sign_date::DATE) >= 2000 AND form IS NOT NULL, false) AS VARCHAR) AS has_printed_form,
+      '2001-09-01T12:30:00' AS processing_timestamp
+    FROM facts t LEFT JOIN (SELECT o_orderkey, count(*) AS n FROM items GROUP BY ALL) i ON t.page_id = i.o_orderkey
+    LEFT JOIN (SELECT o_orderkey, count(*) AS n FROM files GROUP BY ALL) f ON t.page_id = f.o_orderkey
+    LEFT JOIN forms g ON t.page_id = g.o_orderkey JOIN written w ON t.page_id = w.page_id""",
 )
 def raw_records(spark, sf_dir):
-    """The nested JSON kept with each result, read back; the page is the order key and 6000 more characters."""
-    rows = parsed_contracts(spark, sf_dir).withColumn(
-        "html", F.concat(F.col("o_orderkey").cast("string"), F.repeat(F.lit("x"), F.lit(6000)))
+    """The nested JSON kept with each result over its real page, read back."""
+    rows = (
+        parsed_contracts(spark, sf_dir)
+        .join(common_pages(spark, sf_dir).select("o_orderkey", "html"), "o_orderkey")
+        .withColumns(
+            {
+                "specs": F.struct(F.lit("item").alias("object_name"), F.concat(F.lit("prompt "), "reestr_number").alias("_debug")),
+                "comparison": F.struct(F.lit(80).alias("score")),
+            }
+        )
     )
-    specs = F.struct(F.lit("item").alias("object_name"), F.lit("x").alias("_debug")).dropFields("_debug")
-    comparison = F.struct(F.lit(80).alias("score"))
-    record = rows.select("o_orderkey", contract_pages.raw_record("html", specs, comparison).alias("record"))
+    as_of = F.lit(_PROCESSED).cast("timestamp")
+    record = rows.select("o_orderkey", contract_pages.raw_record(rows, "html", "specs", "comparison", as_of).alias("record"))
     value = lambda path: F.get_json_object("record", path)
-    sample = value("$.debug_data.parser_html.common_info_html_sample")
+    page = "$.debug_data.parser_html"
     return shown(
         record.select(
             "o_orderkey",
@@ -484,8 +575,105 @@ def raw_records(spark, sf_dir):
             value("$.contract_info.line_items_count").cast("bigint").alias("line_items_count"),
             value("$.contract_info.attachments_count").cast("bigint").alias("attachments_count"),
             value("$.comparison_result.score").cast("bigint").alias("score"),
-            F.coalesce(value("$.contract_specs._debug"), F.lit("null")).alias("debug"),
-            value("$.debug_data.parser_html.common_info_html_length").cast("bigint").alias("html_length"),
-            F.length(sample).alias("sample_chars"),
+            F.coalesce(value("$.contract_specs._debug"), F.lit("null")).alias("debug_inside"),
+            value("$.debug_data.ai_extraction_debug").alias("debug_beside"),
+            value(f"{page}.common_info_html_length").cast("bigint").alias("html_length"),
+            F.md5(value(f"{page}.common_info_html_sample")).alias("sample_md5"),
+            value(f"{page}.printed_form_path").alias("printed_form_path"),
+            value(f"{page}.has_printed_form").alias("has_printed_form"),
+            value("$.debug_data.processing_timestamp").alias("processing_timestamp"),
         )
     )
+
+
+@query(
+    "search_records",
+    """SELECT page_id, url AS search_url, md5(substring(html, 1, 5000)) AS sample_md5, length(html) AS html_length,
+      len(regexp_extract_all(html, '<a href=')) AS parsed_contracts_count, page_id * 3 AS total_found,
+      '2001-09-01T12:30:00' AS timestamp FROM pages""",
+)
+def search_records(spark, sf_dir):
+    """The nested JSON kept with each search, read back; a page's links stand for the contracts it lists."""
+    rows = tables.table(spark, sf_dir, "pages")
+    listed = F.size(F.regexp_extract_all("html", F.lit("<a href="), F.lit(0)))
+    as_of = F.lit(_PROCESSED).cast("timestamp")
+    record = contract_pages.search_record(F.col("html"), F.col("url"), listed, F.col("page_id") * 3, as_of)
+    value = lambda name: F.get_json_object("record", f"$.parser.{name}")
+    number = lambda name: value(name).cast("bigint").alias(name)
+    return shown(
+        rows.select("page_id", record.alias("record")).select(
+            "page_id",
+            value("search_url").alias("search_url"),
+            F.md5(value("html_sample")).alias("sample_md5"),
+            number("html_length"),
+            number("parsed_contracts_count"),
+            number("total_found"),
+            value("timestamp").alias("timestamp"),
+        )
+    )
+
+
+# ---------------------------------------------------------------- from pages to the ceiling
+
+WANTED_CODE = "17.12.14.110-00000002"
+SEARCHES = 7
+AS_OF_YEAR = 2001
+SELECTED, LIMIT = 3, 30
+
+
+@query(
+    "ceiling_from_pages",
+    _ORDER_CTE
+    + f""", {_FACTS}, {_ITEMS},
+    cards AS (SELECT page_id, page_id % {SEARCHES} AS search_id, o_orderdate::DATE AS dated, key FROM o),
+    listed AS (SELECT * FROM cards QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY dated DESC, key DESC) <= {LIMIT}),
+    item_lists AS (SELECT o_orderkey, first(unit_price ORDER BY item_number) AS unit_price,
+      bool_or(ktru_code = '{WANTED_CODE}') AS code_match FROM items GROUP BY ALL),
+    judged AS (SELECT search_id, l.key, sign_date::DATE AS sign_date, i.unit_price,
+        CASE WHEN coalesce(code_match, false) THEN 80 ELSE 50 END AS score
+      FROM listed l JOIN facts f ON l.page_id = f.page_id LEFT JOIN item_lists i ON l.page_id = i.o_orderkey),
+    scored AS (SELECT *, 10.0::DOUBLE * CASE WHEN score >= 80 THEN 3 ELSE 2 END + score * 0.5::DOUBLE
+        + CASE WHEN year(sign_date) >= {AS_OF_YEAR} - 1 THEN 10 WHEN year(sign_date) >= {AS_OF_YEAR} - 3 THEN 5 ELSE 0 END
+        + CASE WHEN unit_price IS NOT NULL THEN 5 ELSE 0 END AS selection_score FROM judged),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY selection_score DESC, key) <= {SELECTED}),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY unit_price) - 1 AS i,
+      count(*) OVER (PARTITION BY search_id) AS n FROM best WHERE unit_price > 0),
+    bounds AS (SELECT search_id, max(n) AS n, max(CASE WHEN i = n // 4 THEN unit_price END) AS q1,
+      max(CASE WHEN i = (3 * n) // 4 THEN unit_price END) AS q3 FROM ranked GROUP BY search_id),
+    kept AS (SELECT r.* FROM ranked r JOIN bounds b ON r.search_id = b.search_id
+      WHERE b.n < 3 OR unit_price BETWEEN q1 - (q3 - q1) * 1.5::DOUBLE AND q3 + (q3 - q1) * 1.5::DOUBLE),
+    ends AS (SELECT search_id, sum(CAST(round(unit_price * 100) AS BIGINT)) AS cents, count(*) AS n FROM kept GROUP BY ALL)
+    SELECT l.search_id, count(*) AS processed, any_value((e.cents / 100.0::DOUBLE) / e.n) AS ceiling, 'DONE' AS status
+    FROM listed l LEFT JOIN ends e ON l.search_id = e.search_id GROUP BY l.search_id""",
+)
+def ceiling_from_pages(spark, sf_dir):
+    """The whole path from pages: cards, the freshest of each search, their contract pages, the score, the ceiling."""
+    found = cards.search_cards(result_pages(spark, sf_dir), ["page_id"], PAGE_HOST).where("registry_no <> ''")
+    number = F.regexp_extract("registry_no", r"(\d+)", 1)
+    dated = found.select(
+        F.pmod("page_id", F.lit(SEARCHES)).alias("search_id"), number.alias("reestr_number"), lenient_date(F.col("date")).alias("dated")
+    )
+    order = [F.desc("dated"), F.desc("reestr_number")]
+    listed = topk.top_k(dated, ["search_id"], order, LIMIT, told_by=["reestr_number"])
+    rows = listed.join(parsed_contracts(spark, sf_dir), "reestr_number")
+    items = F.col("line_items")
+    price = price_functions.unit_price(
+        contract_pages.first_item(items, "unit_price"), F.col("total_price"), contract_pages.first_item(items, "quantity")
+    )
+    code = F.coalesce(F.array_contains(contract_pages.distinct_values(items, "ktru_code"), WANTED_CODE), F.lit(False))
+    judged = rows.select(
+        "search_id",
+        "reestr_number",
+        "sign_date",
+        price.cast("decimal(15,2)").alias("unit_price"),
+        scoring.fallback_score(code, F.lit(False)).alias("score"),
+    )
+    score = scoring.selection_score(
+        scoring.fallback_type(F.col("score")), F.col("score"), F.lit(None).cast("boolean"), F.year("sign_date"), F.col("unit_price"), AS_OF_YEAR
+    )
+    scored = materialized(judged.withColumn("selection_score", score), "from-pages")
+    best = topk.top_k(scored, ["search_id"], [F.desc("selection_score"), F.asc("reestr_number")], SELECTED, salted=False)
+    ends = prices.small_group_ceiling(best, ["search_id"]).select("search_id", "ceiling")
+    whole = scored.groupBy("search_id").agg(F.count("*").alias("processed")).join(ends, "search_id", "left")
+    status = scoring.final_status(F.lit(None).cast("string"), F.col("processed"))
+    return shown(whole.select("search_id", "processed", "ceiling", status.alias("status")))

@@ -29,6 +29,7 @@ AI_SCORE_RANGE = (0, 100)
 WEIGHT_RANGE = (1, 10)
 LIMIT_RANGE = (1, 1000)
 DEFAULT_LIMIT = 30
+DEFAULT_STATUS = "Исполнение завершено"
 PRINTED_FORM_YEAR = 2025
 SAMPLE_CHARS = 5000
 STATE_TTL_SECONDS = 3600

@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricewell.functions.dates import page_date
 from pricewell.functions.labels import DEFAULT_CURRENCY, MISSING_TEXT
 from pricewell.functions.prices import page_price
 from pricewell.functions.text import plain_number
 from pricewell.schemas import ATTACHMENT, LINE_ITEM, PRINTED_FORM_YEAR, SAMPLE_CHARS
-from pricewell.sources.pages import absolute_url, below, shredded, text_of
+from pricewell.sources.pages import absolute_url, below, beside_labels, shredded, text_of
 
 # Labels of the common facts, patterns of codes and files.
 FIELD_LABELS = {
@@ -43,42 +44,13 @@ def tab_url(url: Column, tab: str) -> Column:
     return F.replace(url, F.lit("common-info"), F.lit(tab))
 
 
-def _labelled(elements: Column, candidates: Column, label: str) -> Column:
-    """The text next to a label: the first other labelled-tag element under the same parent."""
-    found = F.get(F.filter(candidates, lambda c: F.contains(F.lower(c["text"]), F.lit(label.lower()))), F.lit(0))
-
-    def beside(spot: Column) -> Column:
-        parent = spot["parent"]
-        end = F.when(parent >= 0, F.get(elements, parent)["last"]).otherwise(F.size(elements))
-        others = F.filter(
-            candidates,
-            lambda c: (c["idx"] > parent)
-            & (c["idx"] <= end)
-            & (c["text"] != "")
-            # an equal copy of the label is no value either
-            & ~((c["tag"] == spot["tag"]) & (c["classes"] == spot["classes"]) & (c["text"] == spot["text"])),
-        )
-        return F.get(others, F.lit(0))["text"]
-
-    return F.get(F.transform(F.array(found), lambda s: F.when(s.isNotNull(), beside(s))), F.lit(0))
-
-
 def common_facts(pages: DataFrame, keys: Sequence[str], url: str) -> DataFrame:
     """Common facts of each contract page, with the defaults for missing ones.
 
     An unreadable sign date stays null.
     """
-    elements, texts = F.col("elements"), F.col("texts")
-    labelled = F.transform(
-        F.filter(elements, lambda e: e["tag"].isin(*LABEL_TAGS)),
-        lambda e: F.struct(e["idx"], e["parent"], e["tag"], e["classes"], text_of(e, texts).alias("text")),
-    )
-    rows = shredded(pages, [*keys, url]).withColumn("labelled", labelled)
-    facts = rows.select(
-        *keys,
-        url,
-        *[_labelled(elements, F.col("labelled"), label).alias(name) for name, label in FIELD_LABELS.items()],
-    )
+    found = beside_labels(pages, [*keys, url], list(FIELD_LABELS.values()), LABEL_TAGS)
+    facts = found.select(*keys, url, *[F.get("values", F.lit(i)).alias(name) for i, name in enumerate(FIELD_LABELS)])
     missing = F.lit(MISSING_TEXT)
     return facts.select(
         *keys,
@@ -252,23 +224,57 @@ def short_analysis_text() -> Column:
     return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
 
 
-def raw_record(html: str, specs: Column, comparison: Column) -> Column:
-    """The nested JSON kept with a result: facts, specifications, comparison and a page sample."""
+def _debug_free(value: Column, schema: T.DataType) -> tuple[Column, Column]:
+    """A struct without its ``_debug`` field, and that field, null where there is none."""
+    has_debug = isinstance(schema, T.StructType) and "_debug" in schema.fieldNames()
+    return (value.dropFields("_debug"), value["_debug"]) if has_debug else (value, F.lit(None).cast("string"))
+
+
+def search_record(html: Column, url: Column, parsed: Column, total: Column, as_of: Column) -> Column:
+    """The nested JSON kept with a search: its address, a sample of the result page and what was found."""
+    return F.to_json(
+        F.struct(
+            F.struct(
+                url.alias("search_url"),
+                F.substring(html, 1, SAMPLE_CHARS).alias("html_sample"),
+                F.coalesce(F.length(html), F.lit(0)).alias("html_length"),
+                parsed.alias("parsed_contracts_count"),
+                total.alias("total_found"),
+                F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+            ).alias("parser")
+        ),
+        {"ignoreNullFields": "false"},
+    )
+
+
+def raw_record(rows: DataFrame, html: str, specs: str, comparison: str, as_of: Column) -> Column:
+    """The nested JSON kept with a result: facts, specifications, comparison and a page sample.
+
+    The ``_debug`` fields of the model's answers are kept apart from the answers.
+    """
+    clean_specs, specs_debug = _debug_free(F.col(specs), rows.schema[specs].dataType)
+    clean_comparison, comparison_debug = _debug_free(F.col(comparison), rows.schema[comparison].dataType)
+    form = F.col("printed_form")
     return F.to_json(
         F.struct(
             F.struct(
                 "reestr_number", "customer", "supplier", "total_price", "currency", "execution_status",
                 F.size("line_items").alias("line_items_count"),
                 F.size("attachments").alias("attachments_count"),
-                F.col("printed_form").isNotNull().alias("has_printed_form"),
+                form.isNotNull().alias("has_printed_form"),
             ).alias("contract_info"),
-            specs.alias("contract_specs"),
-            comparison.alias("comparison_result"),
+            clean_specs.alias("contract_specs"),
+            clean_comparison.alias("comparison_result"),
             F.struct(
                 F.struct(
                     F.substring(html, 1, SAMPLE_CHARS).alias("common_info_html_sample"),
                     F.coalesce(F.length(html), F.lit(0)).alias("common_info_html_length"),
-                ).alias("parser_html")
+                    form.isNotNull().alias("has_printed_form"),
+                    form["url"].alias("printed_form_path"),
+                ).alias("parser_html"),
+                specs_debug.alias("ai_extraction_debug"),
+                comparison_debug.alias("ai_comparison_debug"),
+                F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("processing_timestamp"),
             ).alias("debug_data"),
         ),
         {"ignoreNullFields": "false"},

@@ -8,7 +8,8 @@ descendants and of their texts, which makes a subtree one slice of the array.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass
 from html import unescape
 
@@ -34,6 +35,10 @@ ELEMENT_DDL = (
     " t_from: INT, t_to: INT>"
 )
 
+# A selected element: the selector's number, then the element's fields.
+HIT = pa.struct([("selector", pa.int32()), *(ELEMENT.field(n) for n in ("idx", "last", "href", "t_from", "t_to"))])
+HIT_DDL = "STRUCT<selector: INT, idx: INT, last: INT, href: STRING, t_from: INT, t_to: INT>"
+
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -49,19 +54,74 @@ TOKEN = re.compile(
     r"""<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)>""",
     re.DOTALL,
 )
+# The same without quoted values, for the rest of a page after a quote that is never closed.
+PLAIN_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.DOTALL)
+TAG_START = re.compile(r"</?[a-zA-Z]")
+
+
+def tokens(html: str) -> Generator[re.Match, int, None]:
+    """The tags and comments of a page in time linear in its length.
+
+    A mark that begins no tag is text. Where a quoted value swallows the rest of the page, quotes
+    no longer count from there on, so no part of a page is read more than twice. The reader may
+    send back a later position to go on from.
+    """
+    pattern, last_end = TOKEN, html.rfind(">")
+    at = html.find("<")
+    while at >= 0:
+        if at > last_end:  # nothing is closed from here on, but for a comment that runs to the end
+            at = html.find("<!--", at)
+            if at < 0:
+                return
+        token = pattern.match(html, at)
+        if token is None and pattern is TOKEN and TAG_START.match(html, at):
+            pattern = PLAIN_TOKEN
+            token = pattern.match(html, at)
+        if token is None:
+            at = html.find("<", at + 1)
+            continue
+        skip = yield token
+        at = html.find("<", token.end() if skip is None else skip)
+
+
 ATTRIBUTE = re.compile(
     r"""(?<![^\s"'/])(class|id|href)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.IGNORECASE
 )
 RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in ("script", "style")}
 
 
+@dataclass(frozen=True)
+class Selector:
+    """Elements by tag, class and link target."""
+
+    tag: str
+    css: str = ""
+    link_part: str = ""
+    linked: bool = False
+
+    def picks(self, classes: str, href: str | None) -> bool:
+        """``classes`` has blanks around each class."""
+        return (
+            (not self.css or f" {self.css} " in classes)
+            and (not self.link_part or (href is not None and self.link_part in href))
+            and (not self.linked or href is not None)
+        )
+
+
 class _Shredder:
     """Collects the elements and texts of many pages in flat columns."""
 
-    def __init__(self) -> None:
+    def __init__(self, chosen: Sequence[Selector] = (), labels: Sequence[str] = (), label_tags: Sequence[str] = ()) -> None:
         self.columns: dict[str, list] = {field.name: [] for field in ELEMENT}
         self.texts: list[str] = []
-        self.element_offsets, self.text_offsets = [0], [0]
+        self.own_texts: dict[int, str] = {}
+        self.hits: list[tuple[int, int]] = []
+        self.values: list[list[str | None]] = []
+        self.element_offsets, self.text_offsets, self.hit_offsets = [0], [0], [0]
+        self.labels, self.label_tags = labels, frozenset(label_tags)
+        self.by_tag: dict[str, list[tuple[int, Selector]]] = {}
+        for number, selector in enumerate(chosen):
+            self.by_tag.setdefault(selector.tag, []).append((number, selector))
 
     def page(self, html: str) -> None:
         columns, texts = self.columns, self.texts
@@ -69,45 +129,108 @@ class _Shredder:
         first_element, first_text = len(tags), len(texts)
         open_tags: list[str] = []
         open_at: list[int] = []
+        open_count: dict[str, int] = {}
 
         def add_text(piece: str) -> None:
             text = (unescape(piece) if "&" in piece else piece).strip()
             if text and not (open_tags and open_tags[-1] in HIDDEN_TAGS):
                 texts.append(text)
-
-        def close_to(depth: int) -> None:
-            here, seen = len(tags) - first_element - 1, len(texts) - first_text
-            for position in open_at[depth:]:
-                last[position] = here
-                t_to[position] = seen
-            del open_at[depth:], open_tags[depth:]
-
-        position = 0
-        while (token := TOKEN.search(html, position)) is not None:
+                if open_at:
+                    own = self.own_texts.get(open_at[-1])
+                    self.own_texts[open_at[-1]] = f"{own} {text}" if own else text
+
+        def close() -> str:
+            position, tag = open_at.pop(), open_tags.pop()
+            last[position] = len(tags) - first_element - 1
+            t_to[position] = len(texts) - first_text
+            open_count[tag] -= 1
+            return tag
+
+        position, found = 0, tokens(html)
+        token = next(found, None)
+        while token is not None:
             if token.start() > position:
                 add_text(html[position : token.start()])
             position = token.end()
             closing, tag, attributes = token.groups()
-            if tag is None:
-                continue
-            tag = tag.lower()
+            tag = tag.lower() if tag else None
             if closing:
-                if tag in open_tags:
-                    close_to(len(open_tags) - 1 - open_tags[::-1].index(tag))
-                continue
-            self._add(tag, attributes, open_at[-1] - first_element if open_at else -1, first_element, first_text)
-            if tag in VOID_TAGS or attributes.endswith("/"):
-                continue
-            open_tags.append(tag)
-            open_at.append(len(tags) - 1)
-            if tag in RAW_END:
-                end = RAW_END[tag].search(html, position)
-                position = end.start() if end else len(html)
+                while open_count.get(tag) and close() != tag:
+                    pass
+            elif tag is not None:
+                self._add(tag, attributes, open_at[-1] - first_element if open_at else -1, first_element, first_text)
+                if tag not in VOID_TAGS and not attributes.endswith("/"):
+                    open_tags.append(tag)
+                    open_at.append(len(tags) - 1)
+                    open_count[tag] = open_count.get(tag, 0) + 1
+                    if tag in RAW_END:
+                        end = RAW_END[tag].search(html, position)
+                        position = end.start() if end else len(html)
+            try:
+                token = found.send(position)
+            except StopIteration:
+                token = None
         if position < len(html):
             add_text(html[position:])
-        close_to(0)
+        while open_at:
+            close()
+        self._select(first_element, first_text)
         self.element_offsets.append(len(tags))
         self.text_offsets.append(len(texts))
+        self.hit_offsets.append(len(self.hits))
+
+    def _select(self, first_element: int, first_text: int) -> None:
+        """Collects what the selectors and labels of the job ask for on the page just read."""
+        columns = self.columns
+        if self.by_tag:
+            for at in range(first_element, len(columns["tag"])):
+                for number, selector in self.by_tag.get(columns["tag"][at], ()):
+                    if selector.picks(columns["classes"][at], columns["href"][at]):
+                        self.hits.append((number, at))
+        if self.labels:
+            self.values.append(self._labelled(first_element, first_text))
+
+    def _labelled(self, first_element: int, first_text: int) -> list[str | None]:
+        """For each label the text beside it: of the next other element under the same parent."""
+        columns, texts = self.columns, self.texts[first_text:]
+        starts = [0]
+        for text in texts:
+            starts.append(starts[-1] + len(text))
+        whole = "".join(texts)
+        lower = whole.lower()
+        if len(lower) != len(whole):  # lower case of some characters is longer
+            lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in whole)
+        spots = [at for at in range(first_element, len(columns["tag"])) if columns["tag"][at] in self.label_tags]
+        reach = lambda at: (starts[columns["t_from"][at]], starts[columns["t_to"][at]])
+        found: list[str | None] = []
+        for label in self.labels:
+            places, at = [], lower.find(label.lower())
+            while at >= 0:
+                places.append(at)
+                at = lower.find(label.lower(), at + 1)
+            spot = None
+            for x in spots if places else ():
+                begin, end = reach(x)
+                near = bisect_left(places, begin)
+                if near < len(places) and places[near] + len(label) <= end:
+                    spot = x
+                    break
+            found.append(None if spot is None else self._beside(spot, spots, reach, whole, first_element))
+        return found
+
+    def _beside(self, spot: int, spots: list[int], reach, whole: str, first_element: int) -> str | None:
+        columns = self.columns
+        parent = columns["parent"][spot]
+        end = columns["last"][first_element + parent] if parent >= 0 else len(columns["tag"]) - first_element
+        same = lambda x: columns["tag"][x] == columns["tag"][spot] and columns["classes"][x] == columns["classes"][spot]
+        text = lambda x: whole[slice(*reach(x))]
+        for x in spots[bisect_left(spots, first_element + parent + 1) :]:
+            if x - first_element > end:
+                return None
+            # an equal copy of the label is no value either
+            if columns["t_to"][x] > columns["t_from"][x] and not (same(x) and text(x) == text(spot)):
+                return text(x)
+        return None
 
     def _add(self, tag: str, attributes: str, parent: int, first_element: int, first_text: int) -> None:
         columns = self.columns
@@ -132,32 +255,82 @@ class _Shredder:
             [pa.array(self.columns[field.name], field.type) for field in ELEMENT], fields=list(ELEMENT)
         )
         elements = pa.ListArray.from_arrays(pa.array(self.element_offsets, pa.int32()), flat)
-        texts = pa.ListArray.from_arrays(pa.array(self.text_offsets, pa.int32()), pa.array(self.texts, pa.string()))
-        return elements, texts
-
-
-def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        htmls, start = batch.column(batch.num_columns - 1), 0
-        keys = [batch.column(i) for i in range(batch.num_columns - 1)]
-        names = batch.schema.names[:-1]
-        while start < batch.num_rows:
-            shredder, chars, row = _Shredder(), 0, start
-            while row < batch.num_rows and chars < PIECE_CHARS:
-                html = htmls[row].as_py() or ""
-                shredder.page(html)
-                chars += len(html)
-                row += 1
-            kept = [key.slice(start, row - start) for key in keys]
-            yield pa.RecordBatch.from_arrays([*kept, *shredder.arrays()], names=[*names, "elements", "texts"])
-            start = row
+        return elements, self._texts()
+
+    def _texts(self) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(self.text_offsets, pa.int32()), pa.array(self.texts, pa.string()))
+
+    def hit_arrays(self) -> tuple[pa.Array, pa.Array]:
+        """The selected elements of each page in document order, and the texts."""
+        pick = lambda name: pa.array([self.columns[name][at] for _, at in self.hits], HIT.field(name).type)
+        numbers = pa.array([number for number, _ in self.hits], pa.int32())
+        flat = pa.StructArray.from_arrays([numbers, *(pick(f.name) for f in list(HIT)[1:])], fields=list(HIT))
+        return pa.ListArray.from_arrays(pa.array(self.hit_offsets, pa.int32()), flat), self._texts()
+
+    def own_arrays(self) -> tuple[pa.Array, pa.Array]:
+        """Elements, and for each the texts that stand in it directly."""
+        own = pa.array([self.own_texts.get(at, "") for at in range(len(self.columns["tag"]))], pa.string())
+        return self.arrays()[0], pa.ListArray.from_arrays(pa.array(self.element_offsets, pa.int32()), own)
+
+    def label_arrays(self) -> tuple[pa.Array]:
+        return (pa.array(self.values, pa.list_(pa.string())),)
+
+
+def _reader(make: Callable[[], _Shredder], arrays: str, names: Sequence[str]):
+    """The function that reads the pages of a task's batches, some characters at a time."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            htmls, start = batch.column(batch.num_columns - 1), 0
+            keys = [batch.column(i) for i in range(batch.num_columns - 1)]
+            while start < batch.num_rows:
+                shredder, chars, row = make(), 0, start
+                while row < batch.num_rows and chars < PIECE_CHARS:
+                    html = htmls[row].as_py() or ""
+                    shredder.page(html)
+                    chars += len(html)
+                    row += 1
+                kept = [key.slice(start, row - start) for key in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, *getattr(shredder, arrays)()], names=[*batch.schema.names[:-1], *names]
+                )
+                start = row
+
+    return read
+
+
+def _read(pages: DataFrame, keys: Sequence[str], html: str, make, arrays: str, added: dict[str, str]) -> DataFrame:
+    chosen = pages.select(*keys, html)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
+    schema = ", ".join([*fields, *(f"{name} {kind}" for name, kind in added.items())])
+    return chosen.mapInArrow(_reader(make, arrays, list(added)), schema)
 
 
 def shredded(pages: DataFrame, keys: Sequence[str], html: str = "html") -> DataFrame:
     """The page keys with ``elements`` and ``texts`` in place of the HTML."""
-    chosen = pages.select(*keys, html)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(_shred_batches, f"{fields}, elements ARRAY<{ELEMENT_DDL}>, texts ARRAY<STRING>")
+    added = {"elements": f"ARRAY<{ELEMENT_DDL}>", "texts": "ARRAY<STRING>"}
+    return _read(pages, keys, html, _Shredder, "arrays", added)
+
+
+def selected(pages: DataFrame, keys: Sequence[str], chosen: Sequence[Selector], html: str = "html") -> DataFrame:
+    """The page keys with ``hits`` and ``texts``: the elements that any selector picks, in document order.
+
+    A hit has the selector's number; an element that several selectors pick is a hit of each.
+    """
+    added = {"hits": f"ARRAY<{HIT_DDL}>", "texts": "ARRAY<STRING>"}
+    return _read(pages, keys, html, lambda: _Shredder(chosen), "hit_arrays", added)
+
+
+def beside_labels(
+    pages: DataFrame, keys: Sequence[str], labels: Sequence[str], label_tags: Sequence[str], html: str = "html"
+) -> DataFrame:
+    """The page keys with ``values``: for each label the text beside it, null without one.
+
+    A label is the first element of the tags whose text contains it, in any case; its value is the first
+    other element of the tags with a text under the same parent.
+    """
+    make = lambda: _Shredder((), labels, label_tags)
+    return _read(pages, keys, html, make, "label_arrays", {"values": "ARRAY<STRING>"})
 
 
 def text_of(element: Column, texts: Column, base: Column | int = 0) -> Column:
@@ -171,45 +344,12 @@ def below(elements: Column, element: Column, base: Column | int = 0) -> Column:
     return F.slice(elements, element["idx"] - base + 2, element["last"] - element["idx"])
 
 
-@dataclass(frozen=True)
-class Selector:
-    """Elements by tag, class and link target."""
-
-    tag: str
-    css: str = ""
-    link_part: str = ""
-    linked: bool = False
-
-    def matches(self, element: Column) -> Column:
-        found = element["tag"] == self.tag
-        if self.css:
-            found = found & F.contains(element["classes"], F.lit(f" {self.css} "))
-        if self.link_part:
-            found = found & F.contains(element["href"], F.lit(self.link_part))
-        if self.linked:
-            found = found & element["href"].isNotNull()
-        return F.coalesce(found, F.lit(False))
-
-    def first(self, elements: Column) -> Column:
-        return F.get(F.filter(elements, self.matches), F.lit(0))
-
-
-def selectors(*patterns: str) -> list[Selector]:
-    """Selectors written ``tag``, ``tag.class`` or ``tag~part of the link``, with ``!`` for any link."""
-    found = []
-    for pattern in patterns:
-        linked = pattern.endswith("!")
-        name = pattern.rstrip("!")
-        head, _, part = name.partition("~")
-        tag, _, css = head.partition(".")
-        found.append(Selector(tag, css, part, linked))
-    return found
-
-
 def page_elements(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per element with its text."""
-    rows = shredded(pages, keys).select(*keys, "texts", F.explode("elements").alias("e"))
-    return rows.select(*keys, "e.*", text_of(F.col("e"), F.col("texts")).alias("text")).drop("t_from", "t_to")
+    """One row per element with the text that stands in it directly, pieces joined by a blank."""
+    added = {"elements": f"ARRAY<{ELEMENT_DDL}>", "own": "ARRAY<STRING>"}
+    rows = _read(pages, keys, "html", _Shredder, "own_arrays", added)
+    each = rows.select(*keys, F.explode(F.arrays_zip("elements", "own")).alias("e"))
+    return each.select(*keys, "e.elements.*", F.col("e.own").alias("text")).drop("t_from", "t_to")
 
 
 def page_links(pages: DataFrame, keys: Sequence[str], base: Column) -> DataFrame:
@@ -222,12 +362,34 @@ def page_links(pages: DataFrame, keys: Sequence[str], base: Column) -> DataFrame
 
 
 def absolute_url(href: Column, base: Column) -> Column:
-    """A link target against the scheme and host of a base address."""
+    """A link target against the address of its page."""
     host = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
     scheme = F.regexp_extract(base, r"^(https?:)", 1)
+    path = F.regexp_extract(base, r"^https?://[^/?#]+([^?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, "^(.*/)", 1), F.lit("")), F.lit("/"))
+    target = F.regexp_extract(href, "^([^?#]*)", 1)
+    tail = F.substring(href, F.length(target) + 1, F.length(href))
     return (
         F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(host, href))
-        .otherwise(F.concat(host, F.lit("/"), href))
+        .when(target.startswith("/"), F.concat(host, _without_dots(target), tail))
+        .when(target != "", F.concat(host, _without_dots(F.concat(folder, target)), tail))
+        .when(tail.startswith("?"), F.concat(host, path, tail))
+        .otherwise(F.concat(F.regexp_extract(base, "^([^#]*)", 1), tail))
+    )
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, with the steps ``.`` and ``..`` carried out."""
+    steps = F.split(F.substring(path, 2, 1_000_000_000), "/")
+    walked = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda done, step: F.when(step == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(step == ".", done)
+        .otherwise(F.concat(done, F.array(step))),
     )
+    # a path that ends in such a step is a folder
+    folder = F.element_at(steps, -1).isin(".", "..") & (F.size(walked) > 0)
+    whole = F.concat(F.lit("/"), F.array_join(walked, "/"), F.when(folder, F.lit("/")).otherwise(F.lit("")))
+    return F.when(F.contains(path, F.lit("/.")), whole).otherwise(path)

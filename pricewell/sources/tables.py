@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +38,24 @@ def as_price(whole_cents: Column) -> Column:
     return (whole_cents / F.lit(100.0)).cast(PRICE)
 
 
-def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Up to so many requests their codes, regions and periods are handed to the scans as values.
+PUSHED_REQUESTS = 1_000
+
+
+def _wanted(wanted: DataFrame) -> dict[str, list]:
+    """Codes, regions and the joint period of some requests; nothing if there are too many to list."""
+    columns = ["ktru_code", "customer_region", "date_from", "date_to"]
+    rows = wanted.select(*columns).limit(PUSHED_REQUESTS + 1).collect()
+    if not rows or len(rows) > PUSHED_REQUESTS:
+        return {}
+    return {column: sorted({r[column] for r in rows if r[column] is not None}) for column in columns}
+
+
+def contracts(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None) -> DataFrame:
     """One executed contract per order line, with its customer, supplier and item.
 
-    Only the columns a query uses are read: everything here is a projection over joins.
+    Only the columns a query uses are read: everything here is a projection over joins. Given the
+    ``wanted`` requests, the tables are cut by their codes, regions and joint period before they are joined.
     """
     line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
     order = table(spark, sf_dir, "orders")
@@ -48,6 +64,13 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier")
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
+    if wanted is not None and (values := _wanted(wanted)):
+        part = part.where(F.col("p_type").isin(values["ktru_code"]))
+        region = region.where(F.col("r_name").isin(values["customer_region"]))
+        if values["date_from"] and values["date_to"]:
+            # the column is a timestamp, and the last day counts to its end
+            end = values["date_to"][-1] + datetime.timedelta(days=1)
+            order = order.where((F.col("o_orderdate") >= F.lit(values["date_from"][0])) & (F.col("o_orderdate") < F.lit(end)))
     # the buyer is joined to the orders, so the larger lines are only shuffled for their own keys
     buyer = (
         order.join(customer, order.o_custkey == customer.c_custkey)

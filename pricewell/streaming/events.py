@@ -1,7 +1,9 @@
 """The event stream of searches and its folds.
 
 Every fold is a built-in aggregate, so a task sends at most one row per search through
-the shuffle, however many events one search has.
+the shuffle, however many events one search has. On a stream a fold is taken by day
+(``per_day``): the state of a day is dropped when the watermark has passed it, so it does not
+grow with the age of the stream. The days of a search are put together by ``over_days``.
 """
 
 from __future__ import annotations
@@ -31,41 +33,60 @@ def message_stream(raw: DataFrame, text: str, schema: str) -> DataFrame:
     return raw.select(F.from_json(text, schema).alias("e")).select("e.*")
 
 
-def _at(order: str = "ts", tie: str = "event_id") -> Column:
-    return F.struct(order, tie)
+def per_day(events: DataFrame, delay: str) -> DataFrame:
+    """The fold of each search and day; ``delay`` is how late events may come."""
+    kind = F.col("type")
+    terminal = kind.isin(*TERMINAL)
+    progress = F.struct("ts", "event_id", "processed_count", "found_total", "status")
+    return (
+        events.withWatermark("ts", delay)
+        .groupBy("search_id", F.window("ts", "1 day").alias("day"))
+        .agg(
+            F.max(F.when(kind == "progress", progress)).alias("latest"),
+            F.count("*").alias("events"),
+            F.count_if(kind == "result_added").alias("results_added"),
+            F.max("found_total").alias("found_total"),
+            F.min("ts").alias("first_ts"),
+            F.max("ts").alias("last_ts"),
+            F.min(F.when(terminal, F.struct("ts", "event_id", "type"))).alias("closing"),
+            F.count_if(terminal).alias("terminal_events"),
+        )
+        .withColumn("day", F.col("day.start"))
+    )
+
+
+def over_days(days: DataFrame) -> DataFrame:
+    """The fold of each search over its days."""
+    return days.groupBy("search_id").agg(
+        F.max("latest").alias("latest"),
+        F.sum("events").alias("events"),
+        F.sum("results_added").alias("results_added"),
+        F.max("found_total").alias("found_total"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.min("closing").alias("closing"),
+        F.sum("terminal_events").alias("terminal_events"),
+    )
 
 
-def latest_progress(events: DataFrame) -> DataFrame:
+def latest_progress(folds: DataFrame) -> DataFrame:
     """The last progress of each search: processed, total, status text and percentage."""
-    progress = events.filter(F.col("type") == "progress")
-    state = F.struct("ts", "processed_count", "found_total", "status")
-    latest = progress.groupBy("search_id").agg(F.max_by(state, _at()).alias("last")).select("search_id", "last.*")
+    latest = folds.filter(F.col("latest").isNotNull()).select("search_id", "latest.*").drop("event_id")
     return latest.withColumn("percentage", percent(F.col("processed_count"), F.col("found_total")))
 
 
-def progress_counts(events: DataFrame) -> DataFrame:
-    """Running counts per search: events, results added, largest stated total, run time so far."""
-    kind = F.col("type")
-    millis = lambda side: F.unix_millis(side)
-    return events.groupBy("search_id").agg(
-        F.count("*").alias("events"),
-        F.count_if(kind == "result_added").alias("results_added"),
-        F.max("found_total").alias("found_total"),
-        (millis(F.max("ts")) - millis(F.min("ts"))).alias("runtime_ms"),
-    )
+def progress_counts(folds: DataFrame) -> DataFrame:
+    """Counts per search: events, results added, largest stated total, run time so far."""
+    millis = F.unix_millis("last_ts") - F.unix_millis("first_ts")
+    return folds.select("search_id", "events", "results_added", "found_total", millis.alias("runtime_ms"))
 
 
-def search_status(events: DataFrame) -> DataFrame:
+def search_status(folds: DataFrame) -> DataFrame:
     """Status of each search: its first terminal event closes it, without one it runs."""
-    terminal = F.col("type").isin(*TERMINAL)
-    closed = F.min(F.when(terminal, F.struct("ts", "event_id", "type")))
-    rows = events.groupBy("search_id").agg(
-        closed.alias("closing"), F.max("ts").alias("last_ts"), F.count_if(terminal).alias("terminal_events")
-    )
     status = F.lit(RUNNING)
     for kind, name in TERMINAL.items():
         status = F.when(F.col("closing.type") == kind, F.lit(name)).otherwise(status)
-    return rows.select(
+    return folds.select(
         "search_id",
         status.alias("status"),
         F.col("closing.ts").alias("closed_at"),
@@ -80,6 +101,11 @@ def stop_flags(events: DataFrame, stop: Column) -> DataFrame:
     return events.filter(stop).groupBy("search_id").agg(F.min("ts").alias("stop_ts"))
 
 
+def live_flags(flags: DataFrame, as_of: Column, seconds: int = STATE_TTL_SECONDS) -> DataFrame:
+    """Stop flags not older than their time to live."""
+    return flags.filter(F.unix_micros("stop_ts") > F.unix_micros(as_of) - F.lit(seconds * 1_000_000))
+
+
 def until_stop(events: DataFrame, flags: DataFrame) -> DataFrame:
     """Events of each search up to its stop; works on a stream against a static flag table."""
     joined = events.join(flags, "search_id", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,56 +11,79 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pricewell.schemas import STATE_TTL_SECONDS
 from pricewell.streaming.events import TERMINAL
 
-STATE = (
+RESULT = (
     "events BIGINT, results_added BIGINT, last_ts TIMESTAMP, processed_count INT, found_total INT,"
     " closed_ts TIMESTAMP, closed_by STRING"
 )
-OUTPUT = f"search_id BIGINT, {STATE}"
+# Beside the result: when the run was last heard of, and which event gave its progress.
+STATE = f"{RESULT}, heard_ts TIMESTAMP, last_event BIGINT"
+OUTPUT = f"search_id BIGINT, {RESULT}"
 COLUMNS = [part.split()[0] for part in OUTPUT.split(", ")]
+FRESH = (0, 0, None, None, None, None, None, None, None)
 
 
-def _fold(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Folds the events of one search into its state; the state of a search idle for too long is dropped.
+def _number(value) -> int | None:
+    return None if pd.isna(value) else int(value)
 
-    The fold does not depend on the order of events and keeps one row per search, so the
-    events are read piece by piece and never gathered.
+
+def _folded(ttl_seconds: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Folds the events of a search into its current run.
+
+    A run ends when nothing is heard of the search for longer than the time to live: the next event
+    begins a new one. The first terminal event closes a run, and what comes after it in the run is
+    ignored. Events count in the order of time and id. The rule is one of event time alone, so
+    it does not matter how events fall into micro-batches; dropping the state of an idle search only
+    frees its room.
     """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    known = state.get if state.exists else (0, 0, None, None, None, None, None)
-    events, added, last_ts, processed, total, closed_ts, closed_by = known
-    expires = state.getCurrentWatermarkMs() + 1
-    for piece in pieces:
-        expires = max(expires, int(piece["ts"].max().timestamp() * 1000) + STATE_TTL_SECONDS * 1000)
-        events += len(piece)
-        added += int((piece["type"] == "result_added").sum())
-        progress = piece[piece["type"] == "progress"]
-        if len(progress):
-            newest = progress.loc[progress["ts"].idxmax()]
-            if last_ts is None or newest["ts"] > pd.Timestamp(last_ts):
-                last_ts = newest["ts"].to_pydatetime()
-                processed, total = int(newest["processed_count"]), int(newest["found_total"])
-        terminal = piece[piece["type"].isin(list(TERMINAL))]
-        if len(terminal):
-            first = terminal.loc[terminal["ts"].idxmin()]
-            if closed_ts is None or first["ts"] < pd.Timestamp(closed_ts):
-                closed_ts, closed_by = first["ts"].to_pydatetime(), first["type"]
-    values = (events, added, last_ts, processed, total, closed_ts, closed_by)
-    state.update(values)
-    state.setTimeoutTimestamp(expires)
-    yield pd.DataFrame([(key[0], *values)], columns=COLUMNS)
+    ttl = pd.Timedelta(seconds=ttl_seconds)
+
+    def fold(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        # the events of one search in one micro-batch, which the source's rate limit bounds
+        rows = pd.concat(list(pieces)).sort_values(["ts", "event_id"], kind="stable")
+        known = state.get if state.exists else FRESH
+        heard = None if known[7] is None else pd.Timestamp(known[7])
+        before = rows["ts"].shift()
+        before.iloc[0] = rows["ts"].iloc[0] if heard is None else heard
+        starts = (rows["ts"] - before > ttl).to_numpy().nonzero()[0]
+        if len(starts):
+            rows, known, heard = rows.iloc[starts[-1] :], FRESH, None
+        events, added, last_ts, processed, total, closed_ts, closed_by, _, last_event = known
+        newest = rows["ts"].iloc[-1]
+        heard = newest if heard is None else max(heard, newest)
+        if closed_ts is None:
+            ends = rows["type"].isin(list(TERMINAL)).to_numpy().nonzero()[0]
+            if len(ends):
+                rows = rows.iloc[: ends[0] + 1]
+                closed_ts, closed_by = rows["ts"].iloc[-1].to_pydatetime(), rows["type"].iloc[-1]
+            events += len(rows)
+            added += int((rows["type"] == "result_added").sum())
+            progress = rows[rows["type"] == "progress"]
+            if len(progress):
+                last = progress.iloc[-1]
+                if last_ts is None or (last["ts"], last["event_id"]) > (pd.Timestamp(last_ts), last_event):
+                    last_ts, last_event = last["ts"].to_pydatetime(), int(last["event_id"])
+                    processed, total = _number(last["processed_count"]), _number(last["found_total"])
+        result = (events, added, last_ts, processed, total, closed_ts, closed_by)
+        state.update((*result, heard.to_pydatetime(), last_event))
+        state.setTimeoutTimestamp(max(int((heard + ttl).timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
+        row = pd.DataFrame([(key[0], *result)], columns=COLUMNS)
+        yield row.astype({"processed_count": "Int32", "found_total": "Int32"})
+
+    return fold
 
 
-def search_progress(events: DataFrame, delay: str) -> DataFrame:
-    """A changed row per search and micro-batch.
+def search_progress(events: DataFrame, delay: str, ttl_seconds: int = STATE_TTL_SECONDS) -> DataFrame:
+    """A changed row per search and micro-batch, with the search's current run.
 
     The time to live runs on event time, ``delay`` being how late events may come; with
     wall-clock time a run over what is available would never find an end.
     """
     return (
-        events.select("search_id", "type", "ts", "processed_count", "found_total")
+        events.select("search_id", "event_id", "type", "ts", "processed_count", "found_total")
         .withWatermark("ts", delay)
         .groupBy("search_id")
-        .applyInPandasWithState(_fold, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(_folded(ttl_seconds), OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
     )

@@ -51,6 +51,19 @@ def test_groups_without_a_valid_price_have_no_ceiling(spark):
     assert (row.selected_count, row.priced_count, row.ceiling) == (2, 0, None)
 
 
+def test_groups_without_a_valid_price_stay(spark):
+    rows = [("a", None), ("a", Decimal(0)), ("b", Decimal(4)), ("b", None), (None, Decimal(6)), (None, Decimal(6))]
+    df = spark.createDataFrame(rows, "search_id STRING, unit_price DECIMAL(15,2)")
+    positions = prices.price_positions(df, ["search_id"], "unit_price")
+    cleaned = {r.search_id: (r.kept, r.mean_price) for r in prices.cleaned_mean(positions, ["search_id"]).collect()}
+    assert cleaned == {"a": (0, None), "b": (1, 4.0), None: (2, 6.0)}
+    middle = {r.search_id: (r.prices, r.median_price) for r in prices.median_price(positions, ["search_id"]).collect()}
+    assert middle == {"a": (0, None), "b": (1, 4.0), None: (2, 6.0)}
+    trimmed = {r.search_id: (r.used, r.trimmed_mean) for r in prices.trimmed_mean(positions, ["search_id"]).collect()}
+    assert trimmed == {"a": (0, None), "b": (1, 4.0), None: (2, 6.0)}
+    assert prices.without_outliers(df, ["search_id"]).count() == 3
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.dictionaries(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewell.operators import joins, quality, sizing
+from pricewell.plans.catalog import queries
 from pricewell.schemas import REQUESTS
 from pricewell.sources import tables
 
@@ -33,6 +34,39 @@ def test_invalid_requests_find_nothing(spark):
     assert joins.valid_requests(requests.withColumn("date_to", F.lit("1990-01-01").cast("date"))).count() == 0
 
 
+def test_defaults_and_rejects(spark):
+    requests = tables.requests(spark, SF).limit(4).withColumn("n", F.monotonically_increasing_id())
+    odd = requests.withColumns(
+        {
+            "limit_contracts": F.lit(None).cast("int"),
+            "law": F.when(F.col("n") != 0, F.col("law")),
+            "date_from": F.when(F.col("n") != 1, F.col("date_from")),
+        }
+    )
+    assert [r.limit_contracts for r in joins.valid_requests(odd).collect()] == [30, 30]
+    faults = {f for r in joins.rejected_requests(odd).collect() for f in r.faults}
+    assert faults == {"law is missing", "date_from is missing"}
+
+
+def test_requests_reach_the_scans(spark, capsys):
+    wanted = tables.requests(spark, SF).where("id = 'EUROPE/PROMO'")
+    rows = joins.candidates(tables.contracts(spark, SF, wanted), wanted)
+    plain = joins.candidates(tables.contracts(spark, SF), wanted)
+    columns = ["search_id", "contract_id"]
+    assert sorted(map(tuple, rows.select(*columns).collect())) == sorted(map(tuple, plain.select(*columns).collect()))
+    assert rows.count() > 0
+    rows.explain()
+    plan = capsys.readouterr().out
+    assert "p_type IN (PROMO)" in plan or "EqualTo(p_type,PROMO)" in plan or "p_type#" in plan and "PROMO" in plan
+    assert "GreaterThanOrEqual(o_orderdate" in plan and "EUROPE" in plan
+
+
+def test_head_limit_reads_few_columns(spark, capsys):
+    queries()["head_limit"](spark, SF).explain()
+    scans = [line for line in capsys.readouterr().out.splitlines() if "FileScan" in line]
+    assert scans and not any(c in line for line in scans for c in ("c_name", "s_name", "p_brand", "p_retailprice", "p_name"))
+
+
 def test_unknown_status_labels_fall_back_to_completed(spark):
     requests = tables.requests(spark, SF).withColumn("execution_statuses", F.array(F.lit("Черновик")))
     found = joins.candidates(tables.contracts(spark, SF), requests).select("execution_status").distinct()

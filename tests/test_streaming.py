@@ -29,13 +29,14 @@ def same(left, right):
 
 @pytest.mark.parametrize("fold", [events.latest_progress, events.progress_counts, events.search_status])
 def test_folds_equal_batch(spark, parts, fold):
-    batch = fold(live.as_search_events(spark.read.parquet(parts)))
-    same(runs.latest_per_key(fold(stream(spark, parts)), ["search_id"], "fold"), batch)
+    batch = fold(events.over_days(events.per_day(live.as_search_events(spark.read.parquet(parts)), "1 hour")))
+    days = runs.latest_per_key(events.per_day(stream(spark, parts), "1 hour"), ["search_id", "day"], "fold")
+    same(fold(events.over_days(days)), batch)
 
 
 def test_repeats_are_dropped_across_batches(spark, parts):
-    twice = stream(spark, parts).unionByName(stream(spark, parts))
-    once = runs.appended(events.without_repeats(twice, "60 days").select("event_id"), "once")
+    later = stream(spark, parts).withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 MINUTES"))
+    once = runs.appended(events.without_repeats(stream(spark, parts).unionByName(later), "2 hours").select("event_id"), "once")
     assert once.count() == once.distinct().count() == spark.read.parquet(parts).count()
 
 
@@ -47,34 +48,69 @@ def test_nothing_after_a_stop(spark, parts):
     assert late.count() == 0 and kept.filter("type = 'error'").count() == flags.count()
 
 
-def test_keyed_state_equals_folds_in_one_batch(spark, parts):
-    given = live.as_search_events(spark.read.parquet(parts))
-    schema = spark.read.parquet(parts).schema
-    whole = live.as_search_events(spark.readStream.schema(schema).parquet(parts))
-    got = runs.latest_per_key(state.search_progress(whole, "60 days"), ["search_id"], "state")
-    counts = events.progress_counts(given).select("search_id", "events", "results_added")
-    same(got.select("search_id", "events", "results_added"), counts)
-    closed = events.search_status(given).filter("closed_at IS NOT NULL").select("search_id", "closed_at")
-    same(got.filter("closed_ts IS NOT NULL").select("search_id", F.col("closed_ts").alias("closed_at")), closed)
+def runs_by_hand(rows, ttl):
+    """The current run of each search, folded event by event."""
+    current, heard = {}, {}
+    for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+        key = r.search_id
+        if key not in heard or (r.ts - heard[key]).total_seconds() > ttl:
+            current[key] = {"events": 0, "results_added": 0, "last_ts": None, "processed_count": None, "closed_by": None}
+        heard[key], run = r.ts, current[key]
+        if run["closed_by"]:
+            continue
+        run["events"] += 1
+        run["results_added"] += r.type == "result_added"
+        if r.type == "progress":
+            run["last_ts"], run["processed_count"] = r.ts, r.processed_count
+        if r.type in events.TERMINAL:
+            run["closed_by"] = r.type
+    return current
+
+
+@pytest.mark.parametrize("files", [1, 3, 1_000])
+@pytest.mark.parametrize("ttl", [3_600, 24 * 3_600])
+def test_keyed_state_does_not_depend_on_batches(spark, tmp_path, files, ttl):
+    path = str(tmp_path / "events")
+    raw = spark.read.parquet(f"{SF}/events.parquet")
+    raw = raw.withColumn("props", F.when(F.col("event_id") % 11 != 0, F.col("props")))
+    raw.repartitionByRange(23, "ts").write.parquet(path)
+    source = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", files).parquet(path)
+    got = runs.latest_per_key(state.search_progress(live.as_search_events(source), "1 minute", ttl), ["search_id"], "state")
+    want = runs_by_hand(live.as_search_events(raw).collect(), ttl)
+    assert {r.search_id: {k: r[k] for k in want[r.search_id]} for r in got.collect()} == want
+
+
+EVENT_ROWS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
+
+def sent(spark, path, rows):
+    """Writes events one file each and reads them one per micro-batch."""
+    for i, key, when, kind, props in rows:
+        row = spark.sql("SELECT 1").select(
+            F.lit(i).cast("long"), F.lit(when).cast("timestamp"), F.lit(key).cast("long"), F.lit(kind), F.lit(0.0),
+            F.lit(props).cast("string"),
+        ).toDF(*[c.split()[0] for c in EVENT_ROWS.split(", ")])
+        row.coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    return live.as_search_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
 
 
 def test_idle_state_expires(spark, tmp_path):
-    path = str(tmp_path / "events")
-    rows = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-    at = lambda i, key, when: spark.sql(
-        f"SELECT {i}L, timestamp'{when}', {key}L, 'view', 0D, '{{\"k\": {i}}}'"
-    ).toDF(*[c.split()[0] for c in rows.split(", ")])
     # search 1 pauses for three hours while search 2 moves the watermark on
-    for i, (key, when) in enumerate(
-        [(1, "2024-01-01 00:00:00"), (2, "2024-01-01 02:00:00"), (2, "2024-01-01 02:30:00"), (1, "2024-01-01 03:00:00")]
-    ):
-        at(i, key, when).coalesce(1).write.mode("append").parquet(path)
-    schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = runs.latest_per_key(state.search_progress(live.as_search_events(source), "1 minute"), ["search_id"], "ttl")
+    times = [(1, "2024-01-01 00:00:00"), (2, "2024-01-01 02:00:00"), (2, "2024-01-01 02:30:00"), (1, "2024-01-01 03:00:00")]
+    source = sent(spark, str(tmp_path / "events"), [(i, k, t, "view", f'{{"k": {i}}}') for i, (k, t) in enumerate(times)])
+    got = runs.latest_per_key(state.search_progress(source, "1 minute"), ["search_id"], "ttl")
     assert {r.search_id: r.events for r in got.collect()} == {1: 1, 2: 2}
 
 
+def test_ties_and_missing_counts(spark, tmp_path):
+    when = "2024-01-01 00:00:00"
+    rows = [(2, 1, when, "view", '{"k": 2}'), (1, 1, when, "view", '{"k": 1}'), (3, 2, when, "view", None)]
+    source = sent(spark, str(tmp_path / "events"), rows)
+    got = runs.latest_per_key(state.search_progress(source, "1 minute"), ["search_id"], "ties").collect()
+    assert {r.search_id: (r.events, r.processed_count) for r in got} == {1: (2, 2), 2: (1, None)}
+
+
 def test_messages_are_read_back(spark, tmp_path):
     sent = events.channel_messages(live.search_events(spark, SF).select("search_id", "type"))
     assert sent.first().channel.startswith("search:")

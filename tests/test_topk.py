@@ -90,7 +90,8 @@ def test_freshest_first(spark):
 
 
 def test_partitioned_sink_keeps_all_rows(spark, df, rows, tmp_path):
-    sinks.write_partitioned(df, str(tmp_path / "t"), "g", ["id"])
+    sinks.write_partitioned(df, str(tmp_path / "t"), "g", file_rows=100)
+    assert len(list((tmp_path / "t" / "g=hot").glob("*.parquet"))) >= 5
     assert spark.read.parquet(str(tmp_path / "t")).count() == len(rows)
 
 
@@ -98,3 +99,18 @@ def test_nested_columns_pass_through(df, rows):
     nested = df.withColumn("m", F.create_map(F.lit("id"), F.col("id"))).withColumn("a", F.array("id"))
     got = topk.top_k(nested, ["g"], order(), 3).collect()
     assert {tuple(r)[:3] for r in got} == best(rows, 3) and all(r.m["id"] == r.a[0] == r.id for r in got)
+
+
+def test_no_row_is_lost_to_a_bound(spark):
+    df = spark.range(3_000).select(F.lit("a").alias("g"), F.col("id"), F.lit(2_500).alias("k"))
+    assert topk.top_k(df, ["g"], [F.asc("id")], F.col("k")).count() == 2_500
+    assert topk.top_k(df, ["g"], [F.asc("id")], F.col("k"), at_most=2_600).count() == 2_500
+
+
+def test_null_keys_and_steps_are_kept(spark):
+    rows = [("a", 3, 1), ("a", None, 2), (None, 5, 3), (None, None, 4), (None, 5, 5), ("a", None, 6)]
+    df = spark.createDataFrame(rows, "g STRING, day INT, id INT")
+    got = topk.numbered(df, ["g"], [(F.col("day"), True)], [F.desc("day"), F.asc("id")], "n").collect()
+    assert {r.id: r.n for r in got} == {1: 1, 2: 2, 6: 3, 3: 1, 5: 2, 4: 3}
+    totals = topk.with_group_total(df, df, ["g"]).collect()
+    assert {r.id: r.total for r in totals} == {i: 3 for i in range(1, 7)}
