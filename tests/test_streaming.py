@@ -73,7 +73,10 @@ def test_keyed_state_does_not_depend_on_batches(spark, tmp_path, files, ttl):
     path = str(tmp_path / "events")
     raw = spark.read.parquet(f"{SF}/events.parquet")
     raw = raw.withColumn("props", F.when(F.col("event_id") % 11 != 0, F.col("props")))
-    raw.repartitionByRange(23, "ts").write.parquet(path)
+    # one file after the other, so that the stream finds them in the order of time
+    for day in range(1, 31, 4):
+        part = raw.where(F.dayofmonth("ts").between(day, day + 3))
+        part.coalesce(1).write.mode("append").parquet(path)
     source = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", files).parquet(path)
     got = runs.latest_per_key(state.search_progress(live.as_search_events(source), "1 minute", ttl), ["search_id"], "state")
     want = runs_by_hand(live.as_search_events(raw).collect(), ttl)
