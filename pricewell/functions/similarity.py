@@ -14,8 +14,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-# More remembered pairs than this are forgotten before the next batch.
-REMEMBERED_PAIRS = 200_000
+# Remembered pairs are forgotten before the next batch when their texts take more bytes than this.
+REMEMBERED_BYTES = 64_000_000
+# What a pair takes beside its characters.
+PAIR_BYTES = 250
 
 
 def _positions(text: str) -> dict[str, int]:
@@ -105,18 +107,26 @@ def best_ratio(a: str, b: str) -> float:
 
 def _batched(score: Callable[[str, str], float]):
     known: dict[tuple[str, str], float] = {}
+    held = 0
 
     def apply(left: pd.Series, right: pd.Series) -> pd.Series:
-        if len(known) > REMEMBERED_PAIRS:
+        nonlocal held
+        if held > REMEMBERED_BYTES:
             known.clear()
+            held = 0
         scores: list[float | None] = []
         for pair in zip(left, right):
             if None in pair:
                 scores.append(None)
                 continue
-            if pair not in known:
-                known[pair] = score(*pair)
-            scores.append(known[pair])
+            found = known.get(pair)
+            if found is None:
+                found = score(*pair)
+                size = PAIR_BYTES + 4 * (len(pair[0]) + len(pair[1]))
+                if held + size <= 2 * REMEMBERED_BYTES:
+                    known[pair] = found
+                    held += size
+            scores.append(found)
         return pd.Series(scores, dtype="float64")
 
     return F.pandas_udf(apply, "double")

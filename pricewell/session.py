@@ -44,9 +44,23 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+# The scratch folders this driver has handed out and not dropped yet.
+_handed_out: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the scratch root."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the scratch root; ``drop_scratch`` removes it."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes the scratch folders of this driver, once the results that read them are written or collected."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _handed_out:
+        path = jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:

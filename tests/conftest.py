@@ -6,7 +6,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 
-from pricewell.session import build_session  # noqa: E402
+from pricewell.session import build_session, drop_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,4 +20,5 @@ def spark():
         spark__driver__memory="6g",
     )
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    drop_scratch(session)
