@@ -80,7 +80,7 @@ def op3_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     chain = toxicity.trained(toxicity.labelled_rows(docs, read(spark, sf_dir, "labels")))
-    return toxicity.scored(docs.select("doc_id", "text"), chain).select(
+    return toxicity.scored(docs, chain, keep=["doc_id"]).select(
         "doc_id", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in chain.categories], F.col("rejected").alias("toxic")
     )
 

@@ -23,6 +23,28 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def sampled(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """At most ``most`` rows, the first by a hash of a column; fewer where the rows are few.
+
+    The hash cuts nearly all other rows off where they are, so some ``2 * most`` rows are gathered
+    in all, however many rows and partitions there are.
+    """
+    total = rows.count()
+    if total <= most:
+        return rows
+    span = 1 << 40
+    place = F.pmod(F.xxhash64(F.lit("sample"), by), F.lit(span))
+    near = rows.withColumn("__place", place).where(F.col("__place") < int(min(1.0, 2 * most / total) * span))
+    return near.orderBy("__place", by).limit(most).drop("__place")
+
+
+def sent_to_python(docs: DataFrame, carried: list[str], text_col: str) -> tuple[DataFrame, str]:
+    """The columns for a function over texts and the name of the text among them; a carried text is sent once."""
+    if text_col in carried and isinstance(docs.schema[text_col].dataType, T.StringType):
+        return docs.select(*carried), text_col
+    return docs.select(*carried, whole_text(text_col).alias("__text")), "__text"
+
+
 def key_of(column: str) -> Column:
     """A key for equality joins in which null matches null."""
     return F.struct(F.col(column).isNull().alias("none"), F.coalesce(F.col(column), F.lit(0)).alias("id"))

@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewell.llm.tables import text_ranges, whole_text, with_fields
+from pricewell.llm.tables import sampled, sent_to_python, text_ranges, whole_text, with_fields
 from pricewell.session import materialized
 
 #: The chain over the labels of the sample tables: harmful in either way, of low quality, toxic.
@@ -27,24 +28,46 @@ CATEGORIES = ["harmful", "low_quality", "toxic"]
 #: At most so many labelled rows train the chain, the first by a hash of their id.
 MOST_LABELLED = 8_000
 #: At most so many features a category; each must be this significant (log-likelihood ratio) and in so many rows.
-MOST_FEATURES, LEAST_RATIO, LEAST_ROWS = 600, 9.0, 3
+MOST_FEATURES, LEAST_RATIO, LEAST_ROWS = 600, 6.0, 2
 FOLDS = 4
-PREFIXES = (4, 5)
+#: Lengths of beginnings, and those that count from the first word on.
+PREFIXES, SHORT_PREFIXES = (4, 5, 6, 7, 8), (4, 5)
 #: Texts are scored so many bytes at a time.
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 2_000_000
 WORD = re.compile(r"[^\W\d_]+")
 MARK, UPPER = re.compile(r"[^\w\s]"), re.compile("[A-Z\xc0-\xde]")
 
 
-def features(text: str) -> set[str]:
-    """Words in lower case, the beginnings of longer words, and classes of the text's shape."""
+def features(text: str, wanted: dict[int, set[str]] | None = None) -> set[str]:
+    """Words in lower case, beginnings of words, and classes of the text's shape and size.
+
+    A beginning counts from its first word on if it is short, and from the second and third
+    different word that has it whatever its length: word forms with a common stem. ``wanted`` has the
+    beginnings, by length, that matter to the caller; others may be left out.
+    """
     words = set(WORD.findall(text.lower()))
     found = set(words)
     for size in PREFIXES:
-        found |= {f"{w[:size]}*" for w in words if len(w) > size}
+        known = None if wanted is None else wanted.get(size)
+        if wanted is not None and not known:
+            continue
+        seen: dict[str, int] = {}
+        for word in words:
+            if len(word) > size:
+                start = word[:size]
+                if known is None or start in known:
+                    seen[start] = seen.get(start, 0) + 1
+        for start, n in seen.items():
+            if size in SHORT_PREFIXES:
+                found.add(f"{start}*1")
+            if n > 1:
+                found.add(f"{start}*2")
+            if n > 2:
+                found.add(f"{start}*3")
     n = max(1, len(text))
-    upper = len(UPPER.findall(text))
-    found |= {f"#marks{int(20 * len(MARK.findall(text)) / n)}", f"#upper{int(10 * upper / n)}", f"#kinds{int(10 * len(words) / max(1, len(text.split())))}"}
+    marks, upper, tokens = len(MARK.findall(text)), len(UPPER.findall(text)), max(1, len(text.split()))
+    found |= {f"#marks{20 * marks // n}", f"#upper{10 * upper // n}", f"#kinds{10 * len(words) // tokens}"}
+    found |= {f"#size{i}" for i in range(4, tokens.bit_length())}
     return found
 
 
@@ -88,9 +111,15 @@ class Chain:
     place: dict[str, int]
     links: list[Link]
 
+    def __post_init__(self) -> None:
+        self.wanted: dict[int, set[str]] = {}
+        for name in self.place:
+            if name[-2:-1] == "*":
+                self.wanted.setdefault(len(name) - 2, set()).add(name[:-2])
+
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """A row of probabilities for each text, a column for each category."""
-        hits = [[self.place[f] for f in features(t) if f in self.place] for t in texts]
+        hits = [[self.place[f] for f in features(t, self.wanted) if f in self.place] for t in texts]
         rows = np.repeat(np.arange(len(texts)), np.array([len(h) for h in hits], np.int64))
         columns = np.array([c for h in hits for c in h], dtype=np.int64)
         out = np.zeros((len(texts), 0))
@@ -134,7 +163,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     some = worst.select(
         "doc_id", F.greatest(low, toxic).alias("harmful"), low.alias("low_quality"), toxic.alias("toxic")
     )
-    sample = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    sample = sampled(some, "doc_id", most)
     # the sample is bounded by its parameter
     return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id")
 
@@ -143,12 +172,14 @@ def trained(labelled: DataFrame, categories: list[str] = CATEGORIES) -> Chain:
     """Fits the chain on labelled rows: ``doc_id``, ``text`` and a column for each category."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sorted(features(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.string())), *(batch.column(i + 2) for i in range(len(categories)))],
-                names=["doc_id", "features", *categories],
-            )
+        for whole in batches:
+            for start, end in text_ranges(whole.column(1), TEXT_BYTES):
+                batch = whole.slice(start, end - start)
+                found = [sorted(features(t)) for t in batch.column(1).to_pylist()]
+                flags = [batch.column(i + 2) for i in range(len(categories))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(found, pa.list_(pa.string())), *flags], names=["doc_id", "features", *categories]
+                )
 
     flags = ", ".join(f"{c} double" for c in categories)
     rows = labelled.select("doc_id", "text", *(F.col(c).cast("double").alias(c) for c in categories))
@@ -197,23 +228,33 @@ def trained(labelled: DataFrame, categories: list[str] = CATEGORIES) -> Chain:
     return Chain(categories, chosen, fit_chain(row, column, labels, folds, len(chosen)))
 
 
-def scored(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+#: The probability of the last category from which a document is rejected.
+THRESHOLD = 0.4
+
+
+def scored(
+    docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None
+) -> DataFrame:
     """The rows with ``p_<category>`` for each category and ``rejected``: the last one's reaches the threshold.
 
     Whole texts are scored; null counts as empty, and a text without any known feature has the
-    probabilities of the intercepts. Columns of the input with these names are replaced.
+    probabilities of the intercepts. Columns of the input with these names are replaced. ``keep`` names the
+    columns of the input that come back, otherwise all do.
     """
     added = [T.StructField(f"p_{c}", T.DoubleType(), False) for c in chain.categories]
-    schema = with_fields(docs.schema, *added, T.StructField("rejected", T.BooleanType(), False))
+    kept = docs.schema if keep is None else T.StructType([docs.schema[c] for c in keep])
+    schema = with_fields(kept, *added, T.StructField("rejected", T.BooleanType(), False))
     carried = [f.name for f in schema.fields[: -len(added) - 1]]
+    sent, text = sent_to_python(docs, carried, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start, end in text_ranges(whole.column("__text"), TEXT_BYTES):
+            texts = pc.fill_null(whole.column(text), "")
+            for start, end in text_ranges(texts, TEXT_BYTES):
                 batch = whole.slice(start, end - start)
-                p = chain.probabilities(batch.column("__text").to_pylist())
+                p = chain.probabilities(texts.slice(start, end - start).to_pylist())
                 found = [pa.array(np.ascontiguousarray(p[:, i])) for i in range(p.shape[1])]
                 rejected = pa.array(p[:, -1] >= threshold)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *found, rejected], names=schema.names)
 
-    return docs.select(*carried, whole_text(text_col).alias("__text")).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
