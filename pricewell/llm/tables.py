@@ -66,9 +66,12 @@ def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
     """What ``make`` gives, made once in a Python worker and kept for its later tasks.
 
     Functions travel to the workers by value, so a module's own variables begin anew with each task.
+    A worker keeps one such thing: what an earlier operator left there goes when the next one begins.
     """
     kept = sys.__dict__.setdefault("_kept_in_worker", {})
     if key not in kept:
+        kept.clear()
+        pa.default_memory_pool().release_unused()
         kept[key] = make()
     return kept[key]
 
