@@ -17,11 +17,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewell.llm.tables import kept_in_worker, text_ranges, whole_text, with_fields
+from pricewell.llm.tables import kept_in_worker, sent_to_python, text_ranges, with_fields
 
 #: The words of this kind of vocabulary, and the printable characters for its bytes.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -195,22 +196,25 @@ def encoded(
     batch_bytes: int = 4_000_000,
     finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None,
     finished: str | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """The rows with ``token_ids`` and ``decoded``, the text that the ids give back.
 
     Whole texts are encoded; null counts as empty and has no ids. Columns of the input with these
     names are replaced, all others stay. ``path`` names a vocabulary file that every worker can read.
-    ``finish`` is applied to the batches of the result in the same worker and gives rows of the schema
+    ``keep`` names the columns of the input that come back, otherwise all do. ``finish`` is applied to the batches of the result in the same worker and gives rows of the schema
     ``finished``, so that ids which are only summed up need not leave it.
     """
     ids_type = T.StructField("token_ids", T.ArrayType(T.IntegerType(), False), False)
-    schema = with_fields(docs.schema, ids_type, T.StructField("decoded", T.StringType(), False))
+    kept = docs.schema if keep is None else T.StructType([docs.schema[c] for c in keep])
+    schema = with_fields(kept, ids_type, T.StructField("decoded", T.StringType(), False))
     carried = [f.name for f in schema.fields[:-2]]
+    sent, text = sent_to_python(docs, carried, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept_in_worker(("bpe", path), lambda: Tokenizer(path))
         for batch in batches:
-            texts = batch.column("__text")
+            texts = pc.fill_null(batch.column(text), "")
             for start, end in text_ranges(texts, batch_bytes):
                 ids = model.encode_batch(texts.slice(start, end - start).to_pylist())
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
@@ -220,7 +224,7 @@ def encoded(
                 result = pa.RecordBatch.from_arrays([*(kept.column(c) for c in carried), rows, back], names=schema.names)
                 yield finish(result) if finish else result
 
-    return docs.select(*carried, whole_text(text_col).alias("__text")).mapInArrow(run, finished or schema)
+    return sent.mapInArrow(run, finished or schema)
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -248,4 +252,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     ``ids_sha256`` is over the ids as little-endian unsigned 32-bit numbers, ``decoded_sha256`` over UTF-8.
     """
-    return encoded(docs.select("doc_id", "text"), path, finish=_digested, finished=DIGESTS)
+    return encoded(docs, path, finish=_digested, finished=DIGESTS, keep=["doc_id"])
