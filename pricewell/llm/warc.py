@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm.tables import whole_text
+from pricewell.llm.tables import sampled, whole_text
 from pricewell.session import materialized, scratch_dir
 
 #: Fixed values of the formats: the magic numbers of the dictionary's frame and of a frame, line ends, versions.
@@ -145,14 +145,10 @@ def trained_dictionary(payloads: DataFrame) -> bytes | None:
     """A dictionary from a bounded sample of payloads, or none where there are too few."""
     import zstandard
 
-    rows = (
-        payloads.select(F.substring("payload", 1, SAMPLE_BYTES).alias("p"), F.xxhash64("page_id").alias("h"))
-        .where(F.octet_length("p") > 8)
-        .orderBy("h")
-        .limit(SAMPLE_ROWS)
-        .collect()
-    )
-    sample = [bytes(r.p) for r in rows]
+    ids = sampled(payloads.select("page_id").where("page_id is not null"), "page_id", SAMPLE_ROWS).distinct()
+    beginning = F.substring("payload", 1, SAMPLE_BYTES).alias("p")
+    rows = payloads.join(F.broadcast(ids), "page_id").select("page_id", beginning).where(F.octet_length("p") > 8)
+    sample = [bytes(r.p) for r in sorted(rows.dropDuplicates(["page_id"]).collect(), key=lambda r: r.page_id)]
     if len(sample) < 20:
         return None
     try:
