@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewell.llm.tables import whole_text
+from pricewell.llm.tables import sampled, whole_text
 
 #: The base patterns.
 ASSIGN = (
@@ -143,11 +143,12 @@ def shown(spans: Column) -> Column:
 def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A bounded labelled sample (token, random) for the models.
 
-    Of ``SAMPLE_ROWS`` documents, the first by a hash of the id, the values that the assign pattern finds are
+    Of the documents with ``SAMPLE_ROWS`` ids, the first by a hash, the values that the assign pattern finds are
     random strings and long words are ordinary. ``DIGESTS`` digests of numbers, in base 64 and hex,
     are random strings too, so that a sample without secrets still gives a model.
     """
-    rows = docs.select(whole_text(text_col).alias("t"), F.xxhash64(id_col).alias("h")).orderBy("h").limit(SAMPLE_ROWS)
+    ids = sampled(docs.select(id_col).where(F.col(id_col).isNotNull()), id_col, SAMPLE_ROWS).distinct()
+    rows = docs.select(id_col, whole_text(text_col).alias("t")).join(F.broadcast(ids), id_col)
     number = F.col("id").cast("string").cast("binary")
     digests = docs.sparkSession.range(DIGESTS).select(
         F.explode(F.array(F.regexp_replace(F.base64(F.unhex(F.sha2(number, 256))), "=", ""), F.sha1(number))).alias("token")
