@@ -9,8 +9,8 @@ An event log has the columns ``conv_id``, ``place`` (a message's position in its
 - ``regenerate``: what the message had so far is thrown away, ``text`` begins it anew;
 - ``retract``: the message goes, unless a later event begins it again.
 
-Only DataFrame functions are used. A fold touches the events of one message, so a long
-conversation spreads over all tasks until its finished turns are put together.
+Only DataFrame functions are used. Events are shuffled once, by conversation and block of places, so a
+long conversation spreads over many tasks until its finished blocks are put together.
 """
 
 from __future__ import annotations
@@ -42,8 +42,13 @@ def _role(role: Column) -> Column:
     return F.replace(escaped(role), F.lit("\n"), F.lit("\\\n"))
 
 
+def block_of(place: str) -> Column:
+    """The block of a place; a null place has one of its own."""
+    return F.floor(F.coalesce(F.col(place).cast("double"), F.lit(-1.0)) / BLOCK).cast("long")
+
+
 def folded(events: DataFrame) -> DataFrame:
-    """The final messages: conv_id, place, message, role, text.
+    """The final messages: conv_id, block, place, message, role, text.
 
     Events of a message are taken by ``seq``; an event delivered twice counts once; events that
     share a ``seq`` are taken by op, role and text. The text runs from the last reset on. Null
@@ -52,8 +57,9 @@ def folded(events: DataFrame) -> DataFrame:
     its own.
     """
     role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    known = events.where(F.col("op").isin(*RESETS, "delta"))
-    sets = known.groupBy("conv_id", "place", "message").agg(
+    known = events.where(F.col("op").isin(*RESETS, "delta")).withColumn("block", block_of("place"))
+    # a block's messages meet in one task, where they are folded and later joined
+    sets = known.repartition("conv_id", "block").groupBy("conv_id", "block", "place", "message").agg(
         F.array_sort(F.collect_set(F.struct("seq", "op", role, text))).alias("e")
     )
     last = F.array_max(F.transform("e", lambda x, i: F.when(x["op"].isin(RESETS), i + 1).otherwise(F.lit(0))))
@@ -64,6 +70,7 @@ def folded(events: DataFrame) -> DataFrame:
         .where(F.coalesce(F.try_element_at("e", F.nullif("last", F.lit(0)))["op"] != "retract", F.lit(True)))
         .select(
             "conv_id",
+            "block",
             "place",
             "message",
             F.coalesce(F.try_element_at(started, F.lit(-1)), F.lit("")).alias("role"),
@@ -86,12 +93,12 @@ def rendered(messages: DataFrame, learn: str = "assistant") -> DataFrame:
     body = escaped(text)
     turn = messages.select(
         "conv_id",
+        "block" if "block" in messages.columns else block_of("place").alias("block"),
         F.struct("place", "message").alias("at"),
         F.concat(head, body, F.lit(TURN_END)).alias("turn"),
         F.when(role == learn, F.struct(F.length(head).alias("start"), (F.length(head) + F.length(body)).alias("end"))).alias("span"),
     )
-    block = F.floor(F.coalesce(F.col("at.place").cast("double"), F.lit(-1.0)) / BLOCK).cast("long")
-    blocks = turn.groupBy("conv_id", block.alias("block")).agg(
+    blocks = turn.groupBy("conv_id", "block").agg(
         F.array_sort(F.collect_list(F.struct("at", "turn", "span"))).alias("turns")
     )
     joined = blocks.select(
@@ -139,30 +146,31 @@ def read_back(formatted: DataFrame) -> DataFrame:
     ).drop("__turn")
 
 
-def event_log(conversations: DataFrame, piece: int = 400) -> DataFrame:
+def event_log(conversations: DataFrame, piece: int = 400, draft_chars: int = 40) -> DataFrame:
     """The event log by which a table of turns (conv_id, turn, role, text) would have been streamed.
 
     An assistant's turn begins with a draft that is thrown away and streamed anew in pieces;
     other turns are begun with a part of the text and then edited. Rows that repeat a turn are
-    turns of their own, by role and text.
+    turns of their own, by role and text: a message's id has the number of its row, which a table read
+    from files always gives alike.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    rows = conversations.groupBy("conv_id", "turn", role.alias("role"), text.alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    number = F.monotonically_increasing_id().alias("row")
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), number)
     pieces = F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / piece)).cast("int")),
         lambda i: F.substring(F.col("text"), i * piece + 1, F.lit(piece)),
     )
-    message = F.struct("role", F.sha2("text", 256).alias("digest"), F.col("copy"))
+    message = F.struct("role", F.sha2("text", 256).alias("digest"), "row")
     event = lambda seq, op, text: F.struct(seq.alias("seq"), F.lit(op).alias("op"), text.alias("text"))
-    draft = F.substring("text", 1, piece // 2)
+    draft = F.substring("text", 1, draft_chars)
     streamed = F.concat(
         F.array(event(F.lit(0), "start", F.lit("")), event(F.lit(1), "delta", draft), event(F.lit(2), "regenerate", F.lit(""))),
         F.transform(pieces, lambda x, i: F.struct((i + 3).alias("seq"), F.lit("delta").alias("op"), x.alias("text"))),
     )
     edited = F.array(event(F.lit(0), "start", draft), event(F.lit(1), "edit", F.col("text")))
     return (
-        rows.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-        .select("conv_id", F.col("turn").alias("place"), message.alias("message"), "role", F.when(F.col("role") == "assistant", streamed).otherwise(edited).alias("e"))
+        rows.select("conv_id", F.col("turn").alias("place"), message.alias("message"), "role", F.when(F.col("role") == "assistant", streamed).otherwise(edited).alias("e"))
         .select("conv_id", "place", "message", "role", F.explode("e").alias("e"))
         .select("conv_id", "place", "message", "role", "e.seq", "e.op", "e.text")
     )
