@@ -32,7 +32,7 @@ CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{CANDIDATE_LEAST},}}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
 #: Mean log ratio of a character from which a candidate is a secret.
-THRESHOLD = 0.8
+THRESHOLD = 0.5
 #: What trains the models: so many documents at most, and so many digests. Ordinary strings are long words.
 SAMPLE_ROWS, DIGESTS = 2_000, 2_000
 WORD = r"[A-Za-z][A-Za-z_-]{7,}"
