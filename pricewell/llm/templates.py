@@ -3,13 +3,14 @@
 Numbers, names and units become typed placeholders; windows of so many template tokens of the
 documents are joined by hash with those of the benchmark. Where windows meet, the values in their
 slots are laid side by side: a copy has the same ones, a re-parameterised question has others, but
-the same one for the same one throughout. A filter of fixed size over the benchmark's windows keeps
+the same name for the same name along a run. A filter of fixed size over the benchmark's windows keeps
 nearly all other windows of the documents from being shuffled at all.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,7 @@ NUMBER_WORDS = set("two three four five six seven eight nine ten eleven twelve t
 TOKEN = re.compile(r"[.!?\n]|\d[\d.,]*\d|\d|[^\W\d_]+")
 PLAIN, STOP, NUMBER, CAPITAL, UNIT = range(5)
 PLACEHOLDER = {NUMBER: "number", CAPITAL: "name", UNIT: "unit"}
+EVIDENCE = "n_windows long, position long, reworded boolean"
 WINDOWS = "id long, window long, position long, words array<string>"
 
 
@@ -157,12 +159,46 @@ def _filter(benchmark_windows: DataFrame) -> np.ndarray:
     return np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
 
 
+def evidence(windows: list) -> tuple[int, int, bool]:
+    """Windows of one alignment (position, changed, names) that count, the first of them, and whether a slot was changed.
+
+    Numbers and units are independent slots: the same value twice need not mean the same quantity. A name means
+    one person, so a name that meets two others speaks against a copy: windows over it count only where
+    they are unchanged, or inside a run of windows in which it meets one name, and that more than once.
+    """
+    windows = sorted(windows, key=lambda w: w["position"])
+    met = defaultdict(set)
+    for w in windows:
+        for n in w["names"]:
+            met[n["asked"]].add(n["found"])
+    torn = {name for name, others in met.items() if len(others) > 1}
+    best = [w for w in windows if not w["changed"] or torn.isdisjoint(n["asked"] for n in w["names"])]
+    start, last = 0, {}  # last: where in the run a torn name was met, by name and by what it met
+    ends = [*windows, None] if torn else []
+    for end, w in enumerate(ends):
+        names = [(n["asked"], n["found"]) for n in w["names"] if n["asked"] in torn] if w else []
+        clash = max((at for a, f in names for (b, g), at in last.items() if a == b and f != g), default=-1)
+        broken = len(set(names)) > len({a for a, _ in names})  # within this window
+        if w is None or broken or clash >= start:
+            run = windows[start:end]
+            tokens = defaultdict(set)
+            for r in run:
+                for n in r["names"]:
+                    tokens[n["asked"]].add(n["token"])
+            once = {name for name in torn if len(tokens[name]) < 2}
+            counted = [r for r in run if not r["changed"] or once.isdisjoint(n["asked"] for n in r["names"])]
+            best = max(best, counted, key=len)
+            start = end + 1 if broken else max(start, clash + 1)
+        last |= {pair: end for pair in names}
+    return len(best), best[0]["position"] if best else 0, any(w["changed"] for w in best)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and benchmark item of which it holds a passage.
 
     Columns: doc_id, item_id, n_windows (met in a row, apart from gaps), item_windows, position (template
-    token of the document), reworded (some slot holds another value). Slots must be consistent: along
-    the passage each value of the item goes with one value of the document. Whole texts are searched;
+    token of the document), reworded (some slot holds another value). What counts where names are not
+    changed alike says ``evidence``. Whole texts are searched;
     null texts and texts or items shorter than a window have no windows and meet nothing. Repeated
     rows count once, rows without an id are searched too (as one id), further columns are ignored.
     """
@@ -176,7 +212,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         item_windows = F.broadcast(item_windows)
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     found = windows(rows, _filter(known)).withColumnRenamed("id", "doc_id").join(item_windows, "window")
-    pair = F.struct(F.col("p.asked").alias("asked"), F.col("p.words").alias("words"))
     is_slot = lambda w: F.substring(w, 1, 1) == "<"
     # equal hashes of other templates are told apart by the words themselves
     same = F.forall(
@@ -184,27 +219,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         lambda p: (p["asked"] == p["words"])
         | (is_slot(p["asked"]) & is_slot(p["words"]) & (F.substring_index(p["asked"], ">", 1) == F.substring_index(p["words"], ">", 1))),
     )
-    slots = F.filter(F.arrays_zip("asked", "words"), lambda p: is_slot(p["asked"]))
+    pairs = F.arrays_zip("asked", "words")
+    place = lambda p, i: F.struct((F.col("position") + i).alias("token"), p["asked"].alias("asked"), p["words"].alias("found"))
     aligned = (
         found.where(same)
-        .select("doc_id", "item_id", "item_windows", "position", (F.col("position") - F.col("at")).alias("shift"), slots.alias("slots"))
+        .select(
+            *["doc_id", "item_id", "item_windows", "position", (F.col("position") - F.col("at")).alias("shift")],
+            F.exists(pairs, lambda p: p["asked"] != p["words"]).alias("changed"),
+            F.filter(F.transform(pairs, place), lambda p: F.startswith(p["asked"], F.lit("<name>"))).alias("names"),
+        )
         .groupBy("doc_id", "item_id", "shift")
         .agg(
-            F.count_distinct("position").alias("n_windows"),
+            F.count_distinct("position").alias("met"),
             F.first("item_windows").alias("item_windows"),
-            F.min("position").alias("position"),
-            F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+            # as many as the item has windows
+            F.collect_set(F.struct("position", "changed", "names")).alias("windows"),
         )
     )
-    values = F.transform("slots", lambda p: p["asked"])
-    consistent = F.size("slots") == F.size(F.array_distinct(values))
-    enough = F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), F.ceil(F.col("item_windows") / 2))
+    least = F.least(F.lit(LEAST_WINDOWS), F.ceil(F.col("item_windows") / 2))
     best = F.max_by(
-        F.struct("n_windows", "item_windows", "position", F.exists("slots", lambda p: p["asked"] != p["words"]).alias("reworded")),
-        F.struct("n_windows", -F.col("position")),
+        F.struct("e.n_windows", "item_windows", "e.position", "e.reworded"), F.struct("e.n_windows", -F.col("e.position"))
     )
     return (
-        aligned.where(consistent & enough)
+        aligned.where(F.col("met") >= least)
+        .withColumn("e", F.udf(evidence, EVIDENCE)("windows"))
+        .where(F.col("e.n_windows") >= least)
         .groupBy("doc_id", "item_id")
         .agg(best.alias("b"))
         .select("doc_id", "item_id", "b.n_windows", "b.item_windows", "b.position", "b.reworded")

@@ -186,6 +186,22 @@ def test_templates_and_slots(spark):
     assert templates.contaminated(docs_of(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_a_changed_slot_does_not_veto_the_rest(spark):
+    long = (
+        "Yesterday the old baker Tom sold 40 loaves at the market while his neighbour carried heavy bags home and then"
+        " the tired baker Tom counted 40 coins on the wooden table before going to bed early that night."
+    )
+    fruit = "In the basket of the girl there are 2 apples and 2 pears which she wants to share with all of her friends today."
+    named = "We saw that Tom met Tom near the lake and we heard that Tom left Tom at home so we asked if our Tom was well today."
+    benchmark = spark.createDataFrame([(1, long), (2, fruit), (3, named)], "item_id long, text string")
+    other = named.replace("Tom", "Anna")
+    rows = [(1, long.replace("baker Tom counted", "baker Bert counted")), (2, long.replace("40 coins", "50 coins"))]
+    rows += [(3, fruit.replace("2 apples", "3 apples").replace("2 pears", "4 pears")), (4, other.replace("our Anna", "our Bert"))]
+    rows += [(5, "Bert".join("Anna".join(named.split("Tom", 1)).split("Tom", 1)).replace("Tom left Tom", "Carl left Dora"))]
+    got = {(r.doc_id, r.item_id) for r in templates.contaminated(docs_of(spark, rows), benchmark).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 3)}
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
