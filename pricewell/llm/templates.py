@@ -1,7 +1,9 @@
 """Benchmark decontamination by templates.
 
 Numbers, names and units become typed placeholders; windows of so many template tokens of the
-documents are joined by hash with those of the benchmark. Where windows meet, the values in their
+documents are joined by hash with those of the benchmark. A window is looked up as its plain words in
+whatever case, as a template whose names are the capitals inside sentences, and as one whose names
+are all capitals. Where windows meet, the values in their
 slots are laid side by side: a copy has the same ones, a re-parameterised question has others, but
 the same name for the same name along a run. A filter of fixed size over the benchmark's windows keeps
 nearly all other windows of the documents from being shuffled at all.
@@ -34,12 +36,16 @@ UNITS = set(
     " s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years"
     " cent cents dollar dollars euro euros pound pounds percent degree degrees mph kmh volt volts watt watts".split()
 )
-NUMBER_WORDS = set("two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
+NUMBER_WORDS = set(
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+    " twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion".split()
+)
 TOKEN = re.compile(r"[.!?\n]|\d[\d.,]*\d|\d|[^\W\d_]+")
-PLAIN, STOP, NUMBER, CAPITAL, UNIT = range(5)
+PLAIN, STOP, NUMBER, CAPITAL, UNIT, ONE = range(6)
 PLACEHOLDER = {NUMBER: "number", CAPITAL: "name", UNIT: "unit"}
-EVIDENCE = "n_windows long, position long, reworded boolean"
-WINDOWS = "id long, window long, position long, words array<string>"
+EVIDENCE = "n_windows long, unchanged long, worded long, position long, reworded boolean"
+#: ``worded``: as a template the window has enough words; ``loose``: all capitals are names, and "one" is a number.
+WINDOWS = "id long, window long, position long, words array<string>, worded boolean, loose boolean"
 
 
 def _hash(token: str) -> int:
@@ -55,18 +61,20 @@ class Templates:
         self.place: dict[str, int] = {}
         self.kinds = np.zeros(1024, np.int8)
         self.hashes = np.zeros(1024, np.uint64)
-        self.slots = {kind: np.uint64(_hash(f"<{name}>")) for kind, name in PLACEHOLDER.items()}
+        self.slots = np.array([_hash(f"<{PLACEHOLDER.get(kind, '')}>") for kind in range(6)], np.uint64)
         self.powers = np.array([pow(0x9E3779B97F4A7C15, WINDOW - i, 1 << 64) for i in range(WINDOW)], np.uint64)
 
     def _learn(self, tokens: set[str]) -> None:
         for token in tokens:
-            low = token.lower()
+            low = token.casefold()
             if token in ".!?\n":
                 kind = STOP
             elif token[0].isdigit() or low in NUMBER_WORDS:
                 kind = NUMBER
             elif low in UNITS:
                 kind = UNIT
+            elif low == "one":
+                kind = ONE
             else:
                 kind = CAPITAL if token[0].isupper() and token[1:].islower() else PLAIN
             at = self.place[token] = len(self.place)
@@ -75,40 +83,57 @@ class Templates:
                 self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
             self.kinds[at], self.hashes[at] = kind, _hash(low)
 
-    def windows(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Window hashes, where windows count, and the template's tokens with their kinds (0: a word)."""
+    def _mixed(self, hashes: np.ndarray) -> np.ndarray:
+        n = len(hashes) - WINDOW + 1
+        mixed = np.zeros(n, np.uint64)
+        for i, power in enumerate(self.powers):
+            mixed += hashes[i : i + n] * power
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        return mixed
+
+    def windows(self, text: str) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]]:
+        """The text's tokens, which windows are worded, and its windows as words and as templates.
+
+        For each way: where its windows are, their hashes, the tokens' kinds (0: a word), whether it is loose.
+        A template comes only where it differs from what came before and has enough words.
+        """
         tokens = TOKEN.findall(text)
         if len(self.place) > self.remembered:
             self.place.clear()
         if fresh := set(tokens).difference(self.place):
             self._learn(fresh)
         at = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
-        kinds, hashes = self.kinds[at], self.hashes[at]
-        before = np.r_[np.int8(STOP), kinds[:-1]]
-        # a name is a capital inside a sentence, a unit stands after a number
-        slot = (kinds == NUMBER) | ((kinds == CAPITAL) & (before != STOP)) | ((kinds == UNIT) & (before == NUMBER))
-        kinds = np.where(slot | (kinds == STOP), kinds, PLAIN)
-        for kind, value in self.slots.items():
-            hashes[kinds == kind] = value
+        kinds = self.kinds[at]
         keep = np.flatnonzero(kinds != STOP)
-        kinds, hashes = kinds[keep], hashes[keep]
         n = len(keep) - WINDOW + 1
         if n < 1:
-            return np.zeros(0, np.uint64), np.zeros(0, bool), [], kinds
-        mixed = np.zeros(n, np.uint64)
-        for i, power in enumerate(self.powers):
-            mixed += hashes[i : i + n] * power
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(29)
-        plain = np.r_[0, np.cumsum(kinds == PLAIN)]
-        counts = plain[WINDOW:] - plain[:-WINDOW] >= LEAST_WORDS
-        return mixed, counts, [tokens[i] for i in keep] if counts.any() else [], kinds
+            return [], np.zeros(0, bool), []
+        words = self.hashes[at[keep]]
+        before = np.r_[np.int8(STOP), kinds[:-1]][keep]
+        kinds = kinds[keep]
+        # a name is a capital inside a sentence, a unit stands after a number
+        capital = kinds == CAPITAL
+        strict = (kinds == NUMBER) | (capital & (before != STOP)) | ((kinds == UNIT) & (before == NUMBER))
+        loose = strict | capital | (kinds == ONE) | ((kinds == UNIT) & (before == ONE))
+        in_window = lambda flags: (c := np.r_[0, np.cumsum(flags)])[WINDOW:] - c[:-WINDOW]
+        slots = in_window(strict)
+        worded = slots <= WINDOW - LEAST_WORDS
+        ways = [(np.arange(n), self._mixed(words), np.zeros_like(kinds), False)]
+        # the further capitals make further slots
+        for slot, wanted, is_loose in ((strict, worded & (slots > 0), False), (loose, in_window(loose & ~strict) > 0, True)):
+            if is_loose:
+                wanted &= in_window(loose) <= WINDOW - LEAST_WORDS
+            places = np.flatnonzero(wanted)
+            if len(places):
+                typed = np.where(slot, np.where(kinds == ONE, np.int8(NUMBER), kinds), np.int8(PLAIN))
+                ways.append((places, self._mixed(np.where(slot, self.slots[typed], words))[places], typed, is_loose))
+        return [tokens[i] for i in keep], worded, ways
 
 
-def _bits(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    return windows & mask, (windows >> np.uint64(FILTER_BITS)) & mask
+def _bits(windows: np.ndarray, shift: int) -> np.ndarray:
+    return (windows >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
 
 
 def windows(rows: DataFrame, passing: np.ndarray | None = None) -> DataFrame:
@@ -120,22 +145,25 @@ def windows(rows: DataFrame, passing: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = kept_in_worker(("templates",), Templates)
         for batch in batches:
-            ids, found, places, words = [], [], [], []
+            out: list[list] = [[] for _ in WINDOWS.split(", ")]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                hashes, counts, tokens, kinds = templates.windows(text.as_py())
-                if passing is not None and len(hashes):
-                    one, two = _bits(hashes)
-                    counts = counts & passing[one] & passing[two]
-                for at in np.flatnonzero(counts).tolist():
-                    ids.append(doc_id)
-                    found.append(hashes[at].view(np.int64))
-                    places.append(at)
-                    words.append(
-                        [f"<{PLACEHOLDER[k]}>{t.lower()}" if k else t.lower() for t, k in zip(tokens[at : at + WINDOW], kinds[at : at + WINDOW].tolist())]
-                    )
+                tokens, worded, ways = templates.windows(text.as_py())
+                for places, hashes, kinds, loose in ways:
+                    if passing is not None:
+                        for shift in (0, FILTER_BITS):
+                            some = passing[_bits(hashes, shift)]
+                            places, hashes = places[some], hashes[some]
+                    for at, window in zip(places.tolist(), hashes.view(np.int64).tolist(), strict=True):
+                        words = [
+                            f"<{PLACEHOLDER[k]}>{t.casefold()}" if k else t.casefold()
+                            for t, k in zip(tokens[at : at + WINDOW], kinds[at : at + WINDOW].tolist(), strict=True)
+                        ]
+                        for column, value in zip(out, (doc_id, window, at, words, bool(worded[at]), loose), strict=True):
+                            column.append(value)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(found, pa.int64()), pa.array(places, pa.int64()), pa.array(words, pa.list_(pa.string()))],
-                names=["id", "window", "position", "words"],
+                [pa.array(column, kind) for column, kind in zip(out, types, strict=True)],
+                names=[part.split()[0] for part in WINDOWS.split(", ")],
             )
 
     return rows.select(F.col("id").cast("long"), "text").mapInArrow(run, WINDOWS)
@@ -159,14 +187,26 @@ def _filter(benchmark_windows: DataFrame) -> np.ndarray:
     return np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
 
 
-def evidence(windows: list) -> tuple[int, int, bool]:
-    """Windows of one alignment (position, changed, names) that count, the first of them, and whether a slot was changed.
+def evidence(windows: list) -> tuple[int, int, int, int, bool]:
+    """What counts of one alignment: ``EVIDENCE``, the better with and without loose names.
 
     Numbers and units are independent slots: the same value twice need not mean the same quantity. A name means
     one person, so a name that meets two others speaks against a copy: windows over it count only where
     they are unchanged, or inside a run of windows in which it meets one name, and that more than once.
     """
-    windows = sorted(windows, key=lambda w: w["position"])
+    best = max((_counted([w for w in windows if not w["loose"]]), _counted(windows)), key=_weight)
+    first = best[0]["position"] if best else 0
+    return len(best), sum(not w["changed"] for w in best), sum(w["worded"] for w in best), first, any(w["changed"] for w in best)
+
+
+def _weight(windows: list) -> tuple[int, int]:
+    return sum(w["worded"] for w in windows), len(windows)
+
+
+def _counted(windows: list) -> list:
+    """The windows that count, one a position: an unchanged one if there is one, else that of fewest names."""
+    ordered = sorted(windows, key=lambda w: (w["position"], w["changed"], w["slots"] == 0, w["slots"]))
+    windows = [w for i, w in enumerate(ordered) if i == 0 or w["position"] != ordered[i - 1]["position"]]
     met = defaultdict(set)
     for w in windows:
         for n in w["names"]:
@@ -187,10 +227,10 @@ def evidence(windows: list) -> tuple[int, int, bool]:
                     tokens[n["asked"]].add(n["token"])
             once = {name for name in torn if len(tokens[name]) < 2}
             counted = [r for r in run if not r["changed"] or once.isdisjoint(n["asked"] for n in r["names"])]
-            best = max(best, counted, key=len)
+            best = max(best, counted, key=_weight)
             start = end + 1 if broken else max(start, clash + 1)
         last |= {pair: end for pair in names}
-    return len(best), best[0]["position"] if best else 0, any(w["changed"] for w in best)
+    return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,14 +244,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = benchmark.select(F.col("item_id").alias("id"), whole_text().alias("text"))
     known = materialized(windows(items).distinct(), "benchmark-windows")
-    sizes = known.groupBy("id").agg(F.count_distinct("position").alias("item_windows"))
+    sizes = known.groupBy("id").agg(
+        F.count_distinct("position").alias("item_windows"), F.count_distinct(F.when(F.col("worded"), F.col("position"))).alias("item_worded")
+    )
     item_windows = known.join(sizes, "id").select(
-        F.col("id").alias("item_id"), "window", F.col("position").alias("at"), F.col("words").alias("asked"), "item_windows"
+        *[F.col("id").alias("item_id"), "window", F.col("position").alias("at"), F.col("words").alias("asked")],
+        *["item_windows", "item_worded", "worded", F.col("loose").alias("item_loose")],
     )
     if known.count() <= BROADCAST_WINDOWS:
         item_windows = F.broadcast(item_windows)
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    found = windows(rows, _filter(known)).withColumnRenamed("id", "doc_id").join(item_windows, "window")
+    found = windows(rows, _filter(known)).withColumnRenamed("id", "doc_id").drop("worded").join(item_windows, "window")
     is_slot = lambda w: F.substring(w, 1, 1) == "<"
     # equal hashes of other templates are told apart by the words themselves
     same = F.forall(
@@ -224,7 +267,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     aligned = (
         found.where(same)
         .select(
-            *["doc_id", "item_id", "item_windows", "position", (F.col("position") - F.col("at")).alias("shift")],
+            *["doc_id", "item_id", "item_windows", "item_worded", "position", (F.col("position") - F.col("at")).alias("shift")],
+            *["worded", (F.col("loose") | F.col("item_loose")).alias("loose")],
+            F.size(F.filter("words", is_slot)).alias("slots"),
             F.exists(pairs, lambda p: p["asked"] != p["words"]).alias("changed"),
             F.filter(F.transform(pairs, place), lambda p: F.startswith(p["asked"], F.lit("<name>"))).alias("names"),
         )
@@ -232,18 +277,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         .agg(
             F.count_distinct("position").alias("met"),
             F.first("item_windows").alias("item_windows"),
+            F.first("item_worded").alias("item_worded"),
             # as many as the item has windows
-            F.collect_set(F.struct("position", "changed", "names")).alias("windows"),
+            F.collect_set(F.struct("position", "changed", "worded", "loose", "slots", "names")).alias("windows"),
         )
     )
-    least = F.least(F.lit(LEAST_WINDOWS), F.ceil(F.col("item_windows") / 2))
+    least = lambda of: F.least(F.lit(LEAST_WINDOWS), F.ceil(F.col(of) / 2))
+    enough = (F.col("e.unchanged") >= least("item_windows")) | ((F.col("item_worded") > 0) & (F.col("e.worded") >= least("item_worded")))
     best = F.max_by(
         F.struct("e.n_windows", "item_windows", "e.position", "e.reworded"), F.struct("e.n_windows", -F.col("e.position"))
     )
     return (
-        aligned.where(F.col("met") >= least)
+        aligned.where(F.col("met") >= F.greatest(F.lit(1), least("item_worded")))
         .withColumn("e", F.udf(evidence, EVIDENCE)("windows"))
-        .where(F.col("e.n_windows") >= least)
+        .where(enough)
         .groupBy("doc_id", "item_id")
         .agg(best.alias("b"))
         .select("doc_id", "item_id", "b.n_windows", "b.item_windows", "b.position", "b.reworded")

@@ -202,6 +202,29 @@ def test_a_changed_slot_does_not_veto_the_rest(spark):
     assert got == {(1, 1), (2, 1), (3, 2), (4, 3)}
 
 
+def test_names_at_line_and_sentence_starts_and_case(spark):
+    short = "Tom has many red apples today. Tom buys some more green pears. Tom eats them all at home. Tom sleeps very well."
+    wrapped = "Every day the shop of the old\nTom sells bread and milk to\nBerta while the good neighbour of\nCarl waits outside."
+    german = "Der Bauer hat im Stall eine Kuh, ein Pferd und ein Schaf. Die Frau kauft im Laden Brot, Milch, Butter und Mehl."
+    number = "On his way to the shop he took thirteen steps past the tree and sixty more past one house to the gate."
+    benchmark = spark.createDataFrame(enumerate([short, wrapped, german, number]), "item_id long, text string")
+    rows = [(1, short.replace("Tom", "Anna")), (2, "so " + wrapped.replace("\n", " ")), (3, "wir lesen " + german.lower()), (4, german.upper())]
+    rows += [(5, wrapped.replace("\n", " ").replace("Tom", "Uwe")), (6, number.replace("thirteen", "14").replace("sixty", "8").replace("one", "2"))]
+    rows += [(7, short.replace("Tom", "He")), (8, short.upper()), (9, " ".join(sorted(short.split())))]
+    got = {(r.doc_id, r.item_id, r.reworded) for r in templates.contaminated(docs_of(spark, rows), benchmark).collect()}
+    want = {(1, 0, True), (2, 1, False), (3, 2, False), (4, 2, False), (5, 1, True), (6, 3, True), (7, 0, True), (8, 0, False)}
+    assert got == want
+
+
+def test_slot_rich_items(spark):
+    listed = "Anna Berta Carl Dora Emil Franz Gustav Hans Ida Jakob"
+    formula = "1 + 2 * 3 / 4 - 5 + 6 * 7 + 8 = 9 x 10"
+    benchmark = spark.createDataFrame([(1, listed), (2, formula)], "item_id long, text string")
+    rows = [(1, f"We saw {listed} there."), (2, f"It is {formula} y."), (3, listed.replace("Dora", "Otto")), (4, formula.replace("5", "1"))]
+    got = {(r.doc_id, r.item_id, r.reworded) for r in templates.contaminated(docs_of(spark, rows), benchmark).collect()}
+    assert got == {(1, 1, False), (2, 2, False)}
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
