@@ -83,21 +83,24 @@ class Templates:
                 self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
             self.kinds[at], self.hashes[at] = kind, _hash(low)
 
-    def _mixed(self, hashes: np.ndarray) -> np.ndarray:
-        n = len(hashes) - WINDOW + 1
-        mixed = np.zeros(n, np.uint64)
-        for i, power in enumerate(self.powers):
+    def _mixed(self, hashes: np.ndarray, length: int = WINDOW) -> np.ndarray:
+        n = len(hashes) - length + 1
+        mixed = np.full(n, WINDOW - length, np.uint64)
+        for i, power in enumerate(self.powers[:length]):
             mixed += hashes[i : i + n] * power
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(29)
         return mixed
 
-    def windows(self, text: str) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]]:
+    def windows(
+        self, text: str, shorter: list[int] | None = None
+    ) -> tuple[list[str], np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray, bool]]]:
         """The text's tokens, which windows are worded, and its windows as words and as templates.
 
-        For each way: where its windows are, their hashes, the tokens' kinds (0: a word), whether it is loose.
-        A template comes only where it differs from what came before and has enough words.
+        For each way: tokens of a window, where they are, their hashes, the tokens' kinds (0: a word), whether it is loose.
+        A template comes only where it differs from what came before and has enough words. Shorter windows
+        are words only; without their lengths, a shorter text is one window.
         """
         tokens = TOKEN.findall(text)
         if len(self.place) > self.remembered:
@@ -108,9 +111,17 @@ class Templates:
         kinds = self.kinds[at]
         keep = np.flatnonzero(kinds != STOP)
         n = len(keep) - WINDOW + 1
-        if n < 1:
-            return [], np.zeros(0, bool), []
         words = self.hashes[at[keep]]
+        if shorter is None:
+            shorter = [len(keep)] if 0 < len(keep) < WINDOW else []
+        ways = []
+        for length in shorter:
+            if len(keep) >= length:
+                # the first of equal ones
+                hashes, places = np.unique(self._mixed(words, length), return_index=True)
+                ways.append((length, places, hashes, np.zeros(len(keep), np.int8), False))
+        if n < 1:
+            return [tokens[i] for i in keep], np.zeros(0, bool), ways
         before = np.r_[np.int8(STOP), kinds[:-1]][keep]
         kinds = kinds[keep]
         # a name is a capital inside a sentence, a unit stands after a number
@@ -120,7 +131,7 @@ class Templates:
         in_window = lambda flags: (c := np.r_[0, np.cumsum(flags)])[WINDOW:] - c[:-WINDOW]
         slots = in_window(strict)
         worded = slots <= WINDOW - LEAST_WORDS
-        ways = [(np.arange(n), self._mixed(words), np.zeros_like(kinds), False)]
+        ways.append((WINDOW, np.arange(n), self._mixed(words), np.zeros_like(kinds), False))
         # the further capitals make further slots
         for slot, wanted, is_loose in ((strict, worded & (slots > 0), False), (loose, in_window(loose & ~strict) > 0, True)):
             if is_loose:
@@ -128,7 +139,7 @@ class Templates:
             places = np.flatnonzero(wanted)
             if len(places):
                 typed = np.where(slot, np.where(kinds == ONE, np.int8(NUMBER), kinds), np.int8(PLAIN))
-                ways.append((places, self._mixed(np.where(slot, self.slots[typed], words))[places], typed, is_loose))
+                ways.append((WINDOW, places, self._mixed(np.where(slot, self.slots[typed], words))[places], typed, is_loose))
         return [tokens[i] for i in keep], worded, ways
 
 
@@ -136,9 +147,11 @@ def _bits(windows: np.ndarray, shift: int) -> np.ndarray:
     return (windows >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
 
 
-def windows(rows: DataFrame, passing: np.ndarray | None = None) -> DataFrame:
+def windows(rows: DataFrame, passing: np.ndarray | None = None, shorter: list[int] | None = None) -> DataFrame:
     """The windows of texts (id, text): ``WINDOWS``. With a filter, only those that may be in it.
 
+    Shorter windows are of the lengths given; without any given, a shorter text is one window.
+
     ``words`` has the window's tokens in lower case, slots marked by their type.
     """
 
@@ -147,8 +160,8 @@ def windows(rows: DataFrame, passing: np.ndarray | None = None) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in WINDOWS.split(", ")]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens, worded, ways = templates.windows(text.as_py())
-                for places, hashes, kinds, loose in ways:
+                tokens, worded, ways = templates.windows(text.as_py(), shorter)
+                for length, places, hashes, kinds, loose in ways:
                     if passing is not None:
                         for shift in (0, FILTER_BITS):
                             some = passing[_bits(hashes, shift)]
@@ -156,9 +169,9 @@ def windows(rows: DataFrame, passing: np.ndarray | None = None) -> DataFrame:
                     for at, window in zip(places.tolist(), hashes.view(np.int64).tolist(), strict=True):
                         words = [
                             f"<{PLACEHOLDER[k]}>{t.casefold()}" if k else t.casefold()
-                            for t, k in zip(tokens[at : at + WINDOW], kinds[at : at + WINDOW].tolist(), strict=True)
+                            for t, k in zip(tokens[at : at + length], kinds[at : at + length].tolist(), strict=True)
                         ]
-                        for column, value in zip(out, (doc_id, window, at, words, bool(worded[at]), loose), strict=True):
+                        for column, value in zip(out, (doc_id, window, at, words, length == WINDOW and bool(worded[at]), loose), strict=True):
                             column.append(value)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
@@ -238,8 +251,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Columns: doc_id, item_id, n_windows (met in a row, apart from gaps), item_windows, position (template
     token of the document), reworded (some slot holds another value). What counts where names are not
-    changed alike says ``evidence``. Whole texts are searched;
-    null texts and texts or items shorter than a window have no windows and meet nothing. Repeated
+    changed alike says ``evidence``. Whole texts are searched,
+    and items shorter than a window as a whole, in whatever case; texts without any token meet nothing. Repeated
     rows count once, rows without an id are searched too (as one id), further columns are ignored.
     """
     items = benchmark.select(F.col("item_id").alias("id"), whole_text().alias("text"))
@@ -253,8 +266,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     if known.count() <= BROADCAST_WINDOWS:
         item_windows = F.broadcast(item_windows)
+    # the lengths of items shorter than a window
+    shorter = [row[0] for row in known.select(F.size("words")).where(F.size("words") < WINDOW).distinct().collect()]
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    found = windows(rows, _filter(known)).withColumnRenamed("id", "doc_id").drop("worded").join(item_windows, "window")
+    found = windows(rows, _filter(known), shorter).withColumnRenamed("id", "doc_id").drop("worded").join(item_windows, "window")
     is_slot = lambda w: F.substring(w, 1, 1) == "<"
     # equal hashes of other templates are told apart by the words themselves
     same = F.forall(

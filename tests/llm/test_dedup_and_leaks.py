@@ -225,6 +225,14 @@ def test_slot_rich_items(spark):
     assert got == {(1, 1, False), (2, 2, False)}
 
 
+def test_short_items(spark):
+    benchmark = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Who wrote Faust?"), (3, "?!"), (4, None)], "item_id long, text string")
+    rows = [(1, "We ask: what is the capital\nof France? And again: What is the capital of France?"), (2, "Who wrote Faust"), (3, "who wrote Hamlet?!")]
+    rows += [(4, "He knows who wrote Faust and what is the capital of Spain."), (5, None), (6, "of"), (7, "What is the capital of")]
+    got = templates.contaminated(docs_of(spark, rows), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_windows, r.position, r.reworded) for r in got) == [(1, 1, 1, 2, False), (2, 2, 1, 0, False), (4, 2, 1, 2, False)]
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
