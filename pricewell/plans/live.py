@@ -179,9 +179,9 @@ _RUNS = f"""gaps AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PA
     FROM counted GROUP BY search_id""",
 )
 def keyed_progress_state(spark, sf_dir):
-    """The current run of each search as keyed state: closed by its first end, begun anew after a day of silence."""
-    stream = state.search_progress(streamed_events(spark, sf_dir), "1 hour", RUN_TTL_SECONDS)
-    return shown(runs.latest_per_key(stream, ["search_id"], "keyed-progress"))
+    """The current run of each search: closed by its first end, begun anew after a day of silence."""
+    stream = streamed_events(spark, sf_dir).select("search_id", "event_id", "type", "ts", "processed_count", "found_total")
+    return shown(state.current_runs(runs.appended(stream, "keyed-progress"), RUN_TTL_SECONDS))
 
 
 @query(

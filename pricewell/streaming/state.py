@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pricewell.operators.sizing import broadcast_if_small
 from pricewell.schemas import STATE_TTL_SECONDS
 from pricewell.streaming.events import TERMINAL
 
@@ -41,7 +43,7 @@ def _folded(ttl_seconds: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupS
         if state.hasTimedOut:
             state.remove()
             return
-        # the events of one search in one micro-batch, which the source's rate limit bounds
+        # the events of one search in one micro-batch: the source needs a rate limit, else see current_runs
         rows = pd.concat(list(pieces)).sort_values(["ts", "event_id"], kind="stable")
         known = state.get if state.exists else FRESH
         heard = None if known[7] is None else pd.Timestamp(known[7])
@@ -78,6 +80,9 @@ def _folded(ttl_seconds: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupS
 def search_progress(events: DataFrame, delay: str, ttl_seconds: int = STATE_TTL_SECONDS) -> DataFrame:
     """A changed row per search and micro-batch, with the search's current run.
 
+    One task holds what one search has in a micro-batch, so the source must limit a micro-batch and hand
+    out files in the order of time. ``current_runs`` gives the same of a table with searches of any size.
+
     The time to live runs on event time, ``delay`` being how late events may come; with
     wall-clock time a run over what is available would never find an end.
     """
@@ -87,3 +92,41 @@ def search_progress(events: DataFrame, delay: str, ttl_seconds: int = STATE_TTL_
         .groupBy("search_id")
         .applyInPandasWithState(_folded(ttl_seconds), OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
     )
+
+
+def current_runs(events: DataFrame, ttl_seconds: int = STATE_TTL_SECONDS) -> DataFrame:
+    """The current run of each search in a table of events, by the rule of ``search_progress``.
+
+    Events of a search are never gathered: no silence longer than the time to live fits inside a time bucket of
+    its length, so runs are found among the buckets, of which a task holds a row each, and events are
+    only added up. Events without a time are left out.
+    """
+    timed = events.where(F.col("ts").isNotNull())
+    micros, ttl = F.unix_micros("ts"), F.lit(ttl_seconds * 1_000_000)
+    event = F.struct("ts", "event_id", "type")
+    buckets = timed.groupBy("search_id", (micros - F.pmod(micros, ttl)).alias("bucket")).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.min(F.when(F.col("type").isin(*TERMINAL), event)).alias("closing")
+    )
+    before = F.lag("last").over(Window.partitionBy("search_id").orderBy("bucket"))
+    starts = buckets.withColumn("begins", before.isNull() | (F.unix_micros("first") - F.unix_micros(before) > ttl))
+    # the run that begins last; what closes it is the first end that does not come before
+    found = starts.groupBy("search_id").agg(
+        F.max(F.when(F.col("begins"), F.col("first"))).alias("start"), F.collect_list("closing").alias("closings")
+    )
+    closing = F.array_min(F.filter("closings", lambda c: c["ts"] >= F.col("start")))
+    current = broadcast_if_small(found.select(F.col("search_id").alias("of"), "start", closing.alias("closing")))
+    inside = (F.col("ts") >= F.col("start")) & (F.col("closing").isNull() | (event <= F.col("closing")))
+    progress = F.struct("ts", "event_id", "processed_count", "found_total")
+    folded = (
+        timed.join(current, F.col("search_id").eqNullSafe(F.col("of")) & inside)
+        .groupBy("search_id")
+        .agg(
+            F.count("*").alias("events"),
+            F.count_if(F.col("type") == "result_added").alias("results_added"),
+            F.max(F.when(F.col("type") == "progress", progress)).alias("latest"),
+            F.max("closing").alias("closing"),
+        )
+    )
+    counts = [F.col(f"latest.{c}").cast("int").alias(c) for c in ("processed_count", "found_total")]
+    closed = [F.col("closing.ts").alias("closed_ts"), F.col("closing.type").alias("closed_by")]
+    return folded.select("search_id", "events", "results_added", F.col("latest.ts").alias("last_ts"), *counts, *closed)

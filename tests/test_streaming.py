@@ -83,6 +83,23 @@ def test_keyed_state_does_not_depend_on_batches(spark, tmp_path, files, ttl):
     assert {r.search_id: {k: r[k] for k in want[r.search_id]} for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("ttl", [3_600, 24 * 3_600])
+@pytest.mark.parametrize("searches", [1, 7, 10_000])
+def test_runs_of_a_table(spark, searches, ttl):
+    raw = spark.read.parquet(f"{SF}/events.parquet").withColumn("user_id", F.col("user_id") % searches)
+    given = live.as_search_events(raw.withColumn("props", F.when(F.col("event_id") % 11 != 0, F.col("props"))))
+    got = state.current_runs(given, ttl)
+    want = runs_by_hand(given.collect(), ttl)
+    assert {r.search_id: {k: r[k] for k in want[r.search_id]} for r in got.collect()} == want
+
+
+def test_no_task_gathers_a_search(spark, monkeypatch):
+    monkeypatch.setattr(state, "search_progress", None)
+    assert live.keyed_progress_state(spark, SF).count() > 0
+    given = live.search_events(spark, SF)
+    assert "Python" not in (plan := state.current_runs(given)._jdf.queryExecution().toString()) and "Pandas" not in plan
+
+
 EVENT_ROWS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
