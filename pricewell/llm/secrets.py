@@ -2,7 +2,7 @@
 
 The models are first-order chains over a small alphabet, one of random strings and one of ordinary
 identifiers, counted from labelled samples. A candidate (a long run of key characters) is a secret
-where its characters are clearly likelier under the random model. Everything is DataFrame
+where its characters are clearly likelier under the random model, else its pieces are judged. Everything is DataFrame
 functions: the counts are a grouped table, the log ratios an array literal of fixed size.
 """
 
@@ -28,6 +28,8 @@ ASSIGN_LEAST = 6
 #: Candidates of the models: whole runs of key characters of at least this length.
 CANDIDATE_LEAST = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{CANDIDATE_LEAST},}}"
+#: What is scored by itself in a candidate that is ordinary as a whole: what stands between =, then between / _ = -.
+PIECES = [rf"[A-Za-z0-9+/_-]{{{CANDIDATE_LEAST},}}", rf"[A-Za-z0-9+]{{{CANDIDATE_LEAST},}}"]
 #: The models' alphabet; other characters share the last place.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
@@ -108,11 +110,50 @@ def _of_kind(spans: Column, kind: str) -> Column:
     )
 
 
+def _span(start: Column, end: Column, text: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), text.alias("text"))
+
+
+def _uncovered(candidate: Column, base: Column) -> Column:
+    """The parts of a candidate, of at least its minimum length, that no base match covers."""
+    touching = F.filter(base, lambda b: (b["start"] < candidate["end"]) & (candidate["start"] < b["end"]))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
+
+    def upto(acc: Column, end: Column) -> Column:
+        part = F.substring(candidate["text"], acc["at"] - candidate["start"] + 1, end - acc["at"])
+        return F.when(end - acc["at"] >= CANDIDATE_LEAST, F.concat(acc["parts"], F.array(_span(acc["at"], end, part)))).otherwise(acc["parts"])
+
+    cut = F.aggregate(
+        touching,
+        F.struct(candidate["start"].alias("at"), none.alias("parts")),
+        lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), upto(acc, b["start"]).alias("parts")),
+        lambda acc: upto(acc, candidate["end"]),
+    )
+    return F.when(F.size(touching) > 0, cut).otherwise(F.array(candidate))
+
+
+def _likely(spans: Column, ratios: list[float], threshold: float, pieces: list[str]) -> Column:
+    """The spans that the models take for random; of the others, the pieces that they do."""
+
+    def judged(span: Column) -> Column:
+        none = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
+        inner = none
+        if pieces:
+            found = F.transform(
+                _found(span["text"], pieces[0]), lambda s: _span(span["start"] + s["start"], span["start"] + s["end"], s["text"])
+            )
+            inner = _likely(found, ratios, threshold, pieces[1:])
+        return F.when(random_ratio(span["text"], ratios) > threshold, F.array(span)).otherwise(inner)
+
+    return F.flatten(F.transform(spans, judged))
+
+
 def scanned(docs: DataFrame, ratios: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``base`` and ``spans``: arrays of (start, rank, end, kind) in order of start and kind.
 
     ``base`` has the matches of the patterns, leftmost and non-overlapping per kind; ``spans`` has these
-    and the candidates that the models take for random and that no base match touches. Null
+    and the candidates that the models take for random, without what a base match covers. Of a candidate that is
+    ordinary as a whole, the pieces between = or / _ = - are judged by themselves, if they are long enough. Null
     texts are empty and have no spans. Columns of the input with these names are replaced.
     """
     text = F.col("__text")
@@ -120,16 +161,14 @@ def scanned(docs: DataFrame, ratios: list[float], text_col: str = "text", thresh
     base = F.concat(
         _of_kind(assigned, "assign"), _of_kind(_found(text, ACCESS), "access"), _of_kind(_found(text, HEX), "hex")
     )
-    untouched = F.filter(
-        F.col("__candidates"),
-        lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
-    )
-    likely = F.filter(untouched, lambda c: random_ratio(c["text"], ratios) > threshold)
+    parts = F.flatten(F.transform("__candidates", lambda c: _uncovered(c, F.col("base"))))
+    likely = _likely(F.col("__parts"), ratios, threshold, PIECES)
     others = [c for c in docs.columns if c not in ("base", "spans")]
     return (
         docs.select(*others, whole_text(text_col).alias("__text"))
         .withColumn("base", F.array_sort(base))
         .withColumn("__candidates", _found(text, CANDIDATE))
+        .withColumn("__parts", parts)
         .withColumn("spans", F.array_sort(F.concat("base", _of_kind(likely, "random"))))
         .select(*others, "base", "spans")
     )

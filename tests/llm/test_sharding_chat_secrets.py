@@ -205,6 +205,16 @@ def test_base_spans_against_python(spark):
         assert more == {5: ["0123456789abcdef0123456"], 7: ["kJ8fQ2zP0xVb7LmN4tRw9YcD"]}.get(r.doc_id, [])
 
 
+def test_keys_inside_longer_runs(spark):
+    key, ordinary, digits = "kJ8fQ2zP0xVb7LmN4tRw9YcD", "ordinary/path/parts/of/the/whole/thing/that/stands/here", "0123456789abcdef01234567"
+    mixed = "kJ8fQ2zP0x/Vb7LmN4tRw9YcD"
+    texts = [f"é /{ordinary}/{key} x", f"ordinary_long_name_of_the_thing_that_stands_here={mixed}", f"a {key}G{digits}G{key} b", f"/{ordinary}/"]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    ratios = secrets.trained(secrets.labelled_samples(spark.read.parquet(f"{SF}/documents.parquet")))
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "random"] for r in secrets.scanned(docs, ratios).collect()}
+    assert got == {0: [key], 1: [mixed], 2: [f"{key}G", f"G{key}"], 3: []}
+
+
 def test_models_tell_random_from_ordinary(spark):
     words = spark.read.parquet(f"{SF}/documents.parquet")
     ratios = secrets.trained(secrets.labelled_samples(words))
