@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import bpe, chat, content_sort, near_dup, secrets, sharding, templates, token_counts, toxicity, warc
+from pricewell.llm import bpe, chat, content_sort, merkle, near_dup, nearest, prefix_trie, secrets, sharding, templates, token_counts, toxicity, warc
 from pricewell.llm.tables import read
 from pricewell.plans.registry import Registry
 
@@ -124,6 +124,142 @@ def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query(
+    "op11_block_matrix_neighbours",
+    """
+    WITH rows AS (
+        SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), pairs AS (
+        SELECT q.vec_id AS query_id, c.vec_id, 
+            min(sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b))) AS score
+        FROM rows q JOIN rows c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0 GROUP BY 1, 2
+    )
+    SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM pairs
+    WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number() OVER w <= 10
+    """,
+)
+def op11_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text in DuckDB SQL, bit by bit."""
+    bit = "lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END"
+    byte = f"lambda c, b: list_reduce(range(8), {bit}, xor(c, b))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce({codes}, {byte}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def leaf_sql(*values: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(({v})::VARCHAR) || ':' || ({v})::VARCHAR, '-')" for v in values) + ")"
+
+
+@query(
+    "op12_sibling_join_merkle",
+    f"""
+    WITH RECURSIVE docs AS (
+        SELECT *, n_chars::BIGINT + ({crc32_sql("doc_id::VARCHAR")} % 7 = 0)::BIGINT AS more FROM documents
+    ), hashed AS (
+        SELECT doc_id, lang, {leaf_sql("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+            {leaf_sql("doc_id", "source", "lang", "coalesce(more, n_chars)", "text")} AS later FROM docs
+    ), leaves AS (
+        SELECT *, row_number() OVER w - 1 AS idx, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS line,
+            count(*) OVER (PARTITION BY lang) AS n
+        FROM hashed WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)
+    ), up AS (
+        SELECT lang, 0 AS level, idx, n, leaf AS digest FROM leaves
+        UNION ALL
+        SELECT lang, level + 1, idx // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY idx))
+        FROM up WHERE n > 1 GROUP BY lang, level, idx // 2
+    ), subroots AS (
+        SELECT lang, digest AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n
+        FROM up WHERE n = 1
+    ), top AS (
+        SELECT 0 AS level, idx, n, subroot AS digest FROM subroots
+        UNION ALL
+        SELECT level + 1, idx // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY level, idx // 2
+    ), steps AS (
+        SELECT l.line, u.level, CASE WHEN s.digest IS NULL THEN 'N' WHEN u.idx % 2 = 1 THEN 'L' || s.digest ELSE 'R' || s.digest END AS step
+        FROM leaves l JOIN up u ON u.lang IS NOT DISTINCT FROM l.lang AND u.idx = l.idx >> u.level AND u.n > 1
+        LEFT JOIN up s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = u.level AND s.idx = xor(u.idx, 1)
+        UNION ALL
+        SELECT l.line, 1000 + u.level, CASE WHEN s.digest IS NULL THEN 'N' WHEN u.idx % 2 = 1 THEN 'L' || s.digest ELSE 'R' || s.digest END
+        FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN top u ON u.idx = r.idx >> u.level AND u.n > 1
+        LEFT JOIN top s ON s.level = u.level AND s.idx = xor(u.idx, 1)
+    ), proofs AS (
+        SELECT line, list(step ORDER BY level) AS steps FROM steps GROUP BY line
+    ), folded AS (
+        SELECT l.*, r.subroot, (SELECT digest FROM top WHERE n = 1) AS root,
+            sha256(coalesce(array_to_string(list_transform(p.steps, lambda x: x[2:]), ''), '')) AS proof_sha256,
+            list_reduce(list_prepend(later, coalesce(p.steps, [])), lambda d, x: CASE x[1] WHEN 'L' THEN sha256(x[2:] || d)
+                WHEN 'R' THEN sha256(d || x[2:]) ELSE sha256(d) END) AS folded_root
+        FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang LEFT JOIN proofs p USING (line)
+    )
+    SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+    """,
+)
+def op12_sibling_join_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    now = {c: F.col(c) for c in fields}
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    later = now | {"n_chars": F.col("n_chars").cast("long") + F.when(touched, 1).otherwise(0)}
+    leaves = read(spark, sf_dir, "documents").select(
+        "doc_id", "lang", merkle.leaf(list(now.values())).alias("leaf"), merkle.leaf(list(later.values())).alias("later")
+    )
+    found = merkle.manifest(leaves, "lang", "doc_id")
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.proof_digests(F.col("proof")), 256).alias("proof_sha256"),
+        merkle.folded(F.col("later"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query(
+    "op13_parentheses_prefix_trie",
+    rf"""
+    WITH turns AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, sha256(coalesce(text, ''))) AS at
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), convs AS (
+        SELECT conv_id, count(*) AS own, {crc32_sql("conv_id::VARCHAR")} % 4 AS h FROM turns GROUP BY conv_id
+    ), begun AS (
+        SELECT c.*, least(h, coalesce(b.own, 0)) AS taken FROM convs c LEFT JOIN (SELECT conv_id AS base, own FROM convs) b ON base = c.conv_id - c.conv_id % 20
+    ), rebuilt AS (
+        SELECT b.conv_id, t.at AS depth, t.role, t.text FROM begun b JOIN turns t ON t.conv_id = b.conv_id - b.conv_id % 20 AND t.at <= b.h
+        UNION ALL
+        SELECT b.conv_id, t.at - b.h + b.taken, t.role, t.text FROM begun b JOIN turns t ON t.conv_id = b.conv_id AND t.at > b.h
+    ), paths AS (
+        SELECT conv_id, depth, text, list(role || chr(1) || text) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM rebuilt
+        UNION ALL SELECT conv_id, 0, '', [] FROM convs
+    ), lengths AS (
+        SELECT conv_id, max(depth) AS length FROM paths GROUP BY conv_id
+    ), nodes AS (
+        SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+            (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^ 	-]+')) AS saved,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+        FROM paths JOIN lengths USING (conv_id) GROUP BY path
+    ), kids AS (
+        SELECT path[:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+    ), counted AS (
+        SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (path)
+    ), below AS (
+        SELECT path[:up] AS path, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+        FROM (SELECT *, unnest(range(depth + 1)) AS up FROM counted) GROUP BY 1
+    )
+    SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM counted n JOIN below b USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[:n.depth - 1]
+    """,
+)
+def op13_parentheses_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
