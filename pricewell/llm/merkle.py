@@ -23,6 +23,10 @@ from pricewell.operators.keys import joined_on
 from pricewell.session import materialized
 
 
+#: Levels whose proofs are put together in one plan.
+PLAN_LEVELS = 6
+
+
 def field(value: Column) -> Column:
     """A value as ``bytes:text``, null as ``-``, so that no two lists of values read alike."""
     text = value.cast("string")
@@ -92,6 +96,8 @@ def _proofs(levels: list[DataFrame], heights: set[int], above: DataFrame | None,
             inner = level.where("nodes > 1").withColumn("up", F.floor(F.col("idx") / arity)).join(upper, ["tree", "up"])
             parts.append(inner.select(*kept, F.concat_ws(",", own, F.when(F.col("rest") != "", F.col("rest"))).alias("proof")))
         proofs = reduce(DataFrame.union, parts)
+        if height and height % PLAN_LEVELS == 0:
+            proofs = materialized(proofs, "upper-proofs")
     return proofs
 
 

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import check_oracle
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -19,6 +20,12 @@ SF = "/root/testdata/sf0.001"
 sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("name", list(queries.query.sql))
+def test_sql_twins(spark, name):
+    names, rows = check_oracle.spark_rows(queries.query.queries[name](spark, SF))
+    assert (names, rows) == check_oracle.sql_rows(check_oracle.connect(SF), queries.query.sql[name])
+
+
 # nearest neighbours
 
 
