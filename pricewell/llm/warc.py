@@ -108,12 +108,15 @@ def frames(raw: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def page_record(page_id, url, record_type: str, refers_to, size: int, digest: str, payload: bytes) -> bytes:
-    """The record of a page: a response with its payload, or a revisit that names the response it repeats."""
+def page_record(page_id, url, record_type: str, refers_to, size: int, digest: str, payload: bytes, place: str = "") -> bytes:
+    """The record of a page: a response with its payload, or a revisit that names the response it repeats.
+
+    ``place`` is told apart from that of every other record, so that equal pages have ids of their own.
+    """
     number = "" if page_id is None else str(page_id)
     headers = [
         ("WARC-Type", record_type),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{number} {url} {record_type}')}>"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{number} {url} {record_type} {digest} {place}')}>"),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", url or ""),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -158,40 +161,47 @@ def trained_dictionary(payloads: DataFrame) -> bytes | None:
 
 
 def deduplicated(pages: DataFrame) -> DataFrame:
-    """Pages with payload, digest and record type; rows of one page are neighbours in one partition.
+    """Pages as records: page_id, url, first (a response), response, size, sha1 and payload (of responses only).
 
     Of pages with equal payloads the one with the largest page_id is the response (null ids are the
-    smallest); all others are revisits and lose their payload. Only ids and digests are grouped.
+    smallest); all others are revisits and lose their payload. Only ids and digests are grouped. Where the
+    response's row is repeated, whichever files the copies are in, one of them, of the least url, is the response.
     """
     payload = F.encode(whole_text("html"), "UTF-8")
-    narrow = pages.select("page_id", F.sha2(payload, 256).alias("content"))
-    groups = narrow.groupBy("content").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies"))
     ids = F.struct(F.col("page_id").isNull().alias("n"), F.coalesce("page_id", F.lit(0)).alias("i"))
-    repeated = narrow.join(groups.where("copies > 1"), "content").select("page_id", "content", "response").distinct()
-    decided = repeated.select(ids.alias("key"), "content", "response")
     wide = pages.select(
         "page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("content"), ids.alias("key")
     )
-    joined = wide.join(decided.withColumn("shared", F.lit(True)), ["key", "content"], "left")
-    first = ~F.coalesce("shared", F.lit(False)) | F.col("page_id").eqNullSafe(F.col("response"))
-    return joined.select(
-        "page_id",
-        "url",
-        first.alias("first"),
-        "response",
-        F.octet_length("payload").cast("long").alias("size"),
-        F.unhex(F.sha1("payload")).alias("sha1"),
-        F.when(first, F.col("payload")).alias("payload"),
-        "content",
-        F.coalesce("shared", F.lit(False)).alias("shared"),
-    ).sortWithinPartitions("page_id", "content", "url")
+    pairs = wide.groupBy("key", "page_id", "content").agg(F.count(F.lit(1)).alias("rows"))
+    groups = pairs.groupBy("content").agg(F.max("page_id").alias("response"), F.sum("rows").alias("copies")).where("copies > 1")
+    same = F.col("page_id").eqNullSafe(F.col("response"))
+    decided = pairs.join(groups, "content").select("key", "content", "response", F.lit(True).alias("shared"), (same & (F.col("rows") > 1)).alias("contested"))
+    decided = materialized(decided, "shared-payloads")
+    size, sha1 = F.octet_length("payload").cast("long").alias("size"), F.unhex(F.sha1("payload")).alias("sha1")
+
+    joined = wide.join(decided, ["key", "content"], "left").where(~F.coalesce("contested", F.lit(False)))
+    first = ~F.coalesce("shared", F.lit(False)) | same
+    alone = joined.select("page_id", "url", first.alias("first"), "response", size, sha1, F.when(first, F.col("payload")).alias("payload"))
+
+    # copies of a response's row: counted in each part where they are, then one of them is taken out
+    copies = wide.join(decided.where("contested").select("key", "content"), ["key", "content"])
+    counts = copies.groupBy("page_id", "key", "content", "url", F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialized(counts, "copies")
+    chosen = counts.groupBy("key", "content").agg(F.min(F.struct("url", "part")).alias("chosen"))
+    bodies = copies.groupBy("page_id", "key", "content").agg(F.min("payload").alias("payload")).join(chosen, ["key", "content"])
+    responses = bodies.select("page_id", F.col("chosen.url").alias("url"), F.lit(True).alias("first"), F.col("page_id").alias("response"), size, sha1, "payload")
+    told = bodies.select("key", "content", "chosen", size, sha1)
+    left = F.col("n") - F.struct("url", "part").eqNullSafe(F.col("chosen")).cast("long")
+    again = counts.join(told, ["key", "content"]).withColumn("left", left).where("left > 0")
+    again = again.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), "left")))
+    revisits = again.select("page_id", "url", F.lit(False).alias("first"), F.col("page_id").alias("response"), "size", "sha1", F.lit(None).cast("binary").alias("payload"))
+    return alone.union(responses).union(revisits).sortWithinPartitions("page_id", "sha1", "url", "first")
 
 
 def write_archives(records: DataFrame, folder: str, dictionary: bytes | None) -> DataFrame:
     """Writes deduplicated pages as archive files into a folder that all executors reach.
 
-    Returns one row for each file: path, records, bytes. Where whole rows repeat, the first is the
-    response and the others revisit it.
+    Returns one row for each file: path, records, bytes.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +211,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes | None) ->
         store.create_dir(root, recursive=True)
         part, number = TaskContext.get().partitionId(), 0
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        out, path, held, records, before = None, "", 0, 0, None
+        out, path, held, records, line = None, "", 0, 0, 0
         done: list[tuple[str, int, int]] = []
 
         def close() -> None:
@@ -213,12 +223,11 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes | None) ->
         attempt = f"{TaskContext.get().taskAttemptId()}.part"
         for batch in batches:
             for row in batch.to_pylist():
-                again = row["shared"] and before == (row["page_id"], row["content"])
-                before = (row["page_id"], row["content"])
-                kind = "response" if row["first"] and not again else "revisit"
+                line += 1
+                kind = "response" if row["first"] else "revisit"
                 refers = row["response"] if kind == "revisit" else None
                 payload = row["payload"] if kind == "response" else b""
-                raw = page_record(row["page_id"], row["url"], kind, refers, row["size"], base32_digest(row["sha1"]), payload)
+                raw = page_record(row["page_id"], row["url"], kind, refers, row["size"], base32_digest(row["sha1"]), payload, f"{part}-{line}")
                 if out is not None and held + len(raw) > ARCHIVE_BYTES:
                     close()
                     out = None
@@ -277,6 +286,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes all pages as archives into the scratch folder and reads them back: ``RECORD``.
 
+    Rows that repeat, in one file or several, are records of their own: one response, the others revisit it.
     Null pages have an empty payload, and empty payloads are equal payloads too. A null url is an
     empty one; further columns are ignored. An empty table gives no files and no rows.
     """

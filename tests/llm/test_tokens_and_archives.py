@@ -134,6 +134,28 @@ def test_archives_of_odd_pages(spark, size, monkeypatch):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", ["10485760", "-1"])
+def test_equal_rows_in_several_files(spark, tmp_path, broadcast):
+    pages = [(i, f"http://x/{i % 50}", f"page {i} é", "a", "b") for i in range(50)] + [(None, None, None, "a", "b")]
+    for _ in range(3):
+        spark.createDataFrame(pages, PAGE).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    spark.createDataFrame([(7, "http://a", "page 7 é", "a", "b"), (60, "u", "page 9 é", "a", "b")], PAGE).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    df = spark.read.parquet(str(tmp_path / "pages"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        folder = f"file://{tmp_path}/archives"
+        warc.write_archives(warc.deduplicated(df), folder, None).collect()
+        out = warc.read_archives(spark, folder)
+        assert shown(out) == expected([tuple(r) for r in df.collect()])
+        assert out.where("record_type = 'response'").count() == 51
+        assert out.where("page_id = 7 and record_type = 'response'").first().url == "http://a"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    ids = [warc.parsed_record(r)[0]["warc-record-id"] for f in (tmp_path / "archives").glob("*.warc.zst") for r in warc.frames(f.read_bytes())]
+    assert len(ids) == len(set(ids)) == 155
+
+
 def test_frames_with_and_without_dictionary():
     words = [f"<p>paragraph {i} of {i * 7 % 13} pages about {'abcdefgh'[i % 8] * 9}</p>".encode() * 9 for i in range(400)]
     trained = zstandard.train_dictionary(4_096, words)
