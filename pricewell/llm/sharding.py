@@ -29,7 +29,7 @@ def standard_tree(shards: int, base: int = 16, racks: int = 4, regions: int = 2)
     """A tree for the shard count alone: the first ``base`` shards spread over regions and racks.
 
     Each shard beyond the base comes as a region of its own. The weights of all older regions
-    stay as they are, so with one more shard keys move into that shard and nowhere else.
+    stay as they are, so with one more shard and the same base keys move into that shard and nowhere else.
     """
     leaves = []
     per_rack = -(-base // racks)
@@ -121,13 +121,25 @@ def numbered(df: DataFrame, group: str, order: list[str], stripes: int = 4096) -
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grown(key_col: str, leaves: list[Leaf], new: Leaf, shard: str = "shard") -> Column:
+    """The shard with one more region, that of the new leaf: its draw only meets the shortest one so far."""
+    key = F.coalesce(F.col(key_col).cast("string"), F.lit("\x00null"))
+    now = [F.struct(_waiting(key, n, w).alias("t"), F.lit(v).alias("v")) for n, w, v in _level(_by(leaves, "region"), "")]
+    least = F.least(*now) if len(now) > 1 else now[0]
+    more = F.struct(_waiting(key, f"/{new.region}", new.weight).alias("t"), F.lit(new.region).alias("v"))
+    return F.when(more < least, F.lit(new.shard)).otherwise(F.col(shard))
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", base: int | None = None) -> DataFrame:
     """Every document with its shard, its slot there and the shard it would have with one more.
 
-    The law is ``key``: id and shard count decide, and one more shard takes rows only into itself.
-    Null and empty texts have size 1; a null id is placed as a key of its own; repeated rows go
+    The law is ``key``: id and shard count decide, and one more shard takes rows only into itself. ``base`` shards
+    (16 or, where fewer are asked for, all) are spread over regions and racks; who grows a smaller set
+    later keeps its base. Null and empty texts have size 1; a null id is placed as a key of its own; repeated rows go
     to one shard and get a slot each; further columns are ignored. No text is shuffled.
     """
+    base = min(shards, 16) if base is None else base
+    tree, new = standard_tree(shards, base), standard_tree(shards + 1, base)[-1]
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -135,8 +147,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    placed = place(place(narrow, "doc_id", standard_tree(shards)), "doc_id", standard_tree(shards + 1), "grown_")
-    kept = placed.drop("grown_region", "grown_rack").withColumn("shard", F.col("shard").cast("int"))
+    placed = place(narrow, "doc_id", tree)
+    kept = placed.withColumn("grown_shard", grown("doc_id", tree, new)).withColumn("shard", F.col("shard").cast("int"))
     return numbered(kept, "shard", ["doc_id", "text_crc32", "size"]).select(
         "doc_id",
         "size",

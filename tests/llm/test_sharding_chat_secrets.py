@@ -42,6 +42,21 @@ def shard_of(key: str, leaves) -> int:
     return int(draw(by("shard", racks[rack]), f"{region}/{rack}"))
 
 
+def test_law_of_every_count(spark):
+    docs = spark.createDataFrame([(i, "x", "", 0, "") for i in range(2_000)], DOC)
+    for shards in range(1, 21):
+        base = min(shards, 16)
+        rows = {r.doc_id: r for r in sharding.shard_documents(docs, shards).collect()}
+        tree, more = sharding.standard_tree(shards, base), sharding.standard_tree(shards + 1, base)
+        assert len({r.shard for r in rows.values()}) == shards
+        for i, r in rows.items():
+            assert r.shard == shard_of(str(i), tree) and r.grown_shard == shard_of(str(i), more)
+            assert r.grown_shard in (r.shard, shards)
+        if shards in (1, 7, 15, 16):
+            later = sharding.shard_documents(docs, shards + 1, base=base).collect()
+            assert all(r.shard == rows[r.doc_id].grown_shard for r in later)
+
+
 def test_shards_of_all_documents(spark):
     rows = queries.op1_hash_tree_sharding(spark, SF).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
