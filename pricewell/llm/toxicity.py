@@ -155,7 +155,8 @@ def fit_chain(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, folds:
 def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     """The bounded labelled sample: doc_id, text and a 0/1 (or null) column for each category.
 
-    A document labelled several times takes its worst label. Rows are taken by a hash of the id.
+    A document labelled several times takes its worst label. Ids are taken by a hash; of the rows that share an
+    id the first in the order of texts is trained on, so the sample has as many rows as ids.
     """
     worst = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     low = (F.col("quality") < 1).cast("double")
@@ -165,7 +166,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     )
     sample = sampled(some, "doc_id", most)
     # the sample is bounded by its parameter
-    return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id")
+    flags = ("harmful", "low_quality", "toxic")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.max(c).alias(c) for c in flags])
 
 
 def trained(labelled: DataFrame, categories: list[str] = CATEGORIES) -> Chain:

@@ -51,6 +51,13 @@ def test_content_sort(spark, partitions):
     assert len(got) == len(rows)
 
 
+def test_one_training_row_for_an_id(spark):
+    docs = spark.range(50_000).selectExpr("id % 2 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.labelled_rows(docs, labels).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(0, "text 0", 0.0, 0.0, 0.0), (1, "text 1", 1.0, 1.0, 1.0)]
+
+
 def test_content_sort_edges(spark):
     rows = [(5, "x y"), (5, "x y"), (5, "xy"), (None, "x y"), (None, "z"), (6, "x  y")]
     got = content_sort.duplicates(docs_of(spark, rows)).collect()
