@@ -14,7 +14,7 @@ from pricewell.plans.registry import Registry
 from pricewell.plans.selection import key_rows_of, result_rows
 from pricewell.plans.sql_views import with_views
 from pricewell.session import scratch_dir
-from pricewell.sources import sinks, tables
+from pricewell.sources import event_log, sinks, tables
 from pricewell.streaming import events, runs, state
 
 query = Registry()
@@ -184,6 +184,93 @@ def keyed_progress_state(spark, sf_dir):
     return shown(state.current_runs(runs.appended(stream, "keyed-progress"), RUN_TTL_SECONDS))
 
 
+# ---------------------------------------------------------------- the event log
+
+
+# Messages that a stream takes from the log at once.
+BATCH_MESSAGES = 4_000
+# How an event is sent; its time in microseconds.
+SENT = "event_id BIGINT, search_id BIGINT, type STRING, us BIGINT, processed_count INT, found_total INT, value DOUBLE"
+
+
+def as_sent(given: DataFrame) -> DataFrame:
+    return given.withColumn("us", F.unix_micros("ts")).select(*[part.split()[0] for part in SENT.split(", ")])
+
+
+def received(spark: SparkSession, folder: str, progress: str, most: int = BATCH_MESSAGES) -> DataFrame:
+    """The events of a log as a stream."""
+    messages = event_log.subscribed(spark, folder, progress, most)
+    got = messages.select("offset", "channel", F.from_json("message", SENT).alias("e")).select("offset", "channel", "e.*")
+    return got.withColumn("ts", F.timestamp_micros("us"))
+
+
+@query(
+    "event_log_read",
+    f"""{_EVENTS} SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS "offset", 'search:' || search_id || ':events' AS channel,
+      event_id, type, {_TS.format('ts')} AS ts FROM e""",
+)
+def event_log_read(spark, sf_dir):
+    """Events published in two parts and read in bounded batches, by a stream that stops between the parts and goes on."""
+    out = scratch_dir(spark, "event-log")
+    given = search_events(spark, sf_dir)
+    middle = given.agg(F.timestamp_micros(F.avg(F.unix_micros("ts")).cast("bigint"))).first()[0]
+    got = None
+    for part in (F.col("ts") <= F.lit(middle), F.col("ts") > F.lit(middle)):
+        event_log.publish(as_sent(given.where(part)), f"{out}/log", ["us", "event_id"], BATCH_MESSAGES)
+        stream = received(spark, f"{out}/log", f"{out}/progress").select("offset", "channel", "event_id", "type", "ts")
+        got = runs.appended(stream, "event-log", f"{out}/read", drain=True)
+    return shown(got)
+
+
+@query(
+    "live_search_runs",
+    f"""{_EVENTS}, {_RUNS}
+    SELECT search_id, count(*) AS events, count(CASE WHEN type = 'result_added' THEN 1 END) AS results_added,
+      {_TS.format("max(ts) FILTER (type = 'progress')")} AS last_ts,
+      max_by(k, (ts, event_id)) FILTER (type = 'progress') AS processed_count,
+      CASE WHEN count(*) FILTER (type = 'progress') > 0 THEN {FOUND_TOTAL}::BIGINT END AS found_total,
+      {_TS.format('any_value(closed_ts)')} AS closed_ts, any_value(closed_by) AS closed_by
+    FROM counted GROUP BY search_id""",
+)
+def live_search_runs(spark, sf_dir):
+    """The current run of each search, followed by keyed state with timers over bounded batches of the event log."""
+    out = scratch_dir(spark, "live-runs")
+    event_log.publish(as_sent(search_events(spark, sf_dir)), f"{out}/log", ["us", "event_id"])
+    stream = state.search_progress(received(spark, f"{out}/log", f"{out}/progress"), "1 hour", RUN_TTL_SECONDS)
+    with state.rocksdb_state(spark):
+        return shown(runs.latest_per_key(stream, ["search_id"], "live-runs", f"{out}/state", drain=True))
+
+
+# How much later than an event of its time a stop flag is sent, and how long it holds.
+FLAG_DELAY = "45 MINUTES"
+FLAG_LIFE = "2 DAYS"
+
+
+@query(
+    "stopped_while_running",
+    f"""{_EVENTS}, stops AS (SELECT search_id AS stopped, ts AS stop_ts FROM e WHERE {_STOP})
+    SELECT event_id, search_id, type FROM e WHERE NOT EXISTS (SELECT 1 FROM stops
+      WHERE stopped = search_id AND stop_ts < ts AND stop_ts >= ts - INTERVAL {FLAG_LIFE})""",
+)
+def stopped_while_running(spark, sf_dir):
+    """Events and stop flags as two streams of one log, on which a flag comes after events that it stops."""
+    out = scratch_dir(spark, "stops")
+    given = search_events(spark, sf_dir).withColumn("sent", F.col("ts"))
+    flags = given.where(_STOP).withColumn("type", F.lit("stop")).withColumn("sent", F.col("ts") + F.expr(f"INTERVAL {FLAG_DELAY}"))
+    # a last event and flag of no search move the watermarks on, so that nothing is left waiting
+    last = given.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    ends = [last.select(F.lit(None).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("search_id"), "ts", F.lit(t).alias("type")) for t in ("last", "stop")]
+    ends = [e.withColumn("sent", F.col("ts")) for e in ends]
+    everything = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [given, flags, *ends])
+    sent = everything.select("*", F.unix_micros("ts").alias("us"), F.unix_micros("sent").alias("sent_us"))
+    columns = [part.split()[0] for part in SENT.split(", ")]
+    event_log.publish(sent.select(*columns, "sent_us"), f"{out}/log", ["sent_us", "event_id"])
+    stream = lambda name: received(spark, f"{out}/log", f"{out}/{name}")
+    kept = events.until_late_stop(stream("events").where("type != 'stop'"), stream("flags").where("type = 'stop'"), "1 hour", FLAG_LIFE)
+    kept = runs.appended(kept.select("event_id", "search_id", "type"), "stops", f"{out}/kept", drain=True)
+    return kept.where("type != 'last'")  # not in the stream, where the filter would go before the watermark
+
+
 @query(
     "stop_flags_live",
     f"""{_EVENTS} SELECT search_id, {_TS.format('min(ts)')} AS stop_ts FROM e WHERE type = 'error' AND value > 20

@@ -112,6 +112,19 @@ def until_stop(events: DataFrame, flags: DataFrame) -> DataFrame:
     return joined.filter(F.col("stop_ts").isNull() | (F.col("ts") <= F.col("stop_ts"))).drop("stop_ts")
 
 
+def until_late_stop(events: DataFrame, flags: DataFrame, delay: str, lives: str) -> DataFrame:
+    """Events of a stream without those that a stop flag of another stream comes before, by no more than its life.
+
+    Both streams have ``ts`` and may come late by ``delay``. An event waits until no flag can come any more that would stop
+    it, so a flag that is sent after the event, but is older, still stops it.
+    """
+    left = events.withWatermark("ts", delay)
+    right = flags.withWatermark("ts", delay).select(F.col("search_id").alias("stopped"), F.col("ts").alias("stop_ts"))
+    before = (F.col("stop_ts") < F.col("ts")) & (F.col("stop_ts") >= F.col("ts") - F.expr(f"INTERVAL {lives}"))
+    joined = left.join(right, (F.col("search_id") == F.col("stopped")) & before, "leftOuter")
+    return joined.where(F.col("stopped").isNull()).drop("stopped", "stop_ts")
+
+
 def live_progress(progress: DataFrame, as_of: Column, seconds: int = STATE_TTL_SECONDS) -> DataFrame:
     """Progress not older than its time to live."""
     return progress.filter(F.unix_micros("ts") > F.unix_micros(as_of) - F.lit(seconds * 1_000_000))

@@ -6,46 +6,49 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from pricewell.session import scratch_dir
 
 
-def appended(stream: DataFrame, name: str) -> DataFrame:
-    """Appends a stream to a parquet table until no input is left."""
+def _until_empty(writer: DataStreamWriter, drain: bool) -> None:
+    """Runs until no input is left; ``drain`` asks a source that says step by step how much there is until it has no more."""
+    if not drain:
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return
+    query = writer.start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def appended(stream: DataFrame, name: str, out: str | None = None, drain: bool = False) -> DataFrame:
+    """Appends a stream to a parquet table until no input is left.
+
+    With the same ``out`` a later run goes on where an earlier one ended.
+    """
     spark = stream.sparkSession
-    out = scratch_dir(spark, name)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{out}/table")
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    out = out or scratch_dir(spark, name)
+    writer = stream.writeStream.format("parquet").option("path", f"{out}/table")
+    _until_empty(writer.option("checkpointLocation", f"{out}/checkpoint").outputMode("append"), drain)
     return spark.read.schema(stream.schema).parquet(f"{out}/table")
 
 
-def latest_per_key(stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+def latest_per_key(stream: DataFrame, keys: Sequence[str], name: str, out: str | None = None, drain: bool = False) -> DataFrame:
     """Runs an updating stream until no input is left; the last row of each key.
 
     Each micro-batch writes only its changed keys, into a folder of its own that a
-    repeated batch overwrites.
+    repeated batch overwrites. With the same ``out`` a later run goes on where an earlier one ended.
     """
     spark = stream.sparkSession
-    out = scratch_dir(spark, name)
+    out = out or scratch_dir(spark, name)
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/table/epoch={epoch}")
 
-    query = (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .outputMode("update")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").outputMode("update")
+    _until_empty(writer, drain)
     values = [c for c in stream.columns if c not in keys]
     rows = spark.read.parquet(f"{out}/table")
     last = F.max_by(F.struct(*values), F.col("epoch")).alias("last")

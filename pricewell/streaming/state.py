@@ -2,96 +2,163 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import datetime
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pricewell.operators.sizing import broadcast_if_small
 from pricewell.schemas import STATE_TTL_SECONDS
 from pricewell.streaming.events import TERMINAL
 
-RESULT = (
-    "events BIGINT, results_added BIGINT, last_ts TIMESTAMP, processed_count INT, found_total INT,"
+OUTPUT = (
+    "search_id BIGINT, events BIGINT, results_added BIGINT, last_ts TIMESTAMP, processed_count INT, found_total INT,"
     " closed_ts TIMESTAMP, closed_by STRING"
 )
-# Beside the result: when the run was last heard of, and which event gave its progress.
-STATE = f"{RESULT}, heard_ts TIMESTAMP, last_event BIGINT"
-OUTPUT = f"search_id BIGINT, {RESULT}"
-COLUMNS = [part.split()[0] for part in OUTPUT.split(", ")]
-FRESH = (0, 0, None, None, None, None, None, None, None)
-
+# The state of a search. Times are microseconds.
+RUN = (
+    "events BIGINT, last_us BIGINT, last_event BIGINT, processed_count INT, found_total INT, closed_us BIGINT,"
+    " closed_by STRING, heard_us BIGINT"
+)
+COUNT = "events BIGINT"
+EVENT = "us BIGINT, event_id BIGINT, type STRING, processed_count INT, found_total INT"
+EVENT_COLUMNS = [part.split()[0] for part in EVENT.split(", ")]
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which state of several variables needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+@dataclass
+class Run:
+    """The current run of a search, folded event by event in the order of time and id."""
+
+    events: int = 0
+    last_us: int | None = None
+    last_event: int | None = None
+    processed_count: int | None = None
+    found_total: int | None = None
+    closed_us: int | None = None
+    closed_by: str | None = None
+    heard_us: int | None = None
+
+    def take(self, event: tuple, counts: dict[str, int], ttl_us: int) -> Run:
+        """The run after an event: a new one where the silence before was longer than the time to live."""
+        us, event_id, kind, processed, total = event
+        now = self
+        if self.heard_us is not None and us - self.heard_us > ttl_us:
+            now = Run()
+            counts.clear()
+        now.heard_us = us
+        if now.closed_us is not None:  # what comes after the first end does not count
+            return now
+        now.events += 1
+        counts[kind] = counts.get(kind, 0) + 1
+        if kind == "progress":
+            now.last_us, now.last_event, now.processed_count, now.found_total = us, event_id, processed, total
+        if kind in TERMINAL:
+            now.closed_us, now.closed_by = us, kind
+        return now
+
+
+class SearchRuns(StatefulProcessor):
+    """Follows the current run of each search.
 
-def _number(value) -> int | None:
-    return None if pd.isna(value) else int(value)
+    A run ends when nothing is heard of the search for longer than the time to live: the next event
+    begins a new one. The first terminal event closes a run, and what comes after it in the run is ignored. The rule is
+    one of event time alone, so it does not matter how events fall into micro-batches or in which order they
+    come, as long as none is later than the watermark.
+
+    Events that the watermark has not passed yet wait in a list. What it has passed is folded in order into the run
+    (a value) and the counts by type (a map) and forgotten, so a search holds the events of the delay and of one
+    micro-batch, which the source's limit bounds. A timer at the last waiting event folds what an idle search has
+    left, a timer at the end of the time to live drops its state.
+    """
 
+    def __init__(self, ttl_seconds: int = STATE_TTL_SECONDS) -> None:
+        self.ttl_us = ttl_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", RUN)
+        self.counts = handle.getMapState("counts", "type STRING", COUNT)
+        self.waiting = handle.getListState("waiting", EVENT)
+
+    def _settle(self, events: list[tuple], watermark_ms: int) -> tuple[Run, dict[str, int]]:
+        """Folds what the watermark has passed into the state; the run as it is with the events that still wait."""
+        events.sort()
+        passed = [e for e in events if e[0] <= watermark_ms * 1_000]
+        rest = events[len(passed) :]
+        run = Run(*self.run.get()) if self.run.exists() else Run()
+        counts = {k[0]: v[0] for k, v in self.counts.iterator()} if run.events else {}
+        if passed:
+            for event in passed:
+                run = run.take(event, counts, self.ttl_us)
+            self.run.update(tuple(asdict(run).values()))
+            self.counts.clear()
+            for kind, n in counts.items():
+                self.counts.updateValue((kind,), (n,))
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        now, seen = Run(**asdict(run)), dict(counts)
+        for event in rest:
+            now = now.take(event, seen, self.ttl_us)
+        if now.heard_us is not None:
+            due = rest[-1][0] if rest else now.heard_us + self.ttl_us
+            self.handle.registerTimer(max(due // 1_000, watermark_ms) + 1)
+        return now, seen
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
+        new = [tuple(r[c] for c in EVENT_COLUMNS) for r in rows]
+        now, counts = self._settle(waiting + new, timerValues.getCurrentWatermarkInMs())
+        time = lambda us: None if us is None else datetime.datetime.fromtimestamp(0) + datetime.timedelta(microseconds=us)
+        yield Row(
+            search_id=key[0],
+            events=now.events,
+            results_added=counts.get("result_added", 0),
+            last_ts=time(now.last_us),
+            processed_count=now.processed_count,
+            found_total=now.found_total,
+            closed_ts=time(now.closed_us),
+            closed_by=now.closed_by,
+        )
 
-def _folded(ttl_seconds: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """Folds the events of a search into its current run.
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark_ms = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
+        if not waiting and self.run.exists() and Run(*self.run.get()).heard_us + self.ttl_us < watermark_ms * 1_000:
+            self.run.clear()
+            self.counts.clear()
+        else:
+            self._settle(waiting, watermark_ms)
+        return iter(())
 
-    A run ends when nothing is heard of the search for longer than the time to live: the next event
-    begins a new one. The first terminal event closes a run, and what comes after it in the run is
-    ignored. Events count in the order of time and id. The rule is one of event time alone, so
-    it does not matter how events fall into micro-batches; dropping the state of an idle search only
-    frees its room.
-    """
-    ttl = pd.Timedelta(seconds=ttl_seconds)
-
-    def fold(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # the events of one search in one micro-batch: the source needs a rate limit, else see current_runs
-        rows = pd.concat(list(pieces)).sort_values(["ts", "event_id"], kind="stable")
-        known = state.get if state.exists else FRESH
-        heard = None if known[7] is None else pd.Timestamp(known[7])
-        before = rows["ts"].shift()
-        before.iloc[0] = rows["ts"].iloc[0] if heard is None else heard
-        starts = (rows["ts"] - before > ttl).to_numpy().nonzero()[0]
-        if len(starts):
-            rows, known, heard = rows.iloc[starts[-1] :], FRESH, None
-        events, added, last_ts, processed, total, closed_ts, closed_by, _, last_event = known
-        newest = rows["ts"].iloc[-1]
-        heard = newest if heard is None else max(heard, newest)
-        if closed_ts is None:
-            ends = rows["type"].isin(list(TERMINAL)).to_numpy().nonzero()[0]
-            if len(ends):
-                rows = rows.iloc[: ends[0] + 1]
-                closed_ts, closed_by = rows["ts"].iloc[-1].to_pydatetime(), rows["type"].iloc[-1]
-            events += len(rows)
-            added += int((rows["type"] == "result_added").sum())
-            progress = rows[rows["type"] == "progress"]
-            if len(progress):
-                last = progress.iloc[-1]
-                if last_ts is None or (last["ts"], last["event_id"]) > (pd.Timestamp(last_ts), last_event):
-                    last_ts, last_event = last["ts"].to_pydatetime(), int(last["event_id"])
-                    processed, total = _number(last["processed_count"]), _number(last["found_total"])
-        result = (events, added, last_ts, processed, total, closed_ts, closed_by)
-        state.update((*result, heard.to_pydatetime(), last_event))
-        state.setTimeoutTimestamp(max(int((heard + ttl).timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
-        row = pd.DataFrame([(key[0], *result)], columns=COLUMNS)
-        yield row.astype({"processed_count": "Int32", "found_total": "Int32"})
-
-    return fold
+    def close(self) -> None: ...
 
 
 def search_progress(events: DataFrame, delay: str, ttl_seconds: int = STATE_TTL_SECONDS) -> DataFrame:
-    """A changed row per search and micro-batch, with the search's current run.
-
-    One task holds what one search has in a micro-batch, so the source must limit a micro-batch and hand
-    out files in the order of time. ``current_runs`` gives the same of a table with searches of any size.
+    """A changed row per search and micro-batch, with the search's current run (``SearchRuns``).
 
-    The time to live runs on event time, ``delay`` being how late events may come; with
-    wall-clock time a run over what is available would never find an end.
+    ``delay`` is how late events may come: what is later is left out. Start the stream in ``rocksdb_state``, from a
+    source with a limit. ``current_runs`` gives the same of a table.
     """
-    return (
-        events.select("search_id", "event_id", "type", "ts", "processed_count", "found_total")
-        .withWatermark("ts", delay)
-        .groupBy("search_id")
-        .applyInPandasWithState(_folded(ttl_seconds), OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
-    )
+    rows = events.where(F.col("ts").isNotNull()).withWatermark("ts", delay)
+    rows = rows.select("search_id", "ts", F.unix_micros("ts").alias("us"), *EVENT_COLUMNS[1:])
+    return rows.groupBy("search_id").transformWithState(SearchRuns(ttl_seconds), OUTPUT, "update", "EventTime")
 
 
 def current_runs(events: DataFrame, ttl_seconds: int = STATE_TTL_SECONDS) -> DataFrame:

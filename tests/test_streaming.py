@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewell.plans import live
+from pricewell.sources import event_log
 from pricewell.streaming import events, runs, state
 
 SF = "/root/testdata/sf0.001"
@@ -78,7 +79,8 @@ def test_keyed_state_does_not_depend_on_batches(spark, tmp_path, files, ttl):
         part = raw.where(F.dayofmonth("ts").between(day, day + 3))
         part.coalesce(1).write.mode("append").parquet(path)
     source = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", files).parquet(path)
-    got = runs.latest_per_key(state.search_progress(live.as_search_events(source), "1 minute", ttl), ["search_id"], "state")
+    with state.rocksdb_state(spark):
+        got = runs.latest_per_key(state.search_progress(live.as_search_events(source), "1 minute", ttl), ["search_id"], "state")
     want = runs_by_hand(live.as_search_events(raw).collect(), ttl)
     assert {r.search_id: {k: r[k] for k in want[r.search_id]} for r in got.collect()} == want
 
@@ -119,7 +121,8 @@ def test_idle_state_expires(spark, tmp_path):
     # search 1 pauses for three hours while search 2 moves the watermark on
     times = [(1, "2024-01-01 00:00:00"), (2, "2024-01-01 02:00:00"), (2, "2024-01-01 02:30:00"), (1, "2024-01-01 03:00:00")]
     source = sent(spark, str(tmp_path / "events"), [(i, k, t, "view", f'{{"k": {i}}}') for i, (k, t) in enumerate(times)])
-    got = runs.latest_per_key(state.search_progress(source, "1 minute"), ["search_id"], "ttl")
+    with state.rocksdb_state(spark):
+        got = runs.latest_per_key(state.search_progress(source, "1 minute"), ["search_id"], "ttl")
     assert {r.search_id: r.events for r in got.collect()} == {1: 1, 2: 2}
 
 
@@ -127,7 +130,8 @@ def test_ties_and_missing_counts(spark, tmp_path):
     when = "2024-01-01 00:00:00"
     rows = [(2, 1, when, "view", '{"k": 2}'), (1, 1, when, "view", '{"k": 1}'), (3, 2, when, "view", None)]
     source = sent(spark, str(tmp_path / "events"), rows)
-    got = runs.latest_per_key(state.search_progress(source, "1 minute"), ["search_id"], "ties").collect()
+    with state.rocksdb_state(spark):
+        got = runs.latest_per_key(state.search_progress(source, "1 minute"), ["search_id"], "ties").collect()
     assert {r.search_id: (r.events, r.processed_count) for r in got} == {1: (2, 2), 2: (1, None)}
 
 
@@ -136,3 +140,116 @@ def test_messages_are_read_back(spark, tmp_path):
     assert sent.first().channel.startswith("search:")
     read = events.message_stream(sent, "message", "search_id BIGINT, type STRING")
     assert read.columns == ["search_id", "type"] and read.filter("type IS NULL").count() == 0
+
+
+def published(spark, folder, rows, start=0):
+    """Appends events (search, time in seconds) to a log, in their order."""
+    df = spark.createDataFrame([(start + i, key, "progress", us * 1_000_000, i, 9) for i, (key, us) in enumerate(rows)],
+                               "event_id BIGINT, search_id BIGINT, type STRING, us BIGINT, processed_count INT, found_total INT")
+    event_log.publish(df, folder, ["event_id"], segment_messages=7)
+
+
+def test_log_is_read_in_bounded_batches_and_goes_on(spark, tmp_path):
+    log, batches = f"file://{tmp_path}/log", []
+    published(spark, log, [(i % 3, i) for i in range(50)])
+    assert [(s.start, s.end) for s in event_log.Log(log).segments()][0] == (0, 7)
+    assert spark.read.format("event_log").load(log).count() == 50
+
+    def run(most):
+        stream = event_log.subscribed(spark, log, f"file://{tmp_path}/progress", most)
+        keep = lambda b, epoch: batches.append((epoch, sorted(r.offset for r in b.collect())))
+        query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "checkpoint")).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    run(20)
+    assert [len(b) for _, b in batches] == [20, 20, 10]
+    published(spark, log, [(1, 100 + i) for i in range(9)], 50)
+    run(4)
+    assert [len(b) for _, b in batches[3:]] == [4, 4, 1]
+    assert [o for _, b in batches for o in b] == list(range(59))
+
+
+def test_a_repeated_batch_is_read_again(spark, tmp_path):
+    log = f"file://{tmp_path}/log"
+    published(spark, log, [(1, i) for i in range(10)])
+    stream = event_log.subscribed(spark, log, f"file://{tmp_path}/progress", 6)
+    seen, broken = [], []
+
+    def write(batch, epoch):
+        rows = [r.offset for r in batch.collect()]
+        if epoch == 1 and not broken:
+            broken.append(rows)
+            raise ValueError("the batch breaks")
+        seen.append((epoch, rows))
+
+    for _ in range(2):
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "checkpoint")).start()
+        try:
+            query.processAllAvailable()
+        except Exception as e:  # noqa: BLE001
+            assert "the batch breaks" in str(e)
+        finally:
+            query.stop()
+    assert seen == [(0, [0, 1, 2, 3, 4, 5]), (1, [6, 7, 8, 9])] and broken == [[6, 7, 8, 9]]
+
+
+def test_a_failed_append_leaves_the_log_as_it_was(spark, tmp_path):
+    log = f"file://{tmp_path}/log"
+    published(spark, log, [(1, i) for i in range(10)])
+    before = [s.path for s in event_log.Log(log).segments()]
+    bad = F.udf(lambda i: 1 // (i - 5), "long")(F.col("id"))
+    df = spark.range(10).select(F.col("id").alias("offset"), bad.cast("string").alias("channel"), F.lit("x").alias("message"))
+    with pytest.raises(Exception, match="division|ZeroDivision"):
+        df.write.format("event_log").mode("append").save(log)
+    assert [s.path for s in event_log.Log(log).segments()] == before
+    with pytest.raises(Exception, match="appended"):
+        df.write.format("event_log").mode("overwrite").save(log)
+
+
+def test_events_out_of_order_inside_the_delay(spark, tmp_path):
+    # hours apart in one search: the run of the later pause begins anew, whatever comes first
+    log = f"file://{tmp_path}/log"
+    published(spark, log, [(1, 100), (1, 50), (1, 8_000), (2, 8_100), (1, 7_950), (2, 20_000), (1, 20_100), (1, 20_050)])
+    stream = live.received(spark, log, f"file://{tmp_path}/progress", 2)
+    with state.rocksdb_state(spark):
+        got = runs.latest_per_key(state.search_progress(stream, "10 minutes"), ["search_id"], "late", drain=True).collect()
+    assert {r.search_id: (r.events, r.last_ts.timestamp(), r.processed_count) for r in got} == {1: (2, 20_100.0, 6), 2: (1, 20_000.0, 5)}
+
+
+def test_state_holds_what_waits_only(spark, tmp_path):
+    """A run's events are forgotten when the watermark has passed them, and idle searches altogether."""
+    log = f"file://{tmp_path}/log"
+    published(spark, log, [(1, i * 60) for i in range(1, 61)] + [(2, 50_000), (2, 60_000), (2, 60_001)])
+    stream = live.received(spark, log, f"file://{tmp_path}/progress", 10)
+    rows = []
+    query = None
+    with state.rocksdb_state(spark):
+        writer = state.search_progress(stream, "1 minute").writeStream.outputMode("update")
+        writer = writer.foreachBatch(lambda b, e: rows.extend(b.collect())).option("checkpointLocation", str(tmp_path / "checkpoint"))
+        query = writer.start()
+        try:
+            query.processAllAvailable()
+            held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        finally:
+            query.stop()
+    assert max(r.events for r in rows if r.search_id == 1) == 60
+    # state rows: a run, counts, waiting events and timers of two searches, never the sixty events
+    assert max(held) < 20 and held[-1] <= held[0] + 4
+
+
+def test_late_flags_stop_a_running_stream(spark, tmp_path):
+    # the flag of search 1 at 100 is sent after events of 150 and 200; that of search 2 holds for its life only
+    log = f"file://{tmp_path}/log"
+    at = [(1, 50), (1, 150), (1, 200), (2, 100), (2, 4_000), (3, 300)]
+    published(spark, log, at)
+    flag = [(100, 1, "stop", 100), (101, 2, "stop", 90), (102, -1, "stop", 90_000), (103, -1, "last", 90_000)]
+    rows = [(i, k, t, us * 1_000_000, None, None) for i, k, t, us in flag]
+    df = spark.createDataFrame(rows, "event_id BIGINT, search_id BIGINT, type STRING, us BIGINT, processed_count INT, found_total INT")
+    event_log.publish(df, log, ["event_id"])
+    streams = [live.received(spark, log, f"file://{tmp_path}/{n}", 3) for n in "ab"]
+    kept = events.until_late_stop(streams[0].where("type != 'stop'"), streams[1].where("type = 'stop'"), "1 hour", "1 HOUR")
+    got = runs.appended(kept.select("search_id", "us", "type"), "late-flags", drain=True).where("type != 'last'").collect()
+    assert sorted((r.search_id, r.us // 1_000_000) for r in got) == [(1, 50), (2, 4_000), (3, 300)]
