@@ -159,26 +159,6 @@ def key_comparison_rows(
     )
 
 
-def fuzzy_name_join(
-    left: DataFrame, right: DataFrame, block: Sequence[str], left_name: str, right_name: str, threshold: float
-) -> DataFrame:
-    """Distinct name pairs alike above a threshold, compared only where block and a word agree.
-
-    Blocking is an equi-join of the distinct names of both sides on the block and each of their
-    words, so a block is not compared with itself as a whole, and the number of comparisons
-    follows the distinct names, not the rows.
-    """
-    word = F.explode(F.array_distinct(F.split("__name", r"\s+"))).alias("__word")
-    side = lambda df, name: df.select(*block, F.lower(name).alias("__name")).distinct().select(*block, "__name", word)
-    a = side(left, left_name).withColumnRenamed("__name", "__a")
-    b = side(right, right_name).withColumnRenamed("__name", "__b")
-    met = a.join(b, [*block, "__word"]).select(*block, "__a", "__b").distinct()
-    scored = met.withColumn("similarity", compare.text_similarity(F.col("__a"), F.col("__b")))
-    return scored.filter(F.col("similarity") > threshold).select(
-        *block, F.col("__a").alias(left_name), F.col("__b").alias(right_name), "similarity"
-    )
-
-
 def classify_by_fields(
     rows: DataFrame, keys: Sequence[str], mandatory: Sequence[str], least_share: float
 ) -> DataFrame:

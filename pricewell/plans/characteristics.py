@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricewell.functions import compare, scoring, similarity, units
 from pricewell.functions.normalize import with_normalized
-from pricewell.operators import joins, matching, prices
+from pricewell.operators import joins, matching, name_join, prices
 from pricewell.plans import ceiling
 from pricewell.plans.output import shown
 from pricewell.plans.registry import Registry
@@ -260,8 +260,7 @@ add_view("part_names", "SELECT p_type AS code, p_name AS object_name FROM part",
         ", "
         + similarity_ctes(
             "SELECT DISTINCT lower(q.object_name) AS a, lower(c.object_name) AS b"
-            " FROM requests q JOIN part_names c ON q.ktru_code = c.code WHERE len(list_intersect("
-            "string_split(lower(q.object_name), ' '), string_split(lower(c.object_name), ' '))) > 0"
+            " FROM requests q JOIN part_names c ON q.ktru_code = c.code"
         ).strip()
         + """ SELECT DISTINCT c.code, a AS target_name, b AS object_name, best AS similarity
         FROM requests q JOIN part_names c ON q.ktru_code = c.code
@@ -275,7 +274,7 @@ def fuzzy_names_by_code(spark, sf_dir):
         F.col("ktru_code").alias("code"), F.col("object_name").alias("target_name")
     )
     found = tables.table(spark, sf_dir, "part").select(F.col("p_type").alias("code"), F.col("p_name").alias("object_name"))
-    return matching.fuzzy_name_join(wanted, found, ["code"], "target_name", "object_name", compare.NAME_THRESHOLD)
+    return name_join.similar_names(wanted, found, ["code"], "target_name", "object_name", compare.NAME_THRESHOLD)
 
 
 # ---------------------------------------------------------------- manufacturers

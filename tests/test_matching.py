@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricewell.functions import similarity as sim
 from pricewell.functions.compare import maker_contains_any, maker_similarity
-from pricewell.operators import matching
+from pricewell.operators import matching, name_join
 
 words = st.text(alphabet="abcё ", max_size=14)
 
@@ -164,23 +164,6 @@ def test_key_rows(spark):
     }
 
 
-def test_fuzzy_join_compares_within_blocks_only(spark):
-    rng = random.Random(3)
-    names = ["red bolt", "bolt red", "blue nut", "nut", "ring"]
-    left = [(rng.choice("ab"), n) for n in names for _ in range(5)]
-    right = [(rng.choice("ab"), n) for n in names for _ in range(5)]
-    a = spark.createDataFrame(left, "code STRING, wanted STRING")
-    b = spark.createDataFrame(right, "code STRING, found STRING")
-    got = matching.fuzzy_name_join(a, b, ["code"], "wanted", "found", 0.8)
-    expected = {
-        (code, x, y)
-        for code, x in set(left)
-        for other, y in set(right)
-        if code == other and set(x.split()) & set(y.split()) and sim.best_ratio(x, y) > 0.8
-    }
-    assert {(r.code, r.wanted, r.found) for r in got.collect()} == expected
-
-
 def test_classification_by_mandatory_fields(spark):
     rows = [
         ("same", "size", "MATCH", 1), ("same", "maker", "MATCH", 1), ("same", "colour", "DIFF", 1),
@@ -195,3 +178,35 @@ def test_classification_by_mandatory_fields(spark):
         "same": ("IDENTICAL", "ACCEPT"), "alike": ("HOMOGENEOUS", "REVIEW"), "conflict": ("NO_MATCH", "REJECT"),
         "lacking": ("HOMOGENEOUS", "REVIEW"), "neither": ("NO_MATCH", "REJECT"), "twice": ("HOMOGENEOUS", "REVIEW"),
     }
+
+
+WORDS = ["pump", "pumps", "heat", "heater", "ab", "a", "b", "of", "x1", "насос", "pum", "p ump", "steel", "stee1", "  ", "ba", "abc", "d"]
+
+
+@pytest.mark.parametrize("seed,threshold", [(1, 0.8), (2, 0.8), (3, 0.7), (4, 0.95)])
+def test_similar_names_lose_no_pair(spark, seed, threshold):
+    rng = random.Random(seed)
+
+    def name():
+        text = rng.choice([" ", "  ", "-"]).join(rng.choice(WORDS) for _ in range(rng.choice([1, 1, 2, 3, 5])))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + rng.choice(["", "z", " ", "p"]) + text[at + rng.choice([0, 1]) :]
+        return text
+
+    sides = [[(rng.choice(["c1", "c2"]), name()) for _ in range(220)] + [("c1", ""), ("c1", None), (None, "pump")] for _ in range(2)]
+    a, b = (spark.createDataFrame(rows, "code string, name string") for rows in sides)
+    got = name_join.similar_names(a, b.withColumnRenamed("name", "found"), ["code"], "name", "found", threshold).collect()
+    left, right = ({(c, n.lower()) for c, n in rows if c and n is not None} for rows in sides)
+    want = {(c, x, y): s for c, x in left for k, y in right if c == k and (s := sim.best_ratio(x, y)) > threshold}
+    assert {(r.code, r.name, r.found): r.similarity for r in got} == want and len(got) == len(want)
+
+
+def test_few_pairs_are_compared(spark):
+    rng = random.Random(5)
+    names = [("c", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24))) for _ in range(400)]
+    a = spark.createDataFrame(names, "code string, __name string")
+    found = name_join.candidates(a, a, ["code"], 0.8).count()
+    assert 400 <= found < 0.6 * 400 * 400
+    with pytest.raises(ValueError):
+        name_join.similar_names(a, a, ["code"], "__name", "__name", 0.6)
