@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricewell.functions import compare, scoring, similarity, units
 from pricewell.functions.normalize import with_normalized
-from pricewell.operators import joins, matching, name_join, prices
+from pricewell.operators import joins, matching, name_join, prices, synonyms
 from pricewell.plans import ceiling
 from pricewell.plans.output import shown
 from pricewell.plans.registry import Registry
@@ -277,6 +277,39 @@ def fuzzy_names_by_code(spark, sf_dir):
     return name_join.similar_names(wanted, found, ["code"], "target_name", "object_name", compare.NAME_THRESHOLD)
 
 
+# Pairs of synonyms, from which chains follow: a name and the brand of one size, as if they meant the same.
+_SYNONYMS = """pairs AS (SELECT lower(p_name) AS a, lower(p_brand) AS b FROM part WHERE p_size = 1),
+  links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+  reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+  known AS (SELECT a AS name, least(a, min(b)) AS canonical FROM reached GROUP BY a)"""
+
+
+def synonym_groups_of(spark, sf_dir):
+    part = tables.table(spark, sf_dir, "part").where("p_size = 1")
+    return synonyms.groups(part, "p_name", "p_brand")
+
+
+@query("synonym_groups", f"WITH RECURSIVE {_SYNONYMS} SELECT name, canonical FROM known")
+def synonym_groups(spark, sf_dir):
+    """Groups of names that pairs join, also over others."""
+    return synonym_groups_of(spark, sf_dir)
+
+
+@query(
+    "canonical_names",
+    f"""WITH RECURSIVE {_SYNONYMS} SELECT l_partkey AS p_partkey, coalesce(canonical, lower(p_name)) AS canonical, count(*) AS lines,
+      sum(l_quantity::BIGINT)::BIGINT AS quantity
+    FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN known ON name = lower(p_name) GROUP BY ALL""",
+)
+def canonical_names(spark, sf_dir):
+    """Line items under the one name of their group of synonyms."""
+    part = tables.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    named = synonyms.with_canonical(part, "p_name", synonym_groups_of(spark, sf_dir)).select("p_partkey", "canonical")
+    line = tables.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").cast("bigint").alias("q"))
+    counts = line.groupBy("p_partkey").agg(F.count("*").alias("lines"), F.sum("q").alias("quantity"))
+    return counts.join(named, "p_partkey").select("p_partkey", "canonical", "lines", "quantity")
+
+
 # ---------------------------------------------------------------- manufacturers
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewell.functions import json_text
 from pricewell.operators import answers
 from pricewell.operators.dedupe import distinct_texts
 from pricewell.plans import ceiling
@@ -71,6 +72,40 @@ def prompt_table(spark, sf_dir):
     return rows.select("search_id", "contract_id", prompt.alias("prompt"))
 
 
+def nested_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A specification with nested values for each part; some have no values, limits or attributes."""
+    key = F.col("p_partkey")
+    limits = F.when(key % 3 != 0, F.struct((F.col("p_size") - 1).alias("min"), (F.col("p_size") + 1).alias("max")))
+    size = F.struct(F.lit("размер").alias("name"), F.array(F.col("p_size").cast("string"), F.lit('20"')).alias("values"), limits.alias("limits"))
+    price = F.struct(F.lit("цена\\руб").alias("name"), F.array().cast("array<string>").alias("values"), F.lit(None).cast("struct<min:int,max:int>").alias("limits"))
+    specs = F.when(key % 5 == 0, F.array().cast("array<struct<name:string,values:array<string>,limits:struct<min:int,max:int>>>"))
+    attributes = F.when(key % 4 == 0, F.create_map().cast("map<string,double>")).otherwise(F.create_map(F.col("p_brand"), F.col("p_retailprice")))
+    spec = F.struct(
+        F.col("p_name").alias("object_name"),
+        specs.otherwise(F.array(size, price)).alias("specs"),
+        attributes.alias("attributes"),
+        (key % 2 == 0).alias("checked"),
+    )
+    return tables.table(spark, sf_dir, "part").select("p_partkey", spec.alias("spec"))
+
+
+@query(
+    "nested_prompts",
+    """WITH s AS (SELECT p_partkey, json_object('object_name', p_name, 'specs',
+        CASE WHEN p_partkey % 5 = 0 THEN json_array() ELSE json_array(
+          json_object('name', 'размер', 'values', json_array(p_size::VARCHAR, '20"'), 'limits',
+            CASE WHEN p_partkey % 3 <> 0 THEN json_object('min', p_size - 1, 'max', p_size + 1) END),
+          json_object('name', 'цена\\руб', 'values', json_array(), 'limits', NULL)) END,
+        'attributes', CASE WHEN p_partkey % 4 = 0 THEN json_object() ELSE json_object(p_brand, p_retailprice) END,
+        'checked', p_partkey % 2 = 0) AS j FROM part)
+    SELECT p_partkey, replace(json_pretty(j), '    ', '  ') AS prompt FROM s""",
+)
+def nested_prompts(spark, sf_dir):
+    """Specifications with nested values as indented JSON."""
+    rows = nested_specs(spark, sf_dir)
+    return shown(rows.select("p_partkey", json_text.indented(F.col("spec"), rows.schema["spec"].dataType).alias("prompt")))
+
+
 # ---------------------------------------------------------------- answers
 
 

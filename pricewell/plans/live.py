@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from pricewell.plans.output import shown
 from pricewell.plans.registry import Registry
 from pricewell.plans.selection import key_rows_of, result_rows
 from pricewell.plans.sql_views import with_views
-from pricewell.session import scratch_dir
-from pricewell.sources import event_log, sinks, tables
+from pricewell.schemas import CONTRACT_RESULTS
+from pricewell.session import materialized, scratch_dir
+from pricewell.sources import event_log, sinks, snapshots, tables
 from pricewell.streaming import events, runs, state
 
 query = Registry()
@@ -327,6 +329,42 @@ def results_written(spark, sf_dir):
     return shown(spark.read.parquet(f"{out}/contract_results").join(rows, "id"))
 
 
+STORED = CONTRACT_RESULTS.replace(" NOT NULL", "")
+RESULT_KEYS = ["search_id", "reestr_number"]
+
+
+class Broken(Exception):
+    """A task that ends in the middle of a batch."""
+
+
+def _break() -> None:
+    raise Broken
+
+
+@query(
+    "results_upserted",
+    with_views(
+        """SELECT search_id, registry_no AS reestr_number, contract_url, CAST(unit_price AS DOUBLE) AS unit_price, match_type,
+          CASE WHEN length(registry_no) % 2 = 0 THEN 100 - ai_score ELSE ai_score END::BIGINT AS ai_score,
+          CASE WHEN length(registry_no) % 2 = 0 THEN 3 ELSE 1 END::BIGINT AS version FROM scored_fresh""",
+        "scored_fresh",
+    ),
+)
+def results_upserted(spark, sf_dir):
+    """Results stored, stored again by a repeated task, broken off in the middle, and partly replaced: one row each."""
+    out = scratch_dir(spark, "upserted")
+    records = materialized(sinks.result_records(stored_results(spark, sf_dir)), "records")
+    order = [F.asc("id")]
+    again = records.where(F.length("reestr_number") % 2 == 0).withColumn("ai_score", 100 - F.col("ai_score"))
+    for _ in range(2):
+        snapshots.upsert(records.unionByName(records), out, 1, RESULT_KEYS, order)
+    with suppress(Broken):
+        snapshots.upsert(records.withColumn("ai_score", F.lit(-1)), out, 2, RESULT_KEYS, order, before_commit=_break)
+    snapshots.upsert(again, out, 3, RESULT_KEYS, order)
+    rows = snapshots.snapshot(spark, out, RESULT_KEYS, STORED)
+    return shown(rows, *RESULT_KEYS, "contract_url", "unit_price", "match_type", "ai_score", "version")
+
+
 @query(
     "report_exported",
     f"""SELECT 'detail' AS sheet, count(*) AS rows, 0::BIGINT AS csv_differences, 0::BIGINT AS json_differences

@@ -11,8 +11,8 @@ from pricewell.functions.dates import lenient_date
 from pricewell.operators import joins, prices, topk
 from pricewell.plans.output import shown
 from pricewell.plans.registry import Registry
-from pricewell.session import materialized
-from pricewell.sources import cards, contract_pages, pages, tables
+from pricewell.session import materialized, scratch_dir
+from pricewell.sources import cards, contract_pages, pages, quarantine, tables
 from pricewell.sources.tables import PAGE_HOST
 
 query = Registry()
@@ -324,6 +324,53 @@ def contract_tabs(spark, sf_dir):
     )
 
 
+def numberless_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract pages of which every 7th address has no number, every 13th page nothing on it."""
+    key = F.col("o_orderkey")
+    url = F.when(key % 7 == 0, F.regexp_replace("url", "reestrNumber=[^&]+", "reestrNumber=")).otherwise(F.col("url"))
+    return common_pages(spark, sf_dir).withColumns({"url": url, "html": F.when(key % 13 != 0, F.col("html"))})
+
+
+def page_rules() -> dict[str, Column]:
+    number = contract_pages.registry_number(F.col("url"))
+    return {"no registry number": number.isNull(), "no page": F.coalesce(F.trim("html"), F.lit("")) == ""}
+
+
+PAGE_COLUMNS = "o_orderkey BIGINT, url STRING, html STRING"
+
+
+@query(
+    "pages_judged",
+    _ORDER_CTE
+    + """ SELECT page_id AS o_orderkey, 'good' AS half, key AS reestr_number, NULL AS reasons FROM o WHERE page_id % 7 <> 0 AND page_id % 13 <> 0
+    UNION ALL SELECT page_id, 'reject', CASE WHEN page_id % 7 <> 0 THEN key END,
+      concat_ws('; ', CASE WHEN page_id % 7 = 0 THEN 'no registry number' END, CASE WHEN page_id % 13 = 0 THEN 'no page' END)
+    FROM o WHERE page_id % 7 = 0 OR page_id % 13 = 0""",
+)
+def pages_judged(spark, sf_dir):
+    """Pages without a number or a text land in the reject table with their reasons; the others are parsed."""
+    out = scratch_dir(spark, "judged-pages")
+    quarantine.write_judged(numberless_pages(spark, sf_dir), page_rules(), out)
+    good, rejects = quarantine.read_judged(spark, out, PAGE_COLUMNS)
+    facts = contract_pages.common_facts(good, ["o_orderkey"], "url")
+    none = F.lit(None).cast("string")
+    parsed = facts.select("o_orderkey", F.lit("good").alias("half"), "reestr_number", none.alias("reasons"))
+    number = contract_pages.registry_number(F.col("url"))
+    return parsed.union(rejects.select("o_orderkey", F.lit("reject"), number, F.concat_ws("; ", "reasons")))
+
+
+@query(
+    "pages_judged_counts",
+    """SELECT unnest(['rows', 'rejects', 'rule: no registry number', 'rule: no page']) AS counted, unnest([count(*),
+      count(*) FILTER (o_orderkey % 7 = 0 OR o_orderkey % 13 = 0), count(*) FILTER (o_orderkey % 7 = 0),
+      count(*) FILTER (o_orderkey % 13 = 0)]) AS n FROM orders""",
+)
+def pages_judged_counts(spark, sf_dir):
+    """What was counted while the halves were written."""
+    counts = quarantine.write_judged(numberless_pages(spark, sf_dir), page_rules(), scratch_dir(spark, "judged-pages"))
+    return spark.createDataFrame(list(counts.items()), "counted STRING, n BIGINT")
+
+
 _FACTS = f"""facts AS (SELECT page_id, key, '{PAGE_HOST}/epz/contract/common-info.html?reestrNumber=' || key || '&tab=1'
     AS contract_url, CASE WHEN page_id % 11 <> 0 THEN CAST(o_orderdate::DATE AS VARCHAR) END AS sign_date,
     CASE WHEN page_id % 3 <> 0 THEN c_name ELSE 'Не указан' END AS customer, 'Supplier ' || key AS supplier,
