@@ -98,6 +98,16 @@ def cleaned_mean(positions: DataFrame, keys: Sequence[str], price: str = "unit_p
     )
 
 
+def mean_within(df: DataFrame, quartiles: DataFrame, keys: Sequence[str], price: str = "unit_price") -> DataFrame:
+    """Mean price of each group without its outliers, from its number of ``prices`` and quartiles ``q1`` and ``q3``."""
+    spread = (F.col("q3") - F.col("q1")) * F.lit(IQR_FACTOR)
+    known = F.col("prices") >= IQR_LEAST
+    bounds = quartiles.withColumns({"low": F.when(known, F.col("q1") - spread), "high": F.when(known, F.col("q3") + spread)})
+    kept = joined_on(df.filter(F.col(price) > 0), broadcast_if_small(bounds), keys).filter(_within(F.col(price)))
+    means = kept.groupBy(*keys).agg(F.count("*").alias("kept"), mean_price(F.col(price)).alias("mean_price"))
+    return joined_on(quartiles, means, keys).select(*keys, "prices", "q1", "q3", "kept", "mean_price")
+
+
 def without_outliers(df: DataFrame, keys: Sequence[str], price: str = "unit_price") -> DataFrame:
     """The rows whose price is within their group's bounds; missing prices are dropped."""
     bounds = iqr_bounds(price_positions(df, keys, price), keys, price).select(*keys, "low", "high")

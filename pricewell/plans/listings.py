@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from pricewell.plans.selection import query as selection_query
 from pricewell.plans.selection import key_rows_of, result_rows, scored_candidates
 from pricewell.plans.sql_views import add_view, with_views
 from pricewell.schemas import LENGTH_BOUNDS, LIMIT_RANGE, MATCH_TYPES, PRICE
-from pricewell.session import materialized
-from pricewell.sources import tables
+from pricewell.session import materialized, scratch_dir
+from pricewell.sources import paged, tables
 
 query = Registry()
 
@@ -98,6 +100,32 @@ def history_page(spark, sf_dir):
     )
 
 
+ORDERS_NEWEST = [("o_orderdate", True), ("o_orderkey", False)]
+DEEP_SKIP, DEEP_LIMIT = 5_000, 50
+
+
+@query(
+    "deep_pages",
+    f"""SELECT o_orderkey, CAST(o_orderdate::DATE AS VARCHAR) AS day, position, total,
+        CASE WHEN position < {DEEP_SKIP + DEEP_LIMIT} THEN 'by number' ELSE 'behind a row' END AS found
+      FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS position, count(*) OVER () AS total FROM orders)
+      WHERE position BETWEEN {DEEP_SKIP} AND {DEEP_SKIP + 2 * DEEP_LIMIT - 1}""",
+)
+def deep_pages(spark, sf_dir):
+    """A page far down the orders, newest first, by its number, and the page behind its last row."""
+    out = scratch_dir(spark, "paged")
+    orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    paged.write(orders, out, ORDERS_NEWEST, file_rows=2_000)
+    first = paged.page(spark, out, DEEP_SKIP, DEEP_LIMIT)
+    parts = [first.withColumn("found", F.lit("by number"))]
+    last = first.orderBy(F.desc("position")).first()
+    if last is not None:
+        after = paged.page_behind(spark, out, ORDERS_NEWEST, last.asDict(), DEEP_LIMIT)
+        parts.append(after.withColumn("found", F.lit("behind a row")))
+    both = reduce(DataFrame.union, parts).withColumn("total", F.lit(paged.total(spark, out)).cast("bigint"))
+    return both.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "position", "total", "found")
+
+
 def filtered_results(results: DataFrame, id_part: str = "", match_type: str = "", min_score: int = 0) -> DataFrame:
     """Results whose id contains a text, of one type or any, with at least a score."""
     kept = results.filter(F.contains("registry_no", F.lit(id_part)) & (F.col("ai_score") >= min_score))

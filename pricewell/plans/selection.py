@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.functions import compare, prices as price_functions, scoring
-from pricewell.operators import joins, prices, topk
+from pricewell.operators import joins, prices, quantiles, topk
 from pricewell.operators.keys import joined_on
 from pricewell.operators.matching import key_comparison_rows, makers_alike
 from pricewell.plans import ceiling
@@ -15,6 +15,7 @@ from pricewell.plans.registry import Registry
 from pricewell.plans.sql_similarity import similarity_ctes
 from pricewell.plans.sql_views import with_views
 from pricewell.schemas import LIMIT_RANGE
+from pricewell.session import materialized
 from pricewell.sources import tables
 
 query = Registry()
@@ -240,6 +241,25 @@ def iqr_all_candidates(spark, sf_dir):
     return shown(prices.cleaned_mean(positions, ["search_id"]))
 
 
+@query(
+    "iqr_by_sketch",
+    with_views(
+        _CEILING_SQL.format(source="candidates")
+        + """SELECT search_id, max(n) AS prices, max(q1) AS q1, max(q3) AS q3, count(*) AS kept,
+          CAST(sum(unit_price) AS DOUBLE) / count(*) AS mean_price FROM kept GROUP BY search_id""",
+        "candidates",
+    ),
+)
+def iqr_by_sketch(spark, sf_dir):
+    """The same mean, the quartiles found by sketches and counts instead of sorting the prices."""
+    rows = ceiling.candidate_contracts(spark, sf_dir).where("unit_price > 0").select("search_id", "unit_price")
+    rows = materialized(rows.withColumn("cents", (F.col("unit_price") * 100).cast("bigint")), "prices")
+    ranks = {"low": lambda n: F.floor(n / 4), "high": lambda n: F.floor(n * 3 / 4)}
+    found = quantiles.values_at(rows, ["search_id"], "cents", ranks, picked=100)
+    quartiles = [(F.col(c) / F.lit(100.0)).alias(q) for c, q in (("low", "q1"), ("high", "q3"))]
+    return shown(prices.mean_within(rows, found.select("search_id", F.col("n").alias("prices"), *quartiles), ["search_id"]))
+
+
 @query(
     "ceiling_after_cleaning",
     with_views(
