@@ -80,6 +80,35 @@ def random_ratio(token: Column, ratios: list[float]) -> Column:
     return F.when(F.size(steps) > 0, total / F.size(steps)).otherwise(F.lit(0.0))
 
 
+SPANS = "array<struct<start:int,end:int,text:string>>"
+#: Numbers whose running values are made one from the other; blocks of them are put together.
+BLOCK = 64
+
+
+def _no_spans() -> Column:
+    return F.expr(f"cast(array() as {SPANS})")
+
+
+def _bound(value: Column, use) -> Column:
+    """What a function makes of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(numbers: Column, join) -> Column:
+    """The running values of a list of numbers, joined by a sum or a maximum, in some n * sqrt(n) steps.
+
+    A fold copies what it carries at each step, so it may not carry the list.
+    """
+    folded = lambda x: F.aggregate(x, F.lit(0), join)
+    last = F.floor((F.size(numbers) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda j: F.slice(numbers, j * BLOCK + 1, F.lit(BLOCK)))
+    inside = lambda block, before: F.transform(block, lambda _, i: join(before, folded(F.slice(block, 1, i + 1))))
+    whole = lambda blocks_, ends: F.flatten(
+        F.transform(blocks_, lambda block, j: _bound(folded(F.slice(ends, 1, j)), lambda before: inside(block, before)))
+    )
+    return _bound(blocks, lambda blocks_: _bound(F.transform(blocks_, folded), lambda ends: whole(blocks_, ends)))
+
+
 def _found(text: Column, pattern: str) -> Column:
     """Matches of a pattern as structs of start, end (code points, end exclusive) and text.
 
@@ -87,19 +116,13 @@ def _found(text: Column, pattern: str) -> Column:
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(F.length(g).alias("gap"), h.alias("text")))
-    zero = F.struct(
-        F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)").alias("spans")
-    )
 
-    def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + F.length(pair["text"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["text"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def spans(hits_: Column) -> Column:
+        steps = F.zip_with(hits_, F.slice(gaps, 1, F.size(hits_)), lambda h, g: F.length(g) + F.length(h))
+        ends = _bound(steps, lambda n: _running(n, lambda x, y: x + y))
+        return F.zip_with(hits_, ends, lambda h, end: _span(end - F.length(h), end, h))
 
-    found = F.aggregate(pairs, zero, add, lambda acc: acc["spans"])
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)"))
+    return F.when(F.rlike(text, F.lit(pattern)), _bound(hits, spans)).otherwise(_no_spans())
 
 
 def _of_kind(spans: Column, kind: str) -> Column:
@@ -114,30 +137,49 @@ def _span(start: Column, end: Column, text: Column) -> Column:
     return F.struct(start.alias("start"), end.alias("end"), text.alias("text"))
 
 
-def _uncovered(candidate: Column, base: Column) -> Column:
-    """The parts of a candidate, of at least its minimum length, that no base match covers."""
-    touching = F.filter(base, lambda b: (b["start"] < candidate["end"]) & (candidate["start"] < b["end"]))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
+def _before(starts: Column, bound: Column) -> Column:
+    """How many of the ascending starts are below a bound, by bisection."""
+    middle = lambda acc: F.floor((acc["low"] + acc["high"]) / 2).cast("int")
 
-    def upto(acc: Column, end: Column) -> Column:
-        part = F.substring(candidate["text"], acc["at"] - candidate["start"] + 1, end - acc["at"])
-        return F.when(end - acc["at"] >= CANDIDATE_LEAST, F.concat(acc["parts"], F.array(_span(acc["at"], end, part)))).otherwise(acc["parts"])
+    def half(acc: Column, _: Column) -> Column:
+        below = F.get(starts, middle(acc)) < bound
+        low = F.when(below, middle(acc) + 1).otherwise(acc["low"])
+        high = F.when(below, acc["high"]).otherwise(middle(acc))
+        step = F.struct(low.alias("low"), high.alias("high"))
+        return F.when(acc["low"] < acc["high"], step).otherwise(acc)
 
-    cut = F.aggregate(
-        touching,
-        F.struct(candidate["start"].alias("at"), none.alias("parts")),
-        lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), upto(acc, b["start"]).alias("parts")),
-        lambda acc: upto(acc, candidate["end"]),
-    )
-    return F.when(F.size(touching) > 0, cut).otherwise(F.array(candidate))
+    rounds = F.sequence(F.lit(1), F.length(F.bin(F.size(starts))))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(starts).alias("high")), half, lambda acc: acc["low"])
+
+
+def _uncovered(candidates: Column, base: Column) -> Column:
+    """The parts of the candidates, of at least their minimum length, that no base match covers.
+
+    Between the matches that begin in a candidate, a part goes from the farthest end so far to the next match.
+    """
+
+    def parts(c: Column, starts: Column, ends: Column) -> Column:
+        low, high = _before(starts, c["start"] + 1), _before(starts, c["end"])
+        reach = lambda i: F.greatest(c["start"], F.when(i > 0, F.get(ends, i - 1)).otherwise(0))
+        upto = lambda i, last: F.when(i < last, F.get(starts, i)).otherwise(c["end"])
+        cut = lambda last: F.transform(F.sequence(low, F.greatest(low, last)), lambda i: F.struct(reach(i).alias("start"), upto(i, last).alias("end")))
+        long = F.filter(_bound(high, cut), lambda p: p["end"] - p["start"] >= CANDIDATE_LEAST)
+        text = lambda p: F.substring(c["text"], p["start"] - c["start"] + 1, p["end"] - p["start"])
+        return F.transform(long, lambda p: _span(p["start"], p["end"], text(p)))
+
+    def all_parts(starts: Column) -> Column:
+        ends = _bound(F.transform(base, lambda b: b["end"]), lambda x: _running(x, lambda a, b: F.greatest(a, b)))
+        return _bound(ends, lambda far: F.flatten(F.transform(candidates, lambda c: parts(c, starts, far))))
+
+    # without base matches the candidates stay as they are
+    return F.when((F.size(base) == 0) | (F.size(candidates) == 0), candidates).otherwise(_bound(F.transform(base, lambda b: b["start"]), all_parts))
 
 
 def _likely(spans: Column, ratios: list[float], threshold: float, pieces: list[str]) -> Column:
     """The spans that the models take for random; of the others, the pieces that they do."""
 
     def judged(span: Column) -> Column:
-        none = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
-        inner = none
+        inner = _no_spans()
         if pieces:
             found = F.transform(
                 _found(span["text"], pieces[0]), lambda s: _span(span["start"] + s["start"], span["start"] + s["end"], s["text"])
@@ -161,7 +203,7 @@ def scanned(docs: DataFrame, ratios: list[float], text_col: str = "text", thresh
     base = F.concat(
         _of_kind(assigned, "assign"), _of_kind(_found(text, ACCESS), "access"), _of_kind(_found(text, HEX), "hex")
     )
-    parts = F.flatten(F.transform("__candidates", lambda c: _uncovered(c, F.col("base"))))
+    parts = _uncovered(F.col("__candidates"), F.col("base"))
     likely = _likely(F.col("__parts"), ratios, threshold, PIECES)
     others = [c for c in docs.columns if c not in ("base", "spans")]
     return (

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -259,3 +261,67 @@ def test_untrained_models_and_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.scanned(empty, ratios).count() == 0
     assert secrets.trained(secrets.labelled_samples(empty))
+
+
+def plain_ratio(token, ratios):
+    places = [secrets.ALPHABET.find(c) % secrets.SIZE for c in token]
+    steps = [a * secrets.SIZE + b for a, b in zip(places, places[1:])]
+    return sum(round(ratios[s], 6) for s in steps) / len(steps) if steps else 0.0
+
+
+def plain_spans(text, ratios):
+    """(start, end, kind) of all spans, by plain re."""
+    found = [(m.start(), m.end(), "assign") for m in re.finditer(secrets.ASSIGN, text) if len(m[1]) >= secrets.ASSIGN_LEAST]
+    found += [(m.start(), m.end(), kind) for kind, p in (("access", secrets.ACCESS), ("hex", secrets.HEX)) for m in re.finditer(p, text)]
+    covered = sorted((s, e) for s, e, _ in found)
+
+    def judged(start, end, pieces):
+        if plain_ratio(text[start:end], ratios) > secrets.THRESHOLD:
+            return [(start, end, "random")]
+        inner = [(start + m.start(), start + m.end()) for m in re.finditer(pieces[0], text[start:end])] if pieces else []
+        return [x for s, e in inner for x in judged(s, e, pieces[1:])]
+
+    at = 0
+    for m in re.finditer(secrets.CANDIDATE, text):
+        while at and covered[at - 1][1] > m.start():
+            at -= 1
+        start = max([m.start(), *(e for s, e in covered[max(at - 3, 0) : at] if s < m.start() < e)])
+        parts = []
+        while at < len(covered) and covered[at][0] < m.end():
+            s, e = covered[at]
+            parts.append((start, s))
+            start, at = max(start, e), at + 1
+        parts.append((start, m.end()))
+        for s, e in parts:
+            if e - s >= secrets.CANDIDATE_LEAST:
+                found += judged(s, e, secrets.PIECES)
+    return sorted(found, key=lambda x: (x[0], secrets.KINDS.index(x[2])))
+
+
+def test_spans_against_plain_python(spark):
+    rng = random.Random(9)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    ratios = secrets.trained(secrets.labelled_samples(docs))
+    key = lambda n: "".join(rng.choice(secrets.ALPHABET[:64]) for _ in range(n))
+    pieces = [
+        lambda: "ordinary_words_joined_by_lines", lambda: f"token = {key(30)}", lambda: f"/usr/share/ordinary/{key(24)}/doc", lambda: f"AKIA{'A1' * 9}",
+        lambda: "0123456789abcdef" * 2, lambda: f"{key(25)}{'deadbeef' * 4}{key(25)}", lambda: f"name={key(40)}==", lambda: "é 🙂 text.", lambda: key(19),
+    ]
+    rows = [(-i, rng.choice([" ", "\n", ", ", ""]).join(rng.choice(pieces)() for _ in range(rng.randrange(40)))) for i in range(1, 150)]
+    rows.append((-1_000, " ".join(rng.choice(pieces)() for _ in range(1_500))))  # lists of several chunks
+    both = docs.union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in secrets.scanned(both, ratios).collect()}
+    for r in both.collect():
+        assert got[r.doc_id] == plain_spans(r.text or "", ratios), r.doc_id
+    assert sum(kind == "random" for spans in got.values() for _, _, kind in spans) > 500
+
+
+def test_very_many_matches_in_a_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    ratios = secrets.trained(secrets.labelled_samples(docs))
+    text = " ".join(f"token={i:08d} {i:024x}" for i in range(100_000))
+    start = time.time()
+    [got] = secrets.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string"), ratios).collect()
+    assert time.time() - start < 60
+    assert [(s.start, s.end, s.kind) for s in got.spans] == plain_spans(text, ratios)
+    assert sum(s.kind == "assign" for s in got.base) == 100_000 and sum(s.kind == "hex" for s in got.base) == 100_000
