@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewell.llm.tables import key_of, whole_text
+from pricewell.llm.tables import id_filter, key_of, parted_by_filter, whole_text
 from pricewell.session import materialized
 
 #: The characters that do not count.
@@ -118,19 +118,24 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def surviving(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; of rows that share an id and a text one stays.
 
-    Kept ids are joined back, so that only one copy of a text travels with the sort. Where several rows
+    A row whose id occurs in no group of copies stays without more ado: a filter of the ids in groups tells
+    that, and no text of it is shuffled. For the others the kept ids are joined back. Where several rows
     have the id of a kept one, those whose text has the kept digest are numbered and the first is taken.
     """
-    kept = duplicates(docs, id_col, text_col).where("kept")
+    found = duplicates(docs, id_col, text_col)
+    bits = id_filter(found.where("group_size > 1"))
+    kept, _ = parted_by_filter(found.where("kept").select("doc_id", "text_sha256"), bits)
     wanted = kept.groupBy("doc_id").agg(F.collect_set("text_sha256").alias("__digests")).select(
-        F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")).alias("__key"), "__digests"
+        key_of("doc_id").alias("__key"), "__digests"
     )
+    in_groups, single = parted_by_filter(docs, bits, id_col)
     digest = F.sha2(F.regexp_replace(whole_text(text_col), IGNORED, ""), 256)
-    rows = docs.withColumn("__key", key_of(id_col)).join(wanted, "__key").withColumn("__digest", digest)
+    rows = in_groups.withColumn("__key", key_of(id_col)).join(wanted, "__key").withColumn("__digest", digest)
     same_text = Window.partitionBy("__key", "__digest").orderBy(F.desc(F.length(whole_text(text_col))))
-    return (
+    chosen = (
         rows.where(F.array_contains("__digests", F.col("__digest")))
         .withColumn("__n", F.row_number().over(same_text))
         .where("__n = 1")
         .select(*docs.columns)
     )
+    return single.unionByName(chosen)

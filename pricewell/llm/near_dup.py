@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewell.llm.components import components
-from pricewell.llm.tables import kept_in_worker, text_ranges, whole_text
+from pricewell.llm.tables import id_filter, kept_in_worker, parted_by_filter, text_ranges, whole_text
 from pricewell.session import materialized
 
 COORDINATES = 128
@@ -237,7 +237,8 @@ def plausible(classes: DataFrame, like: Similarity) -> DataFrame:
 def confirmed(docs: DataFrame, groups: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
     """Edges (a, b) that join what is linked inside each group of plausible classes, by full sets.
 
-    ``groups`` has id, digest and component. The texts of the groups' classes are read once more. A group
+    ``groups`` has id, digest and component. The texts of the groups' classes are read once more; a filter of
+    the classes' ids keeps nearly all others from being shuffled. A group
     of more than ``BLOCK_MEMBERS`` classes is cut into blocks by a hash, and all pairs of blocks
     are compared, each in one task.
     """
@@ -251,8 +252,9 @@ def confirmed(docs: DataFrame, groups: DataFrame, like: Similarity, id_col: str,
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     task = F.transform(others, lambda p: F.xxhash64("component", F.least("part", p), F.greatest("part", p)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
+    wanted, _ = parted_by_filter(texts, id_filter(groups, "id"), "id")
     rows = (
-        texts.join(cut.select("id", "digest", "component", task.alias("tasks")), "id")
+        wanted.join(cut.select("id", "digest", "component", task.alias("tasks")), "id")
         .select("component", F.explode("tasks").alias("task"), "id", "digest", "text")
         .repartition("task")
         .sortWithinPartitions("task", "id")
@@ -321,7 +323,7 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), id_col: st
     classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
     classes = materialized(classes, "classes")
     found = components(plausible(classes, like)).select(F.col("node").alias("id"), "component")
-    groups = classes.select("id", "digest").join(found, "id")
+    groups = materialized(classes.select("id", "digest").join(found, "id"), "groups")
     links = confirmed(docs, groups, like, id_col, text_col)
     # a document whose rows have several sets holds their classes together
     several = linkable.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x != y")

@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricewell.session import materialized
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bits of a filter of ids, as a power of two: at most 2 ** (bits - 6) words are broadcast, however many ids there are.
+ID_FILTER_BITS = 25
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,10 +60,40 @@ def with_fields(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name.lower() not in new] + list(fields))
 
 
+def _filter_place(id_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("long")).bitwiseAND((1 << ID_FILTER_BITS) - 1)
+
+
+def id_filter(ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A table of bits of fixed size in which each id, null too, has set one."""
+    places = ids.select(_filter_place(id_col).alias("place"))
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("__bits")
+    return materialized(places.groupBy(F.shiftright("place", 6).alias("__word")).agg(bits), "id-filter")
+
+
+def parted_by_filter(rows: DataFrame, bits: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows whose id may be in the filter, and those whose id surely isn't; no row is shuffled.
+
+    The fuller the filter, the more rows are among the first, which are told apart exactly by a join.
+    """
+    place = _filter_place(id_col)
+    marked = rows.withColumn("__place", place).withColumn("__at", F.shiftright("__place", 6)).join(
+        F.broadcast(bits), F.col("__at") == F.col("__word"), "left"
+    )
+    may_be = F.expr("coalesce(shiftrightunsigned(__bits, cast(__place & 63 as int)) & 1L, 0L) = 1")
+    return marked.where(may_be).select(*rows.columns), marked.where(~may_be).select(*rows.columns)
+
+
 def rows_with_ids(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is (``left_semi``) or is not (``left_anti``) among the ids; null matches null."""
-    wanted = ids.select(key_of(id_col).alias("__key")).distinct()
-    return docs.withColumn("__key", key_of(id_col)).join(wanted, "__key", how).select(*docs.columns)
+    """Rows of docs whose id is (``left_semi``) or is not (``left_anti``) among the ids; null matches null.
+
+    Only the rows that pass a filter of the ids are shuffled, the others stay where they are.
+    """
+    ids = materialized(ids.select(id_col).distinct(), "ids")
+    wanted = ids.select(key_of(id_col).alias("__key"))
+    may_be, others = parted_by_filter(docs, id_filter(ids, id_col), id_col)
+    told = may_be.withColumn("__key", key_of(id_col)).join(wanted, "__key", how).select(*docs.columns)
+    return told if how == "left_semi" else others.unionByName(told)
 
 
 def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pricewell.llm import content_sort, near_dup, queries, templates, toxicity
+from pricewell.llm import content_sort, near_dup, queries, tables, templates, toxicity
 from pricewell.llm.components import components
 from pricewell.llm.tables import read
 
@@ -51,6 +51,37 @@ def test_content_sort(spark, partitions):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("bits", [7, 25])
+def test_rows_told_by_a_filter_and_a_join(spark, monkeypatch, bits):
+    monkeypatch.setattr(tables, "ID_FILTER_BITS", bits)
+    rng = random.Random(5)
+    docs = docs_of(spark, [(rng.choice([None, *range(400)]), str(i)) for i in range(900)])
+    listed = [None, 0, 3, 3, 5_000, *range(100, 160)]
+    ids = spark.createDataFrame([(i,) for i in listed], "doc_id int")
+    every = [tuple(r) for r in docs.collect()]
+    for how, inside in (("left_semi", True), ("left_anti", False)):
+        got = tables.rows_with_ids(docs, ids, how)
+        assert got.columns == docs.columns
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(r) for r in every if (r[0] in listed) == inside)
+        empty = tables.rows_with_ids(docs, ids.limit(0), how)
+        assert empty.count() == (0 if inside else len(every))
+    assert tables.rows_with_ids(docs.limit(0), ids, "left_anti").count() == 0
+
+
+@pytest.mark.parametrize("bits", [6, 25])
+def test_surviving_rows_behind_a_filter(spark, monkeypatch, bits):
+    monkeypatch.setattr(tables, "ID_FILTER_BITS", bits)
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(500)]), rng.choice(["", None, "a b", "ab", f"own {i}", f"own  {i}"])) for i in range(700)]
+    got = [(r.doc_id, r.text) for r in content_sort.surviving(docs_of(spark, rows)).collect()]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[norm(t)].append((-len(t or ""), i is None, i or 0))
+    assert sorted((norm(t), len(t or ""), i is None, i or 0) for i, t in got) == sorted(
+        (n, -min(g)[0], *min(g)[1:]) for n, g in groups.items()
+    )
+
+
 def test_one_training_row_for_an_id(spark):
     docs = spark.range(50_000).selectExpr("id % 2 AS doc_id", "concat('text ', id) AS text")
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
