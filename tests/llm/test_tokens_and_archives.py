@@ -44,6 +44,11 @@ def library():
     return Library.from_file(queries.BYTE_BPE)
 
 
+@pytest.fixture(scope="module")
+def words():
+    return token_counts.library_tokenizer(queries.WORD_BPE)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" the'ing\n<|>")), max_size=60), max_size=8))
 def test_ids_are_the_librarys(own, library, texts):
@@ -81,6 +86,38 @@ def test_bpe_of_all_documents_and_odd_texts(spark, library):
     assert bpe.digests(docs.limit(0), queries.BYTE_BPE).count() == 0
 
 
+@settings(max_examples=400, deadline=None)
+@given(
+    st.lists(
+        st.one_of(
+            st.characters(exclude_categories=["Cs", "Zs", "Cc"]),
+            st.sampled_from(["'s", "'", "'RE", "<|endoftext|>", "<|", "|>", "a", "Z", "7", "!", "=", "\u0338", "\u0301", "。", "か", "\u3099", "漢", "，"]),
+        ),
+        max_size=40,
+    )
+)
+def test_parts_have_the_tokens_of_the_whole(words, pieces):
+    text = "".join(pieces)
+    found = list(token_counts.parts(text.encode(), 1))
+    assert b"".join(found).decode() == text
+    assert sum(len(words.encode(x.decode(), add_special_tokens=False)) for x in found) == len(words.encode(text, add_special_tokens=False))
+
+
+def test_a_long_text_without_white_space(words):
+    rng = np.random.default_rng(2)
+    letters = "".join(rng.choice(list("abcXYZ0123456789+/=-_'|<>é漢。"), 2_000_000))
+    known = {}
+    text = (letters + " short").encode()
+    assert max(map(len, token_counts.parts(letters.encode(), token_counts.PART))) < 20_000
+    assert token_counts.lengths([text, b""], words, known, 50_000) == [len(words.encode(text.decode(), add_special_tokens=False)), 0]
+    assert list(known) == [b"short"]
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        token_counts.library_tokenizer(queries.BYTE_BPE)
+
+
 def test_token_counts(spark):
     library = Library.from_file(queries.WORD_BPE)
     odd = spark.createDataFrame([(-i, t, "x") for i, t in enumerate(ODD)] + [(None, "x", "x")], "doc_id long, text string, n_tokens string")
