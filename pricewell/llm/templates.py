@@ -44,6 +44,9 @@ TOKEN = re.compile(r"[.!?\n]|\d[\d.,]*\d|\d|[^\W\d_]+")
 PLAIN, STOP, NUMBER, CAPITAL, UNIT, ONE = range(6)
 PLACEHOLDER = {NUMBER: "number", CAPITAL: "name", UNIT: "unit"}
 EVIDENCE = "n_windows long, unchanged long, worded long, position long, reworded boolean"
+#: What names an alignment, and how many are judged together.
+ALIGNED = ["doc_id", "item_id", "item_windows", "item_worded"]
+JUDGED_TOGETHER = 500
 #: ``worded``: as a template the window has enough words; ``loose``: all capitals are names, and "one" is a number.
 WINDOWS = "id long, window long, position long, words array<string>, worded boolean, loose boolean"
 
@@ -52,36 +55,54 @@ def _hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode())
 
 
+class _Places(dict):
+    """The place of each token met; a new token is learned when it is asked for."""
+
+    def __init__(self, learn) -> None:
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, token: str) -> int:
+        at = self[token] = len(self)
+        self.learn(token, at)
+        return at
+
+
+def _in_window(flags: np.ndarray) -> np.ndarray:
+    """How many flags each window has."""
+    total = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=total[1:])
+    return total[WINDOW:] - total[:-WINDOW]
+
+
 class Templates:
     """Turns texts into templates; tokens are classified once and remembered."""
 
     remembered = 500_000
 
     def __init__(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = _Places(self._learn)
         self.kinds = np.zeros(1024, np.int8)
         self.hashes = np.zeros(1024, np.uint64)
         self.slots = np.array([_hash(f"<{PLACEHOLDER.get(kind, '')}>") for kind in range(6)], np.uint64)
         self.powers = np.array([pow(0x9E3779B97F4A7C15, WINDOW - i, 1 << 64) for i in range(WINDOW)], np.uint64)
 
-    def _learn(self, tokens: set[str]) -> None:
-        for token in tokens:
-            low = token.casefold()
-            if token in ".!?\n":
-                kind = STOP
-            elif token[0].isdigit() or low in NUMBER_WORDS:
-                kind = NUMBER
-            elif low in UNITS:
-                kind = UNIT
-            elif low == "one":
-                kind = ONE
-            else:
-                kind = CAPITAL if token[0].isupper() and token[1:].islower() else PLAIN
-            at = self.place[token] = len(self.place)
-            if at == len(self.kinds):
-                self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
-                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.kinds[at], self.hashes[at] = kind, _hash(low)
+    def _learn(self, token: str, at: int) -> None:
+        low = token.casefold()
+        if token in ".!?\n":
+            kind = STOP
+        elif token[0].isdigit() or low in NUMBER_WORDS:
+            kind = NUMBER
+        elif low in UNITS:
+            kind = UNIT
+        elif low == "one":
+            kind = ONE
+        else:
+            kind = CAPITAL if token[0].isupper() and token[1:].islower() else PLAIN
+        if at == len(self.kinds):
+            self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.kinds[at], self.hashes[at] = kind, _hash(low)
 
     def _mixed(self, hashes: np.ndarray, length: int = WINDOW) -> np.ndarray:
         n = len(hashes) - length + 1
@@ -95,8 +116,8 @@ class Templates:
 
     def windows(
         self, text: str, shorter: list[int] | None = None
-    ) -> tuple[list[str], np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray, bool]]]:
-        """The text's tokens, which windows are worded, and its windows as words and as templates.
+    ) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray, bool]]]:
+        """The text's tokens, which of them count (no stops), which windows are worded, and its windows as words and as templates.
 
         For each way: tokens of a window, where they are, their hashes, the tokens' kinds (0: a word), whether it is loose.
         A template comes only where it differs from what came before and has enough words. Shorter windows
@@ -105,8 +126,6 @@ class Templates:
         tokens = TOKEN.findall(text)
         if len(self.place) > self.remembered:
             self.place.clear()
-        if fresh := set(tokens).difference(self.place):
-            self._learn(fresh)
         at = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
         kinds = self.kinds[at]
         keep = np.flatnonzero(kinds != STOP)
@@ -121,26 +140,26 @@ class Templates:
                 hashes, places = np.unique(self._mixed(words, length), return_index=True)
                 ways.append((length, places, hashes, np.zeros(len(keep), np.int8), False))
         if n < 1:
-            return [tokens[i] for i in keep], np.zeros(0, bool), ways
-        before = np.r_[np.int8(STOP), kinds[:-1]][keep]
+            return tokens, keep, np.zeros(0, bool), ways
+        # the start of a text counts as a stop
+        before = np.where(keep > 0, kinds[keep - 1], np.int8(STOP))
         kinds = kinds[keep]
         # a name is a capital inside a sentence, a unit stands after a number
         capital = kinds == CAPITAL
         strict = (kinds == NUMBER) | (capital & (before != STOP)) | ((kinds == UNIT) & (before == NUMBER))
         loose = strict | capital | (kinds == ONE) | ((kinds == UNIT) & (before == ONE))
-        in_window = lambda flags: (c := np.r_[0, np.cumsum(flags)])[WINDOW:] - c[:-WINDOW]
-        slots = in_window(strict)
+        slots = _in_window(strict)
         worded = slots <= WINDOW - LEAST_WORDS
         ways.append((WINDOW, np.arange(n), self._mixed(words), np.zeros_like(kinds), False))
         # the further capitals make further slots
-        for slot, wanted, is_loose in ((strict, worded & (slots > 0), False), (loose, in_window(loose & ~strict) > 0, True)):
+        for slot, wanted, is_loose in ((strict, worded & (slots > 0), False), (loose, _in_window(loose & ~strict) > 0, True)):
             if is_loose:
-                wanted &= in_window(loose) <= WINDOW - LEAST_WORDS
+                wanted &= _in_window(loose) <= WINDOW - LEAST_WORDS
             places = np.flatnonzero(wanted)
             if len(places):
                 typed = np.where(slot, np.where(kinds == ONE, np.int8(NUMBER), kinds), np.int8(PLAIN))
                 ways.append((WINDOW, places, self._mixed(np.where(slot, self.slots[typed], words))[places], typed, is_loose))
-        return [tokens[i] for i in keep], worded, ways
+        return tokens, keep, worded, ways
 
 
 def _bits(windows: np.ndarray, shift: int) -> np.ndarray:
@@ -160,7 +179,7 @@ def windows(rows: DataFrame, passing: np.ndarray | None = None, shorter: list[in
         for batch in batches:
             out: list[list] = [[] for _ in WINDOWS.split(", ")]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens, worded, ways = templates.windows(text.as_py(), shorter)
+                tokens, keep, worded, ways = templates.windows(text.as_py(), shorter)
                 for length, places, hashes, kinds, loose in ways:
                     if passing is not None:
                         for shift in (0, FILTER_BITS):
@@ -169,7 +188,7 @@ def windows(rows: DataFrame, passing: np.ndarray | None = None, shorter: list[in
                     for at, window in zip(places.tolist(), hashes.view(np.int64).tolist(), strict=True):
                         words = [
                             f"<{PLACEHOLDER[k]}>{t.casefold()}" if k else t.casefold()
-                            for t, k in zip(tokens[at : at + length], kinds[at : at + length].tolist(), strict=True)
+                            for t, k in zip((tokens[i] for i in keep[at : at + length]), kinds[at : at + length].tolist(), strict=True)
                         ]
                         for column, value in zip(out, (doc_id, window, at, words, length == WINDOW and bool(worded[at]), loose), strict=True):
                             column.append(value)
@@ -212,6 +231,17 @@ def evidence(windows: list) -> tuple[int, int, int, int, bool]:
     return len(best), sum(not w["changed"] for w in best), sum(w["worded"] for w in best), first, any(w["changed"] for w in best)
 
 
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Alignments with their ``EVIDENCE`` in place of their windows."""
+    schema = pa.schema([("n_windows", pa.int64()), ("unchanged", pa.int64()), ("worded", pa.int64()), ("position", pa.int64()), ("reworded", pa.bool_())])
+    for whole in batches:
+        for start in range(0, whole.num_rows, JUDGED_TOGETHER):
+            batch = whole.slice(start, JUDGED_TOGETHER)
+            found = [dict(zip(schema.names, evidence(w), strict=True)) for w in batch.column("windows").to_pylist()]
+            e = pa.RecordBatch.from_pylist(found, schema).to_struct_array()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ALIGNED), e], names=[*ALIGNED, "e"])
+
+
 def _weight(windows: list) -> tuple[int, int]:
     return sum(w["worded"] for w in windows), len(windows)
 
@@ -304,7 +334,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     return (
         aligned.where(F.col("met") >= F.greatest(F.lit(1), least("item_worded")))
-        .withColumn("e", F.udf(evidence, EVIDENCE)("windows"))
+        .select(*ALIGNED, "windows")
+        .mapInArrow(_judged, f"doc_id long, item_id long, item_windows long, item_worded long, e struct<{EVIDENCE.replace(' ', ':').replace(',:', ', ')}>")
         .where(enough)
         .groupBy("doc_id", "item_id")
         .agg(best.alias("b"))
