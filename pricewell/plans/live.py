@@ -189,8 +189,8 @@ def keyed_progress_state(spark, sf_dir):
 # ---------------------------------------------------------------- the event log
 
 
-# Messages that a stream takes from the log at once.
-BATCH_MESSAGES = 4_000
+# Messages that a stream takes from the log at once: enough that the fixed cost of a batch is small beside its work.
+BATCH_MESSAGES = event_log.MAX_MESSAGES
 # How an event is sent; its time in microseconds.
 SENT = "event_id BIGINT, search_id BIGINT, type STRING, us BIGINT, processed_count INT, found_total INT, value DOUBLE"
 
@@ -218,7 +218,7 @@ def event_log_read(spark, sf_dir):
     middle = given.agg(F.timestamp_micros(F.avg(F.unix_micros("ts")).cast("bigint"))).first()[0]
     got = None
     for part in (F.col("ts") <= F.lit(middle), F.col("ts") > F.lit(middle)):
-        event_log.publish(as_sent(given.where(part)), f"{out}/log", ["us", "event_id"], BATCH_MESSAGES)
+        event_log.publish(as_sent(given.where(part)), f"{out}/log", ["us", "event_id"])
         stream = received(spark, f"{out}/log", f"{out}/progress").select("offset", "channel", "event_id", "type", "ts")
         got = runs.appended(stream, "event-log", f"{out}/read", drain=True)
     return shown(got)

@@ -253,3 +253,28 @@ def test_late_flags_stop_a_running_stream(spark, tmp_path):
     kept = events.until_late_stop(streams[0].where("type != 'stop'"), streams[1].where("type = 'stop'"), "1 hour", "1 HOUR")
     got = runs.appended(kept.select("search_id", "us", "type"), "late-flags", drain=True).where("type != 'last'").collect()
     assert sorted((r.search_id, r.us // 1_000_000) for r in got) == [(1, 50), (2, 4_000), (3, 300)]
+
+
+def test_a_log_is_read_in_few_batches(spark, tmp_path):
+    """Batches have a fixed cost, so their number must not follow from a small bound of messages."""
+    log = f"{tmp_path}/log"
+    df = spark.range(9_000).selectExpr("id AS event_id", "id % 3 AS search_id", "'start' AS type", "timestamp_micros(id) AS ts")
+    df = df.selectExpr("*", "0 AS processed_count", "0 AS found_total", "0D AS value")
+    event_log.publish(live.as_sent(df), log, ["us", "event_id"])
+    seen = []
+    query = live.received(spark, log, f"{tmp_path}/progress").writeStream.foreachBatch(lambda b, n: seen.append(b.count())).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert [n for n in seen if n] == [9_000]
+
+
+def test_state_has_few_parts(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for given, used in ((500, 2 * spark.sparkContext.defaultParallelism), (3, 3)):
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+        with runs.few_state_partitions(spark):
+            assert int(spark.conf.get("spark.sql.shuffle.partitions")) == used
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == given
+    spark.conf.set("spark.sql.shuffle.partitions", before)
