@@ -86,7 +86,8 @@ def nested_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
         attributes.alias("attributes"),
         (key % 2 == 0).alias("checked"),
     )
-    return tables.table(spark, sf_dir, "part").select("p_partkey", spec.alias("spec"))
+    part = tables.table(spark, sf_dir, "part")
+    return tables.spread_pages(part, part, "p_partkey").select("p_partkey", spec.alias("spec"))
 
 
 @query(

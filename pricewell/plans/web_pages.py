@@ -174,9 +174,10 @@ def tag(name: str, css: str, *parts: Column | str) -> Column:
 
 
 def orders_with_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = tables.spread(tables.table(spark, sf_dir, "orders"), "o_orderkey")
+    order = tables.table(spark, sf_dir, "orders")
     customer = tables.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return order.join(customer, order.o_custkey == customer.c_custkey).withColumns(
+    joined = order.join(customer, order.o_custkey == customer.c_custkey)
+    return tables.spread_pages(joined, order, "o_orderkey").withColumns(
         {
             "key": F.col("o_orderkey").cast("string"),
             "cents": tables.cents(F.col("o_totalprice")),

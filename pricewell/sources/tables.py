@@ -29,6 +29,20 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
 
 
+# Rows of one task that makes or reads a page of each.
+TASK_PAGES = 100_000
+
+
+def spread_pages(rows: DataFrame, counted: DataFrame, *keys: str) -> DataFrame:
+    """Rows of which each becomes a page, in tasks of a bounded number of pages, as many for each core.
+
+    Rows are small beside their pages, so the number of tasks follows from the rows of ``counted``, a table scan of as many.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    rounds = max(1, -(-counted.count() // (TASK_PAGES * cores)))
+    return rows.repartition(rounds * cores, *keys)
+
+
 def cents(amount: Column) -> Column:
     """A money amount in double as whole cents."""
     return F.round(amount * 100).cast("bigint")

@@ -8,7 +8,7 @@ from urllib.parse import urljoin
 import pytest
 from pyspark.sql import functions as F
 
-from pricewell.sources import cards, contract_pages, pages
+from pricewell.sources import cards, contract_pages, pages, tables
 
 RESULT_PAGE = """
 <html><head><title>Реестр</title></head><body>
@@ -185,3 +185,23 @@ def test_labels_in_nested_markup(spark):
     df = spark.createDataFrame([(1, "<tr><td>Поставщик:</td><td>ООО</td></tr>"), (2, html), (3, None)], "k INT, html STRING")
     got = pages.beside_labels(df, ["k"], ["заказчик", "Поставщик", "Цена"], ["td"]).collect()
     assert {r.k: r["values"] for r in got} == {1: [None, "ООО", None], 2: ["Дом7", None, None], 3: [None, None, None]}
+
+
+def test_pages_are_spread_over_bounded_tasks(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 1_000, 1, 3 * cores)
+    assert tables.spread_pages(rows, rows, "id").rdd.getNumPartitions() == cores
+    monkeypatch.setattr(tables, "TASK_PAGES", 100)
+    spread = tables.spread_pages(rows, rows, "id")
+    assert spread.rdd.getNumPartitions() == -(-1_000 // (100 * cores)) * cores
+    assert sorted(r.id for r in spread.collect()) == list(range(1_000))
+
+
+def test_attributes_are_remembered_within_bounds(monkeypatch):
+    monkeypatch.setattr(pages, "KNOWN_TEXTS", 2)
+    shredder = pages._Shredder()
+    long = "x" * pages.KNOWN_CHARS
+    shredder.page(f"<p class=a id=b><p class=a id=b><a href='{long}'><i class=c><b class=d></b>" + "<br>" * 3)
+    assert shredder.columns["classes"] == [" a ", " a ", "  ", " c ", " d ", "  ", "  ", "  "]
+    assert shredder.columns["href"][2] == long and shredder.columns["id"][:3] == ["b", "b", None]
+    assert len(shredder.known) == 2
