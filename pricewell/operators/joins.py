@@ -128,8 +128,11 @@ def without_stopped(running: DataFrame, stopped: DataFrame, key: str) -> DataFra
 
 
 def contract_pages(common: DataFrame, payments: DataFrame, attachments: DataFrame, key: str) -> DataFrame:
-    """The three tabs of a contract; a missing tab leaves an empty list."""
-    joined = common.join(payments, key, "left").join(attachments, key, "left")
+    """The three tabs of a contract; a missing tab leaves an empty list.
+
+    What is read from pages is far larger than the tables they are estimated by, so that no tab is broadcast.
+    """
+    joined = common.join(payments.hint("merge"), key, "left").join(attachments.hint("merge"), key, "left")
     empty = {
         c: F.coalesce(F.col(c), F.array().cast(joined.schema[c].dataType))
         for c in ("line_items", "attachments")

@@ -603,7 +603,7 @@ def raw_records(spark, sf_dir):
     """The nested JSON kept with each result over its real page, read back."""
     rows = (
         parsed_contracts(spark, sf_dir)
-        .join(common_pages(spark, sf_dir).select("o_orderkey", "html"), "o_orderkey")
+        .join(common_pages(spark, sf_dir).select("o_orderkey", "html").hint("merge"), "o_orderkey")
         .withColumns(
             {
                 "specs": F.struct(F.lit("item").alias("object_name"), F.concat(F.lit("prompt "), "reestr_number").alias("_debug")),

@@ -13,7 +13,7 @@ from pricewell.functions.labels import DEFAULT_CURRENCY, MISSING_TEXT
 from pricewell.functions.prices import page_price
 from pricewell.functions.text import plain_number
 from pricewell.schemas import ATTACHMENT, LINE_ITEM, PRINTED_FORM_YEAR, SAMPLE_CHARS
-from pricewell.sources.pages import absolute_url, below, beside_labels, shredded, text_of
+from pricewell.sources.pages import Selector, absolute_url, beside_labels, selected, table_cells, text_of
 
 # Labels of the common facts, patterns of codes and files.
 FIELD_LABELS = {
@@ -91,18 +91,7 @@ def _line_item(cells: Column) -> Column:
 
 def line_items(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The line items of each payments page, as one array per page."""
-    elements, texts = F.col("elements"), F.col("texts")
-    item_tables = F.filter(elements, lambda e: (e["tag"] == "table") & e["classes"].rlike(ITEM_TABLE))
-    rows = F.flatten(
-        F.transform(item_tables, lambda t: F.filter(below(elements, t), lambda e: e["tag"] == "tr"))
-    )
-    cells = F.transform(
-        rows,
-        lambda r: F.transform(
-            F.filter(below(elements, r), lambda e: e["tag"].isin("td", "th")), lambda c: text_of(c, texts)
-        ),
-    )
-    found = shredded(pages, keys).select(*keys, cells.alias("cells"))
+    found = table_cells(pages, keys, ITEM_TABLE)
     full = F.filter("cells", lambda c: F.size(c) >= ITEM_LEAST_CELLS)
     return found.select(*keys, F.transform(full, _line_item).cast(f"ARRAY<STRUCT<{_as_struct(LINE_ITEM)}>>").alias("line_items"))
 
@@ -115,7 +104,7 @@ def _as_struct(ddl: str) -> str:
 def attachments(pages: DataFrame, keys: Sequence[str], base_url: str) -> DataFrame:
     """The attachments of each attachments page, as one array per page."""
     texts = F.col("texts")
-    files = F.filter("elements", lambda e: (e["tag"] == "a") & F.coalesce(e["href"].rlike(ATTACHMENT_LINK), F.lit(False)))
+    files = F.filter("hits", lambda e: e["href"].rlike(ATTACHMENT_LINK))
 
     def attachment(link: Column) -> Column:
         href, text = link["href"], text_of(link, texts)
@@ -133,7 +122,7 @@ def attachments(pages: DataFrame, keys: Sequence[str], base_url: str) -> DataFra
             marked.alias("is_printed_form"),
         )
 
-    found = shredded(pages, keys).withColumn("files", files)
+    found = selected(pages, keys, [Selector("a", linked=True)]).withColumn("files", files)
     typed = F.transform("files", attachment).cast(f"ARRAY<STRUCT<{_as_struct(ATTACHMENT)}>>")
     return found.select(*keys, typed.alias("attachments"))
 

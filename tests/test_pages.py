@@ -205,3 +205,30 @@ def test_attributes_are_remembered_within_bounds(monkeypatch):
     assert shredder.columns["classes"] == [" a ", " a ", "  ", " c ", " d ", "  ", "  ", "  "]
     assert shredder.columns["href"][2] == long and shredder.columns["id"][:3] == ["b", "b", None]
     assert len(shredder.known) == 2
+
+
+def test_cells_of_chosen_tables(spark):
+    inner = '<table class="payments"><tr><th>c<b>d</b></th></tr></table>'
+    html = f'<table class="notes"><tr><td>x</td></tr></table><table class="a line-items"><tr><td>1 &amp; 2</td><td>{inner}</td></tr><tr></tr></table>'
+    rows = pages.table_cells(page_frame(spark, html, "", None), ["page_id"], "line-items|payments").orderBy("page_id").collect()
+    # the rows of the inner table come for each of the two tables that hold them
+    assert [r.cells for r in rows] == [[["1 & 2", "cd", "cd"], ["cd"], [], ["cd"]], [], []]
+
+
+def test_tabs_are_never_broadcast(spark):
+    from pricewell.operators import joins
+
+    common = spark.createDataFrame([(1,), (2,)], "o_orderkey LONG")
+    items = spark.createDataFrame([(1, [1])], "o_orderkey LONG, line_items ARRAY<INT>")
+    files = spark.createDataFrame([(2, ["a"])], "o_orderkey LONG, attachments ARRAY<STRING>")
+    joined = joins.contract_pages(common, items, files, "o_orderkey")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().toString()
+    assert sorted(map(tuple, joined.collect())) == [(1, [1], []), (2, [], ["a"])]
+
+
+def test_tags_are_remembered_only_if_they_end_alone():
+    shredder = pages._Shredder()
+    for html in ('<td class="a">x</td><td class="a">y</td>', "<a href=\"x>1</a>", "<a href=\"x>2</a>\">3</a>"):
+        shredder.page(html)
+    assert sorted(shredder.known_tags) == ["</a>", "</td>", '<td class="a">']
+    assert shredder.columns["href"] == [None, None, '"x', "x>2</a>"]  # an open quote is text of the value
