@@ -483,13 +483,19 @@ def cascade_delete(spark, sf_dir):
     ),
 )
 def distinct_code_lists(spark, sf_dir):
-    """Distinct codes, makers and units of each order, one row per value, so no list can grow too long."""
+    """Distinct codes, makers and units of each order, one row per value, so no list can grow too long.
+
+    An order's contracts are in one task, of a bounded number of contracts, which bounds what it tells apart.
+    """
     kinds = F.array(
         F.struct(F.lit("code").alias("kind"), F.col("code").alias("value")),
         F.struct(F.lit("manufacturer").alias("kind"), F.col("manufacturer").alias("value")),
         F.struct(F.lit("unit").alias("kind"), F.when(F.col("l_linenumber") % 2 == 0, F.lit("шт")).alias("value")),
     )
-    listed = tables.contracts(spark, sf_dir).select("l_orderkey", F.inline(kinds))
+    narrow = tables.contracts(spark, sf_dir).select("l_orderkey", "code", "manufacturer", "l_linenumber")
+    line = tables.table(spark, sf_dir, "lineitem")
+    parted = tables.in_bounded_tasks(narrow, line, tables.TASK_CONTRACTS, "l_orderkey")
+    listed = parted.select("l_orderkey", F.inline(kinds))
     return listed.filter(F.col("value").isNotNull()).distinct()
 
 

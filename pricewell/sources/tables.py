@@ -31,6 +31,8 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
 
 # Rows of one task that makes or reads a page of each.
 TASK_PAGES = 100_000
+# Contracts of one task that tells the values of each order apart.
+TASK_CONTRACTS = 500_000
 
 
 def spread_pages(rows: DataFrame, counted: DataFrame, *keys: str) -> DataFrame:
@@ -38,8 +40,13 @@ def spread_pages(rows: DataFrame, counted: DataFrame, *keys: str) -> DataFrame:
 
     Rows are small beside their pages, so the number of tasks follows from the rows of ``counted``, a table scan of as many.
     """
+    return in_bounded_tasks(rows, counted, TASK_PAGES, *keys)
+
+
+def in_bounded_tasks(rows: DataFrame, counted: DataFrame, most: int, *keys: str) -> DataFrame:
+    """Rows by their keys in tasks of about ``most`` rows, as many for each core; ``counted`` is a scan of as many rows."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    rounds = max(1, -(-counted.count() // (TASK_PAGES * cores)))
+    rounds = max(1, -(-counted.count() // (most * cores)))
     return rows.repartition(rounds * cores, *keys)
 
 
