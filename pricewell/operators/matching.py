@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from pricewell.functions import compare, scoring
 
+from pricewell.operators.sizing import BROADCAST_ROWS
+from pricewell.session import materialized
 
 def spec_pairs(
     df: DataFrame, target: str = "target_specs", actual: str = "actual_specs", keep_empty: bool = False
@@ -110,12 +112,18 @@ def makers_alike(df: DataFrame, target: str, found: Column, name: str, threshold
 
     Only the distinct pairs of names are compared. ``found`` is an array; missing names in it are left out.
     """
+    The rows are stored first, as they are read for the pairs and for the result. Few makers are wanted, so that
+    what is alike to each is broadcast if it is counted-small, and the rows of a maker many want meet in no task.
     given = F.filter(F.transform(found, F.lower), lambda m: m.isNotNull() & (m != ""))
     wanted = F.nullif(F.lower(F.col(target)), F.lit(""))
-    rows = df.withColumns({"__wanted": wanted, "__given": F.when(F.size(given) > 0, given)})
+    rows = materialized(df.withColumns({"__wanted": wanted, "__given": F.when(F.size(given) > 0, given)}), "makers")
     pairs = rows.select("__wanted", F.explode("__given").alias("__maker")).where("__wanted is not null").distinct()
     scored = pairs.withColumn("__score", compare.text_similarity(F.col("__wanted"), F.col("__maker")))
-    alike = scored.where(F.col("__score") > threshold).groupBy("__wanted").agg(F.collect_set("__maker").alias("__alike"))
+    alike = materialized(scored.where(F.col("__score") > threshold).select("__wanted", "__maker"), "alike")
+    found_pairs = alike.limit(BROADCAST_ROWS + 1).count()
+    alike = alike.groupBy("__wanted").agg(F.collect_set("__maker").alias("__alike"))
+    if found_pairs <= BROADCAST_ROWS:
+        alike = F.broadcast(alike)
     hit = F.coalesce(F.arrays_overlap("__given", "__alike"), F.lit(False))
     return (
         rows.join(alike, "__wanted", "left")

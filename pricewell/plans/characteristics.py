@@ -432,7 +432,7 @@ def with_named_makers(candidates: DataFrame) -> DataFrame:
 )
 def manufacturer_any_of(spark, sf_dir):
     """True if any maker named in a contract is alike, null if it names none or none is wanted."""
-    rows = with_named_makers(ceiling.candidate_contracts(spark, sf_dir))
+    rows = with_named_makers(ceiling.candidate_contracts(spark, sf_dir)).select("search_id", "contract_id", "wanted", "makers")
     return shown(matching.makers_alike(rows, "wanted", F.col("makers"), "maker_match"), "search_id", "contract_id", "maker_match")
 
 
