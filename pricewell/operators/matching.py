@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewell.functions import compare, scoring
-
 from pricewell.operators.sizing import BROADCAST_ROWS
 from pricewell.session import materialized
 
+
 def spec_pairs(
     df: DataFrame, target: str = "target_specs", actual: str = "actual_specs", keep_empty: bool = False
 ) -> DataFrame:
@@ -111,9 +112,9 @@ def makers_alike(df: DataFrame, target: str, found: Column, name: str, threshold
     """Adds whether any maker of a list is alike to the wanted one; null where either side is missing.
 
     Only the distinct pairs of names are compared. ``found`` is an array; missing names in it are left out.
-    """
     The rows are stored first, as they are read for the pairs and for the result. Few makers are wanted, so that
     what is alike to each is broadcast if it is counted-small, and the rows of a maker many want meet in no task.
+    """
     given = F.filter(F.transform(found, F.lower), lambda m: m.isNotNull() & (m != ""))
     wanted = F.nullif(F.lower(F.col(target)), F.lit(""))
     rows = materialized(df.withColumns({"__wanted": wanted, "__given": F.when(F.size(given) > 0, given)}), "makers")
@@ -177,7 +178,9 @@ def classify_by_fields(
     """
     match = F.col("match_status") == "MATCH"
     required = F.col("name").isin(*mandatory)
-    met = F.count_distinct(F.when(required & match, F.col("name"))) == len(set(mandatory))
+    # one flag a field, so that each task has one row of a contract to shuffle
+    flags = [F.coalesce(F.bool_or(F.when(F.col("name") == field, match)), F.lit(False)) for field in sorted(set(mandatory))]
+    met = reduce(Column.__and__, flags, F.lit(True))
     # a field that occurs twice must match both times
     unmet = F.coalesce(F.bool_or(F.when(required, ~match)), F.lit(False))
     grouped = rows.groupBy(*keys).agg(

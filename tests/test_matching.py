@@ -210,3 +210,21 @@ def test_few_pairs_are_compared(spark):
     assert 400 <= found < 0.6 * 400 * 400
     with pytest.raises(ValueError):
         name_join.similar_names(a, a, ["code"], "__name", "__name", 0.6)
+
+
+def test_rows_of_makers_are_read_once_and_not_shuffled(spark):
+    rows = spark.createDataFrame([(i, "Завод Север", ["завод север" if i % 2 else "Юг"]) for i in range(50)], "id INT, wanted STRING, makers ARRAY<STRING>")
+    got = matching.makers_alike(rows, "wanted", F.col("makers"), "hit")
+    # read from where they were stored, by no key that all share
+    assert any("makers-" in f for f in got.inputFiles())
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
+    assert {r.id: r.hit for r in got.collect()} == {i: bool(i % 2) for i in range(50)}
+
+
+def test_classes_take_one_shuffle(spark):
+    rows = [("a", "x", "MATCH", 1), ("a", "y", "MATCH", 1), ("a", "z", "DIFF", 2), ("b", "x", "MATCH", 1), ("b", "x", "DIFF", 1), ("c", "x", "MATCH", 1), ("d", "y", None, 1)]
+    df = spark.createDataFrame(rows, "id STRING, name STRING, match_status STRING, weight INT")
+    got = matching.classify_by_fields(df, ["id"], ["x", "y"], 0.4)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    found = {r.id: (r.match_share, r.match_type, r.decision) for r in got.collect()}
+    assert found == {"a": (0.5, "IDENTICAL", "ACCEPT"), "b": (0.5, "NO_MATCH", "REJECT"), "c": (1.0, "HOMOGENEOUS", "REVIEW"), "d": (0.0, "NO_MATCH", "REJECT")}
