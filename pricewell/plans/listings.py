@@ -12,7 +12,7 @@ from pricewell.plans import ceiling
 from pricewell.plans.output import shown
 from pricewell.plans.registry import Registry
 from pricewell.plans.selection import query as selection_query
-from pricewell.plans.selection import key_rows_of, result_rows, scored_candidates
+from pricewell.plans.selection import KEY_FIELDS, key_rows_of, result_rows, scored_candidates
 from pricewell.plans.sql_views import add_view, with_views
 from pricewell.schemas import LENGTH_BOUNDS, LIMIT_RANGE, MATCH_TYPES, PRICE
 from pricewell.session import materialized, scratch_dir
@@ -38,11 +38,20 @@ def all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     The candidates are stored first, so that selecting and everything read from the
     results later starts from that table.
     """
-    carried = [c for c in RESULT_FIELDS if c != "accepted_for_nmc"]
-    scored = scored_candidates(spark, sf_dir).select(*carried, "limit_contracts", "selection_score")
-    stored = materialized(scored, "scored")
-    chosen = materialized(ceiling.best(ceiling.freshest(stored)).select("search_id", "contract_id"), "selected")
-    return joins.with_selected_flag(stored, chosen, ["search_id", "contract_id"])
+    return results_and_fresh(spark, sf_dir, [])[0]
+
+
+def results_and_fresh(spark: SparkSession, sf_dir: str, more: list[str] = KEY_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """Every scored candidate with the selected ones marked, and the fresh ones, both from one pass over the contracts.
+
+    ``more`` names what the candidates carry beside the fields of a result.
+    """
+    wanted = [c for c in RESULT_FIELDS if c != "accepted_for_nmc"] + ["limit_contracts", "selection_score"]
+    carried = wanted + [c for c in more if c not in wanted]
+    stored = materialized(scored_candidates(spark, sf_dir).select(*carried), "scored")
+    fresh = materialized(ceiling.freshest(stored), "fresh")
+    chosen = materialized(ceiling.best(fresh).select("search_id", "contract_id"), "selected")
+    return joins.with_selected_flag(stored.select(*wanted), chosen, ["search_id", "contract_id"]), fresh
 
 
 add_view(
@@ -658,10 +667,11 @@ _SPEC_ROW_RULES = {
 )
 def run_violations(spark, sf_dir):
     """What the pipeline itself writes breaks no rule."""
-    results = all_results(spark, sf_dir).withColumnsRenamed(
+    results, fresh = results_and_fresh(spark, sf_dir)
+    results = results.withColumnsRenamed(
         {"registry_no": "reestr_number", "target_manufacturer": "manufacturer_target", "manufacturer": "manufacturer_found"}
     )
-    rows = key_rows_of(spark, sf_dir).withColumnRenamed("contract_id", "contract_result_id")
+    rows = key_rows_of(spark, sf_dir, fresh).withColumnRenamed("contract_id", "contract_result_id")
     checked = quality.violations(results, quality.result_rules())
     return checked.unionByName(quality.violations(rows, quality.spec_row_rules()))
 

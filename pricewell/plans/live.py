@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.operators import joins, reports
-from pricewell.plans.listings import all_results, request_snapshot
+from pricewell.plans.listings import request_snapshot, results_and_fresh
 from pricewell.plans.output import shown
 from pricewell.plans.registry import Registry
 from pricewell.plans.selection import key_rows_of, result_rows
@@ -374,12 +374,12 @@ def results_upserted(spark, sf_dir):
 )
 def report_exported(spark, sf_dir):
     """The three sheets written as csv and json and read back: the rows that differ from what was written."""
-    results = all_results(spark, sf_dir)
+    results, fresh = results_and_fresh(spark, sf_dir)
     sheets = {
         "summary": reports.summary_rows(request_snapshot(spark, sf_dir, results), reports.result_counts(results)),
         "detail": reports.detail_rows(results),
         "comparison": reports.comparison_rows(
-            result_rows(spark, sf_dir), key_rows_of(spark, sf_dir), ["search_id", "contract_id"]
+            result_rows(spark, sf_dir, fresh), key_rows_of(spark, sf_dir, fresh), ["search_id", "contract_id"]
         ),
     }
     out = scratch_dir(spark, "report")
@@ -403,7 +403,7 @@ def _differences(sheet: DataFrame, copies: dict[str, DataFrame], name: str) -> D
     def hashed(df: DataFrame, sign: int, kind: str | None) -> DataFrame:
         text = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in sheet.columns])
         weights = [F.lit(sign if kind in (None, k) else 0).alias(k) for k in copies]
-        return df.select(F.sha2(text, 256).alias("row"), F.lit(int(kind is None)).alias("given"), *weights)
+        return df.select(F.unhex(F.sha2(text, 256)).alias("row"), F.lit(int(kind is None)).alias("given"), *weights)
 
     parts = [hashed(sheet, 1, None), *[hashed(copy, -1, kind) for kind, copy in copies.items()]]
     by_row = reduce(DataFrame.unionByName, parts).groupBy("row").agg(

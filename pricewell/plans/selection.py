@@ -383,11 +383,17 @@ def key_rows(spark, sf_dir):
     return shown(key_rows_of(spark, sf_dir))
 
 
-def key_rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three key rows of every fresh contract; a maker counts if it is alike to the wanted one."""
-    coded = with_codes(ceiling.scored_contracts(spark, sf_dir)).withColumn(
-        "code_match", F.array_contains("codes", F.col("code"))
-    )
+# What the key rows and the ranks of scored contracts are made from.
+KEY_FIELDS = ["code", "object_name", "l_linenumber", "target_name", "limit_contracts", "selection_score"]
+
+
+def key_rows_of(spark: SparkSession, sf_dir: str, scored: DataFrame | None = None) -> DataFrame:
+    """The three key rows of every fresh contract; a maker counts if it is alike to the wanted one.
+
+    ``scored`` are the scored fresh contracts if the caller has them, with ``KEY_FIELDS`` and the makers.
+    """
+    fresh = ceiling.scored_contracts(spark, sf_dir) if scored is None else scored
+    coded = with_codes(fresh).withColumn("code_match", F.array_contains("codes", F.col("code")))
     rows = makers_alike(coded, "target_manufacturer", F.array("manufacturer"), "maker_match")
     return key_comparison_rows(
         rows, ["search_id", "contract_id"], "code", F.get("codes", F.lit(0)), "code_match", "maker_match"
@@ -461,10 +467,10 @@ def mark_selected(spark, sf_dir):
     return shown(results, "search_id", "contract_id", "accepted_for_nmc")
 
 
-def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored fresh contracts with the three selected ones of each search marked."""
+def result_rows(spark: SparkSession, sf_dir: str, scored: DataFrame | None = None) -> DataFrame:
+    """Scored fresh contracts, given or not, with the three selected ones of each search marked."""
     ranked = topk.top_k(
-        ceiling.scored_contracts(spark, sf_dir),
+        ceiling.scored_contracts(spark, sf_dir) if scored is None else scored,
         ["search_id"],
         [F.desc("selection_score"), F.asc("contract_id")],
         F.col("limit_contracts"),

@@ -97,3 +97,19 @@ def test_orphans_and_cascade(spark):
     assert [r.name for r in joins.orphans(children, parents, "id").collect()] == ["c"]
     left = joins.cascade_delete(children, parents.filter("id = 1"), "id")
     assert [r.name for r in left.collect()] == ["a"]
+
+
+@pytest.mark.parametrize("name", ["run_violations", "report_exported"])
+def test_one_pass_over_the_contracts(spark, monkeypatch, name):
+    from pricewell.plans import ceiling
+
+    passes, plain = [], ceiling.candidate_contracts
+    monkeypatch.setattr(ceiling, "candidate_contracts", lambda *a: passes.append(a) or plain(*a))
+    queries()[name](spark, SF)
+    assert len(passes) == 1
+
+
+def test_values_of_orders_are_told_apart_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_CONTRACTS", 100)
+    lines = tables.table(spark, SF, "lineitem").count()
+    assert queries()["distinct_code_lists"](spark, SF).rdd.getNumPartitions() >= lines // 100
