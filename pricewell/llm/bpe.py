@@ -48,8 +48,8 @@ class Tokenizer:
     """A byte-level BPE vocabulary file with the traversal above."""
 
     #: So many words are remembered between batches before all are forgotten, and so many pairs of tokens.
-    remembered = 400_000
-    remembered_pairs = 400_000
+    remembered = 200_000
+    remembered_pairs = 200_000
 
     def __init__(self, path: str) -> None:
         import regex
@@ -193,7 +193,7 @@ def encoded(
     docs: DataFrame,
     path: str,
     text_col: str = "text",
-    batch_bytes: int = 4_000_000,
+    batch_bytes: int = 1_000_000,
     finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None,
     finished: str | None = None,
     keep: list[str] | None = None,

@@ -78,7 +78,7 @@ def _in_window(flags: np.ndarray) -> np.ndarray:
 class Templates:
     """Turns texts into templates; tokens are classified once and remembered."""
 
-    remembered = 500_000
+    remembered = 250_000
 
     def __init__(self) -> None:
         self.place = _Places(self._learn)
@@ -166,6 +166,11 @@ def _bits(windows: np.ndarray, shift: int) -> np.ndarray:
     return (windows >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
 
 
+def _passes(passing: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which bits are set in a packed filter."""
+    return (passing[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
 def windows(rows: DataFrame, passing: np.ndarray | None = None, shorter: list[int] | None = None) -> DataFrame:
     """The windows of texts (id, text): ``WINDOWS``. With a filter, only those that may be in it.
 
@@ -183,7 +188,7 @@ def windows(rows: DataFrame, passing: np.ndarray | None = None, shorter: list[in
                 for length, places, hashes, kinds, loose in ways:
                     if passing is not None:
                         for shift in (0, FILTER_BITS):
-                            some = passing[_bits(hashes, shift)]
+                            some = _passes(passing, _bits(hashes, shift))
                             places, hashes = places[some], hashes[some]
                     for at, window in zip(places.tolist(), hashes.view(np.int64).tolist(), strict=True):
                         words = [
@@ -202,7 +207,7 @@ def windows(rows: DataFrame, passing: np.ndarray | None = None, shorter: list[in
 
 
 def _filter(benchmark_windows: DataFrame) -> np.ndarray:
-    """The bits of all benchmark windows: 2 ** FILTER_BITS flags whatever the benchmark's size."""
+    """The bits of all benchmark windows, packed in bytes: 2 ** FILTER_BITS flags whatever the benchmark's size."""
     mask = (1 << FILTER_BITS) - 1
     bit = F.explode(
         F.array(F.col("window").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("window", FILTER_BITS).bitwiseAND(F.lit(mask)))
@@ -216,7 +221,7 @@ def _filter(benchmark_windows: DataFrame) -> np.ndarray:
     packed = np.zeros((1 << FILTER_BITS) // 64, np.int64)
     for row in words:
         packed[row.at] = row.bits
-    return np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
+    return packed.view(np.uint8)
 
 
 def evidence(windows: list) -> tuple[int, int, int, int, bool]:

@@ -330,3 +330,12 @@ def test_pipeline_stages_take_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, SF)
         assert len(now.collect()) == (3 if rows else 0)
+
+
+def test_filter_of_windows_is_packed(spark):
+    known = spark.createDataFrame([(5,), (-3,), (2**40 + 9,)], "window LONG")
+    passing = templates._filter(known)
+    assert passing.nbytes == (1 << templates.FILTER_BITS) // 8
+    hashes = np.array([5, -3, 2**40 + 9, 6, 11], np.int64).view(np.uint64)
+    found = [templates._passes(passing, templates._bits(hashes, shift)) for shift in (0, templates.FILTER_BITS)]
+    assert (found[0] & found[1]).tolist() == [True, True, True, False, False]

@@ -216,3 +216,10 @@ def test_broken_records_are_told():
     for old, new in ((b"Content-Length: 3", b"Content-Length: 4"), (b"WARC/1.1", b"HTTP/1.1"), (b"abc\r\n", b"abd\r\n"), (b"WARC-Record-ID", b"X-Other"), (b"X-Payload-Length: 3", b"X-Payload-Length: 9"), (b"sha1:", b"md5:")):
         with pytest.raises(ValueError):
             warc.checked_page(good.replace(old, new))
+
+
+def test_tokenizer_holds_little_at_a_time():
+    import inspect
+
+    assert inspect.signature(bpe.encoded).parameters["batch_bytes"].default <= 1_000_000
+    assert max(bpe.Tokenizer.remembered, bpe.Tokenizer.remembered_pairs) <= 200_000
