@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewell.llm.components import components
-from pricewell.llm.tables import id_filter, kept_in_worker, parted_by_filter, text_ranges, whole_text
+from pricewell.llm.tables import byte_batches, id_filter, kept_in_worker, parted_by_filter, text_ranges, whole_text
 from pricewell.session import materialized
 
 COORDINATES = 128
@@ -37,6 +37,8 @@ BUCKET_MEMBERS = 4_096
 BLOCK_MEMBERS = 1_024
 #: Texts are turned into sets so many bytes at a time.
 TEXT_BYTES = 4_000_000
+#: Shingles are sketched so many at a time; a larger set is cut, and the least offers of its pieces count.
+SKETCHED = 100_000
 U = np.uint64
 
 
@@ -49,7 +51,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Texts to sets of hashed shingles; the hashes of words are remembered."""
 
-    remembered = 500_000
+    remembered = 100_000
 
     def __init__(self, words: int) -> None:
         self.words = words
@@ -79,10 +81,20 @@ class Shingler:
 
 def sketches(sets: list[np.ndarray], k: int = COORDINATES) -> np.ndarray:
     """The sketch of each non-empty set, as a byte for each coordinate."""
+    offers = np.full((len(sets), k), np.iinfo(U).max, U)
+    pieces = [(i, s[at : at + SKETCHED]) for i, s in enumerate(sets) for at in range(0, len(s), SKETCHED)]
+    for start, end in byte_batches([len(s) for _, s in pieces], SKETCHED):
+        # only the last piece of a set shares a batch, so no set is in a batch twice
+        of = [i for i, _ in pieces[start:end]]
+        offers[of] = np.minimum(offers[of], _least_offers([s for _, s in pieces[start:end]], k))
+    return (_mixed(offers) >> U(56)).astype(np.uint8)
+
+
+def _least_offers(sets: list[np.ndarray], k: int) -> np.ndarray:
     offers = np.full(len(sets) * k, np.iinfo(U).max, U)
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    items = np.concatenate(sets) if sets else np.zeros(0, U)
+    items = np.concatenate(sets)
     open_ = np.ones(len(sets), bool)
     for turn in range(2 * k):
         if not open_.any():
@@ -95,7 +107,7 @@ def sketches(sets: list[np.ndarray], k: int = COORDINATES) -> np.ndarray:
         offer = (U(turn) << U(48)) | (_mixed(h ^ U(0xA0761D6478BD642F)) >> U(16))
         np.minimum.at(offers, owner * k + place.astype(np.int64), offer)
         open_ &= (offers.reshape(-1, k) == np.iinfo(U).max).any(axis=1)
-    return (_mixed(offers) >> U(56)).astype(np.uint8).reshape(-1, k)
+    return offers.reshape(-1, k)
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -200,6 +201,21 @@ def test_sketches_fill_and_concentrate():
     assert (1 - 0.85 ** like.rows()) ** (near_dup.COORDINATES // like.rows()) <= near_dup.MISS
 
 
+def test_sketches_and_words_take_bounded_memory(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (3, 400_000, 90, 1_000, 250_000, 1)]
+    tracemalloc.start()
+    got = near_dup.sketches(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6
+    monkeypatch.setattr(near_dup, "SKETCHED", 10_000_000)
+    assert (got == near_dup.sketches(sets)).all()
+    shingles = near_dup.Shingler(5)
+    again = [shingles(b" ".join(b"w%d" % i for i in range(at, at + 1_000))) for at in (*range(0, 300_000, 1_000), 0)]
+    assert len(shingles.known) <= 110_000 and (again[0] == again[-1]).all()
+
+
 def test_benchmark_passages(spark):
     docs, benchmark = read(spark, SF, "documents"), read(spark, SF, "benchmark")
     items = [(r.item_id, " ".join(re.findall(r"\w+", r.text.lower()))) for r in benchmark.collect()]
