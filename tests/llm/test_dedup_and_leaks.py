@@ -8,7 +8,9 @@ import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pricewell.llm import content_sort, near_dup, queries, tables, templates, toxicity
@@ -338,6 +340,24 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in out} == want and all(r.round_trip for r in out)
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_pipeline_stages_send_small_batches(spark, name, stage):
+    docs = read(spark, SF, "documents")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    large = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("some words "), 10_000).alias("text"))
+    spark.conf.unset(corpus_pipeline.BATCH_SETTING)
+    assert stage(spark, docs, SF).columns
+    assert large.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 4_000_000
+    spark.conf.set(corpus_pipeline.BATCH_SETTING, "8m")  # what the session says is kept
+    stage(spark, docs, SF)
+    assert spark.conf.get(corpus_pipeline.BATCH_SETTING) == "8m"
+    spark.conf.unset(corpus_pipeline.BATCH_SETTING)
+
+
 def test_pipeline_stages_take_odd_rows(spark):
     schema = read(spark, SF, "documents").schema
     odd = [(None, None, None, None, None), (1, "", None, "s", 0), (2, "x y", "en", "s", 3), (2, "x y", "en", "s", 3), (3, "w " * 60_000, "en", None, 1)]
