@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import datetime
+import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass, field
+from itertools import chain
+from operator import attrgetter, itemgetter
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,17 +20,20 @@ from pricewell.schemas import STATE_TTL_SECONDS
 from pricewell.streaming.events import TERMINAL
 
 OUTPUT = (
-    "search_id BIGINT, events BIGINT, results_added BIGINT, last_ts TIMESTAMP, processed_count INT, found_total INT,"
-    " closed_ts TIMESTAMP, closed_by STRING"
+    "search_id BIGINT, events BIGINT, results_added BIGINT, last_us BIGINT, processed_count INT, found_total INT,"
+    " closed_us BIGINT, closed_by STRING"
 )
-# The state of a search. Times are microseconds.
-RUN = (
-    "events BIGINT, last_us BIGINT, last_event BIGINT, processed_count INT, found_total INT, closed_us BIGINT,"
-    " closed_by STRING, heard_us BIGINT"
-)
-COUNT = "events BIGINT"
-EVENT = "us BIGINT, event_id BIGINT, type STRING, processed_count INT, found_total INT"
-EVENT_COLUMNS = [part.split()[0] for part in EVENT.split(", ")]
+OUTPUT_COLUMNS = [part.split()[0] for part in OUTPUT.split(", ")]
+#: Slots of searches that share a state; fixed for the life of a checkpoint.
+SLOTS = 1_024
+#: Waiting events of one row of state.
+CHUNK_EVENTS = 10_000
+# The state of a slot. Events and runs are lists in JSON, in the order of the columns below; times are microseconds, that of
+# the timer milliseconds. A run comes with its search, its counts of a type stand at the same place.
+RUNS = "timer_ms BIGINT, runs STRING"
+COUNTS = "counts STRING"
+WAITING = "events STRING"
+EVENT_COLUMNS = ["search_id", "us", "event_id", "type", "processed_count", "found_total"]
 
 
 @contextmanager
@@ -41,7 +48,7 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-@dataclass
+@dataclass(slots=True)
 class Run:
     """The current run of a search, folded event by event in the order of time and id."""
 
@@ -53,19 +60,22 @@ class Run:
     closed_us: int | None = None
     closed_by: str | None = None
     heard_us: int | None = None
+    counts: dict[str, int] = field(default_factory=dict)
+
+    def copy(self) -> Run:
+        return Run(*_fields(self), dict(self.counts))
 
-    def take(self, event: tuple, counts: dict[str, int], ttl_us: int) -> Run:
+    def take(self, event: list, ttl_us: int) -> Run:
         """The run after an event: a new one where the silence before was longer than the time to live."""
-        us, event_id, kind, processed, total = event
+        _, us, event_id, kind, processed, total = event
         now = self
         if self.heard_us is not None and us - self.heard_us > ttl_us:
             now = Run()
-            counts.clear()
         now.heard_us = us
         if now.closed_us is not None:  # what comes after the first end does not count
             return now
         now.events += 1
-        counts[kind] = counts.get(kind, 0) + 1
+        now.counts[kind] = now.counts.get(kind, 0) + 1
         if kind == "progress":
             now.last_us, now.last_event, now.processed_count, now.found_total = us, event_id, processed, total
         if kind in TERMINAL:
@@ -73,6 +83,14 @@ class Run:
         return now
 
 
+_fields = attrgetter("events", "last_us", "last_event", "processed_count", "found_total", "closed_us", "closed_by", "heard_us")
+
+
+def _by_search(events: list[list], into: dict[int, list[list]]) -> None:
+    for event in events:
+        into.setdefault(event[0], []).append(event)
+
+
 class SearchRuns(StatefulProcessor):
     """Follows the current run of each search.
 
@@ -81,10 +99,15 @@ class SearchRuns(StatefulProcessor):
     one of event time alone, so it does not matter how events fall into micro-batches or in which order they
     come, as long as none is later than the watermark.
 
-    Events that the watermark has not passed yet wait in a list. What it has passed is folded in order into the run
-    (a value) and the counts by type (a map) and forgotten, so a search holds the events of the delay and of one
-    micro-batch, which the source's limit bounds. A timer at the last waiting event folds what an idle search has
-    left, a timer at the end of the time to live drops its state.
+    Every call for a key and every access to its state costs a round trip to the JVM, a fraction of a millisecond. Searches
+    therefore share the state of a slot, which is read and written at once: a batch costs a dozen round trips for each of
+    its slots, and some microseconds for each of its events and each search of these slots.
+
+    Events that the watermark has not passed yet wait in a list. What it has passed is folded in order into the runs
+    (a value) and their counts by type (a map, in the order of the runs) and forgotten, so a slot holds the events of the
+    delay and of one micro-batch, which the source's limit bounds. A timer at the first last waiting event of its
+    searches folds what an idle search has left, one at the first end of a time to live drops the searches that have
+    reached theirs.
     """
 
     def __init__(self, ttl_seconds: int = STATE_TTL_SECONDS) -> None:
@@ -92,64 +115,106 @@ class SearchRuns(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", RUN)
-        self.counts = handle.getMapState("counts", "type STRING", COUNT)
-        self.waiting = handle.getListState("waiting", EVENT)
-
-    def _settle(self, events: list[tuple], watermark_ms: int) -> tuple[Run, dict[str, int]]:
-        """Folds what the watermark has passed into the state; the run as it is with the events that still wait."""
-        events.sort()
-        passed = [e for e in events if e[0] <= watermark_ms * 1_000]
-        rest = events[len(passed) :]
-        run = Run(*self.run.get()) if self.run.exists() else Run()
-        counts = {k[0]: v[0] for k, v in self.counts.iterator()} if run.events else {}
-        if passed:
-            for event in passed:
-                run = run.take(event, counts, self.ttl_us)
-            self.run.update(tuple(asdict(run).values()))
-            self.counts.clear()
-            for kind, n in counts.items():
-                self.counts.updateValue((kind,), (n,))
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        now, seen = Run(**asdict(run)), dict(counts)
-        for event in rest:
-            now = now.take(event, seen, self.ttl_us)
-        if now.heard_us is not None:
-            due = rest[-1][0] if rest else now.heard_us + self.ttl_us
-            self.handle.registerTimer(max(due // 1_000, watermark_ms) + 1)
-        return now, seen
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
-        new = [tuple(r[c] for c in EVENT_COLUMNS) for r in rows]
-        now, counts = self._settle(waiting + new, timerValues.getCurrentWatermarkInMs())
-        time = lambda us: None if us is None else datetime.datetime.fromtimestamp(0) + datetime.timedelta(microseconds=us)
-        yield Row(
-            search_id=key[0],
-            events=now.events,
-            results_added=counts.get("result_added", 0),
-            last_ts=time(now.last_us),
-            processed_count=now.processed_count,
-            found_total=now.found_total,
-            closed_ts=time(now.closed_us),
-            closed_by=now.closed_by,
-        )
+        self.runs = handle.getValueState("runs", RUNS)
+        self.counts = handle.getMapState("counts", "type STRING", COUNTS)
+        self.waiting = handle.getListState("waiting", WAITING)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        watermark_ms = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
-        if not waiting and self.run.exists() and Run(*self.run.get()).heard_us + self.ttl_us < watermark_ms * 1_000:
-            self.run.clear()
-            self.counts.clear()
+    def _load(self) -> tuple[int | None, dict[int, Run], dict[int, list[list]], list[str]]:
+        """The time of the slot's timer, the runs and the waiting events of its searches, the types that have counts."""
+        timer, stored = self.runs.get() or (None, "[]")
+        runs = {search: Run(*values) for search, *values in json.loads(stored)}
+        kinds = []
+        for (kind,), (counts,) in self.counts.iterator():
+            kinds.append(kind)
+            for run, n in zip(runs.values(), json.loads(counts), strict=True):
+                if n:
+                    run.counts[kind] = n
+        waiting: dict[int, list[list]] = {}
+        for (events,) in self.waiting.get():
+            _by_search(json.loads(events), waiting)
+        return timer, runs, waiting, kinds
+
+    def _save(self, timer: int | None, runs: dict[int, Run], waiting: dict[int, list[list]], kinds: list[str]) -> None:
+        if timer is None:
+            self.runs.clear()
+        else:
+            self.runs.update((timer, json.dumps([(search, *_fields(run)) for search, run in runs.items()])))
+        found = dict.fromkeys(kind for run in runs.values() for kind in run.counts)
+        for kind in found:
+            self.counts.updateValue((kind,), (json.dumps([run.counts.get(kind, 0) for run in runs.values()]),))
+        for kind in kinds:
+            if kind not in found:
+                self.counts.removeKey((kind,))
+        events = list(chain.from_iterable(waiting.values()))
+        if events:
+            chunks = (events[at : at + CHUNK_EVENTS] for at in range(0, len(events), CHUNK_EVENTS))
+            self.waiting.put([(json.dumps(chunk),) for chunk in chunks])
         else:
-            self._settle(waiting, watermark_ms)
+            self.waiting.clear()
+
+    def _settle(self, new: dict[int, list[list]], watermark_ms: int) -> dict[int, Run]:
+        """Folds what the watermark has passed into the state; the runs of the new events as they are with what still waits."""
+        timer, runs, waiting, kinds = self._load()
+        for search, events in new.items():
+            waiting.setdefault(search, []).extend(events)
+        passed_us = watermark_ms * 1_000
+        due, rests, now = [], {}, {}
+        for search, events in waiting.items():
+            events.sort()
+            passed = bisect_right(events, passed_us, key=itemgetter(1))
+            if passed:
+                run = runs.get(search) or Run()
+                for event in events[:passed]:
+                    run = run.take(event, self.ttl_us)
+                runs[search] = run
+            if rest := events[passed:]:
+                rests[search] = rest
+                due.append(rest[-1][1])
+            if search in new:
+                run = runs[search].copy() if search in runs else Run()
+                for event in rest:
+                    run = run.take(event, self.ttl_us)
+                now[search] = run
+        for search in [s for s in runs if s not in rests]:
+            if (end := runs[search].heard_us + self.ttl_us) < passed_us:
+                del runs[search]
+            else:
+                due.append(end)
+        next_timer = max(min(due) // 1_000, watermark_ms) + 1 if due else None
+        if timer != next_timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if next_timer is not None:
+                self.handle.registerTimer(next_timer)
+        self._save(next_timer, runs, rests, kinds)
+        return now
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list[list]] = {}
+        for part in rows:
+            _by_search(json.loads(f"[{','.join(part['event'])}]"), new)
+        runs = self._settle(new, timerValues.getCurrentWatermarkInMs())
+        changed = [
+            (search, r.events, r.counts.get("result_added", 0), r.last_us, r.processed_count, r.found_total, r.closed_us, r.closed_by)
+            for search, r in runs.items()
+        ]
+        yield pd.DataFrame(changed, columns=OUTPUT_COLUMNS, dtype=object)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._settle({}, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def close(self) -> None: ...
 
 
+def _as_json() -> Column:
+    """An event as a list in JSON: Python reads the events of a slot at once, and integers stay whole beside nulls."""
+    kind = F.to_json(F.array("type"))
+    values = {c: F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in EVENT_COLUMNS}
+    values["type"] = kind.substr(F.lit(2), F.length(kind) - 2)
+    return F.concat(F.lit("["), F.concat_ws(",", *values.values()), F.lit("]"))
+
+
 def search_progress(events: DataFrame, delay: str, ttl_seconds: int = STATE_TTL_SECONDS) -> DataFrame:
     """A changed row per search and micro-batch, with the search's current run (``SearchRuns``).
 
@@ -157,8 +222,11 @@ def search_progress(events: DataFrame, delay: str, ttl_seconds: int = STATE_TTL_
     source with a limit. ``current_runs`` gives the same of a table.
     """
     rows = events.where(F.col("ts").isNotNull()).withWatermark("ts", delay)
-    rows = rows.select("search_id", "ts", F.unix_micros("ts").alias("us"), *EVENT_COLUMNS[1:])
-    return rows.groupBy("search_id").transformWithState(SearchRuns(ttl_seconds), OUTPUT, "update", "EventTime")
+    slot = F.pmod(F.xxhash64("search_id"), F.lit(SLOTS)).cast("int").alias("slot")
+    rows = rows.withColumn("us", F.unix_micros("ts")).select(slot, "ts", _as_json().alias("event"))
+    changed = rows.groupBy("slot").transformWithStateInPandas(SearchRuns(ttl_seconds), OUTPUT, "update", "EventTime")
+    times = {f"{c}_us": F.timestamp_micros(f"{c}_us").alias(f"{c}_ts") for c in ("last", "closed")}
+    return changed.select(*[times.get(c, F.col(c)) for c in changed.columns])
 
 
 def current_runs(events: DataFrame, ttl_seconds: int = STATE_TTL_SECONDS) -> DataFrame:

@@ -1,6 +1,10 @@
 """Streams over several micro-batches against the same folds in batch."""
 
+import datetime
+import random
+
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pricewell.plans import live
@@ -240,6 +244,54 @@ def test_state_holds_what_waits_only(spark, tmp_path):
     assert max(held) < 20 and held[-1] <= held[0] + 4
 
 
+def followed(spark, tmp_path, rows, most):
+    """The last run of each search in a log read in batches of so many events, and the rows of state after each batch."""
+    log = f"file://{tmp_path}/log"
+    df = spark.createDataFrame(rows, "event_id BIGINT, search_id BIGINT, type STRING, us BIGINT, processed_count INT, found_total INT")
+    event_log.publish(df, log, ["us", "event_id"], segment_messages=1_000)
+    stream = state.search_progress(live.received(spark, log, f"file://{tmp_path}/progress", most), "10 minutes")
+    seen = []
+    with state.rocksdb_state(spark):
+        writer = stream.writeStream.outputMode("update").foreachBatch(lambda b, e: seen.append({r.search_id: r for r in b.collect()}))
+        query = writer.option("checkpointLocation", str(tmp_path / "checkpoint")).start()
+        try:
+            query.processAllAvailable()
+            held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        finally:
+            query.stop()
+    last = {}
+    for batch in seen:
+        last |= batch
+    return last, held
+
+
+def test_searches_share_their_state(spark, tmp_path, monkeypatch):
+    """A batch costs round trips for each slot, not for each of its searches."""
+    monkeypatch.setattr(state, "SLOTS", 8, raising=False)
+    rows = [(i, i % 400, "progress", (i + 1) * 1_000_000, i, 9) for i in range(1_600)]
+    last, held = followed(spark, tmp_path, rows, 800)
+    # runs, counts of one type, waiting events and a timer of each slot
+    assert max(held) <= 8 * 5
+    assert {k: (r.events, r.processed_count) for k, r in last.items()} == {k: (4, 1_200 + k) for k in range(400)}
+
+
+@pytest.mark.parametrize("most", [40, 1_000])
+def test_searches_of_a_slot_run_on_their_own(spark, tmp_path, monkeypatch, most):
+    """Idle searches are folded and dropped beside live ones; ids beyond 2^53 and odd types stay whole beside nulls."""
+    monkeypatch.setattr(state, "SLOTS", 2, raising=False)
+    far, draw, rows = 2**53 + 1, random.Random(7), []
+    searches = [None, 1, 2, 3, far, far + 1]
+    for i in range(200):
+        # search 1 pauses for longer than the hour of its life, 2 is not heard of again
+        search = draw.choice([s for s in searches if not (s == 1 and 50 < i < 150) and not (s == 2 and i > 60)])
+        kind = draw.choices(["progress", "result_added", "start", None, 'a "b", \\c', "done"], [8, 4, 2, 1, 1, 1])[0]
+        rows.append((far + i, search, kind, (i + 1) * 60_000_000, draw.choice([None, i]), None))
+    last, _ = followed(spark, tmp_path, rows, most)
+    event = lambda r: Row(event_id=r[0], search_id=r[1], type=r[2], ts=datetime.datetime.fromtimestamp(r[3] / 1e6), processed_count=r[4])
+    want = runs_by_hand(map(event, rows), 3_600)
+    assert {k: {c: r[c] for c in want[k]} for k, r in last.items()} == want
+
+
 def test_late_flags_stop_a_running_stream(spark, tmp_path):
     # the flag of search 1 at 100 is sent after events of 150 and 200; that of search 2 holds for its life only
     log = f"file://{tmp_path}/log"
